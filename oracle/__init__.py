@@ -5,5 +5,6 @@ from __future__ import annotations
 
 def all_queries() -> dict[str, str]:
     from oracle.analytics import ANALYTICS
+    from oracle.cleaning import CLEANING
 
-    return dict(ANALYTICS)
+    return {**ANALYTICS, **CLEANING}

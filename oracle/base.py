@@ -76,7 +76,9 @@ bl AS (
   SELECT *, CAST((l_orderkey * 31 + l_linenumber * 17 + l_partkey) % 101 AS INTEGER) AS h,
          CAST(o_orderkey % (SELECT COUNT(*) FROM supplier) AS VARCHAR) AS store_no,
          md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS INTEGER),
-             CAST(ROUND(l_extendedprice * 100) AS BIGINT), CAST(l_shipdate AS DATE))) AS digest
+             CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT), CAST(l_shipdate AS DATE))) AS digest,
+         CAST(floor(p_retailprice * 100 + 0.5) AS BIGINT) + 5000 * (l_linenumber % 3) AS price_cents,
+         CAST(floor(l_discount * 100 + 0.5) AS INTEGER) * 6 AS percent
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
 bb AS (
   SELECT h, CAST('0x' || substr(digest, 1, 15) AS BIGINT) AS source_rowid,
@@ -86,7 +88,8 @@ bb AS (
          split_part(p_name, ' ', 1) AS color,
          p_retailprice + 50 * (l_linenumber % 3) AS unit_price,
          CAST(l_quantity AS INTEGER) % 12 + 1 AS quantity,
-         CAST(CAST(ROUND(l_discount * 100) AS INTEGER) * 6 AS DOUBLE) / 100 AS discount,
+         CAST(percent AS DOUBLE) / 100 AS discount,
+         (price_cents * (CAST(l_quantity AS INTEGER) % 12 + 1) * (100 - percent) + 50) // 100 AS cents,
          CAST(CAST(o_orderdate AS DATE) AS VARCHAR) || ' ' || lpad(CAST(o_orderkey % 24 AS VARCHAR), 2, '0') || ':00:00' AS transaction_datetime,
          CAST(o_orderdate AS DATE) AS transaction_date,
          store_no AS store_id, store_no || '-' || (o_orderkey % 7) AS employee_id,
@@ -95,8 +98,7 @@ bb AS (
          CASE WHEN o_orderstatus = 'F' THEN 'Cash' ELSE 'Credit Card' END AS payment_method
   FROM bl),
 bt AS (
-  SELECT *, (CASE WHEN transaction_type = 'Return' THEN -1 ELSE 1 END)
-            * CAST(ROUND(CAST(unit_price * quantity * (1 - discount) AS DECIMAL(24,9)), 2) AS DOUBLE) AS line_total FROM bb),
+  SELECT *, (CASE WHEN transaction_type = 'Return' THEN -cents ELSE cents END) / 100.0::DOUBLE AS line_total FROM bb),
 bf AS (SELECT *, CAST(SUM(CAST(line_total AS DECIMAL(20,6))) OVER (PARTITION BY invoice_id) AS DOUBLE) AS invoice_total FROM bt)"""
 
 FACT = """

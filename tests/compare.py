@@ -76,7 +76,7 @@ def main(prefixes, folder):
     from pyspark.sql import SparkSession
 
     builder = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
-    spark = builder.config("spark.ui.enabled", "false").config("spark.driver.memory", "8g").getOrCreate()
+    spark = builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "8g").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     oracle, failed = entry.oracle_sql(), []
     connection = duck(folder)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ REAL_PREFIX = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
 INT_PREFIX = r"^[+-]?[0-9]+"
 ISO_MOMENT = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]+)?)?)?$"
 
-MONEY = "decimal(20,6)"
+LOW_BITS = 20
 ROUNDING = "decimal(24,9)"
 
 
@@ -54,9 +56,19 @@ def clean_value(rule: RawColumn) -> Column:
     return F.when(~is_dirty(rule), convert(raw))
 
 
-def exact(amount: Column) -> Column:
-    """Decimal form used inside sums, so totals do not depend on row order."""
-    return amount.cast(MONEY)
+def exact_sum(amount: Column) -> Column:
+    """Order-independent sum as ``decimal(30,6)``; NULL over no rows.
+
+    Amounts become whole millionths whose high and low bits are summed as longs, so
+    the per-row work is integer arithmetic; the decimal is built once per group. The
+    low sum holds 2^43 rows and an overflow of the high sum raises an error.
+    """
+    scaled = amount.cast("double") * F.lit(1e6)
+    micros = F.when(scaled < 0, -F.floor(F.lit(0.5) - scaled)).otherwise(F.floor(scaled + F.lit(0.5)))
+    high = F.sum(F.shiftright(micros, LOW_BITS)).cast("decimal(20,0)")
+    low = F.sum(micros.bitwiseAND(F.lit((1 << LOW_BITS) - 1))).cast("decimal(20,0)")
+    whole = high * F.lit(1 << LOW_BITS) + low
+    return (whole * F.lit(Decimal("0.000001"))).cast("decimal(30,6)")
 
 
 def round_half_up(x: Column, places: int) -> Column:
@@ -70,7 +82,7 @@ def money(x: Column) -> Column:
 
 def total(amount: Column) -> Column:
     """Exact sum as double; NULL over no rows."""
-    return F.sum(exact(amount)).cast("double")
+    return exact_sum(amount).cast("double")
 
 
 def total_or_zero(amount: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tillsight import schema as s
 from tillsight.functions.ranking import tiers
-from tillsight.functions.semantics import exact, mean, ratio, ratio_or_zero, round_half_up, total_or_zero
+from tillsight.functions.semantics import exact_sum, mean, ratio, ratio_or_zero, round_half_up, total_or_zero
 from tillsight.functions.skew import join_back
 from tillsight.operators import features as f
 from tillsight.session import stage
@@ -23,7 +23,7 @@ def staged_summary(lines: DataFrame) -> DataFrame:
 
 def customer_overview(lines: DataFrame) -> DataFrame:
     per_customer = lines.filter(F.col("customer_id").isNotNull()).groupBy("customer_id").agg(
-        F.sum(exact(F.col("revenue"))).alias("revenue")
+        exact_sum(F.col("revenue")).alias("revenue")
     )
     return per_customer.agg(
         F.count("*").alias("customers"),
@@ -48,7 +48,7 @@ def new_vs_returning(lines: DataFrame) -> DataFrame:
     Lines collapse to one row per customer and day, then per customer the earliest
     day is a mergeable minimum; no line is joined back to its customer.
     """
-    daily = lines.groupBy("customer_id", "transaction_date").agg(F.sum(exact(F.col("revenue"))).alias("revenue"))
+    daily = lines.groupBy("customer_id", "transaction_date").agg(exact_sum(F.col("revenue")).alias("revenue"))
     first_day = F.min(F.struct("transaction_date", "revenue"))
     per_customer = daily.groupBy("customer_id").agg(
         first_day.alias("first_day"), F.sum("revenue").alias("revenue"), F.count("*").alias("days")
@@ -66,7 +66,7 @@ def new_vs_returning(lines: DataFrame) -> DataFrame:
 
 def _revenue_per_customer(lines: DataFrame, customers: DataFrame) -> DataFrame:
     """Revenue summed per customer before the master join, so only customers are joined."""
-    per_customer = lines.groupBy("customer_id").agg(F.sum(exact(F.col("revenue"))).alias("revenue"))
+    per_customer = lines.groupBy("customer_id").agg(exact_sum(F.col("revenue")).alias("revenue"))
     return f.with_customers(per_customer, customers)
 
 
@@ -231,7 +231,7 @@ def clv_tier_summary(lines: DataFrame) -> DataFrame:
 def clv_overview(lines: DataFrame) -> DataFrame:
     known = f.customer_summary(lines.filter(f.is_known_customer()))
     totals = known.agg(
-        F.sum(exact(F.col("customer_revenue"))).alias("revenue"),
+        exact_sum(F.col("customer_revenue")).alias("revenue"),
         F.sum("customer_orders").alias("orders"),
         F.count("*").alias("customers"),
         mean(F.datediff("last_purchase", "first_purchase")).alias("avg_lifespan_days"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tillsight import schema as s
 from tillsight.functions.ranking import quantiles
-from tillsight.functions.semantics import exact, ratio, ratio_or_zero, tally_or_zero, total_or_zero
+from tillsight.functions.semantics import exact_sum, ratio, ratio_or_zero, tally_or_zero, total_or_zero
 from tillsight.operators import features as f
 from tillsight.operators.discount import campaign_summary, in_campaign
 from tillsight.operators.product import abc_classes, product_summary
@@ -28,7 +28,7 @@ def repeat_rate(lines: DataFrame) -> DataFrame:
 
 
 def customers_by_place(lines: DataFrame, customers: DataFrame) -> DataFrame:
-    per_customer = lines.filter(f.is_known_customer()).groupBy("customer_id").agg(F.sum(exact(F.col("revenue"))).alias("revenue"))
+    per_customer = lines.filter(f.is_known_customer()).groupBy("customer_id").agg(exact_sum(F.col("revenue")).alias("revenue"))
     placed = f.with_customers(per_customer, customers).withColumns({
         c: F.coalesce(c, F.lit(s.UNKNOWN)) for c in ("country", "city")
     })
@@ -115,8 +115,8 @@ def campaign_payback(lines: DataFrame) -> DataFrame:
     The running sum is over one row per campaign and calendar day.
     """
     daily = in_campaign(lines).groupBy("campaign_description", "transaction_date").agg(
-        F.sum(exact(F.col("gross_profit"))).alias("gross_profit"),
-        F.sum(exact(F.col("discount_amount"))).alias("discount_amount"),
+        exact_sum(F.col("gross_profit")).alias("gross_profit"),
+        exact_sum(F.col("discount_amount")).alias("discount_amount"),
     )
     campaign = Window.partitionBy("campaign_description")
     so_far = campaign.orderBy("transaction_date").rowsBetween(Window.unboundedPreceding, 0)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tillsight import schema as s
 from tillsight.functions.bands import band
 from tillsight.functions.ranking import running_total
-from tillsight.functions.semantics import exact, mean, ratio, ratio_or_zero, tally_or_zero, total_or_zero
+from tillsight.functions.semantics import exact_sum, mean, ratio, ratio_or_zero, tally_or_zero, total_or_zero
 from tillsight.operators.features import exclusions, is_unknown_product
 from tillsight.session import stage
 
@@ -75,8 +75,8 @@ def product_overview(lines: DataFrame) -> DataFrame:
     unnamed = F.col("product_name") == "Unknown Product"
     per_product = lines.groupBy("product_id", unknown.alias("unknown"), unnamed.alias("unnamed")).agg(
         F.count("*").alias("rows"),
-        F.sum(exact(F.col("revenue"))).alias("revenue"),
-        F.sum(exact(F.col("gross_profit"))).alias("gross_profit"),
+        exact_sum(F.col("revenue")).alias("revenue"),
+        exact_sum(F.col("gross_profit")).alias("gross_profit"),
         F.sum("units_sold").alias("units_sold"),
     )
     known = ~F.col("unknown")
@@ -166,7 +166,7 @@ def abc_classes(lines: DataFrame) -> DataFrame:
     summary = stage(
         product_summary(lines).select(*PRODUCT_KEYS, "revenue", "gross_profit", "profit_margin"), "product_revenue"
     )
-    revenue = exact(F.col("revenue"))
+    revenue = F.col("revenue").cast("decimal(30,6)")
     ranked = running_total(summary, [F.desc("revenue"), *[F.asc(k) for k in PRODUCT_KEYS]], revenue, "cumulative")
     whole = summary.agg(F.sum(revenue).cast("double").alias("t")).scalar()
     return (
@@ -182,7 +182,7 @@ def abc_classes(lines: DataFrame) -> DataFrame:
 
 def abc_summary(lines: DataFrame) -> DataFrame:
     classed = abc_classes(lines)
-    whole = F.sum(exact(F.col("revenue"))).cast("double")
+    whole = exact_sum(F.col("revenue")).cast("double")
     per_class = classed.filter(F.col("abc_class").isNotNull()).groupBy("abc_class").agg(
         F.countDistinct("product_id").alias("products"),
         *sums("revenue", "gross_profit"),
@@ -193,7 +193,7 @@ def abc_summary(lines: DataFrame) -> DataFrame:
 
 def monthly_top_categories(lines: DataFrame, n: int = 5) -> DataFrame:
     """Monthly revenue of the ``n`` best-selling categories."""
-    monthly = known_products(lines).groupBy("month", "category").agg(F.sum(exact(F.col("revenue"))).alias("revenue"))
+    monthly = known_products(lines).groupBy("month", "category").agg(exact_sum(F.col("revenue")).alias("revenue"))
     best = (
         monthly.groupBy("category").agg(F.sum("revenue").alias("r")).orderBy(F.desc("r"), "category").limit(n).select("category")
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tillsight import schema as s
 from tillsight.functions.ranking import quantiles
 from tillsight.functions.semantics import (
-    exact, mean, pearson, ratio_or_zero, round_half_up, tally_or_zero, total_or_zero,
+    exact_sum, mean, pearson, ratio_or_zero, round_half_up, tally_or_zero, total_or_zero,
 )
 from tillsight.operators import features as f
 
@@ -32,7 +32,7 @@ def sales_overview(lines: DataFrame) -> DataFrame:
     """Headline totals; invoices are pre-summed so orders need no distinct count."""
     per_invoice = _per_invoice(
         lines,
-        *[F.sum(exact(F.col(c))).alias(c) for c in ("revenue", "gross_sales", "discount_amount")],
+        *[exact_sum(F.col(c)).alias(c) for c in ("revenue", "gross_sales", "discount_amount")],
         F.sum("quantity").alias("quantity"),
         tally_or_zero(F.col("is_return")).alias("returns"),
     )
@@ -174,7 +174,7 @@ def return_analysis(lines: DataFrame) -> DataFrame:
         lines,
         F.count("*").alias("rows"),
         tally_or_zero(is_return).alias("returns"),
-        F.sum(exact(F.when(is_return, F.col("revenue")))).alias("revenue"),
+        exact_sum(F.when(is_return, F.col("revenue"))).alias("revenue"),
     )
     summary = per_invoice.agg(
         F.coalesce(F.sum("returns"), F.lit(0)).alias("return_rows"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tillsight import schema as s
 from tillsight.functions.bands import band
-from tillsight.functions.semantics import exact, mean, ratio, ratio_or_zero, tally_or_zero, total_or_zero
+from tillsight.functions.semantics import exact_sum, mean, ratio, ratio_or_zero, tally_or_zero, total_or_zero
 from tillsight.operators.features import exclusions, is_unknown_store, segment_order
 from tillsight.operators.product import RETURNED, SIGNED_UNITS, SOLD, orders, sums, top, units, with_margin, with_return_rate
 
@@ -51,8 +51,8 @@ def store_overview(lines: DataFrame) -> DataFrame:
     unknown = is_unknown_store()
     per_store = lines.groupBy("store_id", unknown.alias("unknown")).agg(
         F.count("*").alias("rows"),
-        F.sum(exact(F.col("revenue"))).alias("revenue"),
-        F.sum(exact(F.col("gross_profit"))).alias("gross_profit"),
+        exact_sum(F.col("revenue")).alias("revenue"),
+        exact_sum(F.col("gross_profit")).alias("gross_profit"),
         orders(),
     )
     known = ~F.col("unknown")
@@ -125,7 +125,7 @@ def highest_discounts(lines: DataFrame, n: int = 10) -> DataFrame:
 def top_category_by_store(lines: DataFrame) -> DataFrame:
     """Best category of every store; the winner is a mergeable minimum, not a ranked window."""
     mix = known_stores(lines).groupBy(*STORE_KEYS, "category").agg(
-        F.sum(exact(F.col("revenue"))).alias("revenue"),
+        exact_sum(F.col("revenue")).alias("revenue"),
         total_or_zero(F.col("gross_profit")).alias("gross_profit"),
         *units(SIGNED_UNITS),
     )
@@ -145,7 +145,7 @@ def country_category_mix(lines: DataFrame) -> DataFrame:
 
 def monthly_top_stores(lines: DataFrame, n: int = 5) -> DataFrame:
     """Monthly revenue of the store names behind the ``n`` best-selling stores."""
-    monthly = known_stores(lines).groupBy("month", *STORE_KEYS).agg(F.sum(exact(F.col("revenue"))).alias("revenue"))
+    monthly = known_stores(lines).groupBy("month", *STORE_KEYS).agg(exact_sum(F.col("revenue")).alias("revenue"))
     best = (
         monthly.groupBy(*STORE_KEYS).agg(F.sum("revenue").alias("r")).orderBy(F.desc("r"), *STORE_KEYS).limit(n)
         .select("store_name").distinct()

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillsight.operators import customer, discount, features, kpi, product, sales, store
+from tillsight.operators import clean, customer, discount, features, kpi, product, profile, sales, store
 from tillsight.schema import FINAL_COLUMNS
+from tillsight.session import stage
 from tillsight.sources.fixtures import AS_OF, Fixture
 from tillsight.sources.tables import with_source_rowid
 
@@ -41,8 +42,6 @@ def _invoices(t: Fixture) -> DataFrame:
 
 
 def _staged_invoice_revenue(t: Fixture) -> DataFrame:
-    from tillsight.session import stage
-
     return stage(_invoices(t).select("invoice_id", "order_revenue"), "invoice_revenue")
 
 
@@ -191,6 +190,82 @@ DISCOUNTS = {
 }
 
 
+PROFILE = {
+    "d01_row_count": profile.row_count,
+    "d02_date_coverage": profile.date_coverage,
+    "d03_monthly_rows": profile.monthly_rows,
+    "d04_transaction_types": lambda raw: profile.value_distribution(raw, "transaction_type"),
+    "d05_payment_methods": lambda raw: profile.value_distribution(raw, "payment_method"),
+    "d06_column_report": profile.column_report,
+    "d07_dictionary_report": profile.dictionary_report,
+    "d08_distinct_identifiers": profile.distinct_identifiers,
+    "d09_completeness": profile.completeness,
+    "d10_placeholder_values": profile.placeholder_values,
+    "d11_line_total_accuracy": profile.line_total_accuracy,
+    "d12_invoice_total_accuracy": profile.invoice_total_accuracy,
+    "d13_date_parseability": profile.date_parseability,
+    "d14_yearly_rows": profile.yearly_rows,
+    "d15_invoice_consistency": profile.invoice_consistency,
+    "d16_duplicate_line_numbers": profile.duplicate_line_numbers,
+    "d17_recoverable_products": profile.recoverable_products,
+    "d18_invalid_domain_values": profile.invalid_domain_values,
+    "d19_invalid_numbers": profile.invalid_numbers,
+    "c01_normalise": lambda raw: clean.normalised_view(raw).drop("has_critical_issue"),
+    "c02_critical_flag": lambda raw: clean.normalised_view(raw).select("source_rowid", "has_critical_issue"),
+    "c03_clean_rows": clean.clean_rows,
+    "c04_rejected_rows": clean.rejected_rows,
+    "c06_invoice_consensus": lambda raw: clean.invoice_consensus(clean.normalise(raw)),
+    "c07_price_modes": lambda raw: clean.price_modes(clean.normalise(raw)),
+    "c08_quantity_modes": lambda raw: clean.quantity_modes(clean.normalise(raw)),
+    "c09_common_quantity": lambda raw: clean.common_quantity(clean.normalise(raw)),
+    "c11_return_customers": lambda raw: clean.return_customers(clean.normalise(raw)),
+    "c12_line_numbers": lambda raw: clean.line_numbers(clean.normalise(raw)),
+}
+
+
+def _imputed(t: Fixture) -> clean.Imputation:
+    return clean.impute(t.raw_landed, t.dimensions)
+
+
+def _final(t: Fixture) -> DataFrame:
+    return clean.final_transactions(_imputed(t).imputed)
+
+
+def _staged_final(t: Fixture) -> DataFrame:
+    return stage(_final(t), "transactions_final")
+
+
+FILLED_COLUMNS = (
+    "source_rowid", "invoice_id", "line_no", "customer_id", "product_id", "size", "color", "unit_price", "quantity",
+    "transaction_datetime", "discount", "line_total", "store_id", "employee_id", "currency", "currency_symbol", "sku",
+    "transaction_type", "payment_method", "invoice_total",
+)
+SETTLED_COLUMNS = ("source_rowid", "size", "color", "unit_price", "quantity", "transaction_date", "discount")
+CLEANING = {
+    "c05_orphan_keys": lambda t: clean.orphan_keys(clean.clean_rows(t.raw), t.dimensions),
+    "c05_orphan_keys_final": lambda t: clean.orphan_keys(_final(t), clean.final_dimensions(t.dimensions)),
+    "c10_sku_products": lambda t: clean.sku_products(clean.normalise(t.raw), t.products),
+    "c13_filled": lambda t: _imputed(t).filled.select(*FILLED_COLUMNS),
+    "c14_derived_amounts": lambda t: _imputed(t).derived.select("source_rowid", *clean.FORMULAS),
+    "c15_settled_values": lambda t: _imputed(t).settled.select(*SETTLED_COLUMNS),
+    "c16_line_totals": lambda t: _imputed(t).settled.select("source_rowid", "line_total"),
+    "c17_residuals": lambda t: _imputed(t).residual.select("source_rowid", "invoice_id", "line_total_from_invoice_residual"),
+    "c18_imputed": lambda t: _imputed(t).imputed,
+    "c19_without_duplicates": lambda t: clean.drop_exact_duplicates(t.raw_doubled),
+    "c20_final_employees": lambda t: clean.final_employees(t.employees, t.stores),
+    "c21_final_customers": lambda t: clean.final_customers(t.customers),
+    "c22_final_products": lambda t: clean.final_products(t.products),
+    "c23_final_stores": lambda t: clean.final_stores(t.stores),
+    "c24_final_transactions": _final,
+    "c25_cleaning_summary": lambda t: clean.cleaning_summary(t.raw_landed, _staged_final(t), t.dimensions),
+    "c26_before_after": lambda t: clean.before_after(t.raw_landed, _final(t)),
+}
+
+
+def _raw(t: Fixture) -> DataFrame:
+    return t.raw
+
+
 def _bound(operator: Callable[..., DataFrame], source: Callable[[Fixture], DataFrame] | None = None) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         tables = Fixture(spark, folder)
@@ -201,7 +276,7 @@ def _bound(operator: Callable[..., DataFrame], source: Callable[[Fixture], DataF
 
 def queries() -> dict[str, Query]:
     groups = (
-        (SOURCES, None), (FEATURES, None), (SALES, _lines), (CUSTOMERS, None), (PRODUCTS, _product_lines),
+        (SOURCES, None), (PROFILE, _raw), (CLEANING, None), (FEATURES, None), (SALES, _lines), (CUSTOMERS, None), (PRODUCTS, _product_lines),
         (STORES, _store_lines), (DISCOUNTS, _discount_lines),
         ({"k01_campaigns": lambda t: features.campaigns(t.discounts)}, None),
     )

@@ -10,7 +10,6 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillsight.functions.semantics import exact, money
 from tillsight.functions.skew import join_back
 from tillsight.schema import (
     DEFAULT_CURRENCY, DEFAULT_SYMBOL, FINAL_COLUMNS, UNKNOWN_CUSTOMER, UNKNOWN_PRODUCT, UNKNOWN_STORE,
@@ -21,6 +20,18 @@ from tillsight.sources.tables import Dimensions
 AS_OF = "2002-01-01"
 CAMPAIGN_YEARS = range(1995, 2002)
 
+# Line amounts are computed in whole cents, so both engines agree without rounding doubles.
+SIZE = "CASE p_size % 4 WHEN 0 THEN 'S' WHEN 1 THEN 'M' WHEN 2 THEN 'L' ELSE 'XL' END"
+DISCOUNT_PERCENT = "CAST(floor(l_discount * 100D + 0.5D) AS INT) * 6"
+PRICE_CENTS = "(floor(p_retailprice * 100D + 0.5D) + 5000 * (l_linenumber % 3))"
+LINE_CENTS = f"({PRICE_CENTS} * (CAST(l_quantity AS INT) % 12 + 1) * (100 - {DISCOUNT_PERCENT}) + 50) div 100"
+LINE_IDENTITY = (
+    "concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS INT), "
+    "floor(l_extendedprice * 100D + 0.5D), CAST(l_shipdate AS DATE))"
+)
+
+_SCHEMAS: dict = {}
+
 
 def _case(selector: Column, default: Column, **cases) -> Column:
     """``_case(h, x, h3='', h4=None)``: x, replaced where the selector has a listed number."""
@@ -40,7 +51,11 @@ class Fixture:
         self.folder = folder
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """Scan one driver table; its schema is inferred once per folder."""
+        path = f"{self.folder}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
     # ---- transactions -------------------------------------------------------
 
@@ -52,42 +67,31 @@ class Fixture:
             .join(self.table("part"), F.col("l_partkey") == F.col("p_partkey"))
         )
         stores = self.table("supplier").agg(F.count("*")).scalar()
-        store = F.col("o_orderkey") % stores
-        is_return = F.col("l_returnflag") == "R"
-        order_day = F.to_date("o_orderdate")
-        identity = F.concat_ws(
-            "|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int"),
-            F.round(F.col("l_extendedprice") * 100).cast("long"), F.to_date("l_shipdate"),
-        )
-        size_code = F.col("p_size") % 4
-        b = joined.withColumn("_store", store.cast("string")).select(
-            ((F.col("l_orderkey") * 31 + F.col("l_linenumber") * 17 + F.col("l_partkey")) % 101).cast("int").alias("h"),
-            F.conv(F.substring(F.md5(identity), 1, 15), 16, 10).cast("long").alias("source_rowid"),
-            F.concat(F.when(is_return, "RET-").otherwise("INV-"), F.col("l_orderkey").cast("string")).alias("invoice_id"),
-            F.col("l_linenumber").alias("line_no"),
-            F.col("o_custkey").cast("string").alias("customer_id"),
-            F.col("l_partkey").cast("string").alias("product_id"),
-            F.when(size_code == 0, "S").when(size_code == 1, "M").when(size_code == 2, "L").otherwise("XL").alias("size"),
-            F.substring_index("p_name", " ", 1).alias("color"),
-            (F.col("p_retailprice") + 50 * (F.col("l_linenumber") % 3)).alias("unit_price"),
-            (F.col("l_quantity").cast("int") % 12 + 1).alias("quantity"),
-            ((F.round(F.col("l_discount") * 100).cast("int") * 6).cast("double") / 100).alias("discount"),
-            F.concat(
-                order_day.cast("string"), F.lit(" "),
-                F.lpad((F.col("o_orderkey") % 24).cast("string"), 2, "0"), F.lit(":00:00"),
-            ).alias("transaction_datetime"),
-            order_day.alias("transaction_date"),
-            F.col("_store").alias("store_id"),
-            F.concat(F.col("_store"), F.lit("-"), (F.col("o_orderkey") % 7).cast("string")).alias("employee_id"),
-            F.concat(F.lit("SK"), F.col("l_partkey").cast("string"), F.lit("-"), F.col("p_size").cast("string")).alias("sku"),
-            F.when(is_return, "Return").otherwise("Sale").alias("transaction_type"),
-            F.when(F.col("o_orderstatus") == "F", "Cash").otherwise("Credit Card").alias("payment_method"),
+        base = joined.withColumn("store_no", (F.col("o_orderkey") % stores).cast("string")).selectExpr(
+            "CAST((l_orderkey * 31 + l_linenumber * 17 + l_partkey) % 101 AS INT) AS h",
+            f"CAST(conv(substr(md5({LINE_IDENTITY}), 1, 15), 16, 10) AS BIGINT) AS source_rowid",
+            "concat(if(l_returnflag = 'R', 'RET-', 'INV-'), l_orderkey) AS invoice_id",
+            "l_linenumber AS line_no",
+            "CAST(o_custkey AS STRING) AS customer_id",
+            "CAST(l_partkey AS STRING) AS product_id",
+            f"{SIZE} AS size",
+            "substring_index(p_name, ' ', 1) AS color",
+            "p_retailprice + 50 * (l_linenumber % 3) AS unit_price",
+            "CAST(l_quantity AS INT) % 12 + 1 AS quantity",
+            f"CAST({DISCOUNT_PERCENT} AS DOUBLE) / 100D AS discount",
+            "concat(CAST(o_orderdate AS DATE), ' ', lpad(o_orderkey % 24, 2, '0'), ':00:00') AS transaction_datetime",
+            "CAST(o_orderdate AS DATE) AS transaction_date",
+            "store_no AS store_id",
+            "concat(store_no, '-', o_orderkey % 7) AS employee_id",
+            "concat('SK', l_partkey, '-', p_size) AS sku",
+            "if(l_returnflag = 'R', 'Return', 'Sale') AS transaction_type",
+            "if(o_orderstatus = 'F', 'Cash', 'Credit Card') AS payment_method",
+            f"if(l_returnflag = 'R', -1L, 1L) * ({LINE_CENTS}) AS line_cents",
         )
-        amount = money(F.col("unit_price") * F.col("quantity") * (1 - F.col("discount")))
-        return b.withColumn("line_total", F.when(F.col("transaction_type") == "Return", -amount).otherwise(amount))
+        return base.withColumn("line_total", F.col("line_cents") / F.lit(100.0))
 
     def _with_invoice_total(self, lines: DataFrame) -> DataFrame:
-        totals = lines.groupBy("invoice_id").agg(F.sum(exact(F.col("line_total"))).cast("double").alias("invoice_total"))
+        totals = lines.groupBy("invoice_id").agg((F.sum("line_cents") / F.lit(100.0)).alias("invoice_total"))
         return join_back(lines, totals, ["invoice_id"])
 
     def _as_final(self, lines: DataFrame) -> DataFrame:
@@ -191,14 +195,13 @@ class Fixture:
 
     @cached_property
     def products(self) -> DataFrame:
-        size_code = F.col("p_size") % 4
         return self.table("part").select(
             F.col("p_partkey").cast("string").alias("product_id"),
             F.col("p_type").alias("category"),
             F.col("p_brand").alias("sub_category"),
             *[F.col("p_name").alias(f"description_{language}") for language in ("pt", "de", "fr", "es", "en", "zh")],
             F.substring_index("p_name", " ", 1).alias("color"),
-            F.when(size_code == 0, "S").when(size_code == 1, "M").when(size_code == 2, "L").otherwise("XL").alias("size"),
+            F.expr(SIZE).alias("size"),
             (F.col("p_retailprice") * (F.col("p_size") % 10) / 10).alias("production_cost"),
         )
 
