@@ -152,9 +152,9 @@ add("c05_orphan_keys", orphans("cln", MASTERS), VIEW)
 AGREED = ", ".join(f"CASE WHEN COUNT(DISTINCT {c}) = 1 THEN MAX({c}) END AS invoice_{c}" for c in s.INVOICE_ATTRIBUTES)
 FACTS = NZ + f""",
 iv AS MATERIALIZED (SELECT invoice_id, {AGREED} FROM nz WHERE invoice_id IS NOT NULL GROUP BY invoice_id),
-pm AS (SELECT product_id, unit_price FROM nz WHERE product_id IS NOT NULL AND unit_price IS NOT NULL GROUP BY ALL
+pm AS (SELECT product_id, unit_price FROM nz WHERE product_id IS NOT NULL AND unit_price IS NOT NULL GROUP BY product_id, unit_price
        QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY COUNT(*) DESC, unit_price DESC) = 1),
-qm AS (SELECT product_id, quantity FROM nz WHERE product_id IS NOT NULL AND quantity > 0 GROUP BY ALL
+qm AS (SELECT product_id, quantity FROM nz WHERE product_id IS NOT NULL AND quantity > 0 GROUP BY product_id, quantity
        QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY COUNT(*) DESC, quantity) = 1),
 gq AS (SELECT quantity FROM nz WHERE quantity > 0 GROUP BY quantity ORDER BY COUNT(*) DESC, quantity LIMIT 1),
 sp AS (SELECT source_rowid, sku, regexp_extract(sku, '[0-9]+', 0) AS product_id FROM nz
