@@ -46,7 +46,7 @@ def _staged_invoice_revenue(t: Fixture) -> DataFrame:
 
 
 SOURCES = {
-    "s01_load_fact": lambda t: t.fact_full.select(*FINAL_COLUMNS),
+    "s01_load_fact": lambda t: t.fact.select(*FINAL_COLUMNS),
     "s08_row_ids": lambda t: with_source_rowid(t.spark, f"{t.folder}/orders.parquet").select(
         "source_rowid", "o_orderkey", "o_custkey", "o_orderdate"
     ),
@@ -224,7 +224,7 @@ PROFILE = {
 
 
 def _imputed(t: Fixture) -> clean.Imputation:
-    return clean.impute(t.raw_landed, t.dimensions)
+    return clean.impute(t.raw, t.dimensions)
 
 
 def _final(t: Fixture) -> DataFrame:
@@ -257,8 +257,8 @@ CLEANING = {
     "c22_final_products": lambda t: clean.final_products(t.products),
     "c23_final_stores": lambda t: clean.final_stores(t.stores),
     "c24_final_transactions": _final,
-    "c25_cleaning_summary": lambda t: clean.cleaning_summary(t.raw_landed, _staged_final(t), t.dimensions),
-    "c26_before_after": lambda t: clean.before_after(t.raw_landed, _final(t)),
+    "c25_cleaning_summary": lambda t: clean.cleaning_summary(t.raw, _staged_final(t), t.dimensions),
+    "c26_before_after": lambda t: clean.before_after(t.raw, _final(t)),
 }
 
 
