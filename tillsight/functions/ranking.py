@@ -21,14 +21,14 @@ def sliced(df: DataFrame, *order: Column | str) -> DataFrame:
     The ordering must be unique per row, so that no run of ties can be larger
     than a slice. The slice number is stored, not recomputed.
     """
-    ranged = df.repartitionByRange(*order).withColumn("slice", F.spark_partition_id())
+    ranged = df.repartitionByRange(*order).withColumn("_slice", F.spark_partition_id())
     return checkpoint(ranged)
 
 
 def slice_starts(slices: DataFrame, measure: Column) -> DataFrame:
     """Sum of ``measure`` per slice and over all earlier slices (one row per slice)."""
-    earlier = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    per_slice = slices.groupBy("slice").agg(F.sum(measure).alias("in_slice"))
+    earlier = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    per_slice = slices.groupBy("_slice").agg(F.sum(measure).alias("in_slice"))
     before = F.coalesce(F.sum("in_slice").over(earlier), F.lit(0))
     return per_slice.withColumn("before", before)
 
@@ -36,37 +36,37 @@ def slice_starts(slices: DataFrame, measure: Column) -> DataFrame:
 def running_total(df: DataFrame, order: Sequence[Column | str], measure: Column, output: str) -> DataFrame:
     """Append the running sum of a decimal ``measure`` in the given complete order."""
     slices = sliced(df, *order)
-    starts = slice_starts(slices, measure).select("slice", "before")
-    inside = Window.partitionBy("slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    starts = slice_starts(slices, measure).select("_slice", "before")
+    inside = Window.partitionBy("_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
         slices.withColumn("_inside", F.sum(measure).over(inside))
-        .join(F.broadcast(starts), "slice")
+        .join(F.broadcast(starts), "_slice")
         .withColumn(output, F.col("before") + F.col("_inside"))
-        .drop("slice", "before", "_inside")
+        .drop("_slice", "before", "_inside")
     )
 
 
 def pick(slices: DataFrame, order: Sequence[Column | str], weight: Column, targets: DataFrame) -> DataFrame:
     """Rows holding given 1-based positions, each row counting ``weight`` times.
 
-    ``targets`` has a ``position`` column and few rows. Only slices containing a
+    ``targets`` has a ``_position`` column and few rows. Only slices containing a
     target are sorted; the others contribute their total alone.
     """
     starts = slice_starts(slices, weight)
     listed = targets.agg(F.collect_list(F.struct(*targets.columns)).alias("targets"))
     here = F.filter(
         F.col("targets"),
-        lambda t: (t["position"] > F.col("before")) & (t["position"] <= F.col("before") + F.col("in_slice")),
+        lambda t: (t["_position"] > F.col("before")) & (t["_position"] <= F.col("before") + F.col("in_slice")),
     )
-    wanted = starts.withColumn("targets", listed.scalar()).select("slice", "before", F.inline(here))
-    needed = wanted.select("slice", "before").distinct()
-    inside = Window.partitionBy("slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    placed = slices.join(F.broadcast(needed), "slice").withColumn(
+    wanted = starts.withColumn("targets", listed.scalar()).select("_slice", "before", F.inline(here))
+    needed = wanted.select("_slice", "before").distinct()
+    inside = Window.partitionBy("_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    placed = slices.join(F.broadcast(needed), "_slice").withColumn(
         "_last", F.col("before") + F.sum(weight).over(inside)
     )
     placed = placed.withColumn("_first", F.col("_last") - weight + 1).drop("before")
-    hit = F.col("position").between(F.col("_first"), F.col("_last"))
-    return placed.join(F.broadcast(wanted.drop("before")), "slice").filter(hit).drop("slice", "_first", "_last")
+    hit = F.col("_position").between(F.col("_first"), F.col("_last"))
+    return placed.join(F.broadcast(wanted.drop("before")), "_slice").filter(hit).drop("_slice", "_first", "_last")
 
 
 def quantiles(measured: DataFrame, probabilities: Sequence[float]) -> DataFrame:
@@ -89,8 +89,8 @@ def quantiles(measured: DataFrame, probabilities: Sequence[float]) -> DataFrame:
         "i",
         (F.col("spot") - F.floor("spot")).alias("fraction"),
         F.inline(F.array(
-            F.struct(F.lit("lower").alias("end"), (F.col("base") + F.floor("spot") + 1).alias("position")),
-            F.struct(F.lit("upper").alias("end"), (F.col("base") + F.ceil("spot") + 1).alias("position")),
+            F.struct(F.lit("lower").alias("end"), (F.col("base") + F.floor("spot") + 1).alias("_position")),
+            F.struct(F.lit("upper").alias("end"), (F.col("base") + F.ceil("spot") + 1).alias("_position")),
         )),
     )
     hits = pick(slices, ["metric", "value"], F.col("n"), ends)
@@ -115,7 +115,7 @@ def tiers(df: DataFrame, value: str, key: str, count: int, output: str) -> DataF
     sizes = slices.agg(F.count("*").alias("n"))
     ends = sizes.select(F.posexplode(F.array(*[
         (F.floor(F.lit(k) * (F.col("n") - 1) / F.lit(count)) + 1).cast("long") for k in range(1, count)
-    ])).alias("k", "position"))
+    ])).alias("_tier", "_position"))
     bounds = pick(slices, [value, key], F.lit(1), ends).agg(
         F.collect_list(F.struct(value, key)).alias("bounds")
     )
@@ -134,17 +134,17 @@ def row_numbers(df: DataFrame, group: str, order: str) -> DataFrame:
     the count in its earlier slices; a group has at most one row per slice there.
     """
     slices = sliced(df, group, order)
-    inside = Window.partitionBy("slice", group).orderBy(order)
-    earlier = Window.partitionBy(group).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_slice", group).orderBy(order)
+    earlier = Window.partitionBy(group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     shifts = (
-        slices.groupBy(group, "slice").agg(F.count("*").alias("_n"))
+        slices.groupBy(group, "_slice").agg(F.count("*").alias("_n"))
         .withColumn("_shift", F.sum("_n").over(earlier))
         .filter(F.col("_shift").isNotNull())
-        .select(group, "slice", "_shift")
+        .select(group, "_slice", "_shift")
     )
     numbered = slices.withColumn("_inside", F.row_number().over(inside))
     return (
-        numbered.join(shifts, [group, "slice"], "left")
+        numbered.join(shifts, [group, "_slice"], "left")
         .withColumn("row_number", (F.col("_inside") + F.coalesce("_shift", F.lit(0))).cast("int"))
-        .drop("slice", "_inside", "_shift")
+        .drop("_slice", "_inside", "_shift")
     )

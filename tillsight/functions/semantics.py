@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from decimal import Decimal
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillsight.schema import RawColumn
@@ -17,16 +18,27 @@ LOW_BITS = 20
 ROUNDING = "decimal(24,9)"
 
 
+def _without_digits(text: Column) -> Column:
+    return F.translate(text, "0123456789", "")
+
+
 def to_real(text: Column) -> Column:
-    """Longest numeric prefix as double, 0.0 when there is none, NULL for NULL."""
-    prefix = F.regexp_extract(F.trim(text), REAL_PREFIX, 0)
-    return F.when(text.isNotNull(), F.coalesce(prefix.try_cast("double"), F.lit(0.0)))
+    """Longest numeric prefix as double, 0.0 when there is none, NULL for NULL.
+
+    Plain decimals, told by what is left without their digits, skip the pattern.
+    """
+    text = F.trim(text)
+    plain = F.when(_without_digits(text).isin("", ".", "-", "-."), text.try_cast("double"))
+    prefix = F.regexp_extract(text, REAL_PREFIX, 0).try_cast("double")
+    return F.when(text.isNotNull(), F.coalesce(plain, prefix, F.lit(0.0)))
 
 
 def to_int(text: Column) -> Column:
     """Longest integer prefix as int (truncating), 0 when there is none, NULL for NULL."""
-    prefix = F.regexp_extract(F.trim(text), INT_PREFIX, 0)
-    return F.when(text.isNotNull(), F.coalesce(prefix.try_cast("int"), F.lit(0)))
+    text = F.trim(text)
+    plain = F.when(_without_digits(text).isin("", "-"), text.try_cast("int"))
+    prefix = F.regexp_extract(text, INT_PREFIX, 0).try_cast("int")
+    return F.when(text.isNotNull(), F.coalesce(plain, prefix, F.lit(0)))
 
 
 def to_number_or_null(value: Column) -> Column:
@@ -56,6 +68,32 @@ def clean_value(rule: RawColumn) -> Column:
     return F.when(~is_dirty(rule), convert(raw))
 
 
+def parsed(raw: DataFrame, rules: Sequence[RawColumn]) -> DataFrame:
+    """Trimmed text of each column, and its numeric readings as ``<name>_real`` and ``<name>_int``."""
+    columns = []
+    for rule in rules:
+        text = F.col(rule.name)
+        columns.append(F.trim(text).alias(rule.name))
+        if rule.numeric:
+            columns.append(to_real(text).alias(f"{rule.name}_real"))
+        if rule.kind == "int":
+            columns.append(to_int(text).alias(f"{rule.name}_int"))
+    return raw.select("source_rowid", *columns)
+
+
+def typed(parsed_rows: DataFrame, rules: Sequence[RawColumn]) -> DataFrame:
+    """Clean values over ``parsed`` columns, so no parse is repeated by its placeholder test."""
+    columns = []
+    for rule in rules:
+        keep = ~F.col(rule.name).isin(*rule.placeholders)
+        value = F.col(rule.name)
+        if rule.numeric:
+            keep = keep & (F.col(f"{rule.name}_real") != -1.0)
+            value = F.col(f"{rule.name}_{rule.kind}")
+        columns.append(F.when(keep, value).alias(rule.name))
+    return parsed_rows.select("source_rowid", *columns)
+
+
 def exact_sum(amount: Column) -> Column:
     """Order-independent sum as ``decimal(30,6)``; NULL over no rows.
 

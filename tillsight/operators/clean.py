@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tillsight import schema as s
 from tillsight.functions.ranking import row_numbers
 from tillsight.functions.semantics import (
-    clean_value, exact_sum, money, percent, round_half_up, tally, to_day, total_or_zero,
+    clean_value, exact_sum, money, parsed, percent, round_half_up, tally, to_day, total_or_zero, typed,
 )
 from tillsight.functions.skew import join_back
 from tillsight.session import stage
@@ -28,8 +28,8 @@ ATTRIBUTES = s.INVOICE_ATTRIBUTES
 # ---- normalise, split, audit ------------------------------------------------
 
 def normalise(raw: DataFrame) -> DataFrame:
-    """Typed columns with placeholders as NULL, one narrow projection over the raw text."""
-    return raw.select("source_rowid", *[clean_value(c).alias(RENAMED.get(c.name, c.name)) for c in s.RAW_COLUMNS])
+    """Typed columns with placeholders as NULL; each raw value is trimmed and parsed once."""
+    return typed(parsed(raw, s.RAW_COLUMNS), s.RAW_COLUMNS).withColumnsRenamed(RENAMED)
 
 
 def with_day(lines: DataFrame) -> DataFrame:
@@ -290,7 +290,8 @@ class Imputation:
 
 def impute(raw: DataFrame, dims: Dimensions) -> Imputation:
     """Fill what can be filled; ``raw`` should be a stored table, as it is scanned repeatedly."""
-    lines = normalise(raw)
+    # Text is parsed once; the many column-pruned passes below read the typed copy.
+    lines = stage(normalise(raw), "normalised_lines")
     keyed = lines.filter(F.col("invoice_id").isNotNull())
     lacking = unfilled(NEEDED)
     # Modes learn from every line, also from those without an invoice, which the result drops.

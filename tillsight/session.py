@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,19 +42,30 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_SCOPES: list[list[str]] = []
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a columnar staging table and return a fresh scan of it.
 
-    Used where several column-pruned passes follow; ``drop_staged`` removes it.
+    Used where several column-pruned passes follow. Tables staged inside a
+    ``staging_scope`` go when it ends; others stay as long as checkpoint files do.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staging/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    staged = spark.read.schema(df.schema).parquet(path)
-    return staged
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_staged(spark: SparkSession) -> None:
-    """Delete every staging table this application has written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/staging")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+@contextmanager
+def staging_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete the staging tables written inside the block, whether or not it succeeds."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for location in _SCOPES.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(location)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
