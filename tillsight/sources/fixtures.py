@@ -99,7 +99,7 @@ class Fixture:
         """
         key = (self.spark.sparkContext.applicationId, self.folder, name)
         if key not in _LANDED:
-            files = max(self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+            files = self.spark.sparkContext.defaultParallelism
             _LANDED[key] = stage(build().repartition(files, "source_rowid"), name)
         return _LANDED[key]
 
