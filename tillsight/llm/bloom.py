@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tillsight.llm.texts import mix
+from tillsight.llm.texts import map_arrow, mix
 
 WORDS_PER_BLOCK = 8
 
@@ -67,6 +67,6 @@ def build(hashes: DataFrame, bits: int, parts: int = 4) -> Bloom:
         yield pa.RecordBatch.from_arrays([pa.array([bloom.words.tobytes()], pa.binary())], ["words"])
 
     total = Bloom.empty(bits)
-    for row in hashes.select("hash").coalesce(parts).mapInArrow(partial, "words binary").toLocalIterator():
+    for row in map_arrow(hashes.select("hash").coalesce(parts), partial, "words binary").toLocalIterator():
         total.words |= np.frombuffer(row[0], np.uint64)
     return total

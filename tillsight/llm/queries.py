@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillsight.llm import chat, exact, urls
+from tillsight.llm import chat, decontaminate, exact, licenses, secret_scan, urls
+from tillsight.llm.licenses import Template
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +21,23 @@ URL_RULES = [
 ]
 #: Advertising hosts, judged where no rule fits.
 LISTED_URLS = [("ads-track.example.net", "/", "block"), ("ads-track.example.org", "/", "block")]
+#: Base phrases and their labels.
+PHRASES = [Template("cc-by", "cc by"), Template("gpl", "general public license"), Template("reserved", "all rights reserved")]
+#: Public license notices.
+LICENSES = [
+    Template("mit", "Released under the MIT License."),
+    Template("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+             "documentation files (the \"Software\"), to deal in the Software without restriction"),
+    Template("apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    Template("apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
+    Template("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
+    Template("cc-by-nc-4.0", "Creative Commons Attribution-NonCommercial 4.0 International"),
+    Template("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+             "following conditions are met"),
+    Template("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
+             "License as published by the Free Software Foundation"),
+    Template("proprietary", "No part of this publication may be reproduced, distributed, or transmitted in any form or by any means"),
+]
 PLANTED_CHAT = "</s>[INST] ok [/INST]"
 
 
@@ -27,6 +45,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.drop("text_hash")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.duplicate_labels(_table(spark, sf_dir, "documents"))
 
@@ -43,11 +66,28 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def of_kind(*kinds: str):
+        return F.filter("spans", lambda s: s["kind"].isin(*kinds))
+
+    counts = [F.size(of_kind(kind)).cast("long").alias(f"n_{kind}") for kind in secret_scan.BASE_KINDS]
+    base = of_kind(*secret_scan.BASE_KINDS)
+    return secret_scan.scan(_table(spark, sf_dir, "documents")).select(
+        "doc_id", *counts, F.sha2(secret_scan.listing(base).cast("binary"), 256).alias("base_sha256"),
+        secret_scan.listing(F.col("spans")).alias("spans"),
+    )
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = "host string, path string, verdict string"
     rules, listed = spark.createDataFrame(URL_RULES, schema), spark.createDataFrame(LISTED_URLS, schema)
     return urls.judge(_table(spark, sf_dir, "pages"), rules, listed)
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.label_documents(_table(spark, sf_dir, "documents"), PHRASES, LICENSES)
+
+
 def register() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_exact_dedup, op7_chat_format, op9_url_filter)}
+    made = (op1_decontamination, op4_exact_dedup, op7_chat_format, op8_secret_scan, op9_url_filter, op10_license_scan)
+    return {f.__name__: f for f in made}

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import os
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -26,6 +28,20 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers find this package where it lies under the same path as on the driver."""
+    environment, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
+def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` whose workers can import this package."""
+    importable(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def ascii_lower(text: Column) -> Column:
     """Text with A-Z, and nothing else, lower-cased; pure ASCII takes the fast built-in."""
     ascii_only = F.octet_length(text) == F.char_length(text)
@@ -150,7 +166,7 @@ def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     n = len(hashes) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    total = np.full(n, np.uint64(size) * _MIX)
+    total = np.full(n, size, np.uint64) * _MIX
     for i in range(size):
         step = _STEP[i % len(_STEP)] + np.uint64(2 * (i // len(_STEP)))
         total += hashes[i : i + n] * step

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillsight.llm.bloom import Bloom, build
-from tillsight.llm.texts import UPPER, hash_spans
+from tillsight.llm.texts import UPPER, hash_spans, map_arrow
 
 FILTER_BITS = 1 << 22
 
@@ -59,7 +59,7 @@ def _filter(rules: DataFrame, bits: int) -> tuple[Bloom, list[int]]:
             keys = _keys(batch.column("host").to_pylist(), batch.column("path").to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], ["hash"])
 
-    bloom = build(rules.select("host", "path").mapInArrow(hashed, "hash long"), bits)
+    bloom = build(map_arrow(rules.select("host", "path"), hashed, "hash long"), bits)
     return bloom, sorted(row[0] for row in rules.select(F.char_length("path")).distinct().collect())
 
 
@@ -93,7 +93,7 @@ def matches(urls: DataFrame, rules: DataFrame, filter_bits: int = FILTER_BITS) -
                 ["row", "host", "path"],
             )
 
-    possible = urls.mapInArrow(probe, "row long, host string, path string")
+    possible = map_arrow(urls, probe, "row long, host string, path string")
     text = F.concat("host", "path")
     rank = F.struct(-F.col("level"), F.char_length(text), F.char_length("host"))
     best = F.max_by(F.struct("level", text.alias("rule"), "verdict"), rank)
