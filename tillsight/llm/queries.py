@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillsight.llm import chat, decontaminate, exact, licenses, secret_scan, urls
+from tillsight.llm import bpe, chat, decontaminate, exact, licenses, secret_scan, urls
 from tillsight.llm.licenses import Template
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,17 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text_hash")
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    encoded = bpe.encode(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return bpe.decode(encoded, ranks).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(bpe.id_text("ids").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.duplicate_labels(_table(spark, sf_dir, "documents"))
 
@@ -89,5 +100,5 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def register() -> dict[str, Query]:
-    made = (op1_decontamination, op4_exact_dedup, op7_chat_format, op8_secret_scan, op9_url_filter, op10_license_scan)
+    made = (op1_decontamination, op3_byte_bpe, op4_exact_dedup, op7_chat_format, op8_secret_scan, op9_url_filter, op10_license_scan)
     return {f.__name__: f for f in made}
