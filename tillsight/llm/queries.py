@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillsight.llm import bpe, chat, decontaminate, exact, licenses, secret_scan, urls
+from tillsight.llm import bpe, chat, decontaminate, exact, language, licenses, secret_scan, urls
 from tillsight.llm.licenses import Template
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,13 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.duplicate_labels(_table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language.fit(docs.where(~language.held_out(docs)))
+    found = language.predict(docs, model)
+    return found.select("doc_id", F.coalesce(language.held_out(found), F.lit(False)).alias("held_out"), "lang_pred", "score", "coverage")
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.sql(f"SELECT -1L AS conv_id, turn, role, '{PLANTED_CHAT}' AS text FROM VALUES (0, 'user'), (1, 'assistant') AS t(turn, role)")
@@ -100,5 +107,5 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def register() -> dict[str, Query]:
-    made = (op1_decontamination, op3_byte_bpe, op4_exact_dedup, op7_chat_format, op8_secret_scan, op9_url_filter, op10_license_scan)
+    made = (op1_decontamination, op3_byte_bpe, op4_exact_dedup, op5_language_id, op7_chat_format, op8_secret_scan, op9_url_filter, op10_license_scan)
     return {f.__name__: f for f in made}
