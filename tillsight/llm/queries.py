@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillsight.llm import bpe, chat, decontaminate, exact, language, licenses, secret_scan, urls
+from tillsight.llm import bpe, chat, decontaminate, exact, jaccard, language, licenses, secret_scan, urls
 from tillsight.llm.licenses import Template
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text_hash")
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.component_labels(_table(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -107,5 +111,5 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def register() -> dict[str, Query]:
-    made = (op1_decontamination, op3_byte_bpe, op4_exact_dedup, op5_language_id, op7_chat_format, op8_secret_scan, op9_url_filter, op10_license_scan)
+    made = (op1_decontamination, op2_ngram_jaccard, op3_byte_bpe, op4_exact_dedup, op5_language_id, op7_chat_format, op8_secret_scan, op9_url_filter, op10_license_scan)
     return {f.__name__: f for f in made}
