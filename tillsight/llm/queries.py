@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillsight.llm import bpe, chat, decontaminate, exact, jaccard, language, licenses, secret_scan, urls
+from tillsight.llm import bpe, chat, decontaminate, exact, jaccard, language, licenses, quality, secret_scan, urls
 from tillsight.llm.licenses import Template
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +76,13 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(language.held_out(found), F.lit(False)).alias("held_out"), "lang_pred", "score", "coverage")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents selected as good; ``quality.grade`` has the values of all."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    grades = labels.select("doc_id", F.when(F.col("toxic") == 1, 0).otherwise(F.col("quality") + 1).alias("grade"))
+    return quality.selected(quality.grade(docs, quality.fit(docs, grades, levels=3)))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.sql(f"SELECT -1L AS conv_id, turn, role, '{PLANTED_CHAT}' AS text FROM VALUES (0, 'user'), (1, 'assistant') AS t(turn, role)")
@@ -111,5 +118,5 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def register() -> dict[str, Query]:
-    made = (op1_decontamination, op2_ngram_jaccard, op3_byte_bpe, op4_exact_dedup, op5_language_id, op7_chat_format, op8_secret_scan, op9_url_filter, op10_license_scan)
+    made = (op1_decontamination, op2_ngram_jaccard, op3_byte_bpe, op4_exact_dedup, op5_language_id, op6_quality, op7_chat_format, op8_secret_scan, op9_url_filter, op10_license_scan)
     return {f.__name__: f for f in made}
