@@ -4,17 +4,51 @@ from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tillsight.llm import exact
+from tillsight.llm import bpe, decontaminate, exact, jaccard, language
 from tillsight.session import shared_dir
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents in none of the languages learned from the labelled ones."""
+    return language.identified(docs, language.fit(docs.where(~language.held_out(docs))))
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of equal texts, that with the largest id."""
     return exact.deduplicate(docs)
 
 
-STAGES = [("exact_dedup", exact_dedup)]
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of linked texts, that with the smallest id."""
+    return jaccard.representatives(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents into which an item of ``benchmark`` leaks."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and the digest of what they decode to."""
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("exact_dedup", exact_dedup),
+    ("ngram_jaccard", ngram_jaccard),
+    ("decontamination", decontamination),
+    ("byte_bpe", byte_bpe),
+]
+
+#: A trained model decides in the first stage, which SQL cannot express.
 ORACLE_SQL = None
 
 
