@@ -4,6 +4,28 @@ from __future__ import annotations
 
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+OP2 = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex({LOWER.format("coalesce(text, '')")}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
+  FROM w
+), e AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS e FROM s
+), links AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM e a JOIN e b ON a.e = b.e AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), both_ways AS (
+  SELECT u, v FROM links UNION ALL SELECT v, u FROM links
+), reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM s UNION SELECT r.doc_id, b.v FROM reach r JOIN both_ways b ON b.u = r.other
+)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.other) AS component_id
+FROM s JOIN reach r USING (doc_id) GROUP BY s.doc_id, len(s.s)
+"""
+
 OP4 = f"""
 WITH d AS (SELECT doc_id, sha256({LOWER.format("coalesce(text, '')")}) AS text_sha256 FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -51,4 +73,4 @@ SELECT page_id, host, path, CASE WHEN level = 0 THEN rule END AS rule, coalesce(
 FROM m WHERE place = 1
 """
 
-ORACLES = {"op4_exact_dedup": OP4, "op7_chat_format": OP7, "op9_url_filter": OP9}
+ORACLES = {"op2_ngram_jaccard": OP2, "op4_exact_dedup": OP4, "op7_chat_format": OP7, "op9_url_filter": OP9}
