@@ -7,7 +7,7 @@ from itertools import product
 from oracle.base import (
     BINDING, DIMENSIONS, FACT, RAW, bands, bigint, mean, quartile_label, quartiles, ratio, rnd, total, total0,
 )
-from tillsight import schema as s
+from oracle import rules as s
 
 LINES = f"""
 li AS (
@@ -259,9 +259,9 @@ cr AS (SELECT a.*, b.customers AS cohort_size, """ + rnd(ratio("a.customers", "b
   FROM cc a JOIN cc b ON a.cohort_month = b.cohort_month AND b.cohort_index = 1)"""
 add("u15_cohort_index", "SELECT source_rowid, customer_id, order_month, cohort_month, cohort_index FROM ci", COHORT)
 add("u16_cohort_retention", "SELECT * FROM cr", COHORT)
-add("u16_cohort_matrix", "SELECT cohort_month, " + ", ".join(
-    f"COALESCE(MAX(CASE WHEN cohort_index = {i} THEN retention END), 0.0) AS m{i:02d}" for i in range(1, 85)
-) + " FROM cr GROUP BY cohort_month ORDER BY cohort_month LIMIT 12", COHORT)
+add("u16_cohort_matrix", """SELECT cohort_month, COALESCE(COLUMNS(* EXCLUDE (cohort_month)), 0.0)
+FROM (PIVOT (SELECT cohort_month, 'm' || lpad(CAST(cohort_index AS VARCHAR), 2, '0') AS i, retention FROM cr) ON i USING max(retention) GROUP BY cohort_month)
+ORDER BY cohort_month""", COHORT)
 CLV = f"""cv AS (SELECT *, CAST(date_diff('day', first_purchase, last_purchase) AS INTEGER) AS customer_lifespan_days,
   CAST(greatest(date_diff('day', first_purchase, (SELECT MAX(last_purchase) FROM ck) + 1), 30) AS INTEGER) AS observed_customer_days FROM ck),
 cw AS (SELECT *, customer_revenue / (CAST(observed_customer_days AS DOUBLE) / 365.25) AS annualized_clv, customer_revenue AS historical_clv FROM cv),

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 
 def dec(x: str) -> str:
-    return f"CAST({x} AS DECIMAL(20,6))"
+    return f"CAST({x} AS DECIMAL(38,6))"
 
 
 def total(x: str) -> str:
@@ -24,7 +24,8 @@ def mean(x: str) -> str:
 
 
 def rnd(x: str, places: int) -> str:
-    return f"CAST(ROUND(CAST({x} AS DECIMAL(24,9)), {places}) AS DOUBLE)"
+    small = f"CAST(ROUND(TRY_CAST({x} AS DECIMAL(24,9)), {places}) AS DOUBLE)"
+    return f"(CASE WHEN abs({x}) < 9e14 THEN {small} ELSE ROUND({x}, {places}) END)"
 
 
 def ratio(a: str, b: str) -> str:

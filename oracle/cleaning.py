@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from oracle.analytics import RAW_PRELUDE, strict_day
 from oracle.base import bigint, pct, rnd, tally, total
-from tillsight import schema as s
+from oracle import rules as s
 
 O: dict[str, str] = {}
 PREFIX = r"'^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?'"
@@ -15,7 +15,10 @@ def real(c: str) -> str:
 
 
 def integer(c: str) -> str:
-    return f"COALESCE(TRY_CAST(regexp_extract(trim({c}), '^[+-]?[0-9]+', 0) AS INTEGER), 0)"
+    """64-bit prefix; digit runs beyond it give the nearest 64-bit value."""
+    digits = f"regexp_extract(trim({c}), '^[+-]?[0-9]+', 0)"
+    return (f"CAST(COALESCE(greatest(least(TRY_CAST({digits} AS HUGEINT), 9223372036854775807), -9223372036854775808), "
+            f"CASE WHEN {digits} LIKE '-%' THEN -9223372036854775808 WHEN {digits} <> '' THEN 9223372036854775807 END, 0) AS BIGINT)")
 
 
 def listed(values) -> str:
@@ -159,7 +162,7 @@ qm AS (SELECT product_id, quantity FROM nz WHERE product_id IS NOT NULL AND quan
 gq AS (SELECT quantity FROM nz WHERE quantity > 0 GROUP BY quantity ORDER BY COUNT(*) DESC, quantity LIMIT 1),
 sp AS (SELECT source_rowid, sku, regexp_extract(sku, '[0-9]+', 0) AS product_id FROM nz
        WHERE product_id IS NULL AND sku IS NOT NULL AND regexp_extract(sku, '[0-9]+', 0) IN (SELECT product_id FROM products)),
-ln AS (SELECT source_rowid, invoice_id, CAST(row_number() OVER (PARTITION BY invoice_id ORDER BY source_rowid) AS INTEGER) AS invoice_row_number
+ln AS (SELECT source_rowid, invoice_id, row_number() OVER (PARTITION BY invoice_id ORDER BY source_rowid) AS invoice_row_number
        FROM nz WHERE invoice_id IS NOT NULL)"""
 add("c06_invoice_consensus", "SELECT * FROM iv", FACTS)
 add("c07_price_modes", "SELECT * FROM pm", FACTS)
@@ -176,7 +179,7 @@ PAID, KEPT = "abs(line_total)", "(1 - discount)"
 
 
 def near_int(x):
-    return f"CASE WHEN abs({x} - {rnd(x, 0)}) < 0.01 THEN CAST({rnd(x, 0)} AS INTEGER) END"
+    return f"CASE WHEN abs({x} - {rnd(x, 0)}) < 0.01 THEN CAST({rnd(x, 0)} AS BIGINT) END"
 
 
 QUOT = f"({PAID} / NULLIF(unit_price * {KEPT}, 0))"

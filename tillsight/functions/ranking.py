@@ -145,6 +145,6 @@ def row_numbers(df: DataFrame, group: str, order: str) -> DataFrame:
     numbered = slices.withColumn("_inside", F.row_number().over(inside))
     return (
         numbered.join(shifts, [group, "_slice"], "left")
-        .withColumn("row_number", (F.col("_inside") + F.coalesce("_shift", F.lit(0))).cast("int"))
+        .withColumn("row_number", (F.col("_inside") + F.coalesce("_shift", F.lit(0))).cast("bigint"))
         .drop("_slice", "_inside", "_shift")
     )

@@ -16,6 +16,10 @@ ISO_MOMENT = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-
 
 LOW_BITS = 20
 ROUNDING = "decimal(24,9)"
+ROUNDED_BELOW = 9e14  # doubles from here on have at most three decimals
+EXACT = "decimal(38,6)"
+MICROS_BELOW = 9e12  # amounts whose millionths fit a long
+LONG_MIN, LONG_MAX = -(2**63), 2**63 - 1
 
 
 def _without_digits(text: Column) -> Column:
@@ -34,11 +38,15 @@ def to_real(text: Column) -> Column:
 
 
 def to_int(text: Column) -> Column:
-    """Longest integer prefix as int (truncating), 0 when there is none, NULL for NULL."""
+    """Longest integer prefix as a 64-bit integer, 0 when there is none, NULL for NULL.
+
+    Longer digit runs give the nearest 64-bit value.
+    """
     text = F.trim(text)
-    plain = F.when(_without_digits(text).isin("", "-"), text.try_cast("int"))
-    prefix = F.regexp_extract(text, INT_PREFIX, 0).try_cast("int")
-    return F.when(text.isNotNull(), F.coalesce(plain, prefix, F.lit(0)))
+    plain = F.when(_without_digits(text).isin("", "-"), text.try_cast("bigint"))
+    prefix = F.regexp_extract(text, INT_PREFIX, 0)
+    nearest = F.when(prefix.startswith("-"), F.lit(LONG_MIN)).when(prefix != "", F.lit(LONG_MAX))
+    return F.when(text.isNotNull(), F.coalesce(plain, prefix.try_cast("bigint"), nearest, F.lit(0).cast("bigint")))
 
 
 def to_number_or_null(value: Column) -> Column:
@@ -95,23 +103,27 @@ def typed(parsed_rows: DataFrame, rules: Sequence[RawColumn]) -> DataFrame:
 
 
 def exact_sum(amount: Column) -> Column:
-    """Order-independent sum as ``decimal(30,6)``; NULL over no rows.
+    """Order-independent sum as ``decimal(38,6)``; NULL over no rows.
 
     Amounts become whole millionths whose high and low bits are summed as longs, so
     the per-row work is integer arithmetic; the decimal is built once per group. The
-    low sum holds 2^43 rows and an overflow of the high sum raises an error.
+    low sum holds 2^43 rows and an overflow of the high sum raises an error. Amounts too large for
+    that (from ``MICROS_BELOW`` on, among them sums of sums) are added as decimals; 1e32 and more raise an error.
     """
-    scaled = amount.cast("double") * F.lit(1e6)
+    amount = amount.cast("double")
+    large = F.abs(amount) >= F.lit(MICROS_BELOW)
+    scaled = F.when(large, F.lit(0.0)).otherwise(amount * F.lit(1e6))
     micros = F.when(scaled < 0, -F.floor(F.lit(0.5) - scaled)).otherwise(F.floor(scaled + F.lit(0.5)))
     high = F.sum(F.shiftright(micros, LOW_BITS)).cast("decimal(20,0)")
     low = F.sum(micros.bitwiseAND(F.lit((1 << LOW_BITS) - 1))).cast("decimal(20,0)")
-    whole = high * F.lit(1 << LOW_BITS) + low
-    return (whole * F.lit(Decimal("0.000001"))).cast("decimal(30,6)")
+    small = ((high * F.lit(1 << LOW_BITS) + low) * F.lit(Decimal("0.000001"))).cast(EXACT)
+    return (small + F.coalesce(F.sum(F.when(large, amount.cast(EXACT))), F.lit(0).cast(EXACT))).cast(EXACT)
 
 
 def round_half_up(x: Column, places: int) -> Column:
-    """Decimal half-away-from-zero rounding of a double."""
-    return F.round(x.cast(ROUNDING), places).cast("double")
+    """Decimal half-away-from-zero rounding of a double of any size."""
+    x = x.cast("double")
+    return F.when(F.abs(x) < F.lit(ROUNDED_BELOW), F.round(x.cast(ROUNDING), places).cast("double")).otherwise(F.round(x, places))
 
 
 def money(x: Column) -> Column:

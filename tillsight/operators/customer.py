@@ -174,18 +174,23 @@ def cohort_retention(lines: DataFrame) -> DataFrame:
     )
 
 
-def cohort_matrix(lines: DataFrame, cohorts: int = 12, months: int = 84) -> DataFrame:
-    """Retention of the first cohorts as one column per month index, 0 where inactive."""
-    names = [f"m{i:02d}" for i in range(1, months + 1)]
-    column = F.format_string("m%02d", F.col("cohort_index"))
+def cohort_matrix(lines: DataFrame, cohorts: int | None = None) -> DataFrame:
+    """Retention of all cohorts, or of the first ones, as one column per month index, 0 where inactive.
+
+    The columns reach to the highest index in the data, the only value read to plan them.
+    """
+    retention = stage(cohort_retention(lines), "cohort_retention")
+    last = retention.agg(F.max("cohort_index")).first()[0] or 0
+    names = [f"m{i:02d}" for i in range(1, last + 1)]
     wide = (
-        cohort_retention(lines)
-        .withColumn("column", column)
+        retention.withColumn("column", F.format_string("m%02d", F.col("cohort_index")))
         .groupBy("cohort_month")
         .pivot("column", names)
         .agg(F.max("retention"))
+        if names else retention.select("cohort_month")
     )
-    return wide.na.fill(0.0, names).orderBy("cohort_month").limit(cohorts)
+    ordered = wide.na.fill(0.0, names).orderBy("cohort_month")
+    return ordered if cohorts is None else ordered.limit(cohorts)
 
 
 # ---- lifetime value ---------------------------------------------------------
