@@ -1,8 +1,8 @@
 """Cleaning and imputation of raw transactions into a conformed star schema.
 
-Most lines are complete, so the plan keeps them out of every join: they stay in one
-narrow scan. Only incomplete lines are exchanged, to meet what their invoice, product
-or sibling invoice can tell about the missing value.
+Most lines are complete and stay in one narrow scan. The lines of invoices with an incomplete line are
+picked out once, and everything an invoice can tell is taken from these; after that only
+incomplete lines are exchanged, to meet their invoice, sale, product and employee.
 """
 
 from __future__ import annotations
@@ -97,34 +97,39 @@ def invoice_consensus(lines: DataFrame) -> DataFrame:
     return lines.filter(F.col("invoice_id").isNotNull()).groupBy("invoice_id").agg(*agreed)
 
 
-def _most_frequent(lines: DataFrame, column: str, preference: Column) -> DataFrame:
+def sale_histogram(lines: DataFrame) -> DataFrame:
+    """Number of lines per product, price and quantity: all that the modes need, from one pass."""
+    return lines.groupBy("product_id", "unit_price", "quantity").agg(F.count("*").alias("n"))
+
+
+def _most_frequent(histogram: DataFrame, column: str, preference: Column) -> DataFrame:
     """Most frequent value per product; equal counts go to the larger ``preference``."""
-    counts = lines.filter(F.col("product_id").isNotNull() & F.col(column).isNotNull())
-    counts = counts.groupBy("product_id", column).agg(F.count("*").alias("n"))
+    counts = histogram.filter(F.col("product_id").isNotNull() & F.col(column).isNotNull())
+    counts = counts.groupBy("product_id", column).agg(F.sum("n").alias("n"))
     best = F.max(F.struct(F.col("n"), preference.alias("preference"), F.col(column).alias("value")))
     return counts.groupBy("product_id").agg(best.alias("best")).select("product_id", F.col("best.value").alias(column))
 
 
-def price_modes(lines: DataFrame) -> DataFrame:
+def price_modes(histogram: DataFrame) -> DataFrame:
     """Most frequent price per product, the higher one on a tie."""
-    return _most_frequent(lines, "unit_price", F.col("unit_price"))
+    return _most_frequent(histogram, "unit_price", F.col("unit_price"))
 
 
-def quantity_modes(lines: DataFrame) -> DataFrame:
+def quantity_modes(histogram: DataFrame) -> DataFrame:
     """Most frequent positive quantity per product, the lower one on a tie."""
-    return _most_frequent(lines.filter(F.col("quantity") > 0), "quantity", -F.col("quantity"))
+    return _most_frequent(histogram.filter(F.col("quantity") > 0), "quantity", -F.col("quantity"))
 
 
-def product_modes(lines: DataFrame) -> DataFrame:
+def product_modes(histogram: DataFrame) -> DataFrame:
     """Price and quantity mode of each product that has either."""
-    prices = price_modes(lines).withColumnRenamed("unit_price", "product_mode_unit_price")
-    quantities = quantity_modes(lines).withColumnRenamed("quantity", "product_mode_quantity")
+    prices = price_modes(histogram).withColumnRenamed("unit_price", "product_mode_unit_price")
+    quantities = quantity_modes(histogram).withColumnRenamed("quantity", "product_mode_quantity")
     return prices.join(quantities, "product_id", "full")
 
 
-def common_quantity(lines: DataFrame) -> DataFrame:
+def common_quantity(histogram: DataFrame) -> DataFrame:
     """One row: the most frequent positive quantity overall, the lower one on a tie."""
-    counts = lines.filter(F.col("quantity") > 0).groupBy("quantity").agg(F.count("*").alias("n"))
+    counts = histogram.filter(F.col("quantity") > 0).groupBy("quantity").agg(F.sum("n").alias("n"))
     best = F.max(F.struct(F.col("n"), (-F.col("quantity")).alias("preference"), F.col("quantity").alias("value")))
     return counts.agg(best.alias("best")).select(F.col("best.value").alias("quantity"))
 
@@ -143,15 +148,20 @@ def sku_products(lines: DataFrame, products: DataFrame) -> DataFrame:
 
 def sibling_invoice(invoice: Column) -> Column:
     """The sale invoice a return invoice refers to."""
-    sale = F.concat(F.lit(s.SALE_PREFIX), F.substring(invoice, len(s.RETURN_PREFIX) + 1, 1 << 20))
+    sale = F.concat(F.lit(s.SALE_PREFIX), F.substr(invoice, F.lit(len(s.RETURN_PREFIX) + 1)))
     return F.when(invoice.ilike(s.RETURN_PREFIX + "%"), sale)
 
 
+def sale_customers(consensus: DataFrame) -> DataFrame:
+    """The one customer of each sale that has just one."""
+    sales = consensus.select(F.col("invoice_id").alias("sale_id"), F.col("invoice_customer_id").alias("sale_customer_id"))
+    return sales.filter(F.col("sale_customer_id").isNotNull())
+
+
 def return_customers(lines: DataFrame) -> DataFrame:
     """Customer of the matching sale, per return invoice, where that sale has just one."""
-    sales = invoice_consensus(lines).select(F.col("invoice_id").alias("sale_id"), F.col("invoice_customer_id").alias("sale_customer_id"))
     returns = lines.select("invoice_id").distinct().withColumn("sale_id", sibling_invoice(F.col("invoice_id")))
-    return returns.join(sales, "sale_id").filter(F.col("sale_customer_id").isNotNull()).select("invoice_id", "sale_customer_id")
+    return returns.join(sale_customers(invoice_consensus(lines)), "sale_id").select("invoice_id", "sale_customer_id")
 
 
 def line_numbers(lines: DataFrame) -> DataFrame:
@@ -174,31 +184,48 @@ FORMULAS = ("unit_price_from_formula", "quantity_from_formula", "discount_from_f
 MODES = ("product_mode_unit_price", "product_mode_quantity", "global_mode_quantity")
 
 
-def _fill_incomplete(lines: DataFrame, incomplete: DataFrame, dims: Dimensions) -> DataFrame:
+def _families(keyed: DataFrame) -> DataFrame:
+    """All lines of the invoices that incomplete lines learn from: their own and, without a customer, the sale they return.
+
+    This is the only time that lines are exchanged by invoice.
+    """
+    incomplete = keyed.filter(unfilled(NEEDED))
+    sale = F.when(F.col("customer_id").isNull(), sibling_invoice(F.col("invoice_id")))
+    wanted = incomplete.select(F.explode(F.array("invoice_id", sale)).alias("invoice_id")).filter(F.col("invoice_id").isNotNull())
+    return keyed.join(wanted.distinct(), "invoice_id", "left_semi").select(*keyed.columns)
+
+
+def _one_per_key(master: DataFrame, key: str, value: str) -> DataFrame:
+    """Master rows reduced to one per key, the smallest value of repeated ones."""
+    return master.filter(F.col(key).isNotNull()).groupBy(F.col(key).cast("string").alias(key)).agg(F.min(value).alias(value))
+
+
+def _fill_incomplete(lines: DataFrame, family: DataFrame, dims: Dimensions) -> DataFrame:
     """Fill missing values of incomplete lines from their invoice, masters and product modes."""
+    incomplete = family.filter(unfilled(NEEDED))
     unnumbered = incomplete.filter(F.col("line_no").isNull())
-    concerned = lines.select("invoice_id", "source_rowid").join(
+    concerned = family.select("invoice_id", "source_rowid").join(
         unnumbered.select("invoice_id").distinct(), "invoice_id", "left_semi"
     )
     numbers = line_numbers(concerned).join(unnumbered.select("source_rowid"), "source_rowid", "left_semi")
     rows = incomplete.join(numbers.drop("invoice_id"), "source_rowid", "left")
 
-    consensus = invoice_consensus(lines)
+    consensus = stage(invoice_consensus(family), "invoice_consensus")
     rows = join_back(rows, consensus, ["invoice_id"])
     rows = rows.withColumns({c: F.coalesce(c, f"invoice_{c}") for c in ATTRIBUTES})
-    sales = consensus.select(F.col("invoice_id").alias("sale_id"), F.col("invoice_customer_id").alias("sale_customer_id"))
     nameless = F.when(F.col("customer_id").isNull(), sibling_invoice(F.col("invoice_id")))
-    rows = join_back(rows.withColumn("sale_id", nameless), sales, ["sale_id"], spread="source_rowid")
+    rows = join_back(rows.withColumn("sale_id", nameless), sale_customers(consensus), ["sale_id"], spread="source_rowid")
 
     coded = F.when(F.col("product_id").isNull(), sku_digits(F.col("sku")))
-    masters = dims.products.select(
+    masters = _one_per_key(dims.products, "product_id", "color").select(
         F.col("product_id").alias("lookup_id"), F.col("product_id").alias("master_id"), F.col("color").alias("master_color")
     )
     rows = rows.withColumn("lookup_id", F.coalesce(F.col("product_id"), coded))
     rows = join_back(rows, masters, ["lookup_id"], spread="source_rowid")
     rows = rows.withColumn("product_id", F.coalesce("product_id", "master_id"))
-    rows = join_back(rows, product_modes(lines), ["product_id"], spread="source_rowid")
-    staff = dims.employees.select("employee_id", F.col("store_id").alias("staff_store_id"))
+    histogram = stage(sale_histogram(lines), "sale_histogram")
+    rows = join_back(rows, product_modes(histogram), ["product_id"], spread="source_rowid")
+    staff = _one_per_key(dims.employees, "employee_id", "store_id").withColumnRenamed("store_id", "staff_store_id")
     rows = join_back(rows, staff, ["employee_id"], spread="source_rowid")
     return rows.withColumns({
         "line_no": F.coalesce("line_no", "invoice_row_number"),
@@ -207,7 +234,7 @@ def _fill_incomplete(lines: DataFrame, incomplete: DataFrame, dims: Dimensions)
         "store_id": F.coalesce("store_id", "staff_store_id"),
         "currency": F.coalesce("currency", F.lit(s.DEFAULT_CURRENCY)),
         "currency_symbol": F.coalesce("currency_symbol", F.lit(s.DEFAULT_SYMBOL)),
-        "global_mode_quantity": common_quantity(lines).scalar(),
+        "global_mode_quantity": common_quantity(histogram).scalar(),
     }).select(*lines.columns, *MODES)
 
 
@@ -226,9 +253,9 @@ def derive_amounts(lines: DataFrame) -> DataFrame:
 
 
 def whole_number(x: Column) -> Column:
-    """``x`` as int when it is within tolerance of one, else NULL."""
+    """``x`` as bigint when it is within tolerance of one, else NULL."""
     nearest = round_half_up(x, 0)
-    return F.when(F.abs(x - nearest) < s.WHOLE_QUANTITY_TOLERANCE, nearest.cast("int"))
+    return F.when(F.abs(x - nearest) < s.WHOLE_QUANTITY_TOLERANCE, nearest.try_cast("bigint"))
 
 
 def settle_values(lines: DataFrame) -> DataFrame:
@@ -295,24 +322,26 @@ def impute(raw: DataFrame, dims: Dimensions) -> Imputation:
     keyed = lines.filter(F.col("invoice_id").isNotNull())
     lacking = unfilled(NEEDED)
     # Modes learn from every line, also from those without an invoice, which the result drops.
-    repaired = stage(_fill_incomplete(lines, keyed.filter(lacking), dims), "incomplete_lines")
-    intact = keyed.filter(~lacking)
-    blank = {"product_mode_unit_price": "double", "product_mode_quantity": "int", "global_mode_quantity": "int"}
-    intact = intact.withColumns({name: F.lit(None).cast(kind) for name, kind in blank.items()})
+    family = stage(_families(keyed), "invoice_families")
+    repaired = stage(_fill_incomplete(lines, family, dims), "incomplete_lines")
+    blank = {"product_mode_unit_price": "double", "product_mode_quantity": "bigint", "global_mode_quantity": "bigint"}
+    blanks = {name: F.lit(None).cast(kind) for name, kind in blank.items()}
+    intact = keyed.filter(~lacking).withColumns(blanks)
+    relatives = family.filter(~lacking).withColumns(blanks)
 
-    def whole(step) -> DataFrame:
-        return step(intact).unionByName(step(repaired))
+    def whole(step, complete: DataFrame = intact) -> DataFrame:
+        return step(complete).unionByName(step(repaired))
 
     def settle(part: DataFrame) -> DataFrame:
         return settle_totals(settle_values(derive_amounts(part)))
 
     nothing = {
-        "line_total_from_invoice_residual": F.lit(None).cast("double"), "solved_quantity": F.lit(None).cast("int"),
+        "line_total_from_invoice_residual": F.lit(None).cast("double"), "solved_quantity": F.lit(None).cast("bigint"),
     }
     done = settle(repaired)
     open_line = F.col("line_total").isNull() | F.col("invoice_total").isNull()
     waiting = done.filter(open_line)
-    concerned = whole(settle).join(waiting.select("invoice_id").distinct(), "invoice_id", "left_semi")
+    concerned = whole(settle, relatives).join(waiting.select("invoice_id").distinct(), "invoice_id", "left_semi")
     closed = apply_residuals(waiting, invoice_residuals(concerned))
     residual = settle(intact).withColumns(nothing).unionByName(
         done.filter(~open_line).withColumns(nothing)
@@ -346,7 +375,7 @@ def final_transactions(imputed: DataFrame) -> DataFrame:
         "product_id": F.coalesce("product_id", F.lit(s.UNKNOWN_PRODUCT)),
         "store_id": F.coalesce("store_id", F.lit(s.UNKNOWN_STORE)),
         "unit_price": F.coalesce("unit_price", zero),
-        "quantity": F.coalesce("quantity", F.lit(0)),
+        "quantity": F.coalesce("quantity", F.lit(0).cast("bigint")),
         "line_total": F.coalesce("line_total", zero),
         "invoice_total": F.coalesce("invoice_total", zero),
     })

@@ -220,22 +220,29 @@ def campaigns(discounts: DataFrame) -> DataFrame:
     ).na.drop(subset=["start", "end", "discount", "category", "sub_category"])
 
 
-def campaign_calendar(active: DataFrame) -> DataFrame:
+def campaign_calendar(active: DataFrame, first_day: Column | None = None, last_day: Column | None = None) -> DataFrame:
     """The campaign in force per (category, sub_category, day): the last listed one wins.
 
     Turning intervals into days makes the assignment an equi join, and the winner
-    is a mergeable ``max_by``, so overlapping campaigns are never gathered in a list.
+    is a mergeable ``max_by``, so overlapping campaigns are never gathered in a list. Only days from
+    ``first_day`` to ``last_day`` are made, so an open-ended campaign costs no more than the facts' own days. Campaigns with
+    one number rank by start, end, description and discount.
     """
-    start_day = F.to_date("start")
+    start_day, end_day = F.to_date("start"), F.to_date("end")
     first = F.when(F.col("start") == start_day.cast("timestamp"), start_day).otherwise(F.date_add(start_day, 1))
-    spans = active.withColumn("first", first).withColumn("last", F.to_date("end")).filter(F.col("first") <= F.col("last"))
+    first = first if first_day is None else F.greatest(first, first_day)
+    last = end_day if last_day is None else F.least(end_day, last_day)
+    spans = active.withColumn("first", first).withColumn("last", last).filter(F.col("first") <= F.col("last"))
     days = spans.withColumn("transaction_date", F.explode(F.sequence("first", "last")))
-    winner = F.max_by(F.struct("description", "discount"), F.col("campaign_seq"))
+    place = F.struct("campaign_seq", "start", "end", "description", "discount")
+    winner = F.max_by(F.struct("description", "discount"), place)
     return days.groupBy("category", "sub_category", "transaction_date").agg(winner.alias("campaign"))
 
 
 def with_campaigns(lines: DataFrame, discounts: DataFrame) -> DataFrame:
-    joined = join_back(lines, campaign_calendar(campaigns(discounts)), ["category", "sub_category", "transaction_date"])
+    span = [lines.agg(f("transaction_date").alias("day")).scalar() for f in (F.min, F.max)]
+    calendar = campaign_calendar(campaigns(discounts), *span)
+    joined = join_back(lines, calendar, ["category", "sub_category", "transaction_date"])
     listed = F.col("campaign").isNotNull()
     return joined.withColumns({
         "campaign_description": F.when(listed, F.col("campaign.description")).otherwise(s.NO_CAMPAIGN),

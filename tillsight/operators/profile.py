@@ -13,6 +13,7 @@ from tillsight import schema as s
 from tillsight.functions.semantics import (
     blank_label, exact_sum, is_dirty, money, percent, tally, to_day, to_real,
 )
+from tillsight.session import stage
 from tillsight.sources.tables import column_listing
 
 IDENTIFIERS = ("invoice_id", "customer_id", "product_id", "sku", "store_id", "employee_id")
@@ -67,8 +68,8 @@ def yearly_rows(raw: DataFrame) -> DataFrame:
 
 def value_distribution(raw: DataFrame, column: str) -> DataFrame:
     """Rows per trimmed value of a column and their share of the table."""
-    counts = raw.groupBy(blank_label(F.col(column)).alias(column)).agg(F.count("*").alias("row_count"))
-    whole = raw.agg(F.count("*").alias("n")).scalar()
+    counts = stage(raw.groupBy(blank_label(F.col(column)).alias(column)).agg(F.count("*").alias("row_count")), "value_counts")
+    whole = counts.agg(F.sum("row_count").alias("n")).scalar()
     return counts.withColumn("row_pct", percent(F.col("row_count"), whole)).orderBy(F.desc("row_count"), column)
 
 

@@ -149,11 +149,14 @@ PRODUCTS = {
     "r05_revenue_contribution": kpi.revenue_contribution,
 }
 
-STORES = {
-    "t01_store_lines": lambda lines: lines.select(
+PLACES = {
+    "t01_store_lines": lambda t: features.with_stores(_lines(t), t.stores).select(
         "source_rowid", "store_id", "store_name", "country", "city", "zip_code", "number_of_employees"
     ),
-    "t02_unknown_store_split": store.unknown_store_split,
+    "t02_unknown_store_split": lambda t: store.unknown_store_split(features.with_stores(_lines(t), t.stores)),
+}
+
+STORES = {
     "t03_store_summary": store.store_summary,
     "t04_store_overview": store.store_overview,
     "t05_top_stores": store.top_stores,
@@ -215,9 +218,9 @@ PROFILE = {
     "c03_clean_rows": clean.clean_rows,
     "c04_rejected_rows": clean.rejected_rows,
     "c06_invoice_consensus": lambda raw: clean.invoice_consensus(clean.normalise(raw)),
-    "c07_price_modes": lambda raw: clean.price_modes(clean.normalise(raw)),
-    "c08_quantity_modes": lambda raw: clean.quantity_modes(clean.normalise(raw)),
-    "c09_common_quantity": lambda raw: clean.common_quantity(clean.normalise(raw)),
+    "c07_price_modes": lambda raw: clean.price_modes(clean.sale_histogram(clean.normalise(raw))),
+    "c08_quantity_modes": lambda raw: clean.quantity_modes(clean.sale_histogram(clean.normalise(raw))),
+    "c09_common_quantity": lambda raw: clean.common_quantity(clean.sale_histogram(clean.normalise(raw))),
     "c11_return_customers": lambda raw: clean.return_customers(clean.normalise(raw)),
     "c12_line_numbers": lambda raw: clean.line_numbers(clean.normalise(raw)),
 }
@@ -276,7 +279,7 @@ def _bound(operator: Callable[..., DataFrame], source: Callable[[Fixture], DataF
 
 def queries() -> dict[str, Query]:
     groups = (
-        (SOURCES, None), (PROFILE, _raw), (CLEANING, None), (FEATURES, None), (SALES, _lines), (CUSTOMERS, None), (PRODUCTS, _product_lines),
+        (SOURCES, None), (PROFILE, _raw), (CLEANING, None), (FEATURES, None), (SALES, _lines), (CUSTOMERS, None), (PRODUCTS, _product_lines), (PLACES, None),
         (STORES, _store_lines), (DISCOUNTS, _discount_lines),
         ({"k01_campaigns": lambda t: features.campaigns(t.discounts)}, None),
     )
