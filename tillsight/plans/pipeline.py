@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillsight.operators import clean, customer, discount, features, kpi, product, profile, sales, store
-from tillsight.session import configure, stage, staging_scope
-from tillsight.sources.tables import Dimensions, load_dimensions, load_table, save_table
+from tillsight.session import configure, stage, stage_path, staging_scope
+from tillsight.sources.tables import (
+    Dimensions, as_raw_transactions, load_dimensions, load_table, save_table, with_source_rowid,
+)
 
 DIMENSIONS = ("employees", "customers", "products", "stores")
 
@@ -18,8 +20,9 @@ DIMENSIONS = ("employees", "customers", "products", "stores")
 def clean_tables(raw: DataFrame, dims: Dimensions, location: str | None = None, drop_duplicates: bool = False) -> DataFrame:
     """Clean ``raw`` and write the final fact and dimensions; returns the cleaning summary.
 
-    The fact is partitioned by year and month, so period reports read only their
-    partitions. Staging tables are removed once the final tables exist.
+    The fact is partitioned by year and month, so reports over a period (``in_period``) read only their
+    partitions; rows are gathered by month before the write, large months in several tasks.
+    Staging tables are removed once the final tables exist.
     """
     spark = raw.sparkSession
     with staging_scope(spark):
@@ -27,16 +30,46 @@ def clean_tables(raw: DataFrame, dims: Dimensions, location: str | None = None,
             raw = stage(clean.drop_exact_duplicates(raw), "unique_lines")
         final = clean.final_transactions(clean.impute(raw, dims).imputed)
         day = F.col("transaction_date")
-        dated = final.withColumns({"year": F.year(day), "month": F.month(day)})
+        dated = final.withColumns({"year": F.year(day), "month": F.month(day)}).hint("rebalance", "year", "month")
         save_table(dated, "transactions_final", location, ("year", "month"))
         conformed = clean.final_dimensions(dims)
         for name in DIMENSIONS:
             save_table(getattr(conformed, name), f"{name}_final", location)
         written = load_table(spark, "transactions_final", location).drop("year", "month")
         save_table(clean.cleaning_summary(raw, written, dims), "cleaning_summary", location)
+        save_table(clean.before_after(raw, written), "before_after", location)
     return load_table(spark, "cleaning_summary", location)
 
 
+def ingest(spark: SparkSession, source: DataFrame, discounts: DataFrame | None, location: str) -> None:
+    """Write ``transactions`` (text columns and ``source_rowid``) and ``discounts`` (with ``campaign_seq``) under ``location``.
+
+    Ids follow the stored files and their rows, so they are stable for every later read.
+    """
+    with staging_scope(spark):
+        landed = stage_path(spark, "ingest")
+        as_raw_transactions(source).write.parquet(f"{landed}/transactions")
+        save_table(with_source_rowid(spark, f"{landed}/transactions"), "transactions", location)
+        if discounts is not None:
+            # A few rows whose order matters: one file keeps it.
+            discounts.drop("campaign_seq").coalesce(1).write.parquet(f"{landed}/discounts")
+            numbered = with_source_rowid(spark, f"{landed}/discounts").withColumnRenamed("source_rowid", "campaign_seq")
+            save_table(numbered, "discounts", location)
+
+
+def in_period(fact: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Lines from one day to another (ISO, inclusive), pruning the year and month partitions."""
+    for day, later in ((start, True), (end, False)):
+        if day is None:
+            continue
+        year, month = (int(part) for part in day.split("-")[:2])
+        whole, part = (F.col("year") > year, F.col("month") >= month) if later else (F.col("year") < year, F.col("month") <= month)
+        edge = F.lit(day).cast("date")
+        inside = F.col("transaction_date") >= edge if later else F.col("transaction_date") <= edge
+        fact = fact.filter(whole | ((F.col("year") == year) & part)).filter(inside)
+    return fact
+
+
 def audit_tables(raw: DataFrame, dims: Dimensions, location: str | None = None) -> None:
     """Write rejected rows and orphan keys of the raw table for review."""
     save_table(clean.rejected_rows(raw), "transactions_rejected", location)
@@ -69,13 +102,13 @@ def reports(fact: DataFrame, dims: Dimensions, as_of: str) -> dict[str, Callable
             sales.weekend_sales, sales.price_segment_sales, sales.return_analysis, sales.sales_insights,
             customer.customer_overview, customer.segment_summary, customer.new_vs_returning, customer.rfm_segment_summary,
             customer.top_rfm_customers, customer.cohort_retention, customer.clv_tier_summary, customer.clv_overview,
-            customer.top_clv_customers, kpi.new_customers_by_month, kpi.repeat_rate, kpi.demand_by_hour, kpi.discount_share,
+            customer.top_clv_customers, customer.rfm, customer.clv_tiers, customer.cohort_matrix, kpi.new_customers_by_month, kpi.repeat_rate, kpi.demand_by_hour, kpi.discount_share,
         ),
         goods: (
             product.product_ranking, product.product_overview, product.top_products_by_revenue, product.top_products_by_profit,
             product.bottom_products_by_profit, product.category_performance, product.top_sub_categories,
             product.top_returned_products, product.discount_by_category, product.top_colors, product.size_performance,
-            product.abc_summary, product.monthly_top_categories, kpi.profitable_products,
+            product.abc_summary, product.abc_classes, product.unknown_product_split, product.monthly_top_categories, kpi.profitable_products,
         ),
         shops: (
             store.store_summary, store.store_overview, store.top_stores, store.bottom_stores, store.top_stores_per_employee,
@@ -83,6 +116,7 @@ def reports(fact: DataFrame, dims: Dimensions, as_of: str) -> dict[str, Callable
             store.top_category_by_store, store.country_category_mix, store.monthly_top_stores,
             store.productivity_by_employee_band, kpi.store_matrix,
         ),
+        features.with_stores(lines, dims.stores): (store.unknown_store_split,),
     }
     if dims.discounts is not None:
         offers = features.discount_status(features.with_campaigns(goods, dims.discounts))
@@ -112,15 +146,23 @@ def write_reports(fact: DataFrame, dims: Dimensions, as_of: str, location: str,
 
 def main(arguments: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description="Profile, clean and analyse retail transactions.")
-    parser.add_argument("step", choices=("profile", "clean", "report"))
+    parser.add_argument("step", choices=("ingest", "profile", "clean", "report"))
     parser.add_argument("--tables", required=True, help="folder of parquet tables (raw and masters, or final tables)")
     parser.add_argument("--out", required=True, help="folder for the results")
+    parser.add_argument("--format", default="parquet", help="format of the tables to ingest (csv files have a header)")
+    parser.add_argument("--from", dest="start", help="first day of the reports")
+    parser.add_argument("--to", dest="end", help="last day of the reports")
     parser.add_argument("--as-of", default="2025-01-01", help="day on which customer ages are taken")
     parser.add_argument("--drop-duplicates", action="store_true", help="remove exact copies of raw lines first")
     options = parser.parse_args(arguments)
     spark = configure(SparkSession.builder.appName("tillsight").getOrCreate())
+    if options.step == "ingest":
+        read = spark.read.option("header", "true").option("escape", "\"").format(options.format)
+        offers = read.load(f"{options.tables}/discounts")
+        ingest(spark, read.load(f"{options.tables}/transactions"), offers, options.out)
+        return
     if options.step == "report":
-        fact = load_table(spark, "transactions_final", options.tables).drop("year", "month")
+        fact = in_period(load_table(spark, "transactions_final", options.tables), options.start, options.end).drop("year", "month")
         write_reports(fact, load_dimensions(spark, options.tables, "_final"), options.as_of, options.out)
         return
     raw = load_table(spark, "transactions", options.tables)

@@ -27,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     configured = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if configured is None:
-        if not context.master.startswith("local"):
+        if not (context.master == "local" or context.master.startswith("local[")):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         configured = tempfile.mkdtemp(prefix="tillsight-")
         atexit.register(shutil.rmtree, configured, ignore_errors=True)
@@ -45,6 +45,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
 _SCOPES: list[list[str]] = []
 
 
+def stage_path(spark: SparkSession, name: str) -> str:
+    """A new folder on shared storage, removed with the surrounding ``staging_scope`` if there is one."""
+    path = f"{shared_dir(spark)}/staging/{name}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a columnar staging table and return a fresh scan of it.
 
@@ -52,10 +60,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     ``staging_scope`` go when it ends; others stay as long as checkpoint files do.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/staging/{name}-{uuid.uuid4().hex}"
+    path = stage_path(spark, name)
     df.write.parquet(path)
-    if _SCOPES:
-        _SCOPES[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

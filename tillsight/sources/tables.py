@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillsight.schema import RAW_COLUMNS
 
 ROW_INDEX_BITS = 40
+SCHEME_SLASHES = "^([A-Za-z][A-Za-z0-9+.-]*):/+"  # written with one to three slashes
+MAX_FILES = 1 << (63 - ROW_INDEX_BITS)
 
 
 @dataclass(frozen=True)
@@ -57,19 +60,29 @@ def create_view(df: DataFrame, name: str) -> DataFrame:
 def with_source_rowid(spark: SparkSession, *paths: str) -> DataFrame:
     """Scan parquet with a stable ``source_rowid``: file number (by path), then row index.
 
-    The number depends on the files alone, so any re-read gives the same ids. The
-    numbering window runs over one row per file.
+    The number depends on the files alone, so any re-read gives the same ids. The file list, which the driver
+    holds for every scan anyway, is broadcast; the rows stay where they are read.
     """
     scan = spark.read.parquet(*paths).withColumns({
-        "_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index"),
+        "_file": F.regexp_replace("_metadata.file_path", SCHEME_SLASHES, "$1:/"), "_row": F.col("_metadata.row_index"),
     })
-    files = spark.read.parquet(*paths).select(F.col("_metadata.file_path").alias("_file")).distinct()
-    files = files.withColumn("_number", (F.row_number().over(Window.orderBy("_file")) - 1).cast("long"))
+    names = sorted(re.sub(SCHEME_SLASHES, r"\1:/", name) for name in scan.inputFiles())
+    if len(names) > MAX_FILES:
+        raise ValueError(f"row ids have room for {MAX_FILES} files")
+    files = spark.createDataFrame(list(enumerate(names)), "_number long, _file string")
     rowid = F.shiftleft(F.col("_number"), ROW_INDEX_BITS) + F.col("_row")
-    numbered = scan.join(files, "_file").withColumn("source_rowid", rowid)
+    numbered = scan.join(F.broadcast(files), "_file").withColumn("source_rowid", rowid)
     return numbered.drop("_file", "_row", "_number")
 
 
+def as_raw_transactions(df: DataFrame) -> DataFrame:
+    """The raw columns of any table as text; columns it lacks are NULL."""
+    present = {c.lower(): c for c in df.columns}
+    return df.select(*[
+        (F.col(f"`{present[c.name]}`") if c.name in present else F.lit(None)).cast("string").alias(c.name) for c in RAW_COLUMNS
+    ])
+
+
 def column_listing(df: DataFrame, primary_key: tuple[str, ...] = ()) -> list[tuple[int, str, str, str]]:
     """(ordinal_position, column_name, declared_type, is_primary_key) of a table."""
     return [
