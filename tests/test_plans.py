@@ -2,9 +2,9 @@ import os
 
 import pytest
 
-import __spark_entry__ as entry
+from oracle import all_queries
 from tests.compare import DATA, compare, duck
-from tillsight.plans import pipeline
+from tillsight.plans import catalog, pipeline
 from tillsight.sources.fixtures import AS_OF, Fixture
 from tillsight.sources.tables import load_dimensions, load_table, with_source_rowid
 
@@ -13,7 +13,7 @@ SAMPLE = (
     "a01", "a05", "a10", "u03", "u08", "u13", "u16_cohort_retention", "u18_clv_tier_summary", "p04", "p16", "t03", "t12",
     "k02", "k05", "r11", "d09", "d15", "c05_orphan_keys_final", "c12", "c18", "c24", "c26",
 )
-QUERIES = entry.queries()
+QUERIES, TWINS = catalog.queries(), all_queries()
 CHOSEN = [n for n in QUERIES if os.environ.get("TILLSIGHT_ALL") or n.startswith(SAMPLE)]
 
 
@@ -24,12 +24,12 @@ def twin():
 
 @pytest.mark.parametrize("name", CHOSEN)
 def test_query_equals_its_sql_twin(spark, twin, name):
-    problems, _, _ = compare(spark, twin, name, QUERIES[name], entry.oracle_sql()[name], SMALL)
+    problems, _, _ = compare(spark, twin, name, QUERIES[name], TWINS[name], SMALL)
     assert problems == []
 
 
 def test_every_query_has_a_twin():
-    assert set(QUERIES) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(TWINS)
 
 
 @pytest.mark.parametrize("name", ["a01_sales_overview", "p09_category_performance", "k05_discount_status_summary", "u11_rfm_scores", "c24_final_transactions"])
@@ -39,6 +39,30 @@ def test_plans_hold_no_python_and_no_cross_product(spark, name):
         assert operator not in plan
 
 
+def test_lines_are_exchanged_once_by_the_imputation(spark, monkeypatch):
+    """With broadcasts off, only one exchange holds all columns of the whole table: that which picks out invoice families."""
+    from tillsight.operators import clean
+
+    plans = []
+    staged = clean.stage
+
+    def watched(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return staged(df, name)
+
+    monkeypatch.setattr(clean, "stage", watched)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        final = QUERIES["c24_final_transactions"](spark, SMALL)
+        plans.append(("final", final._jdf.queryExecution().executedPlan().toString()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    scans = {name: plan.count("normalised_lines") for name, plan in plans}
+    assert scans["invoice_families"] == 2 and scans["sale_histogram"] == 1 and scans["invoice_consensus"] == 0
+    assert scans["incomplete_lines"] == 0 and scans["final"] == 1
+
+
 def test_reports_read_only_their_columns(spark):
     plan = QUERIES["a02_monthly_revenue"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema" in plan and "customer_id" not in plan and "IsNotNull(transaction_date)" in plan
