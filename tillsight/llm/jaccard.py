@@ -38,14 +38,16 @@ from pyspark.sql import functions as F
 from tillsight.functions.skew import join_back
 from tillsight.llm.bpe import gather
 from tillsight.llm.components import components
-from tillsight.llm.texts import NOT_SPACE, bounded, list_array, map_arrow, mix, unused, window_owners, windows, words
+from tillsight.llm.texts import NOT_SPACE, bounded, broadcast_if_small, list_array, map_arrow, mix, records_per_batch, unused, window_owners, windows, words
 from tillsight.session import stage
 
 SHINGLE = 3
 BLOCK = 8
-BROADCAST_IDS = 1_000_000
 
-_PART, _CLASS, _SECOND = (np.uint64(v) for v in mix(np.array([101, 102, 103], np.uint64)))
+LAST_SCHEME = 2
+RECORDS = 128
+
+_PART, _CLASS, _SECOND, _SCHEME = (np.uint64(v) for v in mix(np.array([101, 102, 103, 104], np.uint64)))
 
 
 def shingle_sets(column: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -87,21 +89,43 @@ def part_keys(values: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.nda
     partner = np.searchsorted(bounds, sizes * 10 // 9, side="right") - 1
     doc = np.concatenate((np.flatnonzero(sizes > 0), np.flatnonzero((sizes > 0) & (partner > own))))
     group = np.concatenate((own[sizes > 0], partner[(sizes > 0) & (partner > own)]))
-    order = np.argsort(doc, kind="stable")
-    doc, group = doc[order], group[order]
     parts = 2 * (bounds[group + 1] - 1) // 19 + 1
-    doc, group, parts = doc[parts > 1], group[parts > 1], parts[parts > 1]
-    counts = np.bincount(doc, weights=parts, minlength=len(sizes)).astype(np.int64)
+    doc, keys = _keys_of(values, edges, doc[parts > 1], group[parts > 1], parts[parts > 1], 0)
+    order = np.argsort(doc, kind="stable")
+    return keys[order], np.bincount(doc, minlength=len(sizes))
+
+
+def _keys_of(values: np.ndarray, edges: np.ndarray, doc: np.ndarray, group: np.ndarray, parts: np.ndarray, scheme: int) -> tuple[np.ndarray, np.ndarray]:
+    """(set, key) for the parts of the given (set, size class) pairs.
+
+    Sets may agree in nothing but parts that are empty in both. They would all share one list, so a
+    pair with an empty part lists its other parts only and is cut again by another hash; both sets
+    of such an agreement are. The last scheme lists its empty parts.
+    """
+    if not len(doc):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    sizes = np.diff(edges)[doc]
     first = np.cumsum(parts) - parts
-    sums = np.zeros(int(parts.sum()), np.uint64)
-    if len(doc):
-        elements = gather(values, edges[:-1][doc], sizes[doc])
-        wide = np.repeat(parts.astype(np.uint64), sizes[doc])
-        place = (((elements >> np.uint64(32)) * wide) >> np.uint64(32)).astype(np.int64) + np.repeat(first, sizes[doc])
-        change = np.flatnonzero(np.diff(place, prepend=-1))
-        sums[place[change]] = np.add.reduceat(mix(elements), change)
-    number = (np.arange(len(sums)) - np.repeat(first, parts)).astype(np.uint64)
-    return mix(sums + mix(number * _PART + np.repeat(group, parts).astype(np.uint64) * _CLASS)), counts
+    elements = gather(values, edges[:-1][doc], sizes)
+    if scheme:
+        elements = mix(elements + _SCHEME * np.uint64(scheme))
+    wide = np.repeat(parts.astype(np.uint64), sizes)
+    place = (((elements >> np.uint64(32)) * wide) >> np.uint64(32)).astype(np.int64) + np.repeat(first, sizes)
+    if scheme:
+        order = np.argsort(place, kind="stable")
+        place, elements = place[order], elements[order]
+    change = np.flatnonzero(np.diff(place, prepend=-1))
+    sums, filled = np.zeros(int(parts.sum()), np.uint64), np.zeros(int(parts.sum()), bool)
+    sums[place[change]] = np.add.reduceat(mix(elements), change)
+    filled[place[change]] = True
+    pair = np.repeat(np.arange(len(doc)), parts)
+    number = (np.arange(len(sums)) - first[pair]).astype(np.uint64)
+    keys = mix(sums + mix(number * _PART + group[pair].astype(np.uint64) * _CLASS + np.uint64(scheme) * _SCHEME))
+    lacking = np.bincount(pair, weights=~filled, minlength=len(doc)) > 0
+    if scheme == LAST_SCHEME or not lacking.any():
+        return doc[pair], keys
+    more = _keys_of(values, edges, doc[lacking], group[lacking], parts[lacking], scheme + 1)
+    return np.concatenate((doc[pair][filled], more[0])), np.concatenate((keys[filled], more[1]))
 
 
 def _sums(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
@@ -145,16 +169,15 @@ def _star_pairs(representatives: DataFrame) -> DataFrame:
 
 
 def _differences(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """For each pair (p, x) the sizes ``np`` and ``nx`` of the sets, ``d`` and the elements ``diff`` of their difference.
+    """For each pair (p, x), numbered ``m``: set sizes ``np`` and ``nx``, size ``d`` and elements ``diff`` of the difference, ``linked``.
 
-    Only texts that occur in a pair are shuffled; their ids filter the scan by a broadcast while they are few.
+    Texts meet their pairs where they are scanned by a broadcast of the pairs while these are few; only
+    texts that occur in a pair are then shuffled.
     """
-    wanted = pairs.select(F.explode(F.array("p", "x")).alias("doc_id")).distinct()
-    if 2 * pairs.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
-    of_x = texts.select(F.col("doc_id").alias("x"), F.col("text").alias("text_x"))
-    of_p = texts.select(F.col("doc_id").alias("p"), F.col("text").alias("text_p"))
+    listed, pivots = broadcast_if_small(pairs), broadcast_if_small(pairs.select("p").distinct())
+    texts = docs.select("doc_id", "text")
+    of_x = texts.join(listed, texts["doc_id"] == listed["x"]).select("p", "x", F.col("text").alias("text_x"))
+    of_p = texts.join(pivots, texts["doc_id"] == pivots["p"]).select("p", F.col("text").alias("text_p"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "text_x"):
@@ -177,28 +200,40 @@ def _differences(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             )
 
     kind = pairs.schema["p"].dataType.simpleString()
-    joined = pairs.join(of_x, "x").join(of_p, "p").select("p", "x", "text_x", "text_p")
-    return map_arrow(joined, compare, f"p {kind}, x {kind}, np long, nx long, d long, diff array<long>")
-
-
-def _room(size: Column, position: Column) -> Column:
-    return size - position
+    joined = of_x.join(of_p, "p").select("p", "x", "text_x", "text_p")
+    found = map_arrow(joined, compare, f"p {kind}, x {kind}, np long, nx long, d long, diff array<long>")
+    found = found.withColumns({"linked": _linked("d", "np", "nx"), "m": F.monotonically_increasing_id()})
+    with records_per_batch(docs.sparkSession, RECORDS):  # a pivot's text comes with each member
+        return stage(found, "differences")
 
 
 def _difference_lists(members: DataFrame) -> DataFrame:
-    """Entries of the second index: (p, e) lists of members with the element e among their rarest.
+    """Entries of the second index: lists ``g`` of members of a pivot with one element among their rarest.
 
     ``at`` is the element's position in the member's order, rarest first, elements no other member
     has before all. A partner differs by at most ``h`` elements, so the first ``h + 1`` positions suffice.
+    A list is known by the hash of pivot and element; a collision only adds pairs to verify.
     """
-    elements = members.select("p", "x", "nx", "d", "linked", F.explode("diff").alias("e"))
-    shared = elements.groupBy("p", "e").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
-    entries = elements.join(shared, ["p", "e"])
-    order = Window.partitionBy("p", "x", "nx").orderBy("df", "e")
-    count = Window.partitionBy("p", "x", "nx")
-    alone = F.col("d") - F.count(F.lit(1)).over(count)
+    elements = members.select("m", "p", F.explode("diff").alias("e")).select(F.xxhash64("p", "e").alias("g"), "m").repartition("g")
+    shared = elements.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
+    own = Window.partitionBy("m")
+    ranked = elements.join(shared, "g").select(
+        "g", "m", F.count(F.lit(1)).over(own).alias("known"), (F.row_number().over(own.orderBy("df", "g")) - 1).alias("place")
+    )
     h = F.floor((F.col("nx") + F.floor(F.col("nx") * 10 / 9)) / 19)
-    return entries.select("p", "e", "x", "nx", "d", "linked", (alone + F.row_number().over(order) - 1).alias("at")).where(F.col("at") <= h)
+    entries = ranked.join(members.drop("diff", "np"), "m").withColumn("at", F.col("d") - F.col("known") + F.col("place"))
+    return entries.where(F.col("at") <= h).select("p", "g", "x", "nx", "d", "linked", "at")
+
+
+def _may_link(entries: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs of entries of one list, of columns ``*_x`` and ``*_y``, whose positions leave room for enough common elements."""
+    needed = (F.col("d_x") + F.col("d_y") - (F.col("nx_x") + F.col("nx_y")) / 19) / 2
+    room = F.least(F.col("d_x") - F.col("at_x"), F.col("d_y") - F.col("at_y"))
+    return entries.join(other, keys).where((F.col("x_x") != F.col("x_y")) & ~(F.col("linked_x") & F.col("linked_y")) & (needed <= room))
+
+
+def _named(entries: DataFrame, side: str, names: tuple[str, ...]) -> DataFrame:
+    return entries.select("p", "g", *[F.col(n).alias(f"{n}_{side}") for n in names])
 
 
 def _sides(pairs: DataFrame, members: DataFrame) -> DataFrame:
@@ -211,44 +246,40 @@ def _sides(pairs: DataFrame, members: DataFrame) -> DataFrame:
     )
 
 
+ENTRY = ("x", "nx", "d", "at", "linked")
+
+
 def _list_stars(entries: DataFrame) -> DataFrame:
-    """Distinct (p, x, y): in each list every member x with the member y of smallest difference."""
-    low = entries.groupBy("p", "e").agg(F.min(F.struct("d", "x")).alias("low"), F.max("x").alias("last"), F.min("x").alias("first"))
-    low = low.where(F.col("first") < F.col("last")).select("p", "e", F.col("low.x").alias("y"))
-    return entries.join(low, ["p", "e"]).where(F.col("x") != F.col("y")).select("p", "x", "y").distinct()
+    """Distinct (p, x, y): in each list the members x with the member y of smallest difference, where they may link."""
+    low = entries.groupBy("p", "g").agg(F.min(F.struct("d", *[n for n in ENTRY if n != "d"])).alias("low"))
+    low = low.select("p", "g", *[F.col(f"low.{n}").alias(f"{n}_y") for n in ENTRY])
+    return _may_link(_named(entries, "x", ENTRY), low, ["p", "g"]).select("p", F.col("x_x").alias("x"), F.col("x_y").alias("y")).distinct()
 
 
 def _open_pairs(entries: DataFrame, labels: DataFrame) -> DataFrame:
-    """Distinct pairs (p, x, y) of one list and different components that have room for enough common elements."""
+    """Distinct pairs (p, x, y) of one list and different components that may link."""
     placed = join_back(entries, labels.withColumnRenamed("node", "x"), ["x"]).withColumn("component", F.coalesce("component", "x"))
     blocked = stage(placed.withColumn("b", F.struct(F.floor(F.col("d") / BLOCK).alias("d"), F.floor(F.col("at") / BLOCK).alias("at"))), "blocks")
-    blocks = blocked.groupBy("p", "e", "b").agg(
-        F.min("d").alias("low"), F.max("nx").alias("most"), F.max(_room(F.col("d"), F.col("at"))).alias("room"),
+    blocks = blocked.groupBy("p", "g", "b").agg(
+        F.min("d").alias("low"), F.max("nx").alias("most"), F.max(F.col("d") - F.col("at")).alias("room"),
         F.min("component").alias("c1"), F.max("component").alias("c2"), F.min("linked").alias("linked"),
     )
     names = ("b", "low", "most", "room", "c1", "c2", "linked")
-    left = blocks.select("p", "e", *[F.col(n).alias(f"{n}_x") for n in names])
-    right = blocks.select("p", "e", *[F.col(n).alias(f"{n}_y") for n in names])
     needed = (F.col("low_x") + F.col("low_y") - (F.col("most_x") + F.col("most_y")) / 19) / 2
     one_component = (F.col("c1_x") == F.col("c2_x")) & (F.col("c1_y") == F.col("c2_y")) & (F.col("c1_x") == F.col("c1_y"))
-    kept = left.join(right, ["p", "e"]).where(
+    kept = _named(blocks, "x", names).join(_named(blocks, "y", names), ["p", "g"]).where(
         (F.col("b_x") <= F.col("b_y")) & (needed <= F.least("room_x", "room_y")) & ~one_component & ~(F.col("linked_x") & F.col("linked_y"))
-    ).select("p", "e", "b_x", "b_y")
-    names = ("b", "x", "nx", "d", "at", "component", "linked")
-    left = blocked.select("p", "e", *[F.col(n).alias(f"{n}_x") for n in names])
-    right = blocked.select("p", "e", *[F.col(n).alias(f"{n}_y") for n in names])
-    least = (F.col("d_x") + F.col("d_y") - (F.col("nx_x") + F.col("nx_y")) / 19) / 2
-    room = F.least(_room(F.col("d_x"), F.col("at_x")), _room(F.col("d_y"), F.col("at_y")))
-    return kept.join(left, ["p", "e", "b_x"]).join(right, ["p", "e", "b_y"]).where(
-        (F.col("component_x") != F.col("component_y")) & ~(F.col("linked_x") & F.col("linked_y")) & (least <= room)
-    ).select("p", F.least("x_x", "x_y").alias("x"), F.greatest("x_x", "x_y").alias("y")).distinct()
+    ).select("p", "g", "b_x", "b_y")
+    names = (*ENTRY, "b", "component")
+    pairs = _may_link(kept.join(_named(blocked, "x", names), ["p", "g", "b_x"]), _named(blocked, "y", names), ["p", "g", "b_y"])
+    apart = pairs.where(F.col("component_x") != F.col("component_y"))
+    return apart.select("p", F.least("x_x", "x_y").alias("x"), F.greatest("x_x", "x_y").alias("y")).distinct()
 
 
 def _links(docs: DataFrame, representatives: DataFrame) -> DataFrame:
     """Components of the representatives that link with another one: ``node``, ``component``."""
     pairs = stage(_star_pairs(representatives), "pairs")
-    found = _differences(docs, pairs).withColumn("linked", _linked("d", "np", "nx"))
-    diffs = stage(found, "differences")
+    diffs = _differences(docs, pairs)
     stars = diffs.where("linked").select(F.col("p").alias("u"), F.col("x").alias("v"))
     unsettled = diffs.where(~F.col("linked")).select("p").distinct()
     members = diffs.join(unsettled, "p", "left_semi")
@@ -276,5 +307,7 @@ def component_labels(docs: DataFrame) -> DataFrame:
 
 def representatives(docs: DataFrame) -> DataFrame:
     """One document of each component, that with the smallest id, with all its columns."""
-    gone = component_labels(docs).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(unused(docs, "_gone"))).distinct()
-    return docs.join(gone, docs["doc_id"] == gone[gone.columns[0]], "left_anti")
+    key = unused(docs, "_gone")
+    labels = component_labels(docs)
+    gone = labels.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(broadcast_if_small(stage(gone, "gone")), docs["doc_id"] == F.col(key), "left_anti")

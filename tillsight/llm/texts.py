@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SLICE_BYTES = 2 << 20
+#: Tables of ids are broadcast up to this number of rows, and joined by a shuffle beyond it.
+BROADCAST_ROWS = 1_000_000
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -42,6 +45,23 @@ def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iter
     return df.mapInArrow(function, schema)
 
 
+def broadcast_if_small(stored: DataFrame) -> DataFrame:
+    """A stored table of a few columns, marked for broadcast if its counted rows are few enough."""
+    return F.broadcast(stored) if stored.count() <= BROADCAST_ROWS else stored
+
+
+@contextmanager
+def records_per_batch(spark: SparkSession, records: int) -> Iterator[None]:
+    """Arrow batches of at most so many rows for what runs inside the block."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(records))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def ascii_lower(text: Column) -> Column:
     """Text with A-Z, and nothing else, lower-cased; pure ASCII takes the fast built-in."""
     ascii_only = F.octet_length(text) == F.char_length(text)
