@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import sys
 import time
 from pathlib import Path
@@ -17,7 +18,7 @@ def import_duckdb():
     try:
         import duckdb
     except ImportError:
-        sys.path.append("/opt/oracle")
+        sys.path.append(os.environ.get("DUCKDB_PATH", "/opt/oracle"))
         import duckdb
     return duckdb
 

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillsight.session import checkpoint
+from tillsight.session import stage
 
 
 def sliced(df: DataFrame, *order: Column | str) -> DataFrame:
@@ -22,7 +22,7 @@ def sliced(df: DataFrame, *order: Column | str) -> DataFrame:
     than a slice. The slice number is stored, not recomputed.
     """
     ranged = df.repartitionByRange(*order).withColumn("_slice", F.spark_partition_id())
-    return checkpoint(ranged)
+    return stage(ranged, "slices")
 
 
 def slice_starts(slices: DataFrame, measure: Column) -> DataFrame:
@@ -104,28 +104,38 @@ def quantiles(measured: DataFrame, probabilities: Sequence[float]) -> DataFrame:
 
 
 def tiers(df: DataFrame, value: str, key: str, count: int, output: str) -> DataFrame:
-    """Append a 1-based tier: the ``count``-quantile bin of the first-come rank of ``value``.
+    """Append the 1-based tier of one column; see ``tiers_of``."""
+    return tiers_of(df, {output: value}, key, count)
+
+
+def tiers_of(df: DataFrame, outputs: dict[str, str], key: str, count: int) -> DataFrame:
+    """Append 1-based tiers, by output name, of numeric columns: ``count``-quantile bins of the first-come rank.
 
     Rank ties follow ``key``. With rank r of n, the tier is
     ``max(1, ceil((r - 1) * count / (n - 1)))``; so tier k ends at rank
     ``1 + floor(k * (n - 1) / count)``, and it is enough to find the rows at those
-    ``count - 1`` ranks and compare every row with them.
+    ``count - 1`` ranks and compare every row with them. All columns are sliced together.
     """
-    slices = sliced(df.select(value, key), value, key)
-    sizes = slices.agg(F.count("*").alias("n"))
+    numbers = [F.struct(F.lit(i).alias("metric"), F.col(v).cast("double").alias("value")) for i, v in enumerate(outputs.values())]
+    stacked = df.select(F.col(key).alias("key"), F.inline(F.array(*numbers)))
+    slices = sliced(stacked, "metric", "value", "key")
+    sizes = slices.agg((F.count("*") / F.lit(len(numbers))).cast("long").alias("n"))
     ends = sizes.select(F.posexplode(F.array(*[
-        (F.floor(F.lit(k) * (F.col("n") - 1) / F.lit(count)) + 1).cast("long") for k in range(1, count)
+        (F.col("n") * i + F.floor(F.lit(k) * (F.col("n") - 1) / F.lit(count)) + 1).cast("long")
+        for i in range(len(numbers)) for k in range(1, count)
     ])).alias("_tier", "_position"))
-    bounds = pick(slices, [value, key], F.lit(1), ends).agg(
-        F.collect_list(F.struct(value, key)).alias("bounds")
-    )
-    above = F.filter(F.col("_bounds"), lambda b: (F.struct(F.col(value), F.col(key)) > b))
-    return (
-        df.withColumn("_bounds", bounds.scalar())
-        .withColumn(output, (F.size(above) + 1).cast("int"))
-        .drop("_bounds")
+    bounds = pick(slices, ["metric", "value", "key"], F.lit(1), ends).agg(
+        F.collect_list(F.struct("metric", "value", "key")).alias("bounds")
     )
 
+    def tier(i: int, value: str) -> Column:
+        own = F.struct(F.col(value).cast("double").alias("value"), F.col(key).alias("key"))
+        below = F.filter(F.col("_bounds"), lambda b: (b["metric"] == i) & (own > F.struct(b["value"], b["key"])))
+        return (F.size(below) + 1).cast("int")
+
+    found = {output: tier(i, value) for i, (output, value) in enumerate(outputs.items())}
+    return df.withColumn("_bounds", bounds.scalar()).withColumns(found).drop("_bounds")
+
 
 def row_numbers(df: DataFrame, group: str, order: str) -> DataFrame:
     """Append ``row_number`` within ``group`` by ``order`` (unique), safe for huge groups.

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillsight import schema as s
-from tillsight.functions.ranking import tiers
+from tillsight.functions.ranking import tiers, tiers_of
 from tillsight.functions.semantics import exact_sum, mean, ratio, ratio_or_zero, round_half_up, total_or_zero
 from tillsight.functions.skew import join_back
 from tillsight.operators import features as f
@@ -105,9 +105,8 @@ def rfm(lines: DataFrame) -> DataFrame:
     known = stage(known, "rfm")
     day_after = known.agg(F.date_add(F.max("last_purchase"), 1).alias("d"))
     base = known.withColumn("recency", F.datediff(day_after.scalar(), F.col("last_purchase"))).drop("last_purchase")
-    scored = tiers(base, "recency", "customer_id", 5, "_r").withColumn("r_score", F.lit(6) - F.col("_r")).drop("_r")
-    scored = tiers(scored, "frequency", "customer_id", 5, "f_score")
-    scored = tiers(scored, "monetary", "customer_id", 5, "m_score")
+    scored = tiers_of(base, {"_r": "recency", "f_score": "frequency", "m_score": "monetary"}, "customer_id", 5)
+    scored = scored.withColumn("r_score", F.lit(6) - F.col("_r")).drop("_r")
     scores = [F.col(c) for c in ("r_score", "f_score", "m_score")]
     return scored.withColumns({
         "rfm_score": scores[0] + scores[1] + scores[2],
