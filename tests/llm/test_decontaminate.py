@@ -3,7 +3,7 @@ import random
 import pytest
 
 from tests.llm.rows import EDGES, documents
-from tillsight.llm import decontaminate
+from tillsight.llm import decontaminate, texts
 
 QUESTION = "A train leaves Boston at 9 and travels 120 km while the other train leaves Denver with 35 passengers on board today"
 ITEMS = [
@@ -95,6 +95,13 @@ def test_edges_and_removal(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(i) for i in [*[i for i, _ in EDGES], 51])
 
 
+def test_large_lists_of_leaks_are_joined_by_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(texts, "BROADCAST_ROWS", 0)
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    docs = documents(spark, [(50, QUESTION), (None, QUESTION), (51, "clean text"), (None, "clean too")])
+    assert sorted(str(r.doc_id) for r in decontaminate.decontaminate(docs, bench).collect()) == ["51", "None"]
+
+
 @pytest.mark.parametrize("bits", [512, 1 << 24])
 def test_a_full_filter_changes_nothing(spark, bits):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")

@@ -2,8 +2,10 @@ import collections
 import random
 import re
 
+import numpy as np
+
 from tests.llm.rows import EDGES, documents, lower
-from tillsight.llm import jaccard
+from tillsight.llm import jaccard, texts
 from tillsight.llm.components import components
 
 
@@ -72,6 +74,27 @@ def test_families_against_brute_force(spark):
     assert collections.Counter(c for _, c in want.values()).most_common(1)[0][1] > 20
 
 
+def test_large_id_tables_are_joined_by_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(texts, "BROADCAST_ROWS", 0)
+    rows = family_rows(3)[:200]
+    want = brute(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.component_labels(documents(spark, rows)).collect()} == want
+    assert sorted(r.doc_id for r in jaccard.representatives(documents(spark, rows)).collect()) == sorted(i for i, (_, c) in want.items() if i == c)
+
+
+def test_sets_that_agree_in_empty_parts_only_meet_in_another_cut():
+    rng = np.random.default_rng(5)
+    for n in (10, 14, 20, 40):
+        h = (2 * n) // 19
+        for _ in range(300):
+            base = np.sort(rng.integers(0, 2**63, n).astype(np.uint64))
+            other = base.copy()
+            other[rng.choice(n, h // 2, replace=False)] = rng.integers(0, 2**63, h // 2).astype(np.uint64)
+            other = np.sort(other)
+            keys, counts = jaccard.part_keys(np.concatenate((base, other)), np.array([0, n, 2 * n]))
+            assert not counts.any() or set(keys[: counts[0]].tolist()) & set(keys[counts[0] :].tolist())
+
+
 def test_exactly_at_the_threshold(spark):
     words = [f"v{i}" for i in range(21)]  # 19 shingles
     inside = " ".join([*words, "extra"])  # 19 of 20 are common

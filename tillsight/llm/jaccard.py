@@ -107,8 +107,9 @@ def _keys_of(values: np.ndarray, edges: np.ndarray, doc: np.ndarray, group: np.n
     sizes = np.diff(edges)[doc]
     first = np.cumsum(parts) - parts
     elements = gather(values, edges[:-1][doc], sizes)
+    shift = np.uint64(int(_SCHEME) * scheme % 2**64)
     if scheme:
-        elements = mix(elements + _SCHEME * np.uint64(scheme))
+        elements = mix(elements + shift)
     wide = np.repeat(parts.astype(np.uint64), sizes)
     place = (((elements >> np.uint64(32)) * wide) >> np.uint64(32)).astype(np.int64) + np.repeat(first, sizes)
     if scheme:
@@ -120,7 +121,7 @@ def _keys_of(values: np.ndarray, edges: np.ndarray, doc: np.ndarray, group: np.n
     filled[place[change]] = True
     pair = np.repeat(np.arange(len(doc)), parts)
     number = (np.arange(len(sums)) - first[pair]).astype(np.uint64)
-    keys = mix(sums + mix(number * _PART + group[pair].astype(np.uint64) * _CLASS + np.uint64(scheme) * _SCHEME))
+    keys = mix(sums + mix(number * _PART + group[pair].astype(np.uint64) * _CLASS + shift))
     lacking = np.bincount(pair, weights=~filled, minlength=len(doc)) > 0
     if scheme == LAST_SCHEME or not lacking.any():
         return doc[pair], keys

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tillsight.llm.bloom import Bloom, build
 from tillsight.llm.texts import UPPER, hash_spans, map_arrow
+from tillsight.session import stage
 
 FILTER_BITS = 1 << 22
 
@@ -107,7 +108,8 @@ def judge(pages: DataFrame, rules: DataFrame, other_rules: DataFrame, filter_bit
     join, as entries of two levels.
     """
     host, path = parts(F.col("url"))
-    urls = pages.select("page_id", F.monotonically_increasing_id().alias("row"), host.alias("host"), path.alias("path"))
+    parsed = pages.select("page_id", F.monotonically_increasing_id().alias("row"), host.alias("host"), path.alias("path"))
+    urls = stage(parsed, "urls")  # so that every reader sees the same row numbers
     rules = listed(rules, 0).unionByName(listed(other_rules, 1))
     decided = matches(urls.select("row", "host", "path"), rules, filter_bits)
     return urls.join(decided, "row", "left").select(
