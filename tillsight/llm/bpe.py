@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from tillsight.llm.texts import bounded, hash_spans, list_array, map_arrow
 
-BLOCK_BYTES = 8 << 20
-DECODE_IDS = 1 << 20
+BLOCK_BYTES = 3 << 20
+DECODE_IDS = 1 << 17
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -122,6 +122,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
                 ],
                 ["block", "doc_ids", "counts", "codes", "buckets", "check"],
             )
+            del block  # before the next one is made
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, _, block in _blocks(batches, pattern, buckets):
@@ -130,6 +131,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
                 kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, ["bucket", "block", "lengths", "words"])
+            del block, rows
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, pattern = shared.value

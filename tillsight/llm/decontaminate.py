@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillsight.llm.bloom import build
-from tillsight.llm.texts import ALPHANUMERIC, bounded, hash_spans, list_array, map_arrow, mix, unused, window_owners, windows, words
+from tillsight.llm.texts import ALPHANUMERIC, bounded, broadcast_if_small, hash_spans, list_array, map_arrow, mix, unused, window_owners, windows, words
 from tillsight.session import stage
 
 WINDOW = 8
@@ -199,7 +199,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, filter_bits: int = FILTER_BITS)
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents into which no benchmark item leaks, with all their columns."""
-    flagged = leaks(docs, benchmark).select(F.col("doc_id").alias("leak_id"), F.col("text_hash").alias("leak_hash")).distinct()
+    found = leaks(docs, benchmark).select(F.col("doc_id").alias("leak_id"), F.col("text_hash").alias("leak_hash")).distinct()
+    flagged = broadcast_if_small(stage(found, "leaks"))
     key = unused(docs, "_text_hash")
     hashed = docs.withColumn(key, F.xxhash64("text"))
     same = F.col("leak_hash").eqNullSafe(hashed[key]) & F.col("leak_id").eqNullSafe(hashed["doc_id"])
