@@ -46,3 +46,22 @@ def test_numbers_pack():
 
     values = np.array([0, 1, 255, 256, 70_000, 2**32 - 1], np.uint32)
     assert bpe.unpack(bpe.pack(values)).tolist() == values.tolist() and bpe.unpack(bpe.pack(values[:0])).tolist() == []
+
+
+def test_the_ascii_form_of_the_pattern_splits_alike():
+    import regex
+
+    rng = random.Random(8)
+    whole, plain = regex.compile(public_tokenizers.PATTERN), bpe.ascii_pattern(public_tokenizers.PATTERN)
+    for _ in range(3000):
+        text = "".join(rng.choices([chr(i) for i in range(128)] + ["'s", "'ll", "  ", " a", " 1", "\r\n"], k=rng.randint(0, 30)))
+        assert plain.findall(text) == whole.findall(text), text
+    assert bpe.ascii_pattern(r"\p{Lu}+|[a-z]+") is None and bpe.ascii_pattern(r"(?i:x)|\s+") is None
+
+
+def test_words_with_equal_hashes_have_one_order(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(bpe, "hash_spans", lambda data, starts, ends, fold: np.zeros(len(starts), np.uint64))
+    one, two = bpe.Vocabulary(["b", "a", "c"], 4), bpe.Vocabulary(["c", "b", "a"], 4)
+    assert list(map(str, one.by_bucket())) == list(map(str, two.by_bucket()))

@@ -17,8 +17,10 @@ a token raise an error on decoding; an empty table gives an empty result.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillsight.llm.texts import bounded, hash_spans, list_array, map_arrow
+from tillsight.llm.texts import AS_IS, bounded, hash_spans, list_array, map_arrow
 
 BLOCK_BYTES = 3 << 20
 DECODE_IDS = 1 << 17
@@ -58,46 +60,92 @@ def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     return values[np.arange(total) + np.repeat(starts - (edges - lengths), lengths)]
 
 
-class Block:
-    """Codes of the pre-tokens of some texts, and the distinct words by falling frequency."""
-
-    def __init__(self, texts: list[str | None], pattern: regex.Pattern, buckets: int) -> None:
-        index: dict[str, int] = {}
-        parts = []
-        for text in texts:
-            found = pattern.findall(text) if text else ()
-            parts.append(np.fromiter((index.setdefault(w, len(index)) for w in found), np.int64, len(found)))
-        codes = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        self.counts = np.array([len(p) for p in parts], np.int32)
-        order = np.argsort(-np.bincount(codes, minlength=len(index)), kind="stable")
-        rank = np.empty(len(index), np.int64)
-        rank[order] = np.arange(len(index))
-        self.codes = rank[codes]
-        words = list(index)
-        raw = [words[i].encode() for i in order]
-        self.lengths = np.array([len(w) for w in raw], np.int64)
+WHITE = r"\t\n\x0b\x0c\r "
+_ASCII = {r"\p{L}": "A-Za-z", r"\p{N}": "0-9", r"\s": WHITE}
+
+
+def ascii_pattern(pattern: str) -> re.Pattern | None:
+    """The pattern as it acts on ASCII texts, for the faster standard engine; None if it has classes unknown here."""
+    known = re.compile(r"\[\^?(?:\\p\{[LN]\}|\\s)+\]|\\p\{[LN]\}|\\s|\\S")
+
+    def plain(found: re.Match) -> str:
+        text = found[0]
+        if text == r"\S":
+            return f"[^{WHITE}]"
+        inside = re.sub(r"\\p\{[LN]\}|\\s", lambda m: _ASCII[m[0]], text)
+        return inside if text.startswith("[") else f"[{inside}]"
+
+    rest = known.sub("", pattern)
+    return None if re.search(r"\\|\[|\(\?[^!]", rest) else re.compile(known.sub(plain, pattern))
+
+
+class Splitter:
+    """Pre-tokens of texts."""
+
+    def __init__(self, pattern: str) -> None:
+        self.any, self.ascii = regex.compile(pattern).findall, ascii_pattern(pattern)
+
+    def __call__(self, text: str | None) -> list[str]:
+        if not text:
+            return []
+        return self.ascii.findall(text) if self.ascii is not None and text.isascii() else self.any(text)
+
+
+class Vocabulary:
+    """Distinct words of a block in the order of their hashes, dealt to buckets by the hash's upper bits.
+
+    ``order`` has the places of the given words in that order, which depends on the set of words alone.
+    """
+
+    def __init__(self, words: Collection[str], buckets: int) -> None:
+        raw = [w.encode() for w in words]
+        self.lengths = np.fromiter(map(len, raw), np.int64, len(raw))
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.bytes = np.frombuffer(b"".join(raw), np.uint8)
-        hashes = hash_spans(self.bytes, self.starts, self.starts + self.lengths)
-        self.bucket = (hashes % np.uint64(buckets)).astype(np.int64)
+        hashes = hash_spans(self.bytes, self.starts, self.starts + self.lengths, AS_IS)
+        self.order = np.argsort(hashes, kind="stable")
+        hashes = hashes[self.order]
+        if (hashes[1:] == hashes[:-1]).any():
+            place = dict(zip(raw, range(len(raw)), strict=True))
+            known = dict(zip((raw[i] for i in self.order), hashes.tolist(), strict=True))
+            self.order = np.array([place[w] for w in sorted(raw, key=lambda w: (known[w], w))])
+        self.bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
     def by_bucket(self) -> Iterator[tuple[int, np.ndarray, bytes]]:
-        """(bucket, word lengths, word bytes) of every bucket with words, words in code order."""
-        order = np.argsort(self.bucket, kind="stable")
-        edges = np.flatnonzero(np.diff(self.bucket[order], prepend=-1, append=-1))
+        """(bucket, word lengths, word bytes) of every bucket with words."""
+        edges = np.flatnonzero(np.diff(self.bucket, prepend=-1, append=-1))
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            chosen = order[a:b]
-            yield int(self.bucket[chosen[0]]), self.lengths[chosen], gather(self.bytes, self.starts[chosen], self.lengths[chosen]).tobytes()
+            chosen = self.order[a:b]
+            yield int(self.bucket[a]), self.lengths[chosen], gather(self.bytes, self.starts[chosen], self.lengths[chosen]).tobytes()
 
 
 def _checksum(lengths: np.ndarray, raw: bytes) -> int:
     return zlib.crc32(np.ascontiguousarray(lengths, "<u4").tobytes(), zlib.crc32(raw))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, buckets: int) -> Iterator[tuple[int, pa.RecordBatch, Block]]:
-    compiled, partition = regex.compile(pattern), TaskContext.get().partitionId()
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Blocks of documents with their numbers, the same for every scan of the same partitions."""
+    partition = TaskContext.get().partitionId()
     for number, batch in enumerate(bounded(batches, limit=BLOCK_BYTES)):
-        yield (partition << 32) | number, batch, Block(batch.column("text").to_pylist(), compiled, buckets)
+        yield (partition << 32) | number, batch
+
+
+def _coded(texts: list[str | None], split: Splitter) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+    """Codes of all pre-tokens, their number in each text, the distinct words and the word of each code.
+
+    Frequent words have small codes, which compress well.
+    """
+    index: defaultdict[str, int] = defaultdict()
+    index.default_factory = index.__len__
+    parts = []
+    for text in texts:
+        found = split(text)
+        parts.append(np.fromiter(map(index.__getitem__, found), np.int32, len(found)))
+    seen = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    order = np.argsort(-np.bincount(seen, minlength=len(index)), kind="stable")
+    rank = np.empty(len(index), np.int64)
+    rank[order] = np.arange(len(index))
+    return rank[seen], np.array([len(p) for p in parts], np.int32), list(index), order
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
@@ -109,29 +157,39 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     kind = narrow.schema["doc_id"].dataType.simpleString()
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, batch, block in _blocks(batches, pattern, buckets):
+        split = Splitter(pattern)
+        for number, batch in _blocks(batches):
+            coded, counts, distinct, word_of_code = _coded(batch.column("text").to_pylist(), split)
+            vocabulary = Vocabulary(distinct, buckets)
             check = 0
-            for _, lengths, raw in block.by_bucket():
+            for _, lengths, raw in vocabulary.by_bucket():
                 check ^= _checksum(lengths, raw)
+            place = np.empty(len(distinct), np.int64)
+            place[vocabulary.order] = np.arange(len(distinct))
             ids = batch.column("doc_id")
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
-                    list_array(block.counts, np.array([len(ids)]), pa.int32()), pa.array([pack(block.codes)], pa.binary()),
-                    pa.array([pack(block.bucket)], pa.binary()), pa.array([check], pa.int64()),
+                    list_array(counts, np.array([len(ids)]), pa.int32()), pa.array([pack(coded)], pa.binary()),
+                    pa.array([pack(place[word_of_code])], pa.binary()), pa.array([check], pa.int64()),
                 ],
-                ["block", "doc_ids", "counts", "codes", "buckets", "check"],
+                ["block", "doc_ids", "counts", "codes", "places", "check"],
             )
-            del block  # before the next one is made
+            del coded, distinct, vocabulary  # before the next block is read
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, _, block in _blocks(batches, pattern, buckets):
-            rows = [(b, number, pack(lengths), zlib.compress(raw, 1)) for b, lengths, raw in block.by_bucket()]
+        split = Splitter(pattern)
+        for number, batch in _blocks(batches):
+            distinct: set[str] = set()
+            for text in batch.column("text").to_pylist():
+                distinct.update(split(text))
+            vocabulary = Vocabulary(distinct, buckets)
+            rows = [(b, number, pack(lengths), zlib.compress(raw, 1)) for b, lengths, raw in vocabulary.by_bucket()]
             if rows:
                 kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, ["bucket", "block", "lengths", "words"])
-            del block, rows
+            del distinct, vocabulary, rows
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, pattern = shared.value
@@ -168,17 +226,15 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
             raise RuntimeError("the documents changed between two scans of a block")
         counts = np.concatenate([unpack(p["counts"]) for p in parts] or [np.zeros(0, np.uint32)]).astype(np.int64)
         ids = np.concatenate([unpack(p["ids"]) for p in parts] or [np.zeros(0, np.uint32)])
-        order = np.argsort(unpack(block["buckets"]), kind="stable")
-        lengths, starts = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
-        lengths[order], starts[order] = counts, np.cumsum(counts) - counts
-        codes = unpack(block["codes"])
-        text_ids = gather(ids, starts[codes], lengths[codes])
+        places = unpack(block["places"])[unpack(block["codes"])]
+        starts, lengths = (np.cumsum(counts) - counts)[places], counts[places]
+        text_ids = gather(ids, starts, lengths)
         edges = np.concatenate(([0], np.cumsum(block["counts"])))
-        done = np.concatenate(([0], np.cumsum(lengths[codes])))[edges]
+        done = np.concatenate(([0], np.cumsum(lengths)))[edges]
         doc_ids = left.column("doc_ids").combine_chunks().flatten()
         return pa.table({"doc_id": doc_ids, "ids": list_array(text_ids.astype(np.int32), np.diff(done), pa.int32())})
 
-    coded = map_arrow(narrow, codes, f"block long, doc_ids array<{kind}>, counts array<int>, codes binary, buckets binary, check long")
+    coded = map_arrow(narrow, codes, f"block long, doc_ids array<{kind}>, counts array<int>, codes binary, places binary, check long")
     dealt = map_arrow(narrow, words, "bucket int, block long, lengths binary, words binary").repartition(buckets, "bucket")
     merged = map_arrow(dealt, merge, "block long, bucket int, counts binary, ids binary, check long")
     return coded.groupBy("block").cogroup(merged.groupBy("block")).applyInArrow(reassemble, f"doc_id {kind}, ids array<int>")

@@ -18,7 +18,8 @@ SLICE_BYTES = 2 << 20
 #: Tables of ids are broadcast up to this number of rows, and joined by a shuffle beyond it.
 BROADCAST_ROWS = 1_000_000
 
-_FOLD = np.arange(256, dtype=np.uint8)
+AS_IS = np.arange(256, dtype=np.uint8)
+_FOLD = AS_IS.copy()
 _FOLD[65:91] += 32
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -159,8 +160,11 @@ def words(column: pa.Array, kind: np.ndarray) -> Words:
     return Words(data, starts, ends, hash_spans(data, starts, ends), np.searchsorted(starts, offsets), offsets)
 
 
-def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span, A-Z lower-cased: a multilinear sum, then mixed with the length."""
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray = _FOLD) -> np.ndarray:
+    """64-bit hash of each byte span: a multilinear sum, then mixed with the length.
+
+    ``fold`` maps bytes before hashing: A-Z lower-cased, or ``AS_IS``.
+    """
     lengths = ends - starts
     out = np.empty(len(starts), np.uint64)
     edges = np.concatenate(([0], np.cumsum(lengths)))
@@ -172,7 +176,7 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         heads = edges[begin:stop] - edges[begin]
         place = np.arange(edges[stop] - edges[begin]) - np.repeat(heads, size)
         at = place + np.repeat(starts[begin:stop], size)
-        value = _BYTE_VALUE[_FOLD[data[at]]] * _place_value(place)
+        value = _BYTE_VALUE[fold[data[at]]] * _place_value(place)
         out[begin:stop] = np.add.reduceat(value, heads)
         begin = stop
     return mix(out + lengths.astype(np.uint64) * _MIX)
