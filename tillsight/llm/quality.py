@@ -7,8 +7,8 @@ Features of a whole text are its distinct words (A-Z lower-cased, known by 64-bi
 its shape: shares of capitals, digits, symbols and repeated words, word length and number of words, in steps.
 
 Training reads at most about ``TRAIN_ROWS`` labelled texts per grade (a hash of the id selects the same
-share of rows everywhere). Features of fewer than a ``MIN_SHARE`` of these texts are left out, which bounds
-the model by the average text times ``1 / MIN_SHARE``. The fit runs in ``SHARDS`` tasks; their parameters
+share of rows everywhere). Features of fewer than a ``MIN_SHARE`` of these texts, which bounds the model by the
+average text times ``1 / MIN_SHARE``, and features spread over the grades like the texts themselves are left out. The fit runs in ``SHARDS`` tasks; their parameters
 are averaged and refined for ``ROUNDS`` rounds.
 
 Defined results: a NULL or empty text is judged by its shape; labels with a NULL or without a text do not train;
@@ -32,11 +32,12 @@ from tillsight.session import stage
 
 TRAIN_ROWS = 12_000
 MIN_SHARE = 1 / 1000
+DEVIATION = 5.0
 SHARDS = 8
 ROUNDS = 2
-STEPS = 120
+STEPS = 300
 RATE = 0.3
-RIDGE = 1e-4
+RIDGE = 3e-5
 SELECT_AT = 0.5
 
 _UPPER, _DIGIT, _SYMBOL, _SPACE = (np.zeros(256, bool) for _ in range(4))
@@ -146,6 +147,17 @@ def _learner(shared: Broadcast) -> Callable[[pa.Table], pa.Table]:
     return learn
 
 
+def _telling(rows: DataFrame, sizes: dict[int, int], total: int) -> DataFrame:
+    """Features that are frequent enough and whose share in some grade is off the grade's share by ``DEVIATION`` standard deviations."""
+    in_grade = {k: F.sum(F.when(F.col("grade") == k, 1).otherwise(0)).alias(f"n{k}") for k in sizes}
+    counted = rows.select("grade", F.explode("features").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n"), *in_grade.values())
+    telling = F.lit(False)
+    for k, size in sizes.items():
+        share = size / total
+        telling = telling | (F.abs(F.col(f"n{k}") - F.col("n") * share) >= DEVIATION * F.sqrt(F.col("n") * share * (1 - share)))
+    return counted.where((F.col("n") >= max(5, total * MIN_SHARE)) & telling).select("f")
+
+
 def fit(docs: DataFrame, grades: DataFrame, levels: int, train_rows: int = TRAIN_ROWS) -> Model:
     """Model of ``grades`` (doc_id, grade from 0 to ``levels - 1``) and the texts of ``docs``."""
     spark = docs.sparkSession
@@ -166,9 +178,9 @@ def fit(docs: DataFrame, grades: DataFrame, levels: int, train_rows: int = TRAIN
 
     narrow = texts.select(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SHARDS)).alias("shard"), F.col("grade").cast("int").alias("grade"), "text")
     rows = stage(map_arrow(narrow, describe, "shard long, grade int, features array<long>"), "features")
-    total = rows.count()
-    frequent = rows.select(F.explode("features").alias("f")).groupBy("f").count().where(F.col("count") >= max(5, total * MIN_SHARE))
-    known = np.sort(np.array([r[0] for r in frequent.select("f").collect()], np.int64).view(np.uint64))
+    sizes = {r["grade"]: r["n"] for r in rows.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = sum(sizes.values())
+    known = np.sort(np.array([r[0] for r in _telling(rows, sizes, total).collect()], np.int64).view(np.uint64))
     weights, thresholds = np.zeros(len(known)), np.arange(levels - 1, dtype=float) - (levels - 2) / 2
 
     for _ in range(ROUNDS if total else 0):
