@@ -93,3 +93,17 @@ def test_first_category_wins_a_revenue_tie(spark):
     lines = features.store_lines(features.line_items(fact(spark, {}, {"product_id": "p2"})), products(spark), stores)
     assert store.top_category_by_store(lines).first().category == "Hats"
     assert store.productivity_by_employee_band(lines).first().employee_band == "1-5"
+
+
+def test_prepared_sales_have_all_groups(spark):
+    lines, invoices = features.prepare_sales(fact(spark, {}, {"line_no": 2, "unit_price": 30.0}, {"invoice_id": "INV-2", "line_total": 90.0, "quantity": 12}))
+    assert {"price_segment"} <= set(lines.columns) and lines.filter("price_segment is null").count() == 0
+    got = {r.invoice_id: (r.basket_size_group, r.order_value_group, r.avg_item_per_order) for r in invoices.collect()}
+    assert got["INV-2"] == ("10+ items", "Very High Value", 7.5) and got["INV-1"][:2] == ("4-5 items", "Low Value")
+
+
+def test_dictionary_lists_every_raw_column():
+    from tillsight.schema import RAW_COLUMNS
+    from tillsight.sources.tables import data_dictionary
+
+    assert [name for name, _ in data_dictionary()] == [c.name for c in RAW_COLUMNS] and all(meaning for _, meaning in data_dictionary())
