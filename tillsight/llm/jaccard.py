@@ -282,8 +282,8 @@ def _links(docs: DataFrame, representatives: DataFrame) -> DataFrame:
     pairs = stage(_star_pairs(representatives), "pairs")
     diffs = _differences(docs, pairs)
     stars = diffs.where("linked").select(F.col("p").alias("u"), F.col("x").alias("v"))
-    unsettled = diffs.where(~F.col("linked")).select("p").distinct()
-    members = diffs.join(unsettled, "p", "left_semi")
+    unsettled = stage(diffs.where(~F.col("linked")).select("p").distinct(), "unsettled")
+    members = diffs.join(broadcast_if_small(unsettled), "p", "left_semi")
     entries = stage(_difference_lists(members), "entries")
     stars = stars.unionByName(_sides(_list_stars(entries), members))
     labels = components(stars)
