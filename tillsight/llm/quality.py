@@ -12,7 +12,7 @@ average text times ``1 / MIN_SHARE``, and features spread over the grades like t
 are averaged and refined for ``ROUNDS`` rounds.
 
 Defined results: a NULL or empty text is judged by its shape; labels with a NULL or without a text do not train;
-several labels of a document all train; with no labels every text has the lowest grade's values; repeated
+several labels of a document all train; with no labels, or too few to tell a feature, every text has the lowest grade's values; repeated
 rows give repeated results; an empty table gives an empty result.
 """
 
@@ -104,7 +104,7 @@ class Model:
 def descend(rows: list[np.ndarray], grades: np.ndarray, weights: np.ndarray, thresholds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Adaptive gradient steps on the balanced log-likelihood; ``rows`` hold feature numbers."""
     weights, thresholds = weights.copy(), thresholds.copy()
-    lengths = np.array([len(r) for r in rows])
+    lengths = np.array([len(r) for r in rows], np.int64)
     flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
     starts = np.cumsum(lengths) - lengths
     per_grade = np.bincount(grades, minlength=len(thresholds) + 1)
@@ -183,7 +183,7 @@ def fit(docs: DataFrame, grades: DataFrame, levels: int, train_rows: int = TRAIN
     known = np.sort(np.array([r[0] for r in _telling(rows, sizes, total).collect()], np.int64).view(np.uint64))
     weights, thresholds = np.zeros(len(known)), np.arange(levels - 1, dtype=float) - (levels - 2) / 2
 
-    for _ in range(ROUNDS if total else 0):
+    for _ in range(ROUNDS if len(known) else 0):
         shared = spark.sparkContext.broadcast((known, weights, thresholds))
         parts = rows.groupBy("shard").applyInArrow(_learner(shared), "w binary, t binary").collect()  # SHARDS rows
         weights = np.mean([np.frombuffer(p["w"]) for p in parts], axis=0)
