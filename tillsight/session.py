@@ -36,12 +36,6 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` on shared storage so lost executors cannot change it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 _SCOPES: list[list[str]] = []
 
 
@@ -57,7 +51,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a columnar staging table and return a fresh scan of it.
 
     Used where several column-pruned passes follow. Tables staged inside a
-    ``staging_scope`` go when it ends; others stay as long as checkpoint files do.
+    ``staging_scope`` go when it ends; others stay until the shared folder is cleared.
     """
     spark = df.sparkSession
     path = stage_path(spark, name)
