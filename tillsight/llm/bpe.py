@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillsight.llm.texts import AS_IS, bounded, hash_spans, list_array, map_arrow
+from tillsight.llm.texts import AS_IS, bounded, hash_spans, importable, list_array, map_arrow
 
 BLOCK_BYTES = 3 << 20
 DECODE_IDS = 1 << 17
@@ -237,6 +237,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     coded = map_arrow(narrow, codes, f"block long, doc_ids array<{kind}>, counts array<int>, codes binary, places binary, check long")
     dealt = map_arrow(narrow, words, "bucket int, block long, lengths binary, words binary").repartition(buckets, "bucket")
     merged = map_arrow(dealt, merge, "block long, bucket int, counts binary, ids binary, check long")
+    importable(spark)
     return coded.groupBy("block").cogroup(merged.groupBy("block")).applyInArrow(reassemble, f"doc_id {kind}, ids array<int>")
 
 

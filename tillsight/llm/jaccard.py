@@ -295,7 +295,8 @@ def _links(docs: DataFrame, representatives: DataFrame) -> DataFrame:
 
 def component_labels(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of every document."""
-    sets = stage(described(docs), "sets")
+    with records_per_batch(docs.sparkSession, 16 * RECORDS):
+        sets = stage(described(docs), "sets")
     keys = ["s1", "s2", "n"]
     classes = stage(sets.where(F.col("n") > 0).groupBy(keys).agg(F.min("doc_id").alias("rep")), "classes")
     mine = sets.select(*keys, "keys", F.col("doc_id").alias("rep")).where(F.size("keys") > 0)

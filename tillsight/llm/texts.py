@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Tables of ids are broadcast up to this number of rows, and joined by a shuffle beyond it.
 BROADCAST_ROWS = 1_000_000
 
@@ -32,9 +32,15 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Python workers serve many stages; these allocator settings make them return freed arrays at once.
+LEAN = {"MALLOC_MMAP_THRESHOLD_": "262144", "MALLOC_TRIM_THRESHOLD_": "262144", "MALLOC_ARENA_MAX": "1", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
 def importable(spark: SparkSession) -> None:
-    """Let Python workers find this package where it lies under the same path as on the driver."""
+    """Let Python workers find this package where it lies under the same path as on the driver, and keep them small."""
     environment, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    for name, value in LEAN.items():
+        environment.setdefault(name, value)
     paths = environment.get("PYTHONPATH", "").split(os.pathsep)
     if root not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
