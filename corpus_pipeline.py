@@ -23,8 +23,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of linked texts, that with the smallest id."""
-    return jaccard.representatives(docs)
+    """Keep one document of each group of texts that share 0.8 of their five-word shingles, that with the smallest id."""
+    return jaccard.representatives(docs, jaccard.NEAR)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

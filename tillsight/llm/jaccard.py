@@ -1,11 +1,13 @@
 """Exact n-gram Jaccard self-join of documents and the components of its links, by set relations.
 
-A document's set holds its distinct shingles of ``SHINGLE`` words. Sets of sizes a and b link when their
-symmetric difference d has ``19 * d <= a + b``, which is a Jaccard similarity of 0.9 or more.
+A document's set holds its distinct shingles of some words. A ``Rule`` has their number and the least Jaccard
+similarity as an integer ratio num / den: sets of sizes a and b link when their symmetric difference d has
+``(den + num) * d <= (den - num) * (a + b)``. All bounds below derive from it. ``CONTRACT`` (three words, 0.9) is the
+rule of op2, ``NEAR`` (five words, 0.8) that of the pipeline.
 
 1. Equal sets become one class; its representative is the smallest id.
 2. Index lists: the hash range is cut into one part more than two linked sets of a size class can differ in
-   elements, so linked sets agree in at least one part. A list holds the sets with the same content in the same part.
+   elements, so linked sets agree in at least one part, and some parts more for those that may be empty. A list holds the sets with the same content in the same part.
    A shared passage, a frequent word or line puts no sets into one list; near copies it does.
 3. Each list has one pivot, its smallest id. The difference of every member to the pivot is computed once;
    it decides the link to the pivot, and it is all that later steps read: for members x and y of
@@ -20,8 +22,8 @@ symmetric difference d has ``19 * d <= a + b``, which is a Jaccard similarity of
 No step gathers a list in one task or emits all pairs of a group of linked sets; pairs below the
 threshold are compared only if they share a rare enough element of their differences. Nothing but counts reaches the driver.
 
-Defined results: a NULL, empty or blank text has an empty set and links with nothing; a text of one or
-two words has its word sequence as single shingle; rows with a NULL id get no component of their own
+Defined results: a NULL, empty or blank text has an empty set and links with nothing; a text of fewer
+words than a shingle has its word sequence as single shingle; rows with a NULL id get no component of their own
 (``component_id`` is that of the equal sets with ids, else NULL) and never represent; repeated rows get equal results; rows that
 repeat an id with another text are judged by their text; an empty table gives an empty result.
 """
@@ -29,6 +31,7 @@ repeat an id with another text are judged by their text; an empty table gives an
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +44,6 @@ from tillsight.llm.components import components
 from tillsight.llm.texts import NOT_SPACE, bounded, broadcast_if_small, list_array, map_arrow, mix, records_per_batch, unused, window_owners, windows, words
 from tillsight.session import stage
 
-SHINGLE = 3
 BLOCK = 8
 
 LAST_SCHEME = 2
@@ -50,7 +52,40 @@ RECORDS = 128
 _PART, _CLASS, _SECOND, _SCHEME = (np.uint64(v) for v in mix(np.array([101, 102, 103, 104], np.uint64)))
 
 
-def shingle_sets(column: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+@dataclass(frozen=True)
+class Rule:
+    """Sets of shingles of ``shingle`` words link from a Jaccard similarity of ``num / den`` on."""
+
+    shingle: int
+    num: int
+    den: int
+
+    def __post_init__(self) -> None:
+        if self.shingle < 1 or not 0 < self.num <= self.den:
+            raise ValueError(f"no shingle size and similarity: {self}")
+
+    def largest(self, sizes: np.ndarray) -> np.ndarray:
+        """Size of the largest set that links with one of each size."""
+        return sizes * self.den // self.num
+
+    def apart(self, both: np.ndarray) -> np.ndarray:
+        """Most elements in which linked sets of ``both`` elements together differ."""
+        return both * (self.den - self.num) // (self.den + self.num)
+
+    def linked(self, d: Column | str, a: Column | str, b: Column | str) -> Column:
+        d, a, b = (F.col(c) if isinstance(c, str) else c for c in (d, a, b))
+        return d * (self.den + self.num) <= (a + b) * (self.den - self.num)
+
+    def common(self, d: Column, sizes: Column) -> Column:
+        """Elements that two differences of ``d`` elements together share at least if their sets, of ``sizes`` elements together, link."""
+        return (d - sizes * (self.den - self.num) / (self.den + self.num)) / 2
+
+
+CONTRACT = Rule(3, 9, 10)
+NEAR = Rule(5, 4, 5)
+
+
+def shingle_sets(column: pa.Array, size: int = CONTRACT.shingle) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each text, one text after the other, and where each begins."""
     found = words(column, NOT_SPACE)
     counts = np.diff(found.first)
@@ -77,30 +112,46 @@ def size_classes(largest: int) -> np.ndarray:
     return np.array([*edges, edges[-1] + max(edges[-1] // 4, 1)], np.int64)
 
 
-def part_keys(values: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def part_keys(values: np.ndarray, edges: np.ndarray, rule: Rule = CONTRACT) -> tuple[np.ndarray, np.ndarray]:
     """List keys of each set: keys one set after the other, and their number for each set.
 
-    A set goes to its own size class, and to the next one if a linked set can be in it. Classes
+    A set goes to its own size class, and to the next ones as far as a linked set can be in them. Classes
     in which only equal sets link need no keys.
     """
     sizes = np.diff(edges)
-    bounds = size_classes(int(sizes.max(initial=1)) * 10 // 9)
+    bounds = size_classes(int(rule.largest(sizes.max(initial=1))))
     own = np.searchsorted(bounds, sizes, side="right") - 1
-    partner = np.searchsorted(bounds, sizes * 10 // 9, side="right") - 1
-    doc = np.concatenate((np.flatnonzero(sizes > 0), np.flatnonzero((sizes > 0) & (partner > own))))
-    group = np.concatenate((own[sizes > 0], partner[(sizes > 0) & (partner > own)]))
-    parts = 2 * (bounds[group + 1] - 1) // 19 + 1
-    doc, keys = _keys_of(values, edges, doc[parts > 1], group[parts > 1], parts[parts > 1], 0)
+    partner = np.searchsorted(bounds, rule.largest(sizes), side="right") - 1
+    steps = [np.flatnonzero((sizes > 0) & (partner - own >= k)) for k in range(int((partner - own).max(initial=0)) + 1)]
+    doc = np.concatenate(steps)
+    group = np.concatenate([own[found] + k for k, found in enumerate(steps)])
+    parts = rule.apart(2 * (bounds[1:] - 1)) + 1
+    spare = _spare_parts(parts, -(-bounds[:-1] * rule.num // rule.den))
+    cut = parts[group] > 1
+    doc, group = doc[cut], group[cut]
+    doc, keys = _keys_of(values, edges, doc, group, (parts + spare)[group], spare[group], 0)
     order = np.argsort(doc, kind="stable")
     return keys[order], np.bincount(doc, minlength=len(sizes))
 
 
-def _keys_of(values: np.ndarray, edges: np.ndarray, doc: np.ndarray, group: np.ndarray, parts: np.ndarray, scheme: int) -> tuple[np.ndarray, np.ndarray]:
+def _spare_parts(parts: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Parts beyond the necessary ones for each size class, about as many as are empty in its smallest sets (``least``)."""
+    spare = np.zeros(len(parts), np.int64)
+    for _ in range(4):
+        empty = (parts + spare) * np.exp(-least / (parts + spare))
+        spare = np.floor(empty + 2 * np.sqrt(empty)).astype(np.int64)
+    return spare
+
+
+def _keys_of(
+    values: np.ndarray, edges: np.ndarray, doc: np.ndarray, group: np.ndarray, parts: np.ndarray, spare: np.ndarray, scheme: int
+) -> tuple[np.ndarray, np.ndarray]:
     """(set, key) for the parts of the given (set, size class) pairs.
 
-    Sets may agree in nothing but parts that are empty in both. They would all share one list, so a
-    pair with an empty part lists its other parts only and is cut again by another hash; both sets
-    of such an agreement are. The last scheme lists its empty parts.
+    Linked sets agree in more than ``spare`` parts. If no more than these are empty in a set, it agrees in one with
+    content, and empty parts, which all sets would share, need no list. Else a pair lists its other parts and is
+    cut again by another hash; both sets that agree in nothing but empty parts are. The last scheme lists the empty
+    parts of such sets.
     """
     if not len(doc):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -122,10 +173,12 @@ def _keys_of(values: np.ndarray, edges: np.ndarray, doc: np.ndarray, group: np.n
     pair = np.repeat(np.arange(len(doc)), parts)
     number = (np.arange(len(sums)) - first[pair]).astype(np.uint64)
     keys = mix(sums + mix(number * _PART + group[pair].astype(np.uint64) * _CLASS + shift))
-    lacking = np.bincount(pair, weights=~filled, minlength=len(doc)) > 0
+    lacking = np.bincount(pair, weights=~filled, minlength=len(doc)) > spare
+    if scheme == LAST_SCHEME:
+        filled |= lacking[pair]
     if scheme == LAST_SCHEME or not lacking.any():
-        return doc[pair], keys
-    more = _keys_of(values, edges, doc[lacking], group[lacking], parts[lacking], scheme + 1)
+        return doc[pair][filled], keys[filled]
+    more = _keys_of(values, edges, doc[lacking], group[lacking], parts[lacking], spare[lacking], scheme + 1)
     return np.concatenate((doc[pair][filled], more[0])), np.concatenate((keys[filled], more[1]))
 
 
@@ -138,13 +191,13 @@ def _sums(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return out
 
 
-def described(docs: DataFrame) -> DataFrame:
+def described(docs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
     """``doc_id``, set size ``n``, a 128-bit fingerprint (``s1``, ``s2``) and the list ``keys`` of each document."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches):
-            values, edges = shingle_sets(batch.column("text"))
-            keys, counts = part_keys(values, edges)
+            values, edges = shingle_sets(batch.column("text"), rule.shingle)
+            keys, counts = part_keys(values, edges, rule)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), pa.array(np.diff(edges)), pa.array(_sums(mix(values), edges).view(np.int64)),
@@ -158,10 +211,6 @@ def described(docs: DataFrame) -> DataFrame:
     return map_arrow(narrow, describe, f"doc_id {kind}, n long, s1 long, s2 long, keys array<long>")
 
 
-def _linked(d: Column | str, a: Column | str, b: Column | str) -> Column:
-    return F.col(d) * 19 <= F.col(a) + F.col(b) if isinstance(d, str) else d * 19 <= a + b
-
-
 def _star_pairs(representatives: DataFrame) -> DataFrame:
     """Distinct (p, x): the pivot of a list and another member."""
     postings = representatives.select(F.explode("keys").alias("key"), F.col("rep").alias("x")).repartition("key")
@@ -169,7 +218,7 @@ def _star_pairs(representatives: DataFrame) -> DataFrame:
     return postings.join(lists, "key").where(F.col("x") != F.col("p")).select("p", "x").distinct()
 
 
-def _differences(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def _differences(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
     """For each pair (p, x), numbered ``m``: set sizes ``np`` and ``nx``, size ``d`` and elements ``diff`` of the difference, ``linked``.
 
     Texts meet their pairs where they are scanned by a broadcast of the pairs while these are few; only
@@ -182,9 +231,9 @@ def _differences(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "text_x"):
-            xs, x_edges = shingle_sets(batch.column("text_x"))
+            xs, x_edges = shingle_sets(batch.column("text_x"), rule.shingle)
             pivots = batch.column("text_p").dictionary_encode()  # the same pivot comes many times in a row
-            ps, p_edges = shingle_sets(pivots.dictionary)
+            ps, p_edges = shingle_sets(pivots.dictionary, rule.shingle)
             which = pivots.indices.to_numpy(zero_copy_only=False)
             diffs = [
                 np.setxor1d(xs[x_edges[i] : x_edges[i + 1]], ps[p_edges[j] : p_edges[j + 1]], assume_unique=True)
@@ -203,12 +252,12 @@ def _differences(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     kind = pairs.schema["p"].dataType.simpleString()
     joined = of_x.join(of_p, "p").select("p", "x", "text_x", "text_p")
     found = map_arrow(joined, compare, f"p {kind}, x {kind}, np long, nx long, d long, diff array<long>")
-    found = found.withColumns({"linked": _linked("d", "np", "nx"), "m": F.monotonically_increasing_id()})
+    found = found.withColumns({"linked": rule.linked("d", "np", "nx"), "m": F.monotonically_increasing_id()})
     with records_per_batch(docs.sparkSession, RECORDS):  # a pivot's text comes with each member
         return stage(found, "differences")
 
 
-def _difference_lists(members: DataFrame) -> DataFrame:
+def _difference_lists(members: DataFrame, rule: Rule) -> DataFrame:
     """Entries of the second index: lists ``g`` of members of a pivot with one element among their rarest.
 
     ``at`` is the element's position in the member's order, rarest first, elements no other member
@@ -221,14 +270,15 @@ def _difference_lists(members: DataFrame) -> DataFrame:
     ranked = elements.join(shared, "g").select(
         "g", "m", F.count(F.lit(1)).over(own).alias("known"), (F.row_number().over(own.orderBy("df", "g")) - 1).alias("place")
     )
-    h = F.floor((F.col("nx") + F.floor(F.col("nx") * 10 / 9)) / 19)
+    both = F.col("nx") + F.expr(f"nx * {rule.den} div {rule.num}")
+    h = F.floor(both * (rule.den - rule.num) / (rule.den + rule.num))
     entries = ranked.join(members.drop("diff", "np"), "m").withColumn("at", F.col("d") - F.col("known") + F.col("place"))
     return entries.where(F.col("at") <= h).select("p", "g", "x", "nx", "d", "linked", "at")
 
 
-def _may_link(entries: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+def _may_link(entries: DataFrame, other: DataFrame, keys: list[str], rule: Rule) -> DataFrame:
     """Pairs of entries of one list, of columns ``*_x`` and ``*_y``, whose positions leave room for enough common elements."""
-    needed = (F.col("d_x") + F.col("d_y") - (F.col("nx_x") + F.col("nx_y")) / 19) / 2
+    needed = rule.common(F.col("d_x") + F.col("d_y"), F.col("nx_x") + F.col("nx_y"))
     room = F.least(F.col("d_x") - F.col("at_x"), F.col("d_y") - F.col("at_y"))
     return entries.join(other, keys).where((F.col("x_x") != F.col("x_y")) & ~(F.col("linked_x") & F.col("linked_y")) & (needed <= room))
 
@@ -237,12 +287,12 @@ def _named(entries: DataFrame, side: str, names: tuple[str, ...]) -> DataFrame:
     return entries.select("p", "g", *[F.col(n).alias(f"{n}_{side}") for n in names])
 
 
-def _sides(pairs: DataFrame, members: DataFrame) -> DataFrame:
+def _sides(pairs: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
     """Pairs (p, x, y) of one pivot that link, by their differences to it."""
     one = members.select("p", "x", F.col("nx").alias("n1"), F.col("d").alias("d1"), F.col("diff").alias("f1"))
     two = members.select("p", F.col("x").alias("y"), F.col("nx").alias("n2"), F.col("d").alias("d2"), F.col("diff").alias("f2"))
     apart = F.col("d1") + F.col("d2") - 2 * F.size(F.array_intersect("f1", "f2"))
-    return pairs.join(one, ["p", "x"]).join(two, ["p", "y"]).where(_linked(apart, F.col("n1"), F.col("n2"))).select(
+    return pairs.join(one, ["p", "x"]).join(two, ["p", "y"]).where(rule.linked(apart, "n1", "n2")).select(
         F.col("x").alias("u"), F.col("y").alias("v")
     )
 
@@ -250,14 +300,14 @@ def _sides(pairs: DataFrame, members: DataFrame) -> DataFrame:
 ENTRY = ("x", "nx", "d", "at", "linked")
 
 
-def _list_stars(entries: DataFrame) -> DataFrame:
+def _list_stars(entries: DataFrame, rule: Rule) -> DataFrame:
     """Distinct (p, x, y): in each list the members x with the member y of smallest difference, where they may link."""
     low = entries.groupBy("p", "g").agg(F.min(F.struct("d", *[n for n in ENTRY if n != "d"])).alias("low"))
     low = low.select("p", "g", *[F.col(f"low.{n}").alias(f"{n}_y") for n in ENTRY])
-    return _may_link(_named(entries, "x", ENTRY), low, ["p", "g"]).select("p", F.col("x_x").alias("x"), F.col("x_y").alias("y")).distinct()
+    return _may_link(_named(entries, "x", ENTRY), low, ["p", "g"], rule).select("p", F.col("x_x").alias("x"), F.col("x_y").alias("y")).distinct()
 
 
-def _open_pairs(entries: DataFrame, labels: DataFrame) -> DataFrame:
+def _open_pairs(entries: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame:
     """Distinct pairs (p, x, y) of one list and different components that may link."""
     placed = join_back(entries, labels.withColumnRenamed("node", "x"), ["x"]).withColumn("component", F.coalesce("component", "x"))
     blocked = stage(placed.withColumn("b", F.struct(F.floor(F.col("d") / BLOCK).alias("d"), F.floor(F.col("at") / BLOCK).alias("at"))), "blocks")
@@ -266,50 +316,50 @@ def _open_pairs(entries: DataFrame, labels: DataFrame) -> DataFrame:
         F.min("component").alias("c1"), F.max("component").alias("c2"), F.min("linked").alias("linked"),
     )
     names = ("b", "low", "most", "room", "c1", "c2", "linked")
-    needed = (F.col("low_x") + F.col("low_y") - (F.col("most_x") + F.col("most_y")) / 19) / 2
+    needed = rule.common(F.col("low_x") + F.col("low_y"), F.col("most_x") + F.col("most_y"))
     one_component = (F.col("c1_x") == F.col("c2_x")) & (F.col("c1_y") == F.col("c2_y")) & (F.col("c1_x") == F.col("c1_y"))
     kept = _named(blocks, "x", names).join(_named(blocks, "y", names), ["p", "g"]).where(
         (F.col("b_x") <= F.col("b_y")) & (needed <= F.least("room_x", "room_y")) & ~one_component & ~(F.col("linked_x") & F.col("linked_y"))
     ).select("p", "g", "b_x", "b_y")
     names = (*ENTRY, "b", "component")
-    pairs = _may_link(kept.join(_named(blocked, "x", names), ["p", "g", "b_x"]), _named(blocked, "y", names), ["p", "g", "b_y"])
+    pairs = _may_link(kept.join(_named(blocked, "x", names), ["p", "g", "b_x"]), _named(blocked, "y", names), ["p", "g", "b_y"], rule)
     apart = pairs.where(F.col("component_x") != F.col("component_y"))
     return apart.select("p", F.least("x_x", "x_y").alias("x"), F.greatest("x_x", "x_y").alias("y")).distinct()
 
 
-def _links(docs: DataFrame, representatives: DataFrame) -> DataFrame:
+def _links(docs: DataFrame, representatives: DataFrame, rule: Rule) -> DataFrame:
     """Components of the representatives that link with another one: ``node``, ``component``."""
     pairs = stage(_star_pairs(representatives), "pairs")
-    diffs = _differences(docs, pairs)
+    diffs = _differences(docs, pairs, rule)
     stars = diffs.where("linked").select(F.col("p").alias("u"), F.col("x").alias("v"))
     unsettled = stage(diffs.where(~F.col("linked")).select("p").distinct(), "unsettled")
     members = diffs.join(broadcast_if_small(unsettled), "p", "left_semi")
-    entries = stage(_difference_lists(members), "entries")
-    stars = stars.unionByName(_sides(_list_stars(entries), members))
+    entries = stage(_difference_lists(members, rule), "entries")
+    stars = stars.unionByName(_sides(_list_stars(entries, rule), members, rule))
     labels = components(stars)
-    across = stage(_sides(_open_pairs(entries, labels), members), "links")
+    across = stage(_sides(_open_pairs(entries, labels, rule), members, rule), "links")
     if across.isEmpty():
         return labels
     return components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(across))
 
 
-def component_labels(docs: DataFrame) -> DataFrame:
+def component_labels(docs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of every document."""
     with records_per_batch(docs.sparkSession, 16 * RECORDS):
-        sets = stage(described(docs), "sets")
+        sets = stage(described(docs, rule), "sets")
     keys = ["s1", "s2", "n"]
     classes = stage(sets.where(F.col("n") > 0).groupBy(keys).agg(F.min("doc_id").alias("rep")), "classes")
     mine = sets.select(*keys, "keys", F.col("doc_id").alias("rep")).where(F.size("keys") > 0)
-    labels = _links(docs, mine.join(classes, [*keys, "rep"]).select("rep", "keys"))
+    labels = _links(docs, mine.join(classes, [*keys, "rep"]).select("rep", "keys"), rule)
     named = classes.join(labels, classes["rep"] == labels["node"], "left").select(*keys, F.coalesce("component", "rep").alias("component_id"))
     return join_back(sets.select("doc_id", *keys), named, keys, spread="doc_id").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
 
-def representatives(docs: DataFrame) -> DataFrame:
+def representatives(docs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
     """One document of each component, that with the smallest id, with all its columns."""
     key = unused(docs, "_gone")
-    labels = component_labels(docs)
+    labels = component_labels(docs, rule)
     gone = labels.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(key)).distinct()
     return docs.join(broadcast_if_small(stage(gone, "gone")), docs["doc_id"] == F.col(key), "left_anti")

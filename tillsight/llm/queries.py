@@ -51,7 +51,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.component_labels(_table(spark, sf_dir, "documents"))
+    return jaccard.component_labels(_table(spark, sf_dir, "documents"), jaccard.CONTRACT)
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
