@@ -1,14 +1,16 @@
 """Benchmark decontamination on templates: typed placeholders, hash-joined windows, slot consistency.
 
-Words are canonicalised in two ways. The literal form is the lower-cased word. The template form replaces
-numbers (``3``, ``1,250.5``), units after a number and names (capitalised inside a sentence) by typed
-placeholders and keeps what stood there as slot values. Windows of ``WINDOW`` words are hashed in both
-forms; template windows need ``LITERALS`` ordinary words and at least one slot.
+Words are canonicalised in three forms. The literal form is the lower-cased word. The template form replaces
+numbers (``3``, ``1,250.5``), units after a number and names (runs of words capitalised inside a sentence, after any
+white space or punctuation that ends no sentence; a run is one slot) by typed placeholders and keeps what stood
+there as slot values. The openers form also takes capitalised words that open a text or sentence for names, as
+they may be. Windows of ``WINDOW`` words are hashed in each form; windows of slots only tell nothing and are left out.
 
 A filter of fixed size over the benchmark's windows lets possible hits through, whatever the size of the
-benchmark; these are joined exactly on form and hash and gathered by (document, item, diagonal). An item leaks into a
-document when ``HITS`` windows of one diagonal (all of them, for an item with fewer) match literally, or
-match as templates while the slot values of item and document map one to one: the same question with
+benchmark; these are joined exactly on form and hash and gathered by (document, item, form, diagonal). An item leaks
+into a document when ``HITS`` windows of one diagonal (all of them, for an item with fewer) match literally, or
+match as templates with ``LITERALS`` ordinary words (all but one of a shorter item) while the slot values of item and
+document agree: they map one to one. The same question with
 other numbers and names does, a text that merely has the same shape does not.
 
 Defined results: items and documents that are NULL, empty or shorter than their windows leak
@@ -20,14 +22,15 @@ tables give empty results.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillsight.llm.bloom import build
-from tillsight.llm.texts import ALPHANUMERIC, bounded, broadcast_if_small, hash_spans, list_array, map_arrow, mix, unused, window_owners, windows, words
+from tillsight.llm.texts import ALPHANUMERIC, bounded, broadcast_if_small, byte_class, hash_spans, map_arrow, mix, unused, window_owners, windows, words
 from tillsight.session import stage
 
 WINDOW = 8
@@ -35,7 +38,9 @@ LITERALS = 5
 HITS = 3
 MIN_WORDS = 4
 FILTER_BITS = 1 << 24
-LITERAL, TEMPLATE = 0, 1
+LITERAL, TEMPLATE, OPENERS = 0, 1, 2
+WORD, NUMBER, UNIT, NAME = 0, 1, 2, 3
+ANY = np.uint64(0)
 
 #: Units recognised after a number.
 UNITS = (
@@ -55,95 +60,144 @@ def _hash_texts(texts: tuple[str, ...]) -> np.ndarray:
 
 
 _UNIT_HASHES = np.sort(_hash_texts(UNITS))
-NUMBER_MARK, UNIT_MARK, NAME_MARK = _hash_texts(("\0number", "\0unit", "\0name"))
-
-
-class Canonical:
-    """Both forms of the words of several texts: ``literal`` and ``template`` hashes, ``slot`` flags."""
-
-    def __init__(self, column: pa.Array) -> None:
-        found = words(column, ALPHANUMERIC)
-        data, starts, ends, first = found.data, found.starts, found.ends, found.first
-        n = len(starts)
-        self.first = first
-        if not n:
-            self.literal = self.template = np.zeros(0, np.uint64)
-            self.slot = np.zeros(0, bool)
-            return
-        digit = (data >= 0x30) & (data <= 0x39)
-        number = np.add.reduceat(digit, starts, dtype=np.int32) == ends - starts
-        opens = np.zeros(n, bool)
-        opens[first[:-1][np.diff(first) > 0]] = True
-        gap = np.zeros(n, np.uint8)  # the byte between a word and the one before, if it is a single byte
-        one = np.flatnonzero((starts[1:] - ends[:-1] == 1) & ~opens[1:]) + 1
-        gap[one] = data[starts[one] - 1]
-        joins = number & ((gap == 0x2C) | (gap == 0x2E))
-        joins[1:] &= number[:-1]
-        joins[0] = False
-        unit = np.zeros(n, bool)
-        unit[1:] = number[:-1] & ~opens[1:] & ~number[1:]
-        unit &= np.isin(found.hashes, _UNIT_HASHES)
-        capital = (data[starts] >= 0x41) & (data[starts] <= 0x5A)
-        second = data[np.minimum(starts + 1, len(data) - 1)]
-        small = (ends - starts > 1) & ((second >= 0x80) | ((second >= 0x61) & (second <= 0x7A)))
-        name = capital & small & (gap == 0x20)
-        keep = ~joins
-        group = np.cumsum(keep) - 1
-        literal = found.hashes[keep].copy()
-        for i in np.flatnonzero(joins):  # later parts of a number like 1,250.5
-            whole = slice(group[i], group[i] + 1)
-            literal[whole] = mix(literal[whole] + found.hashes[i : i + 1])
-        self.literal = literal
-        self.slot = (number | unit | name)[keep]
-        mark = np.where(number, NUMBER_MARK, np.where(unit, UNIT_MARK, NAME_MARK))[keep]
-        self.template = np.where(self.slot, mark, literal)
-        self.first = np.concatenate(([0], np.cumsum(keep)))[first]
-
-    def windows(self, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(form, hashes, start words, owners) of the windows of ``size`` words."""
+_MARKS = _hash_texts(("\0word", "\0number", "\0unit", "\0name"))
+_SENTENCE_END = byte_class(b".!?:")
+#: Bytes that end a name of several words: all but white space and hyphens.
+_NO_RUN = byte_class(b for b in range(256) if b not in b" \t\n\v\f\r-")
+
+
+@dataclass
+class Stream:
+    """Words of several texts in one form: hashes, ``kind`` of slot, slot ``value`` (``ANY``: not compared), first word of each text."""
+
+    hashes: np.ndarray
+    kind: np.ndarray
+    value: np.ndarray
+    first: np.ndarray
+
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hashes, start words, owners) of the windows of ``size`` words with an ordinary word, which are all that can be evidence."""
         starts, owner = window_owners(self.first, size)
         if not len(starts):
-            return
-        yield LITERAL, windows(self.literal, size)[starts], starts, owner
-        slots = np.concatenate(([0], np.cumsum(self.slot)))
-        inside = slots[starts + size] - slots[starts]
-        rich = (inside > 0) & (size - inside >= min(LITERALS, size - 1))
-        if rich.any():
-            yield TEMPLATE, windows(self.template, size)[starts[rich]], starts[rich], owner[rich]
-
-    def slot_values(self, start: int, size: int) -> list[int]:
-        """Slot values of one window as signed numbers, in order."""
+            return np.zeros(0, np.uint64), starts, owner
+        ordinary = np.concatenate(([0], np.cumsum(self.kind == WORD)))
+        some = ordinary[starts + size] > ordinary[starts]
+        starts, owner = starts[some], owner[some]
+        return windows(self.hashes, size)[starts], starts, owner
+
+    def values(self, start: int, size: int, *kinds: int) -> list[int]:
+        """Slot values of these kinds in one window as signed numbers, in order."""
         part = slice(start, start + size)
-        return self.literal[part][self.slot[part]].view(np.int64).tolist()
+        return self.value[part][np.isin(self.kind[part], kinds)].view(np.int64).tolist()
 
 
-WINDOW_SCHEMA = "form int, hash long, item_id {kind}, item_at int, item_windows int, size int, item_slots array<long>"
+def forms(column: pa.Array) -> list[Stream]:
+    """The streams of all texts in the forms ``LITERAL``, ``TEMPLATE`` and ``OPENERS``."""
+    found = words(column, ALPHANUMERIC)
+    data, starts, ends, first = found.data, found.starts, found.ends, found.first
+    n = len(starts)
+    if not n:
+        none = np.zeros(0, np.uint64)
+        return [Stream(none, np.zeros(0, np.int8), none, first)] * 3
+    digit = (data >= 0x30) & (data <= 0x39)
+    number = np.add.reduceat(digit, starts, dtype=np.int32) == ends - starts
+    opens = np.zeros(n, bool)
+    opens[first[:-1][np.diff(first) > 0]] = True
+    gap = np.zeros(n, np.uint8)  # the byte between a word and the one before, if it is a single byte
+    one = np.flatnonzero((starts[1:] - ends[:-1] == 1) & ~opens[1:]) + 1
+    gap[one] = data[starts[one] - 1]
+    joins = number & ((gap == 0x2C) | (gap == 0x2E))
+    joins[1:] &= number[:-1]
+    joins[0] = False
+    unit = np.zeros(n, bool)
+    unit[1:] = number[:-1] & ~opens[1:] & ~number[1:]
+    unit &= np.isin(found.hashes, _UNIT_HASHES)
+    capital = (data[starts] >= 0x41) & (data[starts] <= 0x5A)
+    second = data[np.minimum(starts + 1, len(data) - 1)]
+    small = (ends - starts > 1) & ((second >= 0x80) | ((second >= 0x61) & (second <= 0x7A)))
+    name = capital & small & (gap == 0x20) & ~unit
+    literal = found.hashes.copy()
+    heads = np.flatnonzero(~joins)
+    head = heads[np.cumsum(~joins) - 1]
+    for i in np.flatnonzero(joins):  # later parts of a number like 1,250.5
+        whole = slice(head[i], head[i] + 1)
+        literal[whole] = mix(literal[whole] + found.hashes[i : i + 1])
+    words_kind = np.where(number, NUMBER, np.where(unit, UNIT, WORD)).astype(np.int8)
+    out = [_stream(literal, np.zeros(n, np.int8), joins, first, np.zeros(n, bool))]
+    out.append(_stream(literal, np.where(name, NAME, words_kind).astype(np.int8), joins, first, np.zeros(n, bool)))
+    return out
+
+
+def _between(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Whether a byte of ``kind`` stands between each word and the one before."""
+    before = np.concatenate(([0], np.cumsum(kind[data], dtype=np.int32)))
+    out = np.zeros(len(starts), bool)
+    out[1:] = before[starts[1:]] > before[ends[:-1]]
+    return out
+
+
+def _stream(literal: np.ndarray, kind: np.ndarray, dropped: np.ndarray, first: np.ndarray, opener: np.ndarray, tail: np.ndarray | None = None) -> Stream:
+    """The stream without the ``dropped`` words; the value of a name of several words is made of all of them.
+
+    A name of several words that opens a sentence may begin with an ordinary word, so its value is not compared.
+    """
+    value = literal
+    if tail is not None and tail.any():
+        value = literal.copy()
+        kept = np.flatnonzero(~dropped)
+        head = kept[np.cumsum(~dropped) - 1]
+        np.add.at(value, head[tail], mix(literal[tail]))
+        value[head[tail & opener[head]]] = ANY
+    keep = ~dropped
+    hashes = np.where(kind == WORD, literal, _MARKS[kind])
+    return Stream(hashes[keep], kind[keep], value[keep], np.concatenate(([0], np.cumsum(keep)))[first])
+
+
+WINDOW_SCHEMA = (
+    "form int, hash long, item_id {kind}, item_at int, item_windows int, item_words int, size int, item_names array<long>, item_numbers array<long>, "
+    "item_literals array<int>"
+)
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """Windows of every benchmark item in both forms."""
+    """Windows of every benchmark item in all forms; template forms only of items with a slot."""
     narrow = benchmark.select("item_id", "text")
+    names = ["form", "hash", "item_id", "item_at", "item_windows", "item_words", "size", "item_names", "item_numbers", "item_literals"]
+    kinds = [pa.int32(), pa.int64(), None, *[pa.int32()] * 4, *[pa.list_(pa.int64())] * 2, pa.list_(pa.int32())]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches):
-            canonical = Canonical(batch.column("text"))
-            counts = np.diff(canonical.first)
-            out = [[], [], [], [], [], [], []]
-            for size in [WINDOW, *range(MIN_WORDS, WINDOW)]:
-                for form, hashes, starts, owner in canonical.windows(size):
-                    for h, start, i in zip(hashes.view(np.int64).tolist(), starts.tolist(), owner.tolist(), strict=True):
-                        if size == WINDOW or size == counts[i]:
-                            slots = canonical.slot_values(start, size) if form == TEMPLATE else []
-                            at = int(start - canonical.first[i])
-                            for column, value in zip(out, (form, h, i, at, int(counts[i]) - size + 1, size, slots), strict=True):
-                                column.append(value)
-            kinds = [pa.int32(), pa.int64(), None, pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
+            out = [[] for _ in names]
+            for form, stream in enumerate(forms(batch.column("text"))):
+                counts = np.diff(stream.first)
+                slots = np.diff(np.concatenate(([0], np.cumsum(stream.kind != WORD)))[stream.first])
+                for size in [WINDOW, *range(MIN_WORDS, WINDOW)]:
+                    hashes, starts, owner = stream.windows(size)
+                    mine = ((size == WINDOW) | (counts[owner] == size)) & ((form == LITERAL) | (slots[owner] > 0))
+                    number = np.bincount(owner[mine], minlength=len(counts))
+                    for h, start, i in zip(hashes[mine].view(np.int64).tolist(), starts[mine].tolist(), owner[mine].tolist(), strict=True):
+                        at = int(start - stream.first[i])
+                        literals = (at + np.flatnonzero(stream.kind[start : start + size] == WORD)).tolist() if form != LITERAL else []
+                        row = (form, h, i, at, int(number[i]), int(counts[i]), size, stream.values(start, size, NAME, UNIT), stream.values(start, size, NUMBER), literals)
+                        for column, value in zip(out, row, strict=True):
+                            column.append(value)
             arrays = [pa.array(v, k) if k else batch.column("item_id").take(pa.array(v, pa.int64())) for v, k in zip(out, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, ["form", "hash", "item_id", "item_at", "item_windows", "size", "item_slots"])
+            yield pa.RecordBatch.from_arrays(arrays, names)
 
     return map_arrow(narrow, make, WINDOW_SCHEMA.format(kind=narrow.schema["item_id"].dataType.simpleString()))
 
 
+def _pairs(item: str, doc: str) -> Column:
+    """Distinct pairs of slot values of a group of matching windows."""
+    pairs = F.array_distinct(F.flatten(F.collect_set(F.arrays_zip(item, doc))))
+    return F.filter(pairs, lambda p: (p[item] != int(ANY)) & (p[doc] != int(ANY)))
+
+
+def _single(pairs: str, side: str) -> Column:
+    """Whether no value of a side has two partners."""
+    return F.size(F.array_distinct(f"{pairs}.{side}")) == F.size(pairs)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
     """Each (document, item) that leaks.
 
@@ -159,42 +213,42 @@ def leaks(docs: DataFrame, benchmark: DataFrame, filter_bits: int = FILTER_BITS)
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloom, sizes = shared.value
         for batch in bounded(batches):
-            canonical = Canonical(batch.column("text"))
-            for size in sizes:
-                for form, hashes, starts, owner in canonical.windows(size):
+            for form, stream in enumerate(forms(batch.column("text"))):
+                for size in sizes:
+                    hashes, starts, owner = stream.windows(size)
                     hit = np.flatnonzero(bloom.maybe(hashes))
                     if not len(hit):
                         continue
-                    rows = pa.array(owner[hit])
-                    slots = [canonical.slot_values(s, size) if form == TEMPLATE else [] for s in starts[hit].tolist()]
+                    rows, places = pa.array(owner[hit]), starts[hit].tolist()
                     yield pa.RecordBatch.from_arrays(
                         [
                             batch.column("row").take(rows), batch.column("doc_id").take(rows), batch.column("text_hash").take(rows),
                             pa.array(np.full(len(hit), form), pa.int32()), pa.array(hashes[hit].view(np.int64)),
-                            pa.array((starts[hit] - canonical.first[owner[hit]]).astype(np.int32)),
-                            pa.array(np.full(len(hit), size), pa.int32()), pa.array(slots, pa.list_(pa.int64())),
+                            pa.array((starts[hit] - stream.first[owner[hit]]).astype(np.int32)), pa.array(np.full(len(hit), size), pa.int32()),
+                            pa.array([stream.values(s, size, NAME, UNIT) for s in places], pa.list_(pa.int64())),
+                            pa.array([stream.values(s, size, NUMBER) for s in places], pa.list_(pa.int64())),
                         ],
-                        ["row", "doc_id", "text_hash", "form", "hash", "doc_at", "size", "doc_slots"],
+                        ["row", "doc_id", "text_hash", "form", "hash", "doc_at", "size", "doc_names", "doc_numbers"],
                     )
 
     narrow = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"), "text")
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    schema = f"row long, doc_id {kind}, text_hash long, form int, hash long, doc_at int, size int, doc_slots array<long>"
+    schema = f"row long, doc_id {kind}, text_hash long, form int, hash long, doc_at int, size int, doc_names array<long>, doc_numbers array<long>"
     matched = map_arrow(narrow, search, schema).join(listed, ["form", "hash", "size"])
-    literal = F.col("form") == LITERAL
-    pairs = F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", "doc_slots"))))
-    diagonals = matched.groupBy("row", "doc_id", "text_hash", "item_id", "item_windows", (F.col("doc_at") - F.col("item_at")).alias("diagonal")).agg(
-        F.size(F.collect_set(F.when(literal, F.col("item_at")))).alias("literal_hits"),
-        F.size(F.collect_set("item_at")).alias("hits"), pairs.alias("pairs"),
+    keys = ["row", "doc_id", "text_hash", "item_id", "form", "item_windows", "item_words"]
+    diagonals = matched.groupBy(*keys, (F.col("doc_at") - F.col("item_at")).alias("diagonal")).agg(
+        F.size(F.collect_set("item_at")).alias("hits"), F.size(F.array_distinct(F.flatten(F.collect_set("item_literals")))).alias("literals"),
+        _pairs("item_names", "doc_names").alias("names"), _pairs("item_numbers", "doc_numbers").alias("numbers"),
+    )
+    verbatim = F.col("form") == LITERAL
+    names = _single("names", "item_names") & _single("names", "doc_names")
+    numbers = _single("numbers", "item_numbers") & _single("numbers", "doc_numbers")
+    enough = F.col("literals") >= F.least(F.lit(LITERALS), F.col("item_words") - 1)
+    found = diagonals.where((F.col("hits") >= F.least(F.lit(HITS), F.col("item_windows"))) & (verbatim | (enough & names & numbers)))
+    best = F.max(F.struct(F.col("hits").cast("long").alias("n_windows"), (F.col("hits") / F.col("item_windows")).alias("coverage")))
+    return found.groupBy("row", "doc_id", "text_hash", "item_id").agg(best.alias("best"), F.max(verbatim).alias("verbatim")).select(
+        "doc_id", "text_hash", "item_id", "best.n_windows", "best.coverage", "verbatim"
     )
-    consistent = (F.size(F.array_distinct("pairs.item_slots")) == F.size("pairs")) & (F.size(F.array_distinct("pairs.doc_slots")) == F.size("pairs"))
-    needed = F.least(F.lit(HITS), F.col("item_windows"))
-    verbatim = F.col("literal_hits") >= needed
-    best = F.when(consistent, F.col("hits")).otherwise(F.col("literal_hits"))
-    found = diagonals.where(verbatim | (consistent & (F.col("hits") >= needed)))
-    return found.groupBy("row", "doc_id", "text_hash", "item_id", "item_windows").agg(
-        F.max(best).cast("long").alias("n_windows"), F.max(verbatim).alias("verbatim")
-    ).select("doc_id", "text_hash", "item_id", "n_windows", (F.col("n_windows") / F.col("item_windows")).alias("coverage"), "verbatim")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
