@@ -1,8 +1,12 @@
 """Benchmark questions with other numbers, units and names."""
 
+import pytest
+
 from tests.llm.test_decontaminate import found
 
 CAR = "A car drives 60 km in 2 hours and then 90 km in 3 hours. What is its average speed?"
+MARIA = "Maria has 5 apples and gives 3 to John"
+ROADS = "the old road from Paris to the small harbour runs along the coast. Paris is older than the harbour and the road"
 
 
 def check(spark, item, text):
@@ -15,3 +19,15 @@ BOTH = {(0, 1), (1, 1)}
 def test_numbers_with_units(spark):
     assert check(spark, CAR, CAR.replace("60", "80").replace(" 2 ", " 4 ").replace("90", "50").replace(" 3 ", " 5 ")) == BOTH
     assert check(spark, CAR, "A list: 60 km, 2 hours, 90 km, 3 hours, 5 km, 6 hours, 7 km, 9 hours") == set()
+
+
+@pytest.mark.parametrize("item, text", [
+    (MARIA, "Paula has 8 apples and gives 4 to Peter"),
+    (MARIA, "Paula has 8 apples and gives 4 to\nPeter"),
+    (MARIA, "\"Paula has 8 apples and gives 4 to  (Peter)"),
+    (MARIA, "Then Paula has 8 apples and gives 4 to Peter"),
+    (ROADS, ROADS.replace("Paris", "New York")),
+    (ROADS, ROADS.replace("Paris", "\nBoston")),
+])
+def test_names_anywhere(spark, item, text):
+    assert check(spark, item, text) == BOTH

@@ -115,7 +115,10 @@ def forms(column: pa.Array) -> list[Stream]:
     capital = (data[starts] >= 0x41) & (data[starts] <= 0x5A)
     second = data[np.minimum(starts + 1, len(data) - 1)]
     small = (ends - starts > 1) & ((second >= 0x80) | ((second >= 0x61) & (second <= 0x7A)))
-    name = capital & small & (gap == 0x20) & ~unit
+    named = capital & small & ~unit
+    opener = named & (opens | _between(data, starts, ends, _SENTENCE_END))
+    follows = ~opens & ~_between(data, starts, ends, _NO_RUN)
+    follows[0] = False
     literal = found.hashes.copy()
     heads = np.flatnonzero(~joins)
     head = heads[np.cumsum(~joins) - 1]
@@ -124,7 +127,10 @@ def forms(column: pa.Array) -> list[Stream]:
         literal[whole] = mix(literal[whole] + found.hashes[i : i + 1])
     words_kind = np.where(number, NUMBER, np.where(unit, UNIT, WORD)).astype(np.int8)
     out = [_stream(literal, np.zeros(n, np.int8), joins, first, np.zeros(n, bool))]
-    out.append(_stream(literal, np.where(name, NAME, words_kind).astype(np.int8), joins, first, np.zeros(n, bool)))
+    for name in (named & ~opener, named):
+        tail = name & ~opener & follows  # later words of a name like New York
+        tail[1:] &= name[:-1]
+        out.append(_stream(literal, np.where(name, NAME, words_kind).astype(np.int8), joins | tail, first, opener & name, tail))
     return out
 
 
