@@ -7,6 +7,11 @@ from tests.llm.test_decontaminate import found
 CAR = "A car drives 60 km in 2 hours and then 90 km in 3 hours. What is its average speed?"
 MARIA = "Maria has 5 apples and gives 3 to John"
 ROADS = "the old road from Paris to the small harbour runs along the coast. Paris is older than the harbour and the road"
+BALLS = "a box holds 3 red and 5 blue balls, how many balls must we draw to be sure"
+FRUIT = (
+    "a farmer picks 5 apples and 5 pears on the first day of the harvest and sells half of them at the market "
+    "before the rain comes, how much fruit is left in the barn"
+)
 
 
 def check(spark, item, text):
@@ -31,3 +36,8 @@ def test_numbers_with_units(spark):
 ])
 def test_names_anywhere(spark, item, text):
     assert check(spark, item, text) == BOTH
+
+
+def test_numbers_that_coincide_by_chance(spark):
+    assert check(spark, BALLS, BALLS.replace("3", "4").replace("5", "4")) == BOTH
+    assert check(spark, FRUIT, FRUIT.replace("5 apples and 5", "8 apples and 9")) == BOTH
