@@ -176,7 +176,8 @@ def identified(docs: DataFrame, model: Model, min_coverage: float = MIN_COVERAGE
     """The documents whose language is one of the model's, with all their columns.
 
     Rejected are texts without a letter and texts of which less than ``min_coverage`` belongs to the
-    predicted language.
+    predicted language. A text with letters that is too short for an n-gram (fewer than ``GRAM`` bytes) shows
+    no foreign language and stays, unless the model has none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -186,7 +187,8 @@ def identified(docs: DataFrame, model: Model, min_coverage: float = MIN_COVERAGE
             values, edges = grams(batch.column("text"))
             counts = model.counts(values, edges)
             coverage = counts.max(axis=1, initial=0) / np.maximum(np.diff(edges), 1)
-            yield batch.filter(pa.array(has_letter(batch.column("text")) & (coverage >= min_coverage)))
+            short = (np.diff(edges) == 0) & bool(model.languages)
+            yield batch.filter(pa.array(has_letter(batch.column("text")) & (short | (coverage >= min_coverage))))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return map_arrow(docs, keep, schema)
