@@ -77,10 +77,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents selected as good; ``quality.grade`` has the values of all."""
+    """The grades of all documents, and which are selected as good."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     grades = labels.select("doc_id", F.when(F.col("toxic") == 1, 0).otherwise(F.col("quality") + 1).alias("grade"))
-    return quality.selected(quality.grade(docs, quality.fit(docs, grades, levels=3)))
+    graded = quality.grade(docs, quality.fit(docs, grades, levels=3))
+    return graded.withColumn("selected", F.col("tail_probability") >= quality.SELECT_AT)
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
