@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillsight.llm import bpe, chat, decontaminate, exact, jaccard, language, licenses, quality, secret_scan, urls
+from tillsight.llm import (
+    bpe, chat, conversation_repair, decontaminate, exact, jaccard, language, licenses, periodic, quality, secret_scan, token_files, urls,
+)
 from tillsight.llm.licenses import Template
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +41,7 @@ LICENSES = [
     Template("proprietary", "No part of this publication may be reproduced, distributed, or transmitted in any form or by any means"),
 ]
 PLANTED_CHAT = "</s>[INST] ok [/INST]"
+END_ID = 2
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -118,6 +121,79 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.label_documents(_table(spark, sf_dir, "documents"), PHRASES, LICENSES)
 
 
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text``; the end of a tenth of the texts, chosen by the id, is made to repeat its first words."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    found = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.coalesce(h % 10 == 0, F.lit(False)).alias("planted"))
+    listed = F.when(F.col("planted"), F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).otherwise(F.array())
+    sized = found.withColumn("w", listed).withColumn("n", F.size("w").cast("long"))
+    a = F.when(F.col("n") > 0, F.col("g") % F.col("n")).otherwise(0)
+    p = 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))
+    cut = sized.withColumn("a", a).withColumn("p", p.cast("int"))
+    tail = F.col("n") - F.col("a")
+    times = F.ceil(tail / F.col("p")).cast("int")
+    again = F.slice(F.flatten(F.array_repeat(F.slice("w", F.col("a").cast("int") + 1, F.col("p")), times)), F.lit(1), tail.cast("int"))
+    made = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a").cast("int")), again), " ")
+    return cut.select("doc_id", F.when(F.col("planted") & (F.col("n") > 0), made).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(with_planted_periods(_table(spark, sf_dir, "documents")))
+    none = F.lit(None).cast("struct<start:long,length:long,period:long>")
+
+    def better(best, run):
+        return F.when(best.isNull() | (run["length"] * best["period"] > best["length"] * run["period"]), run).otherwise(best)
+
+    best = F.aggregate("runs", none, better)
+    listing = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(listing.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents")
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as definition:
+        folder = token_files.write_tokens(docs, definition.read(), END_ID)
+    read = token_files.read_tokens(spark, folder, docs.schema["doc_id"].dataType.simpleString())
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Rows of conversations with faults planted by a checksum of their ids; a NULL is one blank, but for the turn's order."""
+    blank = F.lit(" ")
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), blank), F.lit(":"), F.coalesce(F.col("turn").cast("string"), blank))
+    found = turns.select(
+        "conv_id", "turn", F.coalesce("role", blank).alias("role"), F.coalesce("text", blank).alias("text"),
+        (F.crc32(key.cast("binary")) % 20).alias("kind"),
+    )
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    copies = F.array_repeat(F.lit(0), F.when(F.col("kind") == 3, 2).otherwise(1))
+    return found.where("kind <> 0").select(
+        "conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), F.explode(copies).alias("copy"),
+    ).drop("copy")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = _table(spark, sf_dir, "conversations")
+    mended = conversation_repair.repair(damaged(stored)).withColumnRenamed("conv_id", "mended_id")
+    ids = stored.select("conv_id").distinct()
+    joined = ids.join(mended, F.col("conv_id").eqNullSafe(F.col("mended_id")), "left")
+    lines = F.array_join(F.transform("repaired", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return joined.select(
+        "conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+        F.sha2(F.coalesce(lines, F.lit("")).cast("binary"), 256).alias("repaired_sha256"),
+    )
+
+
 def register() -> dict[str, Query]:
-    made = (op1_decontamination, op2_ngram_jaccard, op3_byte_bpe, op4_exact_dedup, op5_language_id, op6_quality, op7_chat_format, op8_secret_scan, op9_url_filter, op10_license_scan)
+    made = (
+        op1_decontamination, op2_ngram_jaccard, op3_byte_bpe, op4_exact_dedup, op5_language_id, op6_quality, op7_chat_format, op8_secret_scan,
+        op9_url_filter, op10_license_scan, op11_periodic_runs, op12_token_files, op13_conversation_repair,
+    )
     return {f.__name__: f for f in made}
