@@ -20,7 +20,7 @@ goes to the exceptions. The last block is filled up with its reference. Block b
 any place are read without those before (``TokenFile.ids``).
 
 Encoding takes each run of bytes other than ASCII white space by itself, and each distinct one once as long as it is
-remembered (``REMEMBERED``). This gives the library's ids for every tokenizer that drops white space and never joins over it;
+remembered (``REMEMBERED``); it goes through the library's normaliser, pre-tokeniser and model. This gives the library's ids for every tokenizer that drops white space and never joins over it;
 for others pass ``by_word=False``, which hands over whole texts. Strings of special tokens in a text are ordinary text.
 
 Defined results: a NULL or empty text has the end id alone; rows of one ``doc_id`` (NULL first) follow each other by a hash
@@ -31,6 +31,7 @@ files. A task holds one slice of texts and the document table of its file.
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -55,6 +56,8 @@ BLOCKS_AT_ONCE = 2048
 FILE_TEXT_BYTES = 128 << 20
 #: Distinct words whose ids a task remembers; beyond that it starts anew.
 REMEMBERED = 1 << 18
+#: Words without white space or control characters; so many of them are normalised and split at a time.
+PLAIN, JOINED = re.compile(r"[^\s\x00-\x20\x7f-\xa0]+"), 1024
 READ_IDS = 1 << 20
 MANIFEST = pa.schema([("file", pa.int32()), ("path", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64())])
 
@@ -202,12 +205,36 @@ class _Encoder:
 
     def __init__(self, definition: str, by_word: bool) -> None:
         self.tokenizer, self.by_word = _tokenizer(definition), by_word
+        #: A step that is missing, or that joins pieces again, leaves each word to the library alone.
+        self.steps = self.tokenizer.normalizer is not None and self.tokenizer.pre_tokenizer is not None and self.tokenizer.post_processor is None
         self.known: dict[bytes, int] = {}
+        self.pieces: dict[str, list[int]] = {}
         self.ids: list[list[int]] = []
 
     def _learn(self, words: list[bytes]) -> None:
-        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        self.ids += [e.ids for e in encoded]
+        """Append the ids of new words. Plain ones pass the tokenizer's steps many at a time, its merges once for each distinct piece."""
+        texts = [w.decode() for w in words]
+        learned: list[list[int] | None] = [None] * len(texts)
+        plain = [i for i, text in enumerate(texts) if PLAIN.fullmatch(text)] if self.by_word and self.steps else []
+        if len(self.pieces) > REMEMBERED:
+            self.pieces = {}
+        for begin in range(0, len(plain), JOINED):
+            chosen = plain[begin : begin + JOINED]
+            normal = self.tokenizer.normalizer.normalize_str(" ".join(texts[i] for i in chosen))
+            parts = normal.split(" ")
+            if len(parts) != len(chosen) or not all(parts):
+                continue  # the steps changed what separates words
+            ends = np.cumsum([len(p) + 1 for p in parts])
+            found = self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)
+            owners = np.searchsorted(ends, [a for _, (a, _) in found], side="right").tolist()
+            for i in chosen:
+                learned[i] = []
+            for owner, (piece, _) in zip(owners, found, strict=True):
+                ids = self.pieces.get(piece)
+                if ids is None:
+                    ids = self.pieces[piece] = [token.id for token in self.tokenizer.model.tokenize(piece)]
+                learned[chosen[owner]] += ids
+        self.ids += [self.tokenizer.encode(text, add_special_tokens=False).ids if ids is None else ids for text, ids in zip(texts, learned, strict=True)]
 
     def __call__(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of ids of the texts, and all their ids, each text's followed by the end id."""
@@ -305,5 +332,5 @@ def read_tokens(spark, folder: str, doc_id_type: str = "bigint") -> DataFrame:
                 a = b
             file.close()
 
-    spread = files.repartition(F.col("file"))
+    spread = files.repartition(max(1, manifest.count()))  # one task for each file
     return map_arrow(spread, read, f"doc_id {doc_id_type}, start long, n_tokens long, ids binary")
