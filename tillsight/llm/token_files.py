@@ -20,7 +20,8 @@ goes to the exceptions. The last block is filled up with its reference. Block b
 any place are read without those before (``TokenFile.ids``).
 
 Encoding takes each run of bytes other than ASCII white space by itself, and each distinct one once as long as it is
-remembered (``REMEMBERED``); it goes through the library's normaliser, pre-tokeniser and model. This gives the library's ids for every tokenizer that drops white space and never joins over it;
+remembered (``REMEMBERED``); it goes through the library's normaliser, pre-tokeniser and model. Printable ASCII is split
+by the same pattern outside the library where its definition is of a known form (``_ascii_steps``). This gives the library's ids for every tokenizer that drops white space and never joins over it;
 for others pass ``by_word=False``, which hands over whole texts. Strings of special tokens in a text are ordinary text.
 
 Defined results: a NULL or empty text has the end id alone; rows of one ``doc_id`` (NULL first) follow each other by a hash
@@ -35,7 +36,7 @@ import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillsight.llm.bpe import gather
+from tillsight.llm.bpe import ascii_pattern, gather
 from tillsight.llm.texts import bounded, map_arrow
 from tillsight.session import stage_path
 
@@ -56,8 +57,9 @@ BLOCKS_AT_ONCE = 2048
 FILE_TEXT_BYTES = 128 << 20
 #: Distinct words whose ids a task remembers; beyond that it starts anew.
 REMEMBERED = 1 << 18
-#: Words without white space or control characters; so many of them are normalised and split at a time.
-PLAIN, JOINED = re.compile(r"[^\s\x00-\x20\x7f-\xa0]+"), 1024
+#: Texts of ASCII without control characters; words without white space or control characters, of which so many are normalised and split at a time.
+PRINTABLE = re.compile(r"[\t-\r -~]*").fullmatch
+PLAIN, JOINED = re.compile(r"[^\s\x00-\x20\x7f-\xa0]+").fullmatch, 1024
 READ_IDS = 1 << 20
 MANIFEST = pa.schema([("file", pa.int32()), ("path", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64())])
 
@@ -200,24 +202,57 @@ def _tokenizer(definition: str):
     return made
 
 
+def _ascii_steps(definition: str) -> tuple[bool, re.Pattern] | None:
+    """What a tokenizer does to printable ASCII before its merges, as (whether it lower-cases, pattern of pieces); None if that is not known.
+
+    Known are definitions that normalise by NFC, white space and lower case alone, and keep the matches of one pattern.
+    """
+    made = json.loads(definition)
+
+    def steps(part: dict | None, inner: str) -> list[dict]:
+        return [] if part is None else part[inner] if part["type"] == "Sequence" else [part]
+
+    normal, split = steps(made["normalizer"], "normalizers"), steps(made["pre_tokenizer"], "pretokenizers")
+    blank = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    if any(n["type"] not in ("NFC", "Lowercase") and n != blank for n in normal) or made["post_processor"] is not None:
+        return None
+    if len(split) != 2 or split[0]["type"] != "Split" or "Regex" not in split[0]["pattern"] or split[1]["type"] != "ByteLevel":
+        return None
+    if (split[0]["behavior"], split[0]["invert"], split[1]["add_prefix_space"], split[1].get("use_regex")) != ("Removed", True, False, False):
+        return None
+    pattern = ascii_pattern(split[0]["pattern"]["Regex"])
+    return None if pattern is None else (any(n["type"] == "Lowercase" for n in normal), pattern)
+
+
 class _Encoder:
-    """Ids of texts, word by word or whole."""
+    """Ids of texts, by pieces, by words or whole; entries of ``ids`` are what a place in a text may hold."""
 
     def __init__(self, definition: str, by_word: bool) -> None:
         self.tokenizer, self.by_word = _tokenizer(definition), by_word
         #: A step that is missing, or that joins pieces again, leaves each word to the library alone.
-        self.steps = self.tokenizer.normalizer is not None and self.tokenizer.pre_tokenizer is not None and self.tokenizer.post_processor is None
-        self.known: dict[bytes, int] = {}
-        self.pieces: dict[str, list[int]] = {}
-        self.ids: list[list[int]] = []
+        self.steps = by_word and None not in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer) and self.tokenizer.post_processor is None
+        self.ascii = _ascii_steps(definition) if self.steps else None
+        self._forget()
+
+    def _forget(self) -> None:
+        #: Places in ``ids`` of pieces (str), which only the merges are left to act on, and of words (bytes).
+        self.known: dict[str | bytes, int] = {}
+        self.ids: list[list[int]] = [[]]  # entry 0 stands for the end of a text
+
+    def _enter(self, key: str | bytes, ids: list[int]) -> None:
+        self.known[key] = len(self.ids)
+        self.ids.append(ids)
+
+    def _merged(self, piece: str) -> list[int]:
+        if piece not in self.known:
+            self._enter(piece, [token.id for token in self.tokenizer.model.tokenize(piece)])
+        return self.ids[self.known[piece]]
 
     def _learn(self, words: list[bytes]) -> None:
-        """Append the ids of new words. Plain ones pass the tokenizer's steps many at a time, its merges once for each distinct piece."""
+        """Enter new words. Those without odd characters pass the tokenizer's steps many at a time, its merges once for each distinct piece."""
         texts = [w.decode() for w in words]
         learned: list[list[int] | None] = [None] * len(texts)
-        plain = [i for i, text in enumerate(texts) if PLAIN.fullmatch(text)] if self.by_word and self.steps else []
-        if len(self.pieces) > REMEMBERED:
-            self.pieces = {}
+        plain = [i for i, text in enumerate(texts) if PLAIN(text)] if self.steps else []
         for begin in range(0, len(plain), JOINED):
             chosen = plain[begin : begin + JOINED]
             normal = self.tokenizer.normalizer.normalize_str(" ".join(texts[i] for i in chosen))
@@ -230,42 +265,61 @@ class _Encoder:
             for i in chosen:
                 learned[i] = []
             for owner, (piece, _) in zip(owners, found, strict=True):
-                ids = self.pieces.get(piece)
-                if ids is None:
-                    ids = self.pieces[piece] = [token.id for token in self.tokenizer.model.tokenize(piece)]
-                learned[chosen[owner]] += ids
-        self.ids += [self.tokenizer.encode(text, add_special_tokens=False).ids if ids is None else ids for text, ids in zip(texts, learned, strict=True)]
+                learned[chosen[owner]] += self._merged(piece)
+        for word, text, ids in zip(words, texts, learned, strict=True):
+            self._enter(word, self.tokenizer.encode(text, add_special_tokens=False).ids if ids is None else ids)
+
+    def _pieces(self, text: str) -> list[str]:
+        lower, pattern = self.ascii
+        return pattern.findall(text.lower() if lower else text)
+
+    def _keys(self, text: str | None) -> list[str | bytes]:
+        """A text as pieces, where its ASCII runs can be split here, and words."""
+        if not text:
+            return []
+        if self.ascii is None:
+            return text.encode().split() if self.by_word else [text.encode()]
+        if PRINTABLE(text):
+            return self._pieces(text)
+        keys: list[str | bytes] = []
+        for plain, run in groupby(text.encode().split(), bytes.isascii):
+            joined = b" ".join(run)
+            if plain and PRINTABLE(ascii_text := joined.decode()):
+                keys += self._pieces(ascii_text)
+            else:
+                keys += joined.split()
+        return keys
 
     def __call__(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of ids of the texts, and all their ids, each text's followed by the end id."""
         if len(self.ids) > REMEMBERED:
-            self.known, self.ids = {}, []
-        if not self.ids:  # entry 0 stands for the end of a text
-            self.ids = [[end_id]]
-        pieces = [(t or "").encode() for t in texts]
-        listed = [p.split() if self.by_word else [p] for p in pieces]
-        known, fresh = self.known, []
-        places: list[int] = []
-        for words in listed:
-            for word in words:
-                place = known.get(word)
-                if place is None:
-                    place = known[word] = len(self.ids) + len(fresh)
-                    fresh.append(word)
-                places.append(place)
-            places.append(0)
-        if fresh:
-            self._learn(fresh)
-        used, inverse = np.unique(np.array(places, np.int64), return_inverse=True)
+            self._forget()
+        self.ids[0] = [end_id]
+        listed = [self._keys(text) for text in texts]
+        fresh = set(chain.from_iterable(listed)).difference(self.known)
+        for key in fresh:
+            if isinstance(key, str):
+                self._merged(key)
+        if words := [key for key in fresh if isinstance(key, bytes)]:
+            self._learn(words)
+        known = self.known.__getitem__
+        places = np.fromiter(chain.from_iterable(chain(map(known, x), (0,)) for x in listed), np.int64, sum(map(len, listed)) + len(listed))
+        used, inverse = np.unique(places, return_inverse=True)
         mine = [self.ids[i] for i in used.tolist()]
         lengths = np.fromiter(map(len, mine), np.int64, len(mine))
         flat = np.fromiter(chain.from_iterable(mine), np.uint32, int(lengths.sum()))
         ids = gather(flat, (np.cumsum(lengths) - lengths)[inverse], lengths[inverse])
-        edges = np.cumsum([len(words) + 1 for words in listed])
+        edges = np.cumsum([len(x) + 1 for x in listed])
         ends = np.cumsum(lengths[inverse])[edges - 1]
         return np.diff(ends, prepend=0), ids
 
 
+@lru_cache(maxsize=2)
+def _encoder(definition: str, by_word: bool) -> _Encoder:
+    """The encoder of a Python worker, which remembers words from one task to the next."""
+    return _Encoder(definition, by_word)
+
+
 def in_order(docs: DataFrame, file_text_bytes: int = FILE_TEXT_BYTES) -> DataFrame:
     """``doc_id`` and ``text`` in partitions of ascending ``doc_id``, each sorted; rows of one id may fill several."""
     spark = docs.sparkSession
@@ -294,7 +348,7 @@ def write_tokens(docs: DataFrame, definition: str, end_id: int, folder: str | No
         encoder, writer = None, None
         for batch in bounded(batches):
             if writer is None:
-                encoder = _Encoder(shared.value, by_word)
+                encoder = _encoder(shared.value, by_word)
                 number = TaskContext.get().partitionId()
                 writer = _Writer(f"{folder}/ids-{number:07d}-{uuid.uuid4().hex}.pfor")
             counts, ids = encoder(batch.column("text").to_pylist(), end_id)
