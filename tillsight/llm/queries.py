@@ -180,15 +180,14 @@ def damaged(turns: DataFrame) -> DataFrame:
 
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = _table(spark, sf_dir, "conversations")
-    mended = conversation_repair.repair(damaged(stored)).withColumnRenamed("conv_id", "mended_id")
-    ids = stored.select("conv_id").distinct()
-    joined = ids.join(mended, F.col("conv_id").eqNullSafe(F.col("mended_id")), "left")
+    figures = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
     lines = F.array_join(F.transform("repaired", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n")
-    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
-    return joined.select(
-        "conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
-        F.sha2(F.coalesce(lines, F.lit("")).cast("binary"), 256).alias("repaired_sha256"),
-    )
+    digest = F.sha2(lines.cast("binary"), 256).alias("repaired_sha256")
+    mended = conversation_repair.repair(damaged(stored)).select(F.col("conv_id").alias("mended_id"), *figures, "audit", digest)
+    joined = stored.select("conv_id").distinct().join(mended, F.col("conv_id").eqNullSafe(F.col("mended_id")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in figures]
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    return joined.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", nothing).alias("repaired_sha256"))
 
 
 def register() -> dict[str, Query]:
