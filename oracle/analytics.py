@@ -259,9 +259,8 @@ cr AS (SELECT a.*, b.customers AS cohort_size, """ + rnd(ratio("a.customers", "b
   FROM cc a JOIN cc b ON a.cohort_month = b.cohort_month AND b.cohort_index = 1)"""
 add("u15_cohort_index", "SELECT source_rowid, customer_id, order_month, cohort_month, cohort_index FROM ci", COHORT)
 add("u16_cohort_retention", "SELECT * FROM cr", COHORT)
-add("u16_cohort_matrix", """SELECT cohort_month, COALESCE(COLUMNS(* EXCLUDE (cohort_month)), 0.0)
-FROM (PIVOT (SELECT cohort_month, 'm' || lpad(CAST(cohort_index AS VARCHAR), 2, '0') AS i, retention FROM cr) ON i USING max(retention) GROUP BY cohort_month)
-ORDER BY cohort_month""", COHORT)
+MONTH_COLUMNS = ", ".join(f"COALESCE(MAX(CASE WHEN cohort_index = {i} THEN retention END), 0.0) AS m{i:02d}" for i in range(1, s.MONTHS + 1))
+add("u16_cohort_matrix", f"SELECT cohort_month, {MONTH_COLUMNS} FROM cr GROUP BY cohort_month", COHORT)
 CLV = f"""cv AS (SELECT *, CAST(date_diff('day', first_purchase, last_purchase) AS INTEGER) AS customer_lifespan_days,
   CAST(greatest(date_diff('day', first_purchase, (SELECT MAX(last_purchase) FROM ck) + 1), 30) AS INTEGER) AS observed_customer_days FROM ck),
 cw AS (SELECT *, customer_revenue / (CAST(observed_customer_days AS DOUBLE) / 365.25) AS annualized_clv, customer_revenue AS historical_clv FROM cv),
@@ -391,7 +390,23 @@ FROM (SELECT *, {EMP} AS employee_band FROM ss) GROUP BY employee_band""", SS)
 # ---- discounts ----
 add("k01_campaigns", "SELECT * FROM active")
 add("k02_campaign_assignment", "SELECT source_rowid, campaign_description, campaign_discount, is_campaign_period FROM dl")
-add("k03_discount_status", "SELECT source_rowid, has_discount, discount_gap, discount_status FROM dl")
+O["k03_discount_status"] = "WITH " + ",".join([BINDING, FACT, DIMENSIONS]) + """,
+x AS (
+  SELECT source_rowid, transaction_date AS d, f.discount, coalesce(p.category, 'Unknown') AS category, coalesce(p.sub_category, 'Unknown') AS sub_category
+  FROM fact f LEFT JOIN products p USING (product_id)
+  WHERE transaction_date IS NOT NULL AND invoice_id IS NOT NULL AND unit_price IS NOT NULL AND quantity IS NOT NULL
+    AND f.discount IS NOT NULL AND line_total IS NOT NULL),
+offers AS (
+  SELECT campaign_seq, TRY_CAST("start" AS TIMESTAMP) AS b, TRY_CAST("end" AS TIMESTAMP) AS e, TRY_CAST(discount AS DOUBLE) AS rate, category, sub_category
+  FROM discounts),
+best AS (
+  SELECT source_rowid, max_by(rate, campaign_seq) AS rate FROM x JOIN offers USING (category, sub_category)
+  WHERE d >= b AND d <= e AND rate IS NOT NULL GROUP BY source_rowid)
+SELECT source_rowid, discount > 0 AS has_discount, discount - coalesce(rate, 0.0) AS discount_gap,
+       CASE WHEN rate IS NOT NULL AND discount > 0 THEN 'Campaign Discount'
+            WHEN rate IS NOT NULL THEN 'Campaign Listed / No Discount Applied'
+            WHEN discount > 0 THEN 'Non-Campaign Discount' ELSE 'No Discount' END AS discount_status
+FROM x LEFT JOIN best USING (source_rowid)"""
 add("k04_discount_overview", f"""
 SELECT {total0('revenue')} AS total_revenue, {total0('gross_profit')} AS total_profit,
        {', '.join(f"{total0(f'CASE WHEN {c} THEN revenue END')} AS {n}" for c, n in (

@@ -64,3 +64,6 @@ FINAL_COLUMNS = (
     "transaction_date", "discount", "line_total", "store_id", "employee_id", "currency", "currency_symbol", "sku", "transaction_type",
     "payment_method", "invoice_total", "has_line_no", "has_customer_id", "has_product_id", "has_unit_price", "has_quantity",
 )
+
+#: Calendar months that the bound orders span.
+MONTHS = 80

@@ -110,3 +110,27 @@ def test_clean_then_report(spark, tmp_path):
     names = {"monthly_revenue", "campaign_summary", "revenue_by_age_group"}
     done = pipeline.write_reports(final.drop("year", "month"), load_dimensions(spark, out, "_final"), AS_OF, out, names)
     assert set(done) == names and load_table(spark, "monthly_revenue", out).count() > 60
+
+
+def test_every_twin_can_be_made_a_view(twin):
+    for number, (name, sql) in enumerate(TWINS.items()):
+        twin.execute(f'CREATE VIEW "twin_{number}_{name}" AS {sql}')
+
+
+def test_cleaning_figures_come_with_the_writes(spark):
+    """The summaries read back nothing but row digests and keys; the raw table is scanned once, by the normalising pass."""
+    import re
+
+    tables = Fixture(spark, SMALL)
+    from tillsight.operators import clean
+
+    result = clean.cleaned(tables.raw, tables.dimensions)
+
+    def scanned(df):
+        return re.findall(r"ReadSchema: (\S+)", df._jdf.queryExecution().executedPlan().toString())
+
+    assert scanned(clean.before_after(result)) == [f"struct<{clean.DIGEST}:binary>"] * 2
+    wide = [x for x in scanned(clean.cleaning_summary(result, tables.dimensions)) if "product_id" in x and "customer_id" in x]
+    assert wide == ["struct<customer_id:string,product_id:string,store_id:string,employee_id:string>"]
+    empty = clean.cleaned(tables.raw.limit(0), tables.dimensions)
+    assert [tuple(r) for r in clean.before_after(empty).collect()] == [("before", 0, None, 0, None), ("after", 0, None, 0, None)]

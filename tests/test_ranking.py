@@ -3,7 +3,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tillsight.functions.ranking import quantiles, row_numbers, running_total, tiers
+from tillsight.functions import selection
+from tillsight.functions.ranking import row_numbers, running_total
+from tillsight.functions.selection import quantiles, tiers
 from tillsight.functions.skew import join_back
 
 
@@ -76,3 +78,50 @@ def test_join_back_splits_a_hot_key_and_keeps_null_keys(spark):
     finally:
         for name in settings:
             spark.conf.unset(name)
+
+
+@pytest.fixture
+def small_windows(monkeypatch):
+    """Bounds so small that a few thousand rows take several rounds."""
+    monkeypatch.setattr(selection, "INSIDE", 20)
+    monkeypatch.setattr(selection, "ACCURACY", 25)
+
+
+def test_selection_in_many_rounds(spark, small_windows):
+    rng = np.random.default_rng(5)
+    n = 4000
+    frame = pd.DataFrame({
+        "k": [f"customer-{i:05d}" for i in rng.permutation(n)], "wide": rng.normal(0, 1e9, n), "tied": rng.choice([1.0, 1.0, 1.0, 2.0, 7.5], n),
+        "steep": 10.0 ** rng.uniform(-300, 300, n), "same": np.full(n, 3.0), "gaps": np.where(rng.random(n) < 0.3, np.nan, rng.integers(0, 50, n)),
+    })
+    df = spark.createDataFrame(frame).withColumn("gaps", F.nanvl("gaps", F.lit(None).cast("double"))).repartition(6)
+    names = ("wide", "tied", "steep", "same", "gaps")
+    positions = (1, 2, 777, 2000, 2001, 2700)
+    for key in (None, "k"):
+        wanted = [(c, p) for c in range(len(names)) for p in positions if p <= frame[names[c]].count()]
+        got = selection.at_positions(df, [F.col(c) for c in names], wanted, key=key)
+        for (c, p), answer in zip(wanted, got, strict=True):
+            ordered = frame.dropna(subset=[names[c]]).sort_values([names[c], "k"]).iloc[p - 1]
+            assert answer == (ordered[names[c]], ordered["k"] if key else None), (names[c], p)
+
+
+def test_tiers_and_quantiles_in_many_rounds(spark, small_windows):
+    rng = np.random.default_rng(6)
+    frame = pd.DataFrame({"k": [f"{i:04d}" for i in rng.permutation(2500)], "v": rng.choice([0.0, 0.0, 5.0, *range(400)], 2500).astype(float)})
+    df = spark.createDataFrame(frame).repartition(4)
+    got = tiers(df, "v", "k", 5, "tier").toPandas().sort_values(["v", "k"])["tier"].tolist()
+    assert got == [max(1, -(-r * 5 // 2499)) for r in range(2500)]
+    assert tiers(df.limit(0), "v", "k", 5, "tier").count() == 0
+    measured = df.select((F.col("k").cast("int") % 2).alias("metric"), F.col("v").alias("value"))
+    points = (0.0, 0.1, 0.5, 0.9, 1.0)
+    for r in quantiles(measured, points).collect():
+        assert r.quantiles == pytest.approx(list(np.quantile(frame["v"][frame["k"].astype(int) % 2 == r.metric], points)))
+    assert quantiles(measured.limit(0), points).count() == 0
+
+
+def test_selection_plans_neither_a_range_sort_nor_a_stored_copy(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda *a, **k: pytest.fail("a copy is stored"))
+    df = spark.range(5000).select(F.col("id").cast("string").alias("k"), F.rand(3).alias("v"))
+    assert "rangepartitioning" not in tiers(df, "v", "k", 4, "tier")._jdf.queryExecution().executedPlan().toString()

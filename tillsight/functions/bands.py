@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillsight.functions.ranking import quantiles
+from tillsight.functions.selection import quantiles
 
 
 def band(value: Column, bands: Sequence[tuple], include_lowest: bool = False) -> Column:

@@ -1,4 +1,4 @@
-"""Global order statistics, ranks and running sums without a single-task sort.
+"""Ranks and running sums without a single-task sort.
 
 Rows are range-partitioned on a complete ordering and written to shared storage
 with their slice number. Slice totals (one row per slice) give each slice its
@@ -46,97 +46,6 @@ def running_total(df: DataFrame, order: Sequence[Column | str], measure: Column,
     )
 
 
-def pick(slices: DataFrame, order: Sequence[Column | str], weight: Column, targets: DataFrame) -> DataFrame:
-    """Rows holding given 1-based positions, each row counting ``weight`` times.
-
-    ``targets`` has a ``_position`` column and few rows. Only slices containing a
-    target are sorted; the others contribute their total alone.
-    """
-    starts = slice_starts(slices, weight)
-    listed = targets.agg(F.collect_list(F.struct(*targets.columns)).alias("targets"))
-    here = F.filter(
-        F.col("targets"),
-        lambda t: (t["_position"] > F.col("before")) & (t["_position"] <= F.col("before") + F.col("in_slice")),
-    )
-    wanted = starts.withColumn("targets", listed.scalar()).select("_slice", "before", F.inline(here))
-    needed = wanted.select("_slice", "before").distinct()
-    inside = Window.partitionBy("_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    placed = slices.join(F.broadcast(needed), "_slice").withColumn(
-        "_last", F.col("before") + F.sum(weight).over(inside)
-    )
-    placed = placed.withColumn("_first", F.col("_last") - weight + 1).drop("before")
-    hit = F.col("_position").between(F.col("_first"), F.col("_last"))
-    return placed.join(F.broadcast(wanted.drop("before")), "_slice").filter(hit).drop("_slice", "_first", "_last")
-
-
-def quantiles(measured: DataFrame, probabilities: Sequence[float]) -> DataFrame:
-    """Exact linearly interpolated quantiles per ``metric`` of ``(metric, value)`` rows.
-
-    Equal values are counted before anything is sorted, so a value shared by a
-    third of all rows is a single row of the sort.
-    """
-    histogram = measured.filter(F.col("value").isNotNull()).groupBy("metric", "value").agg(F.count("*").alias("n"))
-    slices = sliced(histogram, "metric", "value")
-    earlier = Window.orderBy("metric").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = slices.groupBy("metric").agg(F.sum("n").alias("size"))
-    sizes = sizes.withColumn("base", F.coalesce(F.sum("size").over(earlier), F.lit(0)))
-    points = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).alias("p")) for i, p in enumerate(probabilities)])
-    spots = sizes.select("metric", "size", "base", F.inline(points)).withColumn(
-        "spot", F.col("p") * (F.col("size") - 1).cast("double")
-    )
-    ends = spots.select(
-        F.col("metric").alias("target"),
-        "i",
-        (F.col("spot") - F.floor("spot")).alias("fraction"),
-        F.inline(F.array(
-            F.struct(F.lit("lower").alias("end"), (F.col("base") + F.floor("spot") + 1).alias("_position")),
-            F.struct(F.lit("upper").alias("end"), (F.col("base") + F.ceil("spot") + 1).alias("_position")),
-        )),
-    )
-    hits = pick(slices, ["metric", "value"], F.col("n"), ends)
-    lower = F.max(F.when(F.col("end") == "lower", F.col("value")))
-    upper = F.max(F.when(F.col("end") == "upper", F.col("value")))
-    between = hits.groupBy(F.col("target").alias("metric"), "i", "fraction").agg(lower.alias("lo"), upper.alias("hi"))
-    point = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("fraction")
-    return between.groupBy("metric").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("i", point.alias("v")))), lambda s: s["v"]).alias("quantiles")
-    )
-
-
-def tiers(df: DataFrame, value: str, key: str, count: int, output: str) -> DataFrame:
-    """Append the 1-based tier of one column; see ``tiers_of``."""
-    return tiers_of(df, {output: value}, key, count)
-
-
-def tiers_of(df: DataFrame, outputs: dict[str, str], key: str, count: int) -> DataFrame:
-    """Append 1-based tiers, by output name, of numeric columns: ``count``-quantile bins of the first-come rank.
-
-    Rank ties follow ``key``. With rank r of n, the tier is
-    ``max(1, ceil((r - 1) * count / (n - 1)))``; so tier k ends at rank
-    ``1 + floor(k * (n - 1) / count)``, and it is enough to find the rows at those
-    ``count - 1`` ranks and compare every row with them. All columns are sliced together.
-    """
-    numbers = [F.struct(F.lit(i).alias("metric"), F.col(v).cast("double").alias("value")) for i, v in enumerate(outputs.values())]
-    stacked = df.select(F.col(key).alias("key"), F.inline(F.array(*numbers)))
-    slices = sliced(stacked, "metric", "value", "key")
-    sizes = slices.agg((F.count("*") / F.lit(len(numbers))).cast("long").alias("n"))
-    ends = sizes.select(F.posexplode(F.array(*[
-        (F.col("n") * i + F.floor(F.lit(k) * (F.col("n") - 1) / F.lit(count)) + 1).cast("long")
-        for i in range(len(numbers)) for k in range(1, count)
-    ])).alias("_tier", "_position"))
-    bounds = pick(slices, ["metric", "value", "key"], F.lit(1), ends).agg(
-        F.collect_list(F.struct("metric", "value", "key")).alias("bounds")
-    )
-
-    def tier(i: int, value: str) -> Column:
-        own = F.struct(F.col(value).cast("double").alias("value"), F.col(key).alias("key"))
-        below = F.filter(F.col("_bounds"), lambda b: (b["metric"] == i) & (own > F.struct(b["value"], b["key"])))
-        return (F.size(below) + 1).cast("int")
-
-    found = {output: tier(i, value) for i, (output, value) in enumerate(outputs.items())}
-    return df.withColumn("_bounds", bounds.scalar()).withColumns(found).drop("_bounds")
-
-
 def row_numbers(df: DataFrame, group: str, order: str) -> DataFrame:
     """Append ``row_number`` within ``group`` by ``order`` (unique), safe for huge groups.
 

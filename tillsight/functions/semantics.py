@@ -14,11 +14,13 @@ REAL_PREFIX = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
 INT_PREFIX = r"^[+-]?[0-9]+"
 ISO_MOMENT = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]+)?)?)?$"
 
-LOW_BITS = 20
+LOW_BITS = 24
 ROUNDING = "decimal(24,9)"
 ROUNDED_BELOW = 9e14  # doubles from here on have at most three decimals
 EXACT = "decimal(38,6)"
-MICROS_BELOW = 9e12  # amounts whose millionths fit a long
+PIECE = 16  # a power of two, so that splitting is exact; a rest has less than 2^24 millionths
+EXACT_BELOW = 1e15  # amounts from here on are added as doubles
+SATURATED = 1e26  # largest share of such amounts in a decimal sum
 LONG_MIN, LONG_MAX = -(2**63), 2**63 - 1
 
 
@@ -49,10 +51,15 @@ def to_int(text: Column) -> Column:
     return F.when(text.isNotNull(), F.coalesce(plain, prefix.try_cast("bigint"), nearest, F.lit(0).cast("bigint")))
 
 
+def finite(number: Column) -> Column:
+    """The number, or NULL for NaN and for what no double can hold."""
+    return F.when(F.abs(number) < F.lit(float("inf")), number)
+
+
 def to_number_or_null(value: Column) -> Column:
     """Whole-string numeric parse; anything else becomes NULL."""
     text = F.trim(value.cast("string"))
-    return F.when(text.rlike(REAL_PREFIX + "$"), text.try_cast("double"))
+    return finite(F.when(text.rlike(REAL_PREFIX + "$"), text.try_cast("double")))
 
 
 def to_day(text: Column) -> Column:
@@ -60,12 +67,16 @@ def to_day(text: Column) -> Column:
     return F.when(text.rlike(ISO_MOMENT), F.to_date(F.try_to_timestamp(text)))
 
 
+def _usable(real: Column) -> Column:
+    return (real != -1.0) & (F.abs(real) < F.lit(float("inf")))
+
+
 def is_dirty(rule: RawColumn) -> Column:
-    """True when a raw value is missing or one of its column's placeholders."""
+    """True when a raw value is missing, one of its column's placeholders, or a number that no double can hold."""
     raw = F.col(rule.name)
     dirty = raw.isNull() | F.trim(raw).isin(*rule.placeholders)
     if rule.numeric:
-        dirty = dirty | (to_real(raw) == -1.0)
+        dirty = dirty | ~_usable(to_real(raw))
     return dirty
 
 
@@ -76,8 +87,8 @@ def clean_value(rule: RawColumn) -> Column:
     return F.when(~is_dirty(rule), convert(raw))
 
 
-def parsed(raw: DataFrame, rules: Sequence[RawColumn]) -> DataFrame:
-    """Trimmed text of each column, and its numeric readings as ``<name>_real`` and ``<name>_int``."""
+def parsed(raw: DataFrame, rules: Sequence[RawColumn], keep: Sequence[str] = ("source_rowid",)) -> DataFrame:
+    """Trimmed text of each column, and its numeric readings as ``<name>_real`` and ``<name>_int``, beside the columns to keep."""
     columns = []
     for rule in rules:
         text = F.col(rule.name)
@@ -86,38 +97,64 @@ def parsed(raw: DataFrame, rules: Sequence[RawColumn]) -> DataFrame:
             columns.append(to_real(text).alias(f"{rule.name}_real"))
         if rule.kind == "int":
             columns.append(to_int(text).alias(f"{rule.name}_int"))
-    return raw.select("source_rowid", *columns)
+    return raw.select(*keep, *columns)
 
 
-def typed(parsed_rows: DataFrame, rules: Sequence[RawColumn]) -> DataFrame:
+def typed(parsed_rows: DataFrame, rules: Sequence[RawColumn], keep: Sequence[str] = ("source_rowid",)) -> DataFrame:
     """Clean values over ``parsed`` columns, so no parse is repeated by its placeholder test."""
     columns = []
     for rule in rules:
-        keep = ~F.col(rule.name).isin(*rule.placeholders)
+        sound = ~F.col(rule.name).isin(*rule.placeholders)
         value = F.col(rule.name)
         if rule.numeric:
-            keep = keep & (F.col(f"{rule.name}_real") != -1.0)
+            sound = sound & _usable(F.col(f"{rule.name}_real"))
             value = F.col(f"{rule.name}_{rule.kind}")
-        columns.append(F.when(keep, value).alias(rule.name))
-    return parsed_rows.select("source_rowid", *columns)
+        columns.append(F.when(sound, value).alias(rule.name))
+    return parsed_rows.select(*keep, *columns)
+
+
+def _summed(amount: Column) -> tuple[Column, Column]:
+    """Exact sum of the amounts below ``EXACT_BELOW`` as a decimal, and the double sum of those beyond.
+
+    Amounts are split into multiples of ``PIECE`` and millionths, both summed as longs, so the per-row work stays in
+    long and double arithmetic; the decimal is built once per group. The low sum holds 2^39 rows, and the high one
+    150,000 amounts of 1e15. Amounts that no double can hold are left out.
+    """
+    amount = amount.cast("double")
+    size = F.abs(amount)
+    high = F.floor(size * F.lit(1.0 / PIECE))
+    low = F.floor((size - high * F.lit(float(PIECE))) * F.lit(1e6) + F.lit(0.5))
+    small, large = size < F.lit(EXACT_BELOW), (size >= F.lit(EXACT_BELOW)) & (size < F.lit(float("inf")))
+
+    def signed(part: Column) -> Column:
+        return F.sum(F.when(small, F.when(amount < 0, -part).otherwise(part)).when(large, 0)).cast("decimal(20,0)")
+
+    exact = ((signed(high) * F.lit(PIECE * 1_000_000) + signed(low)) * F.lit(Decimal("0.000001"))).cast(EXACT)
+    return exact, F.coalesce(F.sum(F.when(large, amount)), F.lit(0.0))
 
 
 def exact_sum(amount: Column) -> Column:
     """Order-independent sum as ``decimal(38,6)``; NULL over no rows.
 
-    Amounts become whole millionths whose high and low bits are summed as longs, so
-    the per-row work is integer arithmetic; the decimal is built once per group. The
-    low sum holds 2^43 rows and an overflow of the high sum raises an error. Amounts too large for
-    that (from ``MICROS_BELOW`` on, among them sums of sums) are added as decimals; 1e32 and more raise an error.
+    The share of amounts from ``EXACT_BELOW`` on is added as doubles and enters with at most ``SATURATED``, so no amount
+    makes a sum of many such sums overflow.
     """
-    amount = amount.cast("double")
-    large = F.abs(amount) >= F.lit(MICROS_BELOW)
-    scaled = F.when(large, F.lit(0.0)).otherwise(amount * F.lit(1e6))
-    micros = F.when(scaled < 0, -F.floor(F.lit(0.5) - scaled)).otherwise(F.floor(scaled + F.lit(0.5)))
-    high = F.sum(F.shiftright(micros, LOW_BITS)).cast("decimal(20,0)")
-    low = F.sum(micros.bitwiseAND(F.lit((1 << LOW_BITS) - 1))).cast("decimal(20,0)")
-    small = ((high * F.lit(1 << LOW_BITS) + low) * F.lit(Decimal("0.000001"))).cast(EXACT)
-    return (small + F.coalesce(F.sum(F.when(large, amount.cast(EXACT))), F.lit(0).cast(EXACT))).cast(EXACT)
+    exact, beyond = _summed(amount)
+    return (exact + F.greatest(F.least(beyond, F.lit(SATURATED)), F.lit(-SATURATED)).cast(EXACT)).cast(EXACT)
+
+
+def whole_sum(count: Column) -> Column:
+    """Sum of integers as bigint, the nearest 64-bit value if it is beyond; NULL over no rows."""
+    count = count.cast("bigint")
+    high = F.sum(F.shiftright(count, LOW_BITS)).cast("decimal(20,0)")
+    low = F.sum(count.bitwiseAND(F.lit((1 << LOW_BITS) - 1))).cast("decimal(20,0)")
+    whole = high * F.lit(1 << LOW_BITS) + low
+    return F.greatest(F.least(whole, F.lit(Decimal(LONG_MAX))), F.lit(Decimal(LONG_MIN))).cast("bigint")
+
+
+def magnitude(count: Column) -> Column:
+    """Absolute value of an integer in its own type, the largest one for the smallest."""
+    return F.when(count >= 0, count).otherwise(F.coalesce(F.try_subtract(F.lit(0), count), -(count + 1)))
 
 
 def round_half_up(x: Column, places: int) -> Column:
@@ -132,7 +169,8 @@ def money(x: Column) -> Column:
 
 def total(amount: Column) -> Column:
     """Exact sum as double; NULL over no rows."""
-    return exact_sum(amount).cast("double")
+    exact, beyond = _summed(amount)
+    return exact.cast("double") + beyond
 
 
 def total_or_zero(amount: Column) -> Column:

@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tillsight import schema as s
 from tillsight.functions.ranking import row_numbers
 from tillsight.functions.semantics import (
-    clean_value, exact_sum, money, parsed, percent, round_half_up, tally, to_day, total_or_zero, typed,
+    money, parsed, percent, round_half_up, tally, to_day, total, total_or_zero, typed,
 )
 from tillsight.functions.skew import join_back
 from tillsight.session import stage
@@ -315,10 +315,10 @@ class Imputation:
     imputed: DataFrame  # rows that can be placed, with presence flags
 
 
-def impute(raw: DataFrame, dims: Dimensions) -> Imputation:
-    """Fill what can be filled; ``raw`` should be a stored table, as it is scanned repeatedly."""
+def impute(raw: DataFrame, dims: Dimensions, lines: DataFrame | None = None) -> Imputation:
+    """Fill what can be filled; ``lines`` are the stored ``normalise(raw)``, where they exist already."""
     # Text is parsed once; the many column-pruned passes below read the typed copy.
-    lines = stage(normalise(raw), "normalised_lines")
+    lines = stage(normalise(raw), "normalised_lines") if lines is None else lines
     keyed = lines.filter(F.col("invoice_id").isNotNull())
     lacking = unfilled(NEEDED)
     # Modes learn from every line, also from those without an invoice, which the result drops.
@@ -424,11 +424,13 @@ def final_products(products: DataFrame) -> DataFrame:
     filled = products.withColumns({
         "color": F.coalesce("color", F.lit(s.NO_COLOR)), "size": F.coalesce("size", F.lit(s.UNKNOWN)),
     })
-    return _with_unknown(filled, product_id=s.UNKNOWN_PRODUCT, color=s.NO_COLOR)
+    return _with_unknown(filled, product_id=s.UNKNOWN_PRODUCT, color=s.NO_COLOR, production_cost=None)
 
 
 def final_stores(stores: DataFrame) -> DataFrame:
-    return _with_unknown(stores, store_id=s.UNKNOWN_STORE, store_name="Unknown Store")
+    return _with_unknown(
+        stores, store_id=s.UNKNOWN_STORE, store_name="Unknown Store", number_of_employees=None, latitude=None, longitude=None
+    )
 
 
 def final_dimensions(dims: Dimensions) -> Dimensions:
@@ -440,47 +442,93 @@ def final_dimensions(dims: Dimensions) -> Dimensions:
 
 # ---- reports ----------------------------------------------------------------
 
-def cleaning_summary(raw: DataFrame, final: DataFrame, dims: Dimensions) -> DataFrame:
-    """Rows before and after, and final rows whose keys still have no master."""
-    orphans = orphan_keys(final, final_dimensions(dims)).agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("value"))
-    counted = [("raw_rows", raw.agg(F.count("*").alias("value"))), ("final_rows", final.agg(F.count("*").alias("value"))),
-               ("invalid_foreign_key_rows", orphans)]
-    parts = [df.select(F.lit(name).alias("metric"), "value") for name, df in counted]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+CORE = ("customer_id", "product_id", "unit_price", "quantity", "line_total", "invoice_total")
+DIGEST = "row_digest"
 
 
-CORE = ("customer_id", "product_id", "unit_price", "quantity", "line_total", "invoice_total")
+def row_digest(lines: DataFrame) -> Column:
+    """128-bit digest of all business columns."""
+    business = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in lines.columns if c not in ("source_rowid", DIGEST)]
+    return F.unhex(F.md5(F.concat_ws("\x01", *business)))
+
 
+@dataclass(frozen=True)
+class Figures:
+    """What one version of the table was found to hold while it was written, and the digests of its rows."""
+
+    seen: Observation
+    digests: DataFrame
+
+    def __getitem__(self, name: str):
+        return self.seen.get[name]
 
-def quality_figures(lines: DataFrame, stage_name: str, missing: dict[str, Column]) -> DataFrame:
-    """Rows, missing share of core fields, exact copies and revenue of one version of the table.
 
-    Copies are counted from rows grouped by a 128-bit digest of their business columns.
+def observed(lines: DataFrame, missing: dict[str, Column], kind: Column) -> tuple[DataFrame, Observation]:
+    """``lines``, with rows, gaps in core fields and revenue counted by the action that reads them.
+
+    The counts come with the tasks of the final stage, each of which is counted once, so nothing is scanned again for them.
     """
-    business = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in lines.columns if c not in ("source_rowid", "amount")]
-    kind = F.lower(F.trim("transaction_type"))
-    amount = F.abs(F.col("amount"))
-    revenue = F.when(kind == "return", -amount).otherwise(amount)
+    amount = F.abs(F.col("line_total"))
+    revenue = F.when(F.lower(F.trim(kind)) == "return", -amount).otherwise(amount)
     gaps = sum((F.when(missing[c], 1).otherwise(0) for c in CORE), F.lit(0))
-    digested = lines.groupBy(F.md5(F.concat_ws("\x01", *business)).alias("digest")).agg(
-        F.count("*").alias("rows"), F.sum(gaps).alias("gaps"), exact_sum(revenue).alias("revenue")
-    )
-    rows = F.col("rows")
-    return digested.agg(
-        F.sum("rows").alias("rows"), F.sum("gaps").alias("gaps"), F.count("*").alias("distinct_rows"),
-        F.sum("revenue").cast("double").alias("revenue"),
-    ).select(
-        F.lit(stage_name).alias("stage"), "rows",
-        percent(F.col("gaps"), rows * len(CORE)).alias("missing_core_pct"),
-        (rows - F.col("distinct_rows")).alias("duplicate_rows"), "revenue",
+    seen = Observation()
+    figures = {"rows": F.count("*"), "gaps": F.coalesce(F.sum(gaps), F.lit(0)), "revenue": total(revenue)}
+    return lines.observe(seen, *[column.alias(name) for name, column in figures.items()]), seen
+
+
+def observed_final(final: DataFrame) -> tuple[DataFrame, Observation]:
+    """Final lines, counted while they are written; members named unknown are gaps."""
+    unknown = {"customer_id": s.UNKNOWN_CUSTOMER, "product_id": s.UNKNOWN_PRODUCT}
+    gaps = {c: F.col(c) == unknown[c] if c in unknown else F.col(c).isNull() for c in CORE}
+    return observed(final, gaps, F.col("transaction_type"))
+
+
+def stored_lines(raw: DataFrame) -> tuple[DataFrame, Figures]:
+    """Stored ``normalise(raw)`` and the figures of ``raw``, from one scan of it."""
+    keep = ("source_rowid", DIGEST)
+    digested = raw.withColumn(DIGEST, row_digest(raw))
+    lines = typed(parsed(digested, s.RAW_COLUMNS, keep), s.RAW_COLUMNS, keep).withColumnsRenamed(RENAMED)
+    counted, seen = observed(lines, {c: F.col(c).isNull() for c in CORE}, F.col("transaction_type"))
+    stored = stage(counted, "normalised_lines")
+    return stored.drop(DIGEST), Figures(seen, stored.select(DIGEST))
+
+
+@dataclass(frozen=True)
+class Cleaned:
+    """The stored final table and the figures of both versions."""
+
+    final: DataFrame
+    before: Figures
+    after: Figures
+
+
+def cleaned(raw: DataFrame, dims: Dimensions) -> Cleaned:
+    """Clean ``raw`` into a staged table; all figures are counted while lines are written."""
+    lines, before = stored_lines(raw)
+    final = final_transactions(impute(raw, dims, lines).imputed)
+    counted, seen = observed_final(final.withColumn(DIGEST, row_digest(final)))
+    stored = stage(counted, "transactions_final")
+    return Cleaned(stored.drop(DIGEST), before, Figures(seen, stored.select(DIGEST)))
+
+
+def cleaning_summary(result: Cleaned, dims: Dimensions) -> DataFrame:
+    """Rows before and after, and final rows whose keys still have no master; only the keys are read back."""
+    orphans = orphan_keys(result.final, final_dimensions(dims)).agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("value"))
+    metrics = {"raw_rows": F.lit(result.before["rows"]).cast("long"), "final_rows": F.lit(result.after["rows"]).cast("long"), "invalid_foreign_key_rows": F.col("value")}
+    cells = F.array(*[F.struct(F.lit(name).alias("metric"), value.alias("value")) for name, value in metrics.items()])
+    return orphans.select(F.inline(cells))
+
+
+def quality_figures(figures: Figures, stage_name: str) -> DataFrame:
+    """Rows, missing share of core fields, exact copies and revenue of one version; only its digests are read back."""
+    rows = figures["rows"]
+    return figures.digests.agg(F.countDistinct(DIGEST).alias("distinct_rows")).select(
+        F.lit(stage_name).alias("stage"), F.lit(rows).cast("long").alias("rows"),
+        percent(F.lit(figures["gaps"]), F.lit(rows * len(CORE))).alias("missing_core_pct"),
+        (F.lit(rows) - F.col("distinct_rows")).alias("duplicate_rows"), F.lit(figures["revenue"]).cast("double").alias("revenue"),
     )
 
 
-def before_after(raw: DataFrame, final: DataFrame) -> DataFrame:
+def before_after(result: Cleaned) -> DataFrame:
     """Quality figures of the raw and the final table side by side."""
-    untidy = raw.withColumn("amount", clean_value(s.RAW["line_total"]))
-    before_gaps = {c: clean_value(s.RAW[c]).isNull() for c in CORE}
-    unknown = {"customer_id": s.UNKNOWN_CUSTOMER, "product_id": s.UNKNOWN_PRODUCT}
-    after_gaps = {c: F.col(c) == unknown[c] if c in unknown else F.col(c).isNull() for c in CORE}
-    before = quality_figures(untidy, "before", before_gaps)
-    return before.unionByName(quality_figures(final.withColumn("amount", F.col("line_total")), "after", after_gaps))
+    return quality_figures(result.before, "before").unionByName(quality_figures(result.after, "after"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillsight import schema as s
-from tillsight.functions.ranking import tiers, tiers_of
+from tillsight.functions.selection import tiers, tiers_of
 from tillsight.functions.semantics import exact_sum, mean, ratio, ratio_or_zero, round_half_up, total_or_zero
 from tillsight.functions.skew import join_back
 from tillsight.operators import features as f
@@ -173,13 +173,13 @@ def cohort_retention(lines: DataFrame) -> DataFrame:
     )
 
 
-def cohort_matrix(lines: DataFrame, cohorts: int | None = None) -> DataFrame:
+def cohort_matrix(lines: DataFrame, cohorts: int | None = None, months: int | None = None) -> DataFrame:
     """Retention of all cohorts, or of the first ones, as one column per month index, 0 where inactive.
 
-    The columns reach to the highest index in the data, the only value read to plan them.
+    The columns reach to ``months``; without it to the highest index in the data, the only value read to plan them.
     """
     retention = stage(cohort_retention(lines), "cohort_retention")
-    last = retention.agg(F.max("cohort_index")).first()[0] or 0
+    last = months if months is not None else retention.agg(F.max("cohort_index")).first()[0] or 0
     names = [f"m{i:02d}" for i in range(1, last + 1)]
     wide = (
         retention.withColumn("column", F.format_string("m%02d", F.col("cohort_index")))

@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from tillsight import schema as s
 from tillsight.functions.bands import band, band_order, quartile_band
+from tillsight.functions.distinct import with_distinct
 from tillsight.functions.semantics import (
-    ratio, tally_or_zero, to_day, to_number_or_null, total_or_zero,
+    finite, magnitude, ratio, tally_or_zero, to_day, to_number_or_null, total_or_zero, whole_sum,
 )
 from tillsight.functions.skew import join_back
+from tillsight.session import stage
 
 CORE_FIELDS = ("transaction_date", "invoice_id", "unit_price", "quantity", "discount", "line_total")
 WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
@@ -33,7 +35,7 @@ def coerce_types(fact: DataFrame) -> DataFrame:
         if types[name] == "string":
             fixed[name] = to_number_or_null(F.col(name))
         elif types[name] in ("double", "float"):
-            fixed[name] = F.nanvl(F.col(name), F.lit(None).cast("double"))
+            fixed[name] = finite(F.col(name))
     return fact.withColumns(fixed)
 
 
@@ -98,17 +100,16 @@ def line_items(fact: DataFrame) -> DataFrame:
 # ---- invoices ---------------------------------------------------------------
 
 def invoice_summary(lines: DataFrame) -> DataFrame:
-    return lines.groupBy("invoice_id").agg(
+    measures = [
         F.min("transaction_date").alias("order_date"),
         total_or_zero(F.col("revenue")).alias("order_revenue"),
         total_or_zero(F.col("gross_sales")).alias("order_gross_sales"),
         total_or_zero(F.col("discount_amount")).alias("order_discount_amount"),
-        F.coalesce(F.sum("quantity"), F.lit(0)).alias("order_quantity"),
-        F.countDistinct("line_no").alias("line_count"),
-        F.countDistinct("product_id").alias("unique_products"),
-        F.countDistinct("customer_id").alias("unique_customers"),
+        F.coalesce(whole_sum(F.col("quantity")), F.lit(0)).alias("order_quantity"),
         F.max("is_return").alias("has_return"),
-    )
+    ]
+    counts = {"line_count": "line_no", "unique_products": "product_id", "unique_customers": "customer_id"}
+    return with_distinct(lines, ["invoice_id"], measures, counts)
 
 
 def item_value(invoices: DataFrame) -> DataFrame:
@@ -129,7 +130,8 @@ def order_value_groups(invoices: DataFrame) -> DataFrame:
 def prepare_sales(fact: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Line items with price segments, and invoices with basket and value groups."""
     lines = price_segments(line_items(fact))
-    return lines, order_value_groups(basket_groups(item_value(invoice_summary(lines))))
+    invoices = stage(invoice_summary(lines), "invoices")
+    return lines, order_value_groups(basket_groups(item_value(invoices)))
 
 
 # ---- products and stores ----------------------------------------------------
@@ -158,7 +160,7 @@ def profit_measures(lines: DataFrame) -> DataFrame:
     zero = F.lit(0)
     return (
         lines.withColumns({
-            "signed_quantity": F.when(is_return, -F.abs(quantity)).otherwise(F.abs(quantity)),
+            "signed_quantity": F.when(is_return, -magnitude(quantity)).otherwise(magnitude(quantity)),
             "units_sold": F.when(is_return, zero).otherwise(quantity),
             "units_returned": F.when(is_return, quantity).otherwise(zero),
         })
@@ -180,7 +182,7 @@ def with_stores(lines: DataFrame, stores: DataFrame) -> DataFrame:
     """Left join store masters; missing attributes read ``Unknown`` and 0 employees."""
     masters = stores.select(
         F.col("store_id").cast("string").alias("store_id"), "store_name", "country", "city", "zip_code",
-        F.col("number_of_employees").cast("double").alias("number_of_employees"),
+        to_number_or_null(F.col("number_of_employees")).alias("number_of_employees"),
     )
     return lines.join(masters, "store_id", "left").withColumns({
         "store_name": F.coalesce("store_name", F.lit("Unknown Store")),
@@ -220,29 +222,84 @@ def campaigns(discounts: DataFrame) -> DataFrame:
     ).na.drop(subset=["start", "end", "discount", "category", "sub_category"])
 
 
-def campaign_calendar(active: DataFrame, first_day: Column | None = None, last_day: Column | None = None) -> DataFrame:
-    """The campaign in force per (category, sub_category, day): the last listed one wins.
+CAMPAIGN_KEY = ("category", "sub_category")
+LEVELS = 31
+
+
+def _cover(begin: Column, end: Column) -> Column:
+    """The (level, node) pairs whose binary blocks of positions make up [begin, end): two for each level at most."""
+    empty = F.array().cast("array<struct<level:int,node:int>>")
+
+    def climb(state: Column, level: Column) -> Column:
+        i, j = state["i"], state["j"]
+        open_ = i < j
+        left, right = open_ & (i % 2 == 1), open_ & (j % 2 == 1)
+
+        def block(chosen: Column, node: Column) -> Column:
+            return F.when(chosen, F.array(F.struct(level.alias("level"), node.alias("node")))).otherwise(empty)
+
+        nodes = F.concat(state["nodes"], block(left, i), block(right, j - 1))
+        return F.struct(F.shiftright(i + left.cast("int"), 1).alias("i"), F.shiftright(j - right.cast("int"), 1).alias("j"), nodes.alias("nodes"))
+
+    start = F.struct(begin.cast("int").alias("i"), end.cast("int").alias("j"), empty.alias("nodes"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS)), start, climb)["nodes"]
 
-    Turning intervals into days makes the assignment an equi join, and the winner
-    is a mergeable ``max_by``, so overlapping campaigns are never gathered in a list. Only days from
-    ``first_day`` to ``last_day`` are made, so an open-ended campaign costs no more than the facts' own days. Campaigns with
-    one number rank by start, end, description and discount.
+
+def campaign_segments(active: DataFrame) -> DataFrame:
+    """Disjoint stretches of days per (category, sub_category) and the campaign in force: the last listed one wins.
+
+    The first day and the day after the last of every campaign cut the days of a key into at most twice as many stretches as it
+    has campaigns. A campaign covers a range of stretches, that is at most two binary blocks of each size; the winner of
+    a block is a mergeable ``max``, and that of a stretch the largest among the blocks around it. So overlapping campaigns are
+    never paired with each other, and an open-ended one costs no more than others. Campaigns with one number rank by start,
+    end, description and discount. ``lo`` and ``width`` divide the days of a key into as many equal parts as it has stretches.
     """
-    start_day, end_day = F.to_date("start"), F.to_date("end")
+    start_day = F.to_date("start")
     first = F.when(F.col("start") == start_day.cast("timestamp"), start_day).otherwise(F.date_add(start_day, 1))
-    first = first if first_day is None else F.greatest(first, first_day)
-    last = end_day if last_day is None else F.least(end_day, last_day)
-    spans = active.withColumn("first", first).withColumn("last", last).filter(F.col("first") <= F.col("last"))
-    days = spans.withColumn("transaction_date", F.explode(F.sequence("first", "last")))
     place = F.struct("campaign_seq", "start", "end", "description", "discount")
-    winner = F.max_by(F.struct("description", "discount"), place)
-    return days.groupBy("category", "sub_category", "transaction_date").agg(winner.alias("campaign"))
+    spans = active.select(
+        *CAMPAIGN_KEY, F.unix_date(first).alias("first"), (F.unix_date(F.to_date("end")) + 1).alias("stop"), place.alias("place")
+    ).filter(F.col("first") < F.col("stop"))
+    days = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("first", "stop")))))
+    listed = spans.groupBy(*CAMPAIGN_KEY).agg(days.alias("days"), F.collect_list(F.struct("first", "stop", "place")).alias("spans"))
+
+    def place_of(day: str) -> Column:
+        return F.array_position("days", F.col(day)) - 1
+
+    blocks = listed.select(*CAMPAIGN_KEY, "days", F.inline("spans")).select(*CAMPAIGN_KEY, "place", F.inline(_cover(place_of("first"), place_of("stop"))))
+    best = blocks.groupBy(*CAMPAIGN_KEY, "level", "node").agg(F.max("place").alias("place"))
+    count = F.size("days")
+    lo = F.get("days", F.lit(0))
+    width = F.greatest(F.lit(1), F.ceil((F.get("days", count - 1) - lo) / (count - 1)).cast("int"))
+    cut = listed.select(
+        *CAMPAIGN_KEY, lo.alias("lo"), width.alias("width"), F.length(F.bin(count)).alias("levels"),
+        F.posexplode(F.arrays_zip(F.col("days").alias("first"), F.slice("days", F.lit(2), count).alias("stop"))).alias("place_no", "stretch"),
+    ).filter(F.col("stretch.stop").isNotNull())
+    around = cut.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("levels")))).withColumn("node", F.expr("shiftright(place_no, level)"))
+    won = around.join(best, [*CAMPAIGN_KEY, "level", "node"])
+    return won.groupBy(*CAMPAIGN_KEY, "lo", "width", "stretch.first", "stretch.stop").agg(F.max("place").alias("place")).select(
+        *CAMPAIGN_KEY, "lo", "width", "first", "stop", "place.description", "place.discount"
+    )
+
+
+def campaign_parts(segments: DataFrame) -> DataFrame:
+    """``campaign_segments`` gathered by part of their key's days: no more rows than stretches, and in a part no more stretches than days.
+
+    With n stretches over D days a part has D / n days, so at most the square root of D are searched for a line, few as a rule.
+    """
+    parts = F.sequence(F.floor((F.col("first") - F.col("lo")) / F.col("width")), F.floor((F.col("stop") - 1 - F.col("lo")) / F.col("width")))
+    stretch = F.struct("first", "stop", "description", "discount")
+    return segments.withColumn("part", F.explode(parts)).groupBy(*CAMPAIGN_KEY, "lo", "width", "part").agg(F.collect_list(stretch).alias("stretches"))
 
 
 def with_campaigns(lines: DataFrame, discounts: DataFrame) -> DataFrame:
-    span = [lines.agg(f("transaction_date").alias("day")).scalar() for f in (F.min, F.max)]
-    calendar = campaign_calendar(campaigns(discounts), *span)
-    joined = join_back(lines, calendar, ["category", "sub_category", "transaction_date"])
+    parts = stage(campaign_parts(campaign_segments(campaigns(discounts))), "campaign_parts")
+    keyed = join_back(lines, parts.select(*CAMPAIGN_KEY, "lo", "width").distinct(), CAMPAIGN_KEY)
+    day = F.unix_date("transaction_date")
+    keyed = keyed.withColumn("part", F.floor((day - F.col("lo")) / F.col("width"))).drop("lo", "width")
+    joined = join_back(keyed, parts.drop("lo", "width"), [*CAMPAIGN_KEY, "part"], spread="source_rowid" if "source_rowid" in lines.columns else None)
+    campaign = F.get(F.filter("stretches", lambda x: (x["first"] <= F.unix_date("transaction_date")) & (x["stop"] > F.unix_date("transaction_date"))), F.lit(0))
+    joined = joined.withColumn("campaign", campaign).drop("part", "stretches")
     listed = F.col("campaign").isNotNull()
     return joined.withColumns({
         "campaign_description": F.when(listed, F.col("campaign.description")).otherwise(s.NO_CAMPAIGN),
@@ -282,7 +339,8 @@ def demographics(lines: DataFrame, as_of: str) -> DataFrame:
     if "age" in lines.columns:
         age = to_number_or_null(F.col("age"))
     elif "date_of_birth" in lines.columns:
-        born = F.col("date_of_birth").cast("date")
+        born = F.col("date_of_birth")
+        born = to_day(born) if dict(lines.dtypes)["date_of_birth"] == "string" else born.try_cast("date")
         age = F.datediff(F.lit(as_of).cast("date"), born) / F.lit(365.25)
     else:
         age = F.lit(None).cast("double")

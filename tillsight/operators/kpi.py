@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillsight import schema as s
-from tillsight.functions.ranking import quantiles
+from tillsight.functions.selection import quantiles
 from tillsight.functions.semantics import exact_sum, ratio, ratio_or_zero, tally_or_zero, total_or_zero
 from tillsight.operators import features as f
 from tillsight.operators.discount import campaign_summary, in_campaign

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tillsight import schema as s
 from tillsight.functions.bands import band
 from tillsight.functions.ranking import running_total
-from tillsight.functions.semantics import exact_sum, mean, ratio, ratio_or_zero, tally_or_zero, total_or_zero
+from tillsight.functions.distinct import with_distinct
+from tillsight.functions.semantics import exact_sum, mean, ratio, ratio_or_zero, tally_or_zero, total_or_zero, whole_sum
 from tillsight.operators.features import exclusions, is_unknown_product
 from tillsight.session import stage
 
@@ -29,7 +30,7 @@ def sums(*columns: str) -> list[Column]:
 
 
 def units(*pairs: tuple[str, str]) -> list[Column]:
-    return [F.coalesce(F.sum(source), F.lit(0)).alias(name) for source, name in pairs]
+    return [F.coalesce(whole_sum(F.col(source)), F.lit(0)).alias(name) for source, name in pairs]
 
 
 SIGNED_UNITS = ("signed_quantity", "quantity")
@@ -77,7 +78,7 @@ def product_overview(lines: DataFrame) -> DataFrame:
         F.count("*").alias("rows"),
         exact_sum(F.col("revenue")).alias("revenue"),
         exact_sum(F.col("gross_profit")).alias("gross_profit"),
-        F.sum("units_sold").alias("units_sold"),
+        whole_sum(F.col("units_sold")).alias("units_sold"),
     )
     known = ~F.col("unknown")
 
@@ -91,7 +92,7 @@ def product_overview(lines: DataFrame) -> DataFrame:
         amount(F.col("unknown"), "revenue").alias("unknown_product_revenue"),
         amount(known, "revenue").alias("revenue"),
         amount(known, "gross_profit").alias("gross_profit"),
-        F.coalesce(F.sum(F.when(known, F.col("units_sold"))), F.lit(0)).alias("units_sold"),
+        F.coalesce(whole_sum(F.when(known, F.col("units_sold"))), F.lit(0)).alias("units_sold"),
     )
     return overview.withColumn("gross_margin", ratio_or_zero(F.col("gross_profit"), F.col("revenue")))
 
@@ -115,20 +116,15 @@ def bottom_products_by_profit(lines: DataFrame, n: int = 10) -> DataFrame:
 
 
 def category_performance(lines: DataFrame) -> DataFrame:
-    summary = known_products(lines).groupBy("category").agg(
-        *sums("revenue"), *units(SIGNED_UNITS, SOLD), *sums("gross_profit"), orders(),
-        F.countDistinct("product_id").alias("products"),
-        mean(F.col("discount")).alias("avg_discount"),
-        *units(RETURNED),
-    )
+    measures = [*sums("revenue"), *units(SIGNED_UNITS, SOLD), *sums("gross_profit"), mean(F.col("discount")).alias("avg_discount"), *units(RETURNED)]
+    summary = with_distinct(known_products(lines), ["category"], measures, {"orders": "invoice_id", "products": "product_id"})
     return with_return_rate(with_margin(summary))
 
 
 def top_sub_categories(lines: DataFrame, n: int = 15) -> DataFrame:
-    summary = known_products(lines).groupBy("category", "sub_category").agg(
-        *sums("revenue"), *units(SIGNED_UNITS), *sums("gross_profit"), orders(),
-        F.countDistinct("product_id").alias("products"),
-    )
+    measures = [*sums("revenue"), *units(SIGNED_UNITS), *sums("gross_profit")]
+    counts = {"orders": "invoice_id", "products": "product_id"}
+    summary = with_distinct(known_products(lines), ["category", "sub_category"], measures, counts)
     columns = ("revenue", "quantity", "gross_profit", "orders", "products", "profit_margin")
     return top(with_margin(summary), n, F.desc("revenue"), ("category", "sub_category"), columns)
 

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillsight import schema as s
-from tillsight.functions.ranking import quantiles
+from tillsight.functions.selection import quantiles
 from tillsight.functions.semantics import (
-    exact_sum, mean, pearson, ratio_or_zero, round_half_up, tally_or_zero, total_or_zero,
+    exact_sum, mean, pearson, ratio_or_zero, round_half_up, tally_or_zero, total_or_zero, whole_sum,
 )
 from tillsight.operators import features as f
 
@@ -33,7 +33,7 @@ def sales_overview(lines: DataFrame) -> DataFrame:
     per_invoice = _per_invoice(
         lines,
         *[exact_sum(F.col(c)).alias(c) for c in ("revenue", "gross_sales", "discount_amount")],
-        F.sum("quantity").alias("quantity"),
+        whole_sum(F.col("quantity")).alias("quantity"),
         tally_or_zero(F.col("is_return")).alias("returns"),
     )
 
@@ -45,7 +45,7 @@ def sales_overview(lines: DataFrame) -> DataFrame:
         amount("gross_sales").alias("total_gross_sales"),
         amount("discount_amount").alias("total_discount_amount"),
         F.count("*").alias("total_orders"),
-        F.coalesce(F.sum("quantity"), F.lit(0)).alias("total_units"),
+        F.coalesce(whole_sum(F.col("quantity")), F.lit(0)).alias("total_units"),
         F.coalesce(F.sum("returns"), F.lit(0)).alias("total_returns"),
     )
     revenue, orders, units = F.col("total_revenue"), F.col("total_orders"), F.col("total_units")
@@ -88,7 +88,7 @@ def revenue_driver_correlation(lines: DataFrame) -> DataFrame:
 
 def order_statistics(lines: DataFrame) -> DataFrame:
     """Count, mean, deviation, extremes and exact quartiles of four order metrics."""
-    invoices = f.invoice_summary(lines)
+    invoices = stage(f.invoice_summary(lines).select(*ORDER_METRICS), "order_metrics")
     cells = [F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in ORDER_METRICS]
     measured = invoices.select(F.inline(F.array(*cells)))
     moments = measured.groupBy("metric").agg(
@@ -144,7 +144,7 @@ def basket_analysis(lines: DataFrame) -> DataFrame:
 def _revenue_quantity_orders() -> list[Column]:
     return [
         total_or_zero(F.col("revenue")).alias("revenue"),
-        F.coalesce(F.sum("quantity"), F.lit(0)).alias("quantity"),
+        F.coalesce(whole_sum(F.col("quantity")), F.lit(0)).alias("quantity"),
         F.countDistinct("invoice_id").alias("orders"),
     ]
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillsight import schema as s
 from tillsight.functions.bands import band
+from tillsight.functions.distinct import counted, pairs, with_distinct
 from tillsight.functions.semantics import exact_sum, mean, ratio, ratio_or_zero, tally_or_zero, total_or_zero
 from tillsight.operators.features import exclusions, is_unknown_store, segment_order
 from tillsight.operators.product import RETURNED, SIGNED_UNITS, SOLD, orders, sums, top, units, with_margin, with_return_rate
@@ -32,12 +33,12 @@ def _distinct(column: str, name: str):
 
 def store_summary(lines: DataFrame) -> DataFrame:
     """Measures of every known store, in total and per employee."""
-    summary = known_stores(lines).groupBy(*STORE_KEYS, "number_of_employees").agg(
-        *sums("revenue", "gross_profit"), *units(SIGNED_UNITS, SOLD, RETURNED), orders(),
-        _distinct("customer_id", "customers"), _distinct("product_id", "products"),
-        mean(F.col("discount")).alias("avg_discount"),
-        tally_or_zero(F.col("is_return")).alias("return_rows"),
-    )
+    measures = [
+        *sums("revenue", "gross_profit"), *units(SIGNED_UNITS, SOLD, RETURNED),
+        mean(F.col("discount")).alias("avg_discount"), tally_or_zero(F.col("is_return")).alias("return_rows"),
+    ]
+    counts = {"orders": "invoice_id", "customers": "customer_id", "products": "product_id"}
+    summary = with_distinct(known_stores(lines), [*STORE_KEYS, "number_of_employees"], measures, counts)
     staff = F.col("number_of_employees")
     return with_return_rate(with_margin(_with_aov(summary))).withColumns({
         "revenue_per_employee": ratio(F.col("revenue"), staff),
@@ -90,24 +91,22 @@ def top_stores_per_employee(lines: DataFrame, n: int = 10) -> DataFrame:
     return top(store_summary(lines), n, F.desc_nulls_last("revenue_per_employee"), STORE_KEYS, columns)
 
 
-def _by_place(lines: DataFrame, *keys: str):
-    return known_stores(lines).groupBy(*keys)
-
-
-def _place_measures():
-    return [
-        _distinct("store_id", "stores"), *sums("revenue", "gross_profit"), orders(),
-        _distinct("customer_id", "customers"), *units(SOLD, RETURNED),
-    ]
+def _by_place(lines: DataFrame, *keys: str, more: tuple[Column, ...] = ()) -> DataFrame:
+    """Measures per place. What distinct counts need, stores included, is first reduced to sets per store."""
+    known = known_stores(lines)
+    summary = known.groupBy(*keys).agg(*sums("revenue", "gross_profit"), *units(SOLD, RETURNED), *more)
+    for name, column in {"stores": "store_id", "orders": "invoice_id", "customers": "customer_id"}.items():
+        summary = summary.join(counted(pairs(pairs(known, [*keys, "store_id"], column), keys, column), keys, column, name), list(keys))
+    return summary
 
 
 def country_performance(lines: DataFrame) -> DataFrame:
-    summary = _by_place(lines, "country").agg(*_place_measures(), mean(F.col("discount")).alias("avg_discount"))
+    summary = _by_place(lines, "country", more=(mean(F.col("discount")).alias("avg_discount"),))
     return with_return_rate(with_margin(_with_aov(summary)))
 
 
 def top_store_cities(lines: DataFrame, n: int = 15) -> DataFrame:
-    summary = with_return_rate(with_margin(_by_place(lines, "country", "city").agg(*_place_measures())))
+    summary = with_return_rate(with_margin(_by_place(lines, "country", "city")))
     columns = tuple(c for c in summary.columns if c not in ("country", "city"))
     return top(summary, n, F.desc("revenue"), ("country", "city"), columns)
 
@@ -140,7 +139,7 @@ def top_category_by_store(lines: DataFrame) -> DataFrame:
 
 
 def country_category_mix(lines: DataFrame) -> DataFrame:
-    return _by_place(lines, "country", "category").agg(*sums("revenue", "gross_profit"), *units(SIGNED_UNITS))
+    return known_stores(lines).groupBy("country", "category").agg(*sums("revenue", "gross_profit"), *units(SIGNED_UNITS))
 
 
 def monthly_top_stores(lines: DataFrame, n: int = 5) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tillsight.operators import clean, customer, discount, features, kpi, product, profile, sales, store
 from tillsight.schema import FINAL_COLUMNS
 from tillsight.session import stage
-from tillsight.sources.fixtures import AS_OF, Fixture
+from tillsight.sources.fixtures import AS_OF, MONTHS, Fixture
 from tillsight.sources.tables import with_source_rowid
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,7 +107,7 @@ CUSTOMERS = {
         "source_rowid", "customer_id", "order_month", "cohort_month", "cohort_index"
     ),
     "u16_cohort_retention": lambda t: customer.cohort_retention(_lines(t)),
-    "u16_cohort_matrix": lambda t: customer.cohort_matrix(_lines(t)),
+    "u16_cohort_matrix": lambda t: customer.cohort_matrix(_lines(t), months=MONTHS),
     "u17_customer_value": lambda t: customer.customer_value(_lines(t)).select(
         "customer_id", "customer_revenue", "customer_lifespan_days", "observed_customer_days", "annualized_clv"
     ),
@@ -234,10 +234,6 @@ def _final(t: Fixture) -> DataFrame:
     return clean.final_transactions(_imputed(t).imputed)
 
 
-def _staged_final(t: Fixture) -> DataFrame:
-    return stage(_final(t), "transactions_final")
-
-
 FILLED_COLUMNS = (
     "source_rowid", "invoice_id", "line_no", "customer_id", "product_id", "size", "color", "unit_price", "quantity",
     "transaction_datetime", "discount", "line_total", "store_id", "employee_id", "currency", "currency_symbol", "sku",
@@ -260,8 +256,8 @@ CLEANING = {
     "c22_final_products": lambda t: clean.final_products(t.products),
     "c23_final_stores": lambda t: clean.final_stores(t.stores),
     "c24_final_transactions": _final,
-    "c25_cleaning_summary": lambda t: clean.cleaning_summary(t.raw, _staged_final(t), t.dimensions),
-    "c26_before_after": lambda t: clean.before_after(t.raw, _final(t)),
+    "c25_cleaning_summary": lambda t: clean.cleaning_summary(clean.cleaned(t.raw, t.dimensions), t.dimensions),
+    "c26_before_after": lambda t: clean.before_after(clean.cleaned(t.raw, t.dimensions)),
 }
 
 

@@ -28,16 +28,20 @@ def clean_tables(raw: DataFrame, dims: Dimensions, location: str | None = None,
     with staging_scope(spark):
         if drop_duplicates:
             raw = stage(clean.drop_exact_duplicates(raw), "unique_lines")
-        final = clean.final_transactions(clean.impute(raw, dims).imputed)
+        lines, before = clean.stored_lines(raw)
+        final = clean.final_transactions(clean.impute(raw, dims, lines).imputed)
         day = F.col("transaction_date")
         dated = final.withColumns({"year": F.year(day), "month": F.month(day)}).hint("rebalance", "year", "month")
-        save_table(dated, "transactions_final", location, ("year", "month"))
+        counted, seen = clean.observed_final(dated)
+        save_table(counted, "transactions_final", location, ("year", "month"))
         conformed = clean.final_dimensions(dims)
         for name in DIMENSIONS:
             save_table(getattr(conformed, name), f"{name}_final", location)
         written = load_table(spark, "transactions_final", location).drop("year", "month")
-        save_table(clean.cleaning_summary(raw, written, dims), "cleaning_summary", location)
-        save_table(clean.before_after(raw, written), "before_after", location)
+        after = clean.Figures(seen, written.select(clean.row_digest(written).alias(clean.DIGEST)))
+        result = clean.Cleaned(written, before, after)
+        save_table(clean.cleaning_summary(result, dims), "cleaning_summary", location)
+        save_table(clean.before_after(result), "before_after", location)
     return load_table(spark, "cleaning_summary", location)
 
 
@@ -136,11 +140,12 @@ def reports(fact: DataFrame, dims: Dimensions, as_of: str) -> dict[str, Callable
 def write_reports(fact: DataFrame, dims: Dimensions, as_of: str, location: str, only: set[str] | None = None) -> list[str]:
     """Write each report as a table under ``location``; returns their names."""
     done = []
-    for name, plan in reports(fact, dims, as_of).items():
-        if only is None or name in only:
-            with staging_scope(fact.sparkSession):
-                save_table(plan(), name, location)
-            done.append(name)
+    with staging_scope(fact.sparkSession):  # for what several reports read
+        for name, plan in reports(fact, dims, as_of).items():
+            if only is None or name in only:
+                with staging_scope(fact.sparkSession):
+                    save_table(plan(), name, location)
+                done.append(name)
     return done
 
 

@@ -18,6 +18,7 @@ from tillsight.session import configure, stage
 from tillsight.sources.tables import Dimensions
 
 AS_OF = "2002-01-01"
+MONTHS = 80  # the bound orders are from January 1995 to August 2001
 CAMPAIGN_YEARS = range(1995, 2002)
 
 # Line amounts are computed in whole cents, so both engines agree without rounding doubles.

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 from tillsight.schema import RAW_COLUMNS
@@ -31,7 +32,10 @@ def load_table(spark: SparkSession, name: str, location: str | None = None, jdbc
     if jdbc is not None:
         return spark.read.format("jdbc").options(**jdbc, dbtable=name).load()
     if location is not None:
-        return spark.read.parquet(f"{location.rstrip('/')}/{name}")
+        path = f"{location.rstrip('/')}/{name}"
+        return spark.read.parquet(path if _exists(spark, path) or not _exists(spark, path + PREVIOUS) else path + PREVIOUS)
+    if not spark.catalog.tableExists(name) and spark.catalog.tableExists(name + "_previous"):
+        return spark.table(name + "_previous")
     return spark.table(name)
 
 
@@ -41,15 +45,68 @@ def load_dimensions(spark: SparkSession, location: str | None = None, suffix: st
     return Dimensions(**{field: load_table(spark, name, location, jdbc) for field, name in names.items()})
 
 
+PREVIOUS = ".previous"
+
+
+def _file_system(spark: SparkSession, location: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(location)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def _exists(spark: SparkSession, location: str) -> bool:
+    system, path = _file_system(spark, location)
+    return system.exists(path)
+
+
+def _delete(spark: SparkSession, location: str) -> None:
+    system, path = _file_system(spark, location)
+    system.delete(path, True)
+
+
+def _rename(spark: SparkSession, location: str, to: str) -> None:
+    system, path = _file_system(spark, location)
+    if not system.rename(path, _file_system(spark, to)[1]):
+        raise OSError(f"cannot rename {location} to {to}")
+
+
 def save_table(df: DataFrame, name: str, location: str | None = None, partition_by: tuple[str, ...] = ()) -> None:
-    """Create or replace a table: parquet under ``location`` or a catalog table."""
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    if location is not None:
-        writer.parquet(f"{location.rstrip('/')}/{name}")
-    else:
-        writer.saveAsTable(name)
+    """Create or replace a table: parquet under ``location`` or a catalog table.
+
+    The rows go to a new version beside the table, which takes its name only once it is complete. A job that fails
+    leaves the former table as it was, and ``df`` may read the table it replaces. Between the two renames of the switch the former
+    version bears the suffix ``PREVIOUS``; ``load_table`` finds it there, and the next ``save_table`` removes it.
+    """
+    spark, version = df.sparkSession, uuid.uuid4().hex
+    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+    if location is None:
+        _save_in_catalog(writer, spark, name, f"{name}_{version}")
+        return
+    path = f"{location.rstrip('/')}/{name}"
+    fresh = f"{path}.{version}"
+    try:
+        writer.parquet(fresh)
+    except BaseException:
+        _delete(spark, fresh)
+        raise
+    if _exists(spark, path):
+        _delete(spark, path + PREVIOUS)
+        _rename(spark, path, path + PREVIOUS)
+    _rename(spark, fresh, path)
+    _delete(spark, path + PREVIOUS)
+
+
+def _save_in_catalog(writer: DataFrameWriter, spark: SparkSession, name: str, fresh: str) -> None:
+    former = name + "_previous"
+    try:
+        writer.saveAsTable(fresh)
+    except BaseException:
+        spark.sql(f"DROP TABLE IF EXISTS {fresh}")
+        raise
+    if spark.catalog.tableExists(name):
+        spark.sql(f"DROP TABLE IF EXISTS {former}")
+        spark.sql(f"ALTER TABLE {name} RENAME TO {former}")
+    spark.sql(f"ALTER TABLE {fresh} RENAME TO {name}")
+    spark.sql(f"DROP TABLE IF EXISTS {former}")
 
 
 def create_view(df: DataFrame, name: str) -> DataFrame:
