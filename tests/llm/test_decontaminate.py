@@ -30,14 +30,14 @@ def test_verbatim_passages_in_any_case_and_spacing(spark):
     assert got[0, 1].verbatim and got[0, 1].coverage == 1 and got[1, 1].verbatim
 
 
-def test_other_slot_values_are_caught_only_when_they_map_one_to_one(spark):
+def test_other_slot_values_are_caught_while_names_map_one_to_one(spark):
     other = QUESTION.replace("Boston", "Paris").replace("Denver", "Lyon").replace("120 km", "3,500.25 miles").replace("35", "77")
     apples = ITEMS[6][1]
     consistent = apples.replace("Maria", "Paula").replace("5", "8").replace("John", "Peter")
     mixed = apples.replace("gives 5", "gives 9").replace("before Maria", "before Susan").replace("has 5", "has 3").replace("apples to", "pears to")
     swapped = consistent.replace("gives 8", "gives 9")
     got = found(spark, ["x " + other, "x " + consistent, "x " + mixed, "x " + swapped])
-    assert set(got) == {(0, 1), (1, 7)}
+    assert set(got) == {(0, 1), (1, 7), (3, 7)}  # numbers are drawn independently
     assert not got[0, 1].verbatim and not got[1, 7].verbatim
 
 

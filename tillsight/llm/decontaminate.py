@@ -10,8 +10,8 @@ A filter of fixed size over the benchmark's windows lets possible hits through,
 benchmark; these are joined exactly on form and hash and gathered by (document, item, form, diagonal). An item leaks
 into a document when ``HITS`` windows of one diagonal (all of them, for an item with fewer) match literally, or
 match as templates with ``LITERALS`` ordinary words (all but one of a shorter item) while the slot values of item and
-document agree: names and units map one to one; different numbers may become equal by chance, and equal ones
-different where ``FREE_LITERALS`` ordinary words agree. The same question with
+document agree: names and units map one to one. Numbers are free where ``LITERALS`` ordinary words agree, as those of
+a question asked anew are drawn independently; with fewer, equal numbers stay equal. The same question with
 other numbers and names does, a text that merely has the same shape does not.
 
 Defined results: items and documents that are NULL, empty or shorter than their windows leak
@@ -31,13 +31,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillsight.llm.bloom import build
-from tillsight.llm.texts import ALPHANUMERIC, bounded, broadcast_if_small, byte_class, hash_spans, map_arrow, mix, unused, window_owners, windows, words
+from tillsight.llm.texts import (
+    ALPHANUMERIC, bounded, broadcast_if_small, byte_class, hash_spans, map_arrow, mix, unused, window_owners, windows, words,
+)
 from tillsight.session import stage
 
 WINDOW = 8
 LITERALS = 5
-#: Literal words from which equal numbers of an item may become different ones.
-FREE_LITERALS = 2 * WINDOW
 HITS = 3
 MIN_WORDS = 4
 FILTER_BITS = 1 << 24
@@ -251,7 +251,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, filter_bits: int = FILTER_BITS)
     )
     verbatim = F.col("form") == LITERAL
     names = _single("names", "item_names") & _single("names", "doc_names")
-    numbers = _single("numbers", "item_numbers") | (F.col("literals") >= FREE_LITERALS)
+    numbers = _single("numbers", "item_numbers") | (F.col("literals") >= LITERALS)
     enough = F.col("literals") >= F.least(F.lit(LITERALS), F.col("item_words") - 1)
     found = diagonals.where((F.col("hits") >= F.least(F.lit(HITS), F.col("item_windows"))) & (verbatim | (enough & names & numbers)))
     best = F.max(F.struct(F.col("hits").cast("long").alias("n_windows"), (F.col("hits") / F.col("item_windows")).alias("coverage")))
