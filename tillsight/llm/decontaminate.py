@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tillsight.llm.bloom import build
 from tillsight.llm.texts import (
-    ALPHANUMERIC, bounded, broadcast_if_small, byte_class, hash_spans, map_arrow, mix, unused, window_owners, windows, words,
+    ALPHANUMERIC, ROOMY, bounded, broadcast_if_small, byte_class, hash_spans, importable, map_arrow, mix, unused, window_owners, windows, words,
 )
 from tillsight.session import stage
 
@@ -214,6 +214,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, filter_bits: int = FILTER_BITS)
     ``item_id``, ``n_windows`` (matching windows of the best diagonal), ``coverage`` (their share of the
     item's windows) and ``verbatim`` (false: only with other slot values).
     """
+    importable(docs.sparkSession, ROOMY)
     listed = stage(benchmark_windows(benchmark), "benchmark_windows")
     bloom = build(listed.select("hash"), filter_bits)
     sizes = sorted(row[0] for row in listed.select("size").distinct().collect())  # MIN_WORDS..WINDOW at most
