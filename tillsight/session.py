@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -47,18 +48,28 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` as a columnar staging table and return a fresh scan of it.
 
     Used where several column-pruned passes follow. Tables staged inside a
-    ``staging_scope`` go when it ends; others stay until the shared folder is cleared.
+    ``staging_scope`` go when it ends; others stay until the shared folder is cleared. ``path`` is a ``stage_path`` taken
+    earlier, in the scope that the table belongs to.
     """
     spark = df.sparkSession
-    path = stage_path(spark, name)
+    path = path or stage_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now.
+
+    It does so once the driver's garbage is collected, which a driver with little to do puts off for as long as half an hour.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 @contextmanager
 def staging_scope(spark: SparkSession) -> Iterator[None]:
     """Delete the staging tables written inside the block, whether or not it succeeds."""
