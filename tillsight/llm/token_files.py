@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillsight.llm.bpe import ascii_pattern, gather
-from tillsight.llm.texts import bounded, map_arrow
+from tillsight.llm.texts import ROOMY, bounded, importable, map_arrow
 from tillsight.session import stage_path
 
 MAGIC = b"PFORIDS1"
@@ -338,7 +338,7 @@ def write_tokens(docs: DataFrame, definition: str, end_id: int, folder: str | No
     not given).
     """
     spark = docs.sparkSession
-    json.loads(definition)
+    importable(spark, ROOMY)
     folder = folder or stage_path(spark, "token-ids")
     system, path = _opened(folder)
     system.create_dir(path, recursive=True)
