@@ -155,8 +155,8 @@ NOT_SPACE = byte_class(b for b in range(256) if b != 0x20 and not 0x09 <= b <= 0
 ALPHANUMERIC = byte_class([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)])
 
 
-def words(column: pa.Array, kind: np.ndarray) -> Words:
-    """Maximal runs of bytes of ``kind`` in each text, hashed with A-Z lower-cased.
+def words(column: pa.Array, kind: np.ndarray, fold: np.ndarray = _FOLD) -> Words:
+    """Maximal runs of bytes of ``kind`` in each text, hashed with A-Z lower-cased, or as ``fold`` has it.
 
     Byte classes that keep all bytes from 0x80 on together never cut a character.
     """
@@ -170,7 +170,7 @@ def words(column: pa.Array, kind: np.ndarray) -> Words:
     after[:-1] = inside
     after[offsets] = False
     ends = np.flatnonzero(inside & ~after[1:]) + 1
-    return Words(data, starts, ends, hash_spans(data, starts, ends), np.searchsorted(starts, offsets), offsets)
+    return Words(data, starts, ends, hash_spans(data, starts, ends, fold), np.searchsorted(starts, offsets), offsets)
 
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray = _FOLD) -> np.ndarray:

@@ -34,9 +34,9 @@ from __future__ import annotations
 import json
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain, groupby
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillsight.llm.bpe import ascii_pattern, gather
-from tillsight.llm.texts import ROOMY, bounded, importable, map_arrow
+from tillsight.llm.texts import AS_IS, NOT_SPACE, ROOMY, Words, bounded, importable, map_arrow, words
 from tillsight.session import stage_path
 
 MAGIC = b"PFORIDS1"
@@ -57,8 +57,10 @@ BLOCKS_AT_ONCE = 2048
 FILE_TEXT_BYTES = 128 << 20
 #: Distinct words whose ids a task remembers; beyond that it starts anew.
 REMEMBERED = 1 << 18
-#: Texts of ASCII without control characters; words without white space or control characters, of which so many are normalised and split at a time.
-PRINTABLE = re.compile(r"[\t-\r -~]*").fullmatch
+#: Bytes of text that are encoded together.
+SLICE = 4 << 20
+#: Words of ASCII without control characters; words without white space or control characters, of which so many are normalised and split at a time.
+PRINTABLE, BREAK = re.compile(rb"[!-~]*").fullmatch, "\n"
 PLAIN, JOINED = re.compile(r"[^\s\x00-\x20\x7f-\xa0]+").fullmatch, 1024
 READ_IDS = 1 << 20
 MANIFEST = pa.schema([("file", pa.int32()), ("path", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64())])
@@ -224,93 +226,126 @@ def _ascii_steps(definition: str) -> tuple[bool, re.Pattern] | None:
     return None if pattern is None else (any(n["type"] == "Lowercase" for n in normal), pattern)
 
 
+def _ends_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last eight bytes of each span as numbers; spans of up to 16 bytes are fully told by them and their length."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    short = np.minimum(ends - starts, 8).astype(np.uint64)
+    mask = np.where(short < 8, (np.uint64(1) << (short * np.uint64(8) & np.uint64(63))) - np.uint64(1), ~np.uint64(0))
+    return eight[starts] & mask, eight[ends - short.astype(np.int64)] & mask
+
+
+def _distinct(found: Words) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each distinct word, and for each word which of these it equals.
+
+    Words count as equal by hash, length and both ends.
+    """
+    order = np.argsort(found.hashes, kind="stable")
+    hashes = found.hashes[order]
+    new = np.ones(len(order), bool)
+    new[1:] = hashes[1:] != hashes[:-1]
+    head, tail = _ends_of(found.data, found.starts, found.ends)
+    for part in (found.ends - found.starts, head, tail):
+        part = part[order]
+        if ((part[1:] != part[:-1]) & ~new[1:]).any():  # two words of one hash: compare all by their bytes
+            listed = [found.data[a:b].tobytes() for a, b in zip(found.starts.tolist(), found.ends.tolist(), strict=True)]
+            number = {w: i for i, w in enumerate(dict.fromkeys(listed))}
+            inverse = np.array([number[w] for w in listed])
+            return np.unique(inverse, return_index=True)[1], inverse
+    inverse = np.empty(len(order), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return order[new], inverse
+
+
 class _Encoder:
-    """Ids of texts, by pieces, by words or whole; entries of ``ids`` are what a place in a text may hold."""
+    """Ids of texts. Each distinct word of a slice is looked up once, and what is not remembered is encoded.
+
+    The ids of remembered words lie one after the other in ``flat``; a word's number tells where. Number 0 is the end of a text.
+    """
 
     def __init__(self, definition: str, by_word: bool) -> None:
         self.tokenizer, self.by_word = _tokenizer(definition), by_word
         #: A step that is missing, or that joins pieces again, leaves each word to the library alone.
         self.steps = by_word and None not in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer) and self.tokenizer.post_processor is None
-        self.ascii = _ascii_steps(definition) if self.steps else None
+        known = _ascii_steps(definition) if self.steps else None
+        self.lower, self.pattern = (None, None) if known is None else (known[0], re.compile(f"{BREAK}|{known[1].pattern}"))
         self._forget()
 
     def _forget(self) -> None:
-        #: Places in ``ids`` of pieces (str), which only the merges are left to act on, and of words (bytes).
-        self.known: dict[str | bytes, int] = {}
-        self.ids: list[list[int]] = [[]]  # entry 0 stands for the end of a text
-
-    def _enter(self, key: str | bytes, ids: list[int]) -> None:
-        self.known[key] = len(self.ids)
-        self.ids.append(ids)
-
-    def _merged(self, piece: str) -> list[int]:
-        if piece not in self.known:
-            self._enter(piece, [token.id for token in self.tokenizer.model.tokenize(piece)])
-        return self.ids[self.known[piece]]
+        self.words: dict[bytes, int] = {}
+        self.pieces: dict[str, int] = {BREAK: 0}
+        self.piece_ids: list[list[int]] = [[]]
+        self.flat, self.lengths = np.zeros(1, np.uint32), np.ones(1, np.int64)
+
+    def _append(self, words: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.words.update(zip(words, range(len(self.lengths), len(self.lengths) + len(words)), strict=True))
+        self.flat, self.lengths = np.concatenate((self.flat, ids)), np.concatenate((self.lengths, lengths))
+
+    def _enter_pieces(self, pieces: Iterable[str]) -> None:
+        """Let the tokenizer's model merge pieces that are not remembered."""
+        for piece in set(pieces).difference(self.pieces):
+            self.pieces[piece] = len(self.piece_ids)
+            self.piece_ids.append([token.id for token in self.tokenizer.model.tokenize(piece)])
+
+    def _append_pieces(self, words: list[bytes], pieces: list[str], owner: np.ndarray) -> None:
+        """Enter words that consist of pieces, whose owners are given in order."""
+        self._enter_pieces(pieces)
+        used, inverse = np.unique(np.fromiter(map(self.pieces.__getitem__, pieces), np.int64, len(pieces)), return_inverse=True)
+        mine = [self.piece_ids[i] for i in used.tolist()]
+        lengths = np.fromiter(map(len, mine), np.int64, len(mine))
+        flat = np.fromiter(chain.from_iterable(mine), np.uint32, int(lengths.sum()))
+        taken = lengths[inverse]
+        ids = gather(flat, (np.cumsum(lengths) - lengths)[inverse], taken)
+        self._append(words, ids, np.bincount(owner, taken, len(words)).astype(np.int64))
 
     def _learn(self, words: list[bytes]) -> None:
         """Enter new words. Those without odd characters pass the tokenizer's steps many at a time, its merges once for each distinct piece."""
-        texts = [w.decode() for w in words]
-        learned: list[list[int] | None] = [None] * len(texts)
-        plain = [i for i, text in enumerate(texts) if PLAIN(text)] if self.steps else []
-        for begin in range(0, len(plain), JOINED):
-            chosen = plain[begin : begin + JOINED]
-            normal = self.tokenizer.normalizer.normalize_str(" ".join(texts[i] for i in chosen))
+        plain = [w for w in words if PRINTABLE(w)] if self.pattern is not None else []
+        if plain:
+            text = BREAK.join(map(bytes.decode, plain))
+            pieces = self.pattern.findall(text.lower() if self.lower else text)
+            breaks = np.fromiter(map(BREAK.__eq__, pieces), bool, len(pieces))
+            self._append_pieces(plain, pieces, np.cumsum(breaks))
+        rest = [w for w in words if w not in self.words] if plain else words
+        smooth = [w for w in rest if PLAIN(w.decode())] if self.steps else []
+        for begin in range(0, len(smooth), JOINED):
+            chosen = smooth[begin : begin + JOINED]
+            normal = self.tokenizer.normalizer.normalize_str(" ".join(map(bytes.decode, chosen)))
             parts = normal.split(" ")
             if len(parts) != len(chosen) or not all(parts):
                 continue  # the steps changed what separates words
-            ends = np.cumsum([len(p) + 1 for p in parts])
             found = self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)
-            owners = np.searchsorted(ends, [a for _, (a, _) in found], side="right").tolist()
-            for i in chosen:
-                learned[i] = []
-            for owner, (piece, _) in zip(owners, found, strict=True):
-                learned[chosen[owner]] += self._merged(piece)
-        for word, text, ids in zip(words, texts, learned, strict=True):
-            self._enter(word, self.tokenizer.encode(text, add_special_tokens=False).ids if ids is None else ids)
-
-    def _pieces(self, text: str) -> list[str]:
-        lower, pattern = self.ascii
-        return pattern.findall(text.lower() if lower else text)
-
-    def _keys(self, text: str | None) -> list[str | bytes]:
-        """A text as pieces, where its ASCII runs can be split here, and words."""
-        if not text:
-            return []
-        if self.ascii is None:
-            return text.encode().split() if self.by_word else [text.encode()]
-        if PRINTABLE(text):
-            return self._pieces(text)
-        keys: list[str | bytes] = []
-        for plain, run in groupby(text.encode().split(), bytes.isascii):
-            joined = b" ".join(run)
-            if plain and PRINTABLE(ascii_text := joined.decode()):
-                keys += self._pieces(ascii_text)
-            else:
-                keys += joined.split()
-        return keys
-
-    def __call__(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+            ends = np.cumsum([len(p) + 1 for p in parts])
+            self._append_pieces(chosen, [piece for piece, _ in found], np.searchsorted(ends, [a for _, (a, _) in found], side="right"))
+        for word in rest:
+            if word not in self.words:
+                ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, np.uint32)
+                self._append([word], ids, np.array([len(ids)]))
+
+    def _split(self, column: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Distinct words, which of them stands at each place, and the first place of each text."""
+        if not self.by_word:
+            listed = [(t or "").encode() for t in column.to_pylist()]
+            number = {w: i for i, w in enumerate(dict.fromkeys(listed))}
+            return list(number), np.array([number[w] for w in listed], np.int64), np.arange(len(listed) + 1)
+        found = words(column, NOT_SPACE, AS_IS)
+        places, inverse = _distinct(found)
+        raw = found.data.tobytes()
+        return [raw[a:b] for a, b in zip(found.starts[places].tolist(), found.ends[places].tolist(), strict=True)], inverse, found.first
+
+    def __call__(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of ids of the texts, and all their ids, each text's followed by the end id."""
-        if len(self.ids) > REMEMBERED:
+        if len(self.words) > REMEMBERED:
             self._forget()
-        self.ids[0] = [end_id]
-        listed = [self._keys(text) for text in texts]
-        fresh = set(chain.from_iterable(listed)).difference(self.known)
-        for key in fresh:
-            if isinstance(key, str):
-                self._merged(key)
-        if words := [key for key in fresh if isinstance(key, bytes)]:
-            self._learn(words)
-        known = self.known.__getitem__
-        places = np.fromiter(chain.from_iterable(chain(map(known, x), (0,)) for x in listed), np.int64, sum(map(len, listed)) + len(listed))
-        used, inverse = np.unique(places, return_inverse=True)
-        mine = [self.ids[i] for i in used.tolist()]
-        lengths = np.fromiter(map(len, mine), np.int64, len(mine))
-        flat = np.fromiter(chain.from_iterable(mine), np.uint32, int(lengths.sum()))
-        ids = gather(flat, (np.cumsum(lengths) - lengths)[inverse], lengths[inverse])
-        edges = np.cumsum([len(x) + 1 for x in listed])
-        ends = np.cumsum(lengths[inverse])[edges - 1]
+        self.flat[0] = end_id
+        distinct, inverse, first = self._split(column)
+        if fresh := [w for w in distinct if w not in self.words]:
+            self._learn(fresh)
+        number = np.fromiter(map(self.words.__getitem__, distinct), np.int64, len(distinct))
+        entries = np.insert(number[inverse], first[1:], 0)
+        taken = self.lengths[entries]
+        ids = gather(self.flat, (np.cumsum(self.lengths) - self.lengths)[entries], taken)
+        ends = np.cumsum(taken)[first[1:] + np.arange(len(first) - 1)]
         return np.diff(ends, prepend=0), ids
 
 
@@ -346,12 +381,12 @@ def write_tokens(docs: DataFrame, definition: str, end_id: int, folder: str | No
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, writer = None, None
-        for batch in bounded(batches):
+        for batch in bounded(batches, limit=SLICE):
             if writer is None:
                 encoder = _encoder(shared.value, by_word)
                 number = TaskContext.get().partitionId()
                 writer = _Writer(f"{folder}/ids-{number:07d}-{uuid.uuid4().hex}.pfor")
-            counts, ids = encoder(batch.column("text").to_pylist(), end_id)
+            counts, ids = encoder(batch.column("text"), end_id)
             writer.add(batch.column("doc_id"), counts, ids)
         if writer is not None:
             writer.close()
