@@ -42,7 +42,7 @@ from tillsight.functions.skew import join_back
 from tillsight.llm.bpe import gather
 from tillsight.llm.components import components
 from tillsight.llm.texts import NOT_SPACE, bounded, broadcast_if_small, list_array, map_arrow, mix, records_per_batch, unused, window_owners, windows, words
-from tillsight.session import stage
+from tillsight.session import release_shuffles, stage, stage_path, staging_scope
 
 BLOCK = 8
 
@@ -211,11 +211,27 @@ def described(docs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
     return map_arrow(narrow, describe, f"doc_id {kind}, n long, s1 long, s2 long, keys array<long>")
 
 
+def _of_lists(entries: DataFrame, lists: DataFrame, key: str) -> DataFrame:
+    """Entries of the given lists (one stored row for each), which are few as nearly all keys meet nobody.
+
+    While few they are broadcast and the entries stay where they are; beyond that adaptive execution splits hot lists.
+    """
+    small = broadcast_if_small(lists)
+    if small is not lists:
+        return entries.join(small, key)
+    return join_back(entries, lists.withColumn("_listed", F.lit(True)), [key]).where("_listed").drop("_listed")
+
+
 def _star_pairs(representatives: DataFrame) -> DataFrame:
-    """Distinct (p, x): the pivot of a list and another member."""
-    postings = representatives.select(F.explode("keys").alias("key"), F.col("rep").alias("x")).repartition("key")
+    """Distinct (p, x): the pivot of a list and another member. ``representatives`` are read twice.
+
+    Pivots come from an aggregation merged on the map side, so a list that a large share of all sets is in is no hot key.
+    """
+    postings = representatives.select(F.explode("keys").alias("key"), F.col("rep").alias("x"))
     lists = postings.groupBy("key").agg(F.min("x").alias("p"), F.max("x").alias("last")).where(F.col("p") < F.col("last"))
-    return postings.join(lists, "key").where(F.col("x") != F.col("p")).select("p", "x").distinct()
+    lists = stage(lists.select("key", "p"), "lists")
+    release_shuffles(representatives.sparkSession)
+    return _of_lists(postings, lists, "key").where(F.col("x") != F.col("p")).select("p", "x").distinct()
 
 
 def _differences(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
@@ -264,10 +280,11 @@ def _difference_lists(members: DataFrame, rule: Rule) -> DataFrame:
     has before all. A partner differs by at most ``h`` elements, so the first ``h + 1`` positions suffice.
     A list is known by the hash of pivot and element; a collision only adds pairs to verify.
     """
-    elements = members.select("m", "p", F.explode("diff").alias("e")).select(F.xxhash64("p", "e").alias("g"), "m").repartition("g")
-    shared = elements.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
+    elements = members.select("m", "p", F.explode("diff").alias("e")).select(F.xxhash64("p", "e").alias("g"), "m")
+    shared = stage(elements.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1), "shared")
+    release_shuffles(members.sparkSession)
     own = Window.partitionBy("m")
-    ranked = elements.join(shared, "g").select(
+    ranked = _of_lists(elements, shared, "g").select(
         "g", "m", F.count(F.lit(1)).over(own).alias("known"), (F.row_number().over(own.orderBy("df", "g")) - 1).alias("place")
     )
     both = F.col("nx") + F.expr(f"nx * {rule.den} div {rule.num}")
@@ -308,35 +325,39 @@ def _list_stars(entries: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _open_pairs(entries: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame:
-    """Distinct pairs (p, x, y) of one list and different components that may link."""
+    """Distinct pairs (p, x, y) of one list and different components that may link.
+
+    A block holds members of one component, so blocks are paired, and no rows of one component with each other.
+    """
     placed = join_back(entries, labels.withColumnRenamed("node", "x"), ["x"]).withColumn("component", F.coalesce("component", "x"))
-    blocked = stage(placed.withColumn("b", F.struct(F.floor(F.col("d") / BLOCK).alias("d"), F.floor(F.col("at") / BLOCK).alias("at"))), "blocks")
+    place = F.struct(F.col("component").alias("of"), F.floor(F.col("d") / BLOCK).alias("d"), F.floor(F.col("at") / BLOCK).alias("at"))
+    blocked = stage(placed.withColumn("b", place), "blocks")
     blocks = blocked.groupBy("p", "g", "b").agg(
-        F.min("d").alias("low"), F.max("nx").alias("most"), F.max(F.col("d") - F.col("at")).alias("room"),
-        F.min("component").alias("c1"), F.max("component").alias("c2"), F.min("linked").alias("linked"),
+        F.min("d").alias("low"), F.max("nx").alias("most"), F.max(F.col("d") - F.col("at")).alias("room"), F.min("linked").alias("linked"),
     )
-    names = ("b", "low", "most", "room", "c1", "c2", "linked")
+    names = ("b", "low", "most", "room", "linked")
     needed = rule.common(F.col("low_x") + F.col("low_y"), F.col("most_x") + F.col("most_y"))
-    one_component = (F.col("c1_x") == F.col("c2_x")) & (F.col("c1_y") == F.col("c2_y")) & (F.col("c1_x") == F.col("c1_y"))
     kept = _named(blocks, "x", names).join(_named(blocks, "y", names), ["p", "g"]).where(
-        (F.col("b_x") <= F.col("b_y")) & (needed <= F.least("room_x", "room_y")) & ~one_component & ~(F.col("linked_x") & F.col("linked_y"))
+        (F.col("b_x.of") < F.col("b_y.of")) & (needed <= F.least("room_x", "room_y")) & ~(F.col("linked_x") & F.col("linked_y"))
     ).select("p", "g", "b_x", "b_y")
-    names = (*ENTRY, "b", "component")
+    names = (*ENTRY, "b")
     pairs = _may_link(kept.join(_named(blocked, "x", names), ["p", "g", "b_x"]), _named(blocked, "y", names), ["p", "g", "b_y"], rule)
-    apart = pairs.where(F.col("component_x") != F.col("component_y"))
-    return apart.select("p", F.least("x_x", "x_y").alias("x"), F.greatest("x_x", "x_y").alias("y")).distinct()
+    return pairs.select("p", F.least("x_x", "x_y").alias("x"), F.greatest("x_x", "x_y").alias("y")).distinct()
 
 
-def _links(docs: DataFrame, representatives: DataFrame, rule: Rule) -> DataFrame:
+def _links(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
     """Components of the representatives that link with another one: ``node``, ``component``."""
-    pairs = stage(_star_pairs(representatives), "pairs")
+    spark = docs.sparkSession
     diffs = _differences(docs, pairs, rule)
+    release_shuffles(spark)
     stars = diffs.where("linked").select(F.col("p").alias("u"), F.col("x").alias("v"))
     unsettled = stage(diffs.where(~F.col("linked")).select("p").distinct(), "unsettled")
     members = diffs.join(broadcast_if_small(unsettled), "p", "left_semi")
     entries = stage(_difference_lists(members, rule), "entries")
+    release_shuffles(spark)
     stars = stars.unionByName(_sides(_list_stars(entries, rule), members, rule))
     labels = components(stars)
+    release_shuffles(spark)
     across = stage(_sides(_open_pairs(entries, labels, rule), members, rule), "links")
     if across.isEmpty():
         return labels
@@ -344,13 +365,27 @@ def _links(docs: DataFrame, representatives: DataFrame, rule: Rule) -> DataFrame
 
 
 def component_labels(docs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
-    """``doc_id``, ``n_shingles`` and ``component_id`` of every document."""
-    with records_per_batch(docs.sparkSession, 16 * RECORDS):
-        sets = stage(described(docs, rule), "sets")
+    """``doc_id``, ``n_shingles`` and ``component_id`` of every document.
+
+    The list keys, which are most of what is stored, are removed once the pairs are known.
+    """
+    spark = docs.sparkSession
+    paths = {name: stage_path(spark, name) for name in ("sets", "classes", "pairs")}
     keys = ["s1", "s2", "n"]
-    classes = stage(sets.where(F.col("n") > 0).groupBy(keys).agg(F.min("doc_id").alias("rep")), "classes")
-    mine = sets.select(*keys, "keys", F.col("doc_id").alias("rep")).where(F.size("keys") > 0)
-    labels = _links(docs, mine.join(classes, [*keys, "rep"]).select("rep", "keys"), rule)
+    with staging_scope(spark):
+        with records_per_batch(spark, 16 * RECORDS):
+            keyed = stage(described(docs, rule), "keyed_sets")
+        sets = stage(keyed.drop("keys"), "sets", paths["sets"])
+        classes = stage(sets.where(F.col("n") > 0).groupBy(keys).agg(F.min("doc_id").alias("rep")), "classes", paths["classes"])
+        listed = keyed.select(*keys, "keys", F.col("doc_id").alias("rep")).where(F.size("keys") > 0)
+        known = broadcast_if_small(classes)
+        mine = listed.join(known, [*keys, "rep"]).select("rep", "keys")
+        if known is classes:  # the join exchanges the keys, so its result is stored
+            mine = stage(mine, "representatives")
+            release_shuffles(spark)
+        pairs = stage(_star_pairs(mine), "pairs", paths["pairs"])
+    release_shuffles(spark)
+    labels = _links(docs, pairs, rule)
     named = classes.join(labels, classes["rep"] == labels["node"], "left").select(*keys, F.coalesce("component", "rep").alias("component_id"))
     return join_back(sets.select("doc_id", *keys), named, keys, spread="doc_id").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
