@@ -36,7 +36,7 @@ import re
 import uuid
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -56,11 +56,11 @@ BLOCKS_AT_ONCE = 2048
 #: Bytes of text for one file, where that gives more files than ``spark.sql.shuffle.partitions``.
 FILE_TEXT_BYTES = 128 << 20
 #: Distinct words whose ids a task remembers; beyond that it starts anew.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 19
 #: Bytes of text that are encoded together.
 SLICE = 4 << 20
-#: Words of ASCII without control characters; words without white space or control characters, of which so many are normalised and split at a time.
-PRINTABLE, BREAK = re.compile(rb"[!-~]*").fullmatch, "\n"
+BREAK = "\n"
+#: Words without white space or control characters; so many of them are normalised and split at a time.
 PLAIN, JOINED = re.compile(r"[^\s\x00-\x20\x7f-\xa0]+").fullmatch, 1024
 READ_IDS = 1 << 20
 MANIFEST = pa.schema([("file", pa.int32()), ("path", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64())])
@@ -298,9 +298,9 @@ class _Encoder:
         ids = gather(flat, (np.cumsum(lengths) - lengths)[inverse], taken)
         self._append(words, ids, np.bincount(owner, taken, len(words)).astype(np.int64))
 
-    def _learn(self, words: list[bytes]) -> None:
+    def _learn(self, words: list[bytes], printable: list[bool]) -> None:
         """Enter new words. Those without odd characters pass the tokenizer's steps many at a time, its merges once for each distinct piece."""
-        plain = [w for w in words if PRINTABLE(w)] if self.pattern is not None else []
+        plain = list(compress(words, printable)) if self.pattern is not None else []
         if plain:
             text = BREAK.join(map(bytes.decode, plain))
             pieces = self.pattern.findall(text.lower() if self.lower else text)
@@ -322,25 +322,27 @@ class _Encoder:
                 ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, np.uint32)
                 self._append([word], ids, np.array([len(ids)]))
 
-    def _split(self, column: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """Distinct words, which of them stands at each place, and the first place of each text."""
+    def _split(self, column: pa.Array) -> tuple[list[bytes], list[bool], np.ndarray, np.ndarray]:
+        """Distinct words, whether they are of printable ASCII, which of them stands at each place, and the first place of each text."""
         if not self.by_word:
             listed = [(t or "").encode() for t in column.to_pylist()]
             number = {w: i for i, w in enumerate(dict.fromkeys(listed))}
-            return list(number), np.array([number[w] for w in listed], np.int64), np.arange(len(listed) + 1)
+            return list(number), [False] * len(number), np.array([number[w] for w in listed], np.int64), np.arange(len(listed) + 1)
         found = words(column, NOT_SPACE, AS_IS)
         places, inverse = _distinct(found)
-        raw = found.data.tobytes()
-        return [raw[a:b] for a, b in zip(found.starts[places].tolist(), found.ends[places].tolist(), strict=True)], inverse, found.first
+        raw, starts, ends = found.data.tobytes(), found.starts[places], found.ends[places]
+        odd = np.concatenate(([0], np.cumsum((found.data < 0x21) | (found.data > 0x7E), dtype=np.int32)))
+        return [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], (odd[ends] == odd[starts]).tolist(), inverse, found.first
 
     def __call__(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of ids of the texts, and all their ids, each text's followed by the end id."""
         if len(self.words) > REMEMBERED:
             self._forget()
         self.flat[0] = end_id
-        distinct, inverse, first = self._split(column)
-        if fresh := [w for w in distinct if w not in self.words]:
-            self._learn(fresh)
+        distinct, printable, inverse, first = self._split(column)
+        new = [w not in self.words for w in distinct]
+        if any(new):
+            self._learn(list(compress(distinct, new)), list(compress(printable, new)))
         number = np.fromiter(map(self.words.__getitem__, distinct), np.int64, len(distinct))
         entries = np.insert(number[inverse], first[1:], 0)
         taken = self.lengths[entries]
