@@ -73,4 +73,54 @@ SELECT page_id, host, path, CASE WHEN level = 0 THEN rule END AS rule, coalesce(
 FROM m WHERE place = 1
 """
 
-ORACLES = {"op2_ngram_jaccard": OP2, "op4_exact_dedup": OP4, "op7_chat_format": OP7, "op9_url_filter": OP9}
+CRC = """
+crc_steps(n, c, k) AS (
+  SELECT range, range, 0 FROM range(256)
+  UNION ALL SELECT n, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM crc_steps WHERE k < 8
+), crc_table AS (SELECT list(c ORDER BY n) AS t FROM crc_steps WHERE k = 8)"""
+
+GRAM = " || ' ' || ".join(["word", *(f"lead(word, {k}) OVER o" for k in range(1, 16))])
+
+OP11 = rf"""
+WITH RECURSIVE {CRC}, d AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         xor(list_reduce([4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+             lambda a, x: xor(a >> 8, t[1 + xor(a, x) % 256])), 4294967295) AS h
+  FROM documents, crc_table
+), s AS (
+  SELECT r, doc_id, w, len(w) AS n, coalesce(h % 10 = 0, false) AND len(w) > 0 AS planted, h // 10 AS g FROM d
+), p AS (
+  SELECT r, doc_id, n, w, CASE WHEN planted THEN g % n END AS a, CASE WHEN planted THEN 1 + (n - g % n) // (3 + g % 8) END AS p FROM s
+), v AS MATERIALIZED (
+  SELECT r, doc_id, n, CASE WHEN a IS NULL THEN w
+    ELSE list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) END AS w FROM p
+), x AS MATERIALIZED (
+  SELECT r, unnest(range(n)) AS i, unnest(w) AS word FROM v
+), grams AS (
+  SELECT r, n, i, {GRAM} AS gram FROM x JOIN (SELECT r, n FROM v WHERE n >= 24) USING (r)
+  WINDOW o AS (PARTITION BY r ORDER BY i) QUALIFY lead(word, 15) OVER o IS NOT NULL
+), periods AS (
+  SELECT DISTINCT a.r, b.i - a.i AS q FROM grams a JOIN grams b ON a.r = b.r AND a.gram = b.gram AND a.i < b.i WHERE 3 * (b.i - a.i) <= a.n
+), same AS (
+  SELECT c.r, c.q, a.i FROM periods c JOIN x a ON a.r = c.r JOIN x b ON b.r = c.r AND b.i = a.i + c.q AND b.word = a.word
+), stretches AS (
+  SELECT r, q, min(i) AS start, count(*) + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM same) GROUP BY r, q, island
+), runs AS MATERIALIZED (
+  SELECT r, start, length, min(q) AS period FROM stretches GROUP BY r, start, length HAVING length >= 24 AND length >= 3 * min(q)
+), told AS (
+  SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs,
+         first({{'s': start, 'l': length, 'q': period}} ORDER BY length / period DESC, start, period) AS best
+  FROM runs GROUP BY r
+), gone AS (
+  SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM runs
+), kept AS (
+  SELECT r, string_agg(word, ' ' ORDER BY i) AS text FROM x ANTI JOIN gone USING (r, i) GROUP BY r
+)
+SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(best.s AS BIGINT) AS start, CAST(best.l AS BIGINT) AS length,
+       CAST(best.q AS BIGINT) AS period, CAST(1000 * best.l // best.q AS BIGINT) AS exponent_milli,
+       sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM v LEFT JOIN told USING (r) LEFT JOIN kept USING (r)
+"""
+
+ORACLES = {"op11_periodic_runs": OP11, "op2_ngram_jaccard": OP2, "op4_exact_dedup": OP4, "op7_chat_format": OP7, "op9_url_filter": OP9}
