@@ -71,3 +71,29 @@ def test_staging_tables_go_with_their_scope(spark):
         name = stage(spark.range(2).toDF("n"), "inside").inputFiles()[0].rsplit("/", 2)[1]
         raise ZeroDivisionError
     assert name.startswith("inside-") and name not in [f.getPath().getName() for f in system.listStatus(folder)]
+
+
+def test_csv_files_from_ingest_to_reports(spark, tmp_path):
+    """Text masters with values that do not parse pass every step of the command line."""
+    files = {
+        "transactions": [DEFAULTS, {**DEFAULTS, "invoice_id": "INV-9", "store_id": "-1"}],
+        "discounts": [{"start": "2023-01-01", "end": "2023-12-31", "discount": "0.1", "category": "Tops", "sub_category": "Shirts", "description": "all year"}],
+        "customers": [{"customer_id": c, "name": "n", "email": "e", "telephone": "t", "city": "NY", "country": "US", "gender": "F", "date_of_birth": d, "job_title": "j"}
+                      for c, d in (("c1", "1990-05-01"), ("c2", "unknown"))],
+        "products": [{"product_id": "p1", "category": "Tops", "sub_category": "Shirts", **{f"description_{x}": "d" for x in ("pt", "de", "fr", "es", "en", "zh")},
+                      "color": "red", "size": "M", "production_cost": "n/a"}],
+        "stores": [{"store_id": "s1", "country": "US", "city": "NY", "store_name": "One", "number_of_employees": "many", "zip_code": "1", "latitude": "", "longitude": "x"}],
+        "employees": [{"employee_id": "e1", "store_id": "s1", "name": "n", "position": "p"}],
+    }
+    for name, rows in files.items():
+        frame = spark.createDataFrame([tuple(r.values()) for r in rows], ", ".join(f"`{c}` string" for c in rows[0]))
+        frame.coalesce(1).write.option("header", "true").csv(f"{tmp_path}/files/{name}")
+    steps = [["ingest", "--format", "csv", "--tables", f"{tmp_path}/files", "--out", f"{tmp_path}/raw"], ["clean", "--tables", f"{tmp_path}/raw", "--out", f"{tmp_path}/final"]]
+    for step in steps:
+        pipeline.main(step)
+    tables.save_table(tables.load_table(spark, "discounts", f"{tmp_path}/raw"), "discounts", f"{tmp_path}/final")
+    dims = tables.load_dimensions(spark, f"{tmp_path}/final", "_final")
+    assert dict(dims.stores.dtypes)["number_of_employees"] == "double" and dict(dims.customers.dtypes)["date_of_birth"] == "date"
+    final = tables.load_table(spark, "transactions_final", f"{tmp_path}/final").drop("year", "month")
+    names = {"store_summary", "store_overview", "productivity_by_employee_band", "revenue_by_age_group", "product_ranking", "campaign_summary"}
+    assert set(pipeline.write_reports(final, dims, "2024-01-01", f"{tmp_path}/reports", names)) == names

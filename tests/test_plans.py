@@ -13,7 +13,7 @@ from tillsight.sources.tables import load_dimensions, load_table, with_source_ro
 SMALL = str(DATA / "sf0.001")
 SAMPLE = (
     "a01", "a05", "a10", "u03", "u08", "u13", "u16_cohort_retention", "u18_clv_tier_summary", "p04", "p16", "t03", "t12",
-    "k02", "k05", "r11", "d09", "d15", "c05_orphan_keys_final", "c12", "c18", "c24", "c26",
+    "k02", "k03", "k05", "r11", "f09", "t08", "p09", "u11", "u16_cohort_matrix", "d08", "d09", "d12", "d15", "d16", "c05_orphan_keys_final", "c12", "c18", "c25", "c26",
 )
 QUERIES, TWINS = catalog.queries(), all_queries()
 CHOSEN = [n for n in QUERIES if os.environ.get("TILLSIGHT_ALL") or n.startswith(SAMPLE)]
@@ -134,3 +134,14 @@ def test_cleaning_figures_come_with_the_writes(spark):
     assert wide == ["struct<customer_id:string,product_id:string,store_id:string,employee_id:string>"]
     empty = clean.cleaned(tables.raw.limit(0), tables.dimensions)
     assert [tuple(r) for r in clean.before_after(empty).collect()] == [("before", 0, None, 0, None), ("after", 0, None, 0, None)]
+
+
+@pytest.mark.parametrize("name", ["f09", "t03", "t08", "t09", "p09", "p10", "u02", "u16_cohort_retention", "k05"])
+def test_no_plan_multiplies_rows_by_expand(spark, name):
+    key = next(n for n in QUERIES if n.startswith(name))
+    assert "Expand" not in QUERIES[key](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cohorts_need_no_window_over_customers(spark):
+    plan = QUERIES["u16_cohort_retention"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert [line for line in plan.split("== Initial Plan ==")[0].splitlines() if "Window" in line and "customer_id" in line] == []

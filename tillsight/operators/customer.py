@@ -151,22 +151,38 @@ def cohort_index(lines: DataFrame) -> DataFrame:
     })
 
 
+WORD_MONTHS = 60  # months of one bitmap word; a long holds them without its sign
+
+
+def month_bitmaps(lines: DataFrame) -> DataFrame:
+    """Months with a purchase per customer: ``bits`` of each ``word`` of five years, merged by ``bit_or`` before any exchange."""
+    day = F.col("transaction_date")
+    number = F.year(day) * 12 + F.month(day) - 1
+    bit = F.expr(f"shiftleft(1L, number % {WORD_MONTHS})")
+    marked = _purchases(lines).select("customer_id", number.alias("number")).select(
+        "customer_id", F.floor(F.col("number") / WORD_MONTHS).cast("int").alias("word"), bit.alias("bit")
+    )
+    return marked.groupBy("customer_id", "word").agg(F.bit_or("bit").alias("bits"))
+
+
+def _month_name(number: Column) -> Column:
+    year, month = F.floor(number / 12).cast("string"), (number % 12 + 1).cast("string")
+    return F.concat(F.lpad(year, 4, "0"), F.lit("-"), F.lpad(month, 2, "0"))
+
+
 def cohort_retention(lines: DataFrame) -> DataFrame:
     """Active customers and their share of the cohort, per cohort month and index.
 
-    Lines collapse to distinct customer-months first, so the per-customer window
-    holds at most one row per calendar month.
+    All follows from the bitmaps of ``month_bitmaps``: a customer's cohort is the lowest set bit, and every set bit
+    is an active month. Customers are grouped, never ordered.
     """
-    active = _purchases(lines).select("customer_id", F.trunc("transaction_date", "month").alias("month")).distinct()
-    start = F.min("month").over(Window.partitionBy("customer_id"))
-    counted = (
-        active.withColumn("cohort", start)
-        .groupBy(
-            F.date_format("cohort", "yyyy-MM").alias("cohort_month"),
-            (_months_between(F.col("cohort"), F.col("month")) + 1).alias("cohort_index"),
-        )
-        .agg(F.count("*").alias("customers"))
-    )
+    bits = F.col("bits")
+    lowest = F.bit_count(bits.bitwiseAND(-bits) - 1) + F.col("word") * WORD_MONTHS
+    customers = month_bitmaps(lines).groupBy("customer_id").agg(F.min(lowest).alias("first"), F.collect_list(F.struct("word", "bits")).alias("words"))
+    months = F.filter(F.sequence(F.lit(0), F.lit(WORD_MONTHS - 1)), lambda i: F.call_function("getbit", F.col("bits"), i) == 1)
+    active = customers.select("first", F.inline("words")).select("first", "word", F.explode(months).alias("month"))
+    index = (F.col("word") * WORD_MONTHS + F.col("month") - F.col("first") + 1).cast("int")
+    counted = active.groupBy(_month_name(F.col("first")).alias("cohort_month"), index.alias("cohort_index")).agg(F.count("*").alias("customers"))
     size = F.max(F.when(F.col("cohort_index") == 1, F.col("customers"))).over(Window.partitionBy("cohort_month"))
     return counted.withColumn("cohort_size", size).withColumn(
         "retention", round_half_up(ratio(F.col("customers"), F.col("cohort_size")), 4)

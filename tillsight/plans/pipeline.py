@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tillsight.operators import clean, customer, discount, features, kpi, product, profile, sales, store
 from tillsight.session import configure, stage, stage_path, staging_scope
 from tillsight.sources.tables import (
-    Dimensions, as_raw_transactions, load_dimensions, load_table, save_table, with_source_rowid,
+    Dimensions, as_master, as_raw_transactions, load_dimensions, load_table, save_table, with_source_rowid,
 )
 
 DIMENSIONS = ("employees", "customers", "products", "stores")
@@ -45,8 +45,10 @@ def clean_tables(raw: DataFrame, dims: Dimensions, location: str | None = None,
     return load_table(spark, "cleaning_summary", location)
 
 
-def ingest(spark: SparkSession, source: DataFrame, discounts: DataFrame | None, location: str) -> None:
-    """Write ``transactions`` (text columns and ``source_rowid``) and ``discounts`` (with ``campaign_seq``) under ``location``.
+def ingest(
+    spark: SparkSession, source: DataFrame, discounts: DataFrame | None, location: str, masters: dict[str, DataFrame] | None = None
+) -> None:
+    """Write ``transactions`` (text columns and ``source_rowid``), ``discounts`` (with ``campaign_seq``) and typed masters under ``location``.
 
     Ids follow the stored files and their rows, so they are stable for every later read.
     """
@@ -59,6 +61,8 @@ def ingest(spark: SparkSession, source: DataFrame, discounts: DataFrame | None,
             discounts.drop("campaign_seq").coalesce(1).write.parquet(f"{landed}/discounts")
             numbered = with_source_rowid(spark, f"{landed}/discounts").withColumnRenamed("source_rowid", "campaign_seq")
             save_table(numbered, "discounts", location)
+        for name, master in (masters or {}).items():
+            save_table(as_master(master), name, location)
 
 
 def in_period(fact: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
@@ -80,7 +84,7 @@ def audit_tables(raw: DataFrame, dims: Dimensions, location: str | None = None)
     save_table(clean.orphan_keys(clean.clean_rows(raw), dims), "invalid_foreign_keys", location)
 
 
-PROFILE_REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
+PROFILE_REPORTS: dict[str, Callable[[profile.Source], DataFrame]] = {
     f.__name__: f
     for f in (
         profile.row_count, profile.date_coverage, profile.monthly_rows, profile.column_report, profile.dictionary_report,
@@ -94,6 +98,14 @@ PROFILE_REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
+def profile_tables(raw: DataFrame, location: str | None = None) -> None:
+    """Write every profile report, all from one preparation."""
+    with staging_scope(raw.sparkSession):
+        figures = profile.prepared(raw)
+        for name, report in PROFILE_REPORTS.items():
+            save_table(report(figures), name, location)
+
+
 def reports(fact: DataFrame, dims: Dimensions, as_of: str) -> dict[str, Callable[[], DataFrame]]:
     """Every business report by name, as a function that plans it."""
     lines = features.line_items(fact)
@@ -164,7 +176,8 @@ def main(arguments: list[str] | None = None) -> None:
     if options.step == "ingest":
         read = spark.read.option("header", "true").option("escape", "\"").format(options.format)
         offers = read.load(f"{options.tables}/discounts")
-        ingest(spark, read.load(f"{options.tables}/transactions"), offers, options.out)
+        masters = {name: read.load(f"{options.tables}/{name}") for name in DIMENSIONS}
+        ingest(spark, read.load(f"{options.tables}/transactions"), offers, options.out, masters)
         return
     if options.step == "report":
         fact = in_period(load_table(spark, "transactions_final", options.tables), options.start, options.end).drop("year", "month")
@@ -172,8 +185,7 @@ def main(arguments: list[str] | None = None) -> None:
         return
     raw = load_table(spark, "transactions", options.tables)
     if options.step == "profile":
-        for name, report in PROFILE_REPORTS.items():
-            save_table(report(raw), name, options.out)
+        profile_tables(raw, options.out)
         return
     dims = load_dimensions(spark, options.tables)
     audit_tables(raw, dims, options.out)

@@ -9,6 +9,7 @@ from dataclasses import dataclass, fields
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
+from tillsight.functions.semantics import to_day, to_number_or_null
 from tillsight.schema import RAW_COLUMNS
 
 ROW_INDEX_BITS = 40
@@ -140,11 +141,29 @@ def as_raw_transactions(df: DataFrame) -> DataFrame:
     ])
 
 
+MASTER_NUMBERS = ("number_of_employees", "production_cost", "latitude", "longitude")
+MASTER_DAYS = ("date_of_birth",)
+
+
+def as_master(df: DataFrame) -> DataFrame:
+    """A master table of any types: ids as text, numbers and days typed; values that do not parse become NULL."""
+    kinds = dict(df.dtypes)
+    fixed = {}
+    for name, kind in kinds.items():
+        if name.endswith("_id"):
+            fixed[name] = F.col(name).cast("string")
+        elif kind == "string" and name in MASTER_NUMBERS:
+            fixed[name] = to_number_or_null(F.col(name))
+        elif kind == "string" and name in MASTER_DAYS:
+            fixed[name] = to_day(F.col(name))
+    return df.withColumns(fixed)
+
+
 def column_listing(df: DataFrame, primary_key: tuple[str, ...] = ()) -> list[tuple[int, str, str, str]]:
     """(ordinal_position, column_name, declared_type, is_primary_key) of a table."""
     return [
-        (i, f.name, f.dataType.simpleString(), "YES" if f.name in primary_key else "NO")
-        for i, f in enumerate(df.schema.fields)
+        (i, name, kind, "YES" if name in primary_key else "NO")
+        for i, (name, kind) in enumerate(df.dtypes)
     ]
 
 
