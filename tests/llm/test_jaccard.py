@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from tests.llm.rows import EDGES, documents, lower
 from tillsight.llm import jaccard, texts
@@ -130,3 +131,23 @@ def test_components_of_long_paths(spark):
     rng.shuffle(edges)
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(1, 201)}, 450: 400, 500: 400}
+
+
+@pytest.mark.parametrize("limit", [0, 10**6])
+def test_a_hot_list_is_no_hot_partition(spark, monkeypatch, limit):
+    """A third of all sets in one list: pivots come from a merged aggregation, and no exchange by list holds rows that cannot be split."""
+    monkeypatch.setattr(texts, "BROADCAST_ROWS", limit)
+    reps = spark.range(3000).selectExpr("id AS rep", "array(IF(id % 3 = 0, 7L, id + 100), id + 100000) AS keys")
+    pairs = jaccard._star_pairs(reps)
+    plan = pairs._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "REPARTITION_BY" not in plan
+    assert {tuple(r) for r in pairs.collect()} == {(0, x) for x in range(3, 3000, 3)}
+
+
+def test_blocks_hold_one_component_each(spark):
+    """A thousand members of one component and one of another in a list: a thousand pairs, none inside the component."""
+    schema = "p long, g long, x long, nx long, d long, linked boolean, at long"
+    entries = spark.createDataFrame([(0, 1, x, 400, 20, False, 0) for x in range(1, 1001)] + [(0, 1, 5000, 400, 20, False, 0)], schema)
+    labels = spark.createDataFrame([(x, 1) for x in range(1, 1001)], "node long, component long")
+    pairs = {tuple(r) for r in jaccard._open_pairs(entries, labels, jaccard.CONTRACT).collect()}
+    assert pairs == {(0, x, 5000) for x in range(1, 1001)}

@@ -13,7 +13,9 @@ rule of op2, ``NEAR`` (five words, 0.8) that of the pipeline.
    it decides the link to the pivot, and it is all that later steps read: for members x and y of
    one pivot the symmetric difference of the sets is that of their differences. Answers of a set thus derive from
    those of a highly similar set. Members that both link to the pivot need no comparison.
-4. The other pairs of a pivot share an element of their differences. These are indexed (rarest element first,
+   A member that shares little but that part with its pivot has a difference larger than its own set; such members, and all that
+   meet them in a list, are compared by their own sets instead, each once for all its lists.
+4. The other pairs of a pivot share an element of their differences (or sets). These are indexed (rarest element first,
    prefix filter), with the position of the element. Lists are cut into blocks of similar
    size and position; pairs of blocks whose positions leave no room for enough common elements are skipped
    whole. Each list first compares its members with its smallest difference; after components are formed
@@ -237,6 +239,8 @@ def _star_pairs(representatives: DataFrame) -> DataFrame:
 def _differences(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
     """For each pair (p, x), numbered ``m``: set sizes ``np`` and ``nx``, size ``d`` and elements ``diff`` of the difference, ``linked``.
 
+    The elements of a difference that is larger than the set of x are left out (see ``FAR``).
+
     Texts meet their pairs where they are scanned by a broadcast of the pairs while these are few; only
     texts that occur in a pair are then shuffled.
     """
@@ -255,12 +259,13 @@ def _differences(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
                 np.setxor1d(xs[x_edges[i] : x_edges[i + 1]], ps[p_edges[j] : p_edges[j + 1]], assume_unique=True)
                 for i, j in enumerate(which.tolist())
             ]
-            lengths = np.array([len(v) for v in diffs], np.int64)
-            flat = np.concatenate(diffs).view(np.int64) if diffs else np.zeros(0, np.int64)
+            lengths, sizes = np.array([len(v) for v in diffs], np.int64), np.diff(x_edges)
+            stored = np.where(lengths > sizes, 0, lengths)
+            flat = np.concatenate([v[:n] for v, n in zip(diffs, stored.tolist(), strict=True)]).view(np.int64) if diffs else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("p"), batch.column("x"), pa.array(np.diff(p_edges)[which]), pa.array(np.diff(x_edges)),
-                    pa.array(lengths), list_array(flat, lengths, pa.int64()),
+                    batch.column("p"), batch.column("x"), pa.array(np.diff(p_edges)[which]), pa.array(sizes),
+                    pa.array(lengths), list_array(flat, stored, pa.int64()),
                 ],
                 ["p", "x", "np", "nx", "d", "diff"],
             )
@@ -273,6 +278,27 @@ def _differences(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
         return stage(found, "differences")
 
 
+#: Whether a member differs from its pivot in more elements than it has.
+FAR = "d > nx"
+
+
+def _own_sets(docs: DataFrame, ids: DataFrame, rule: Rule) -> DataFrame:
+    """The sets of the documents ``x`` in the form of differences to one pivot without elements."""
+    texts = docs.select("doc_id", "text")
+    wanted = texts.join(broadcast_if_small(ids), texts["doc_id"] == ids["x"]).select("x", "text")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches):
+            values, edges = shingle_sets(batch.column("text"), rule.shingle)
+            sizes = np.diff(edges)
+            yield pa.RecordBatch.from_arrays([batch.column("x"), pa.array(sizes), list_array(values.view(np.int64), sizes, pa.int64())], ["x", "nx", "diff"])
+
+    found = map_arrow(wanted, sets, f"x {ids.schema['x'].dataType.simpleString()}, nx long, diff array<long>")
+    found = found.withColumns({"p": F.lit(0), "np": F.lit(0), "d": F.col("nx"), "linked": F.lit(False), "m": F.monotonically_increasing_id()})
+    with records_per_batch(docs.sparkSession, 16 * RECORDS):
+        return stage(found, "own_sets")
+
+
 def _difference_lists(members: DataFrame, rule: Rule) -> DataFrame:
     """Entries of the second index: lists ``g`` of members of a pivot with one element among their rarest.
 
@@ -351,14 +377,27 @@ def _links(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
     diffs = _differences(docs, pairs, rule)
     release_shuffles(spark)
     stars = diffs.where("linked").select(F.col("p").alias("u"), F.col("x").alias("v"))
-    unsettled = stage(diffs.where(~F.col("linked")).select("p").distinct(), "unsettled")
-    members = diffs.join(broadcast_if_small(unsettled), "p", "left_semi")
-    entries = stage(_difference_lists(members, rule), "entries")
-    release_shuffles(spark)
-    stars = stars.unionByName(_sides(_list_stars(entries, rule), members, rule))
+    near = diffs.where(f"NOT ({FAR})")
+    unsettled = stage(near.where(~F.col("linked")).select("p").distinct(), "unsettled")
+    groups = [near.join(broadcast_if_small(unsettled), "p", "left_semi")]
+    mixed = stage(diffs.where(FAR).select("p").distinct(), "mixed")
+    if not mixed.isEmpty():
+        ids = stage(diffs.join(broadcast_if_small(mixed), "p", "left_semi").select("x").distinct(), "mixed_members")
+        groups.append(_own_sets(docs, ids, rule))
+        release_shuffles(spark)
+    compared = []
+    for members in groups:
+        compared.append((members, stage(_difference_lists(members, rule), "entries")))
+        release_shuffles(spark)
+    for members, entries in compared:
+        stars = stars.unionByName(_sides(_list_stars(entries, rule), members, rule))
     labels = components(stars)
     release_shuffles(spark)
-    across = stage(_sides(_open_pairs(entries, labels, rule), members, rule), "links")
+    across = None
+    for members, entries in compared:
+        links = _sides(_open_pairs(entries, labels, rule), members, rule)
+        across = links if across is None else across.unionByName(links)
+    across = stage(across, "links")
     if across.isEmpty():
         return labels
     return components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(across))
