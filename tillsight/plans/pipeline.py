@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,11 +107,46 @@ def profile_tables(raw: DataFrame, location: str | None = None) -> None:
             save_table(report(figures), name, location)
 
 
-def reports(fact: DataFrame, dims: Dimensions, as_of: str) -> dict[str, Callable[[], DataFrame]]:
+@dataclass(frozen=True)
+class Lines:
+    """Line items, and the same with product, store and campaign context."""
+
+    plain: DataFrame
+    goods: DataFrame
+    shops: DataFrame
+    placed: DataFrame
+    offers: DataFrame | None
+
+    @classmethod
+    def planned(cls, fact: DataFrame, dims: Dimensions) -> Lines:
+        plain = features.line_items(fact)
+        goods = features.product_lines(plain, dims.products)
+        offers = None if dims.discounts is None else features.discount_status(features.with_campaigns(goods, dims.discounts))
+        return cls(plain, goods, features.with_stores(goods, dims.stores), features.with_stores(plain, dims.stores), offers)
+
+    @classmethod
+    def stored(cls, fact: DataFrame, dims: Dimensions) -> Lines:
+        """All context joined once into a staging table, of which each report reads its columns.
+
+        Joins and features are paid for once, not by each of some seventy reports.
+        """
+        plain = features.line_items(fact)
+        goods = features.product_lines(plain, dims.products)
+        shops = features.with_stores(goods, dims.stores)
+        offers = shops if dims.discounts is None else features.discount_status(features.with_campaigns(shops, dims.discounts))
+        table = stage(offers, "prepared_lines")
+        added = [c for c in shops.columns if c not in goods.columns]
+        context = [c for c in offers.columns if c not in shops.columns]
+        return cls(
+            table.select(*plain.columns), table.select(*goods.columns), table.select(*shops.columns), table.select(*plain.columns, *added),
+            None if dims.discounts is None else table.select(*goods.columns, *context),
+        )
+
+
+def reports(fact: DataFrame, dims: Dimensions, as_of: str, prepared: Lines | None = None) -> dict[str, Callable[[], DataFrame]]:
     """Every business report by name, as a function that plans it."""
-    lines = features.line_items(fact)
-    goods = features.product_lines(lines, dims.products)
-    shops = features.with_stores(goods, dims.stores)
+    prepared = prepared or Lines.planned(fact, dims)
+    lines, goods, shops = prepared.plain, prepared.goods, prepared.shops
     named = {
         lines: (
             sales.sales_overview, sales.monthly_revenue, sales.quarterly_revenue, sales.revenue_driver_correlation,
@@ -132,11 +168,10 @@ def reports(fact: DataFrame, dims: Dimensions, as_of: str) -> dict[str, Callable
             store.top_category_by_store, store.country_category_mix, store.monthly_top_stores,
             store.productivity_by_employee_band, kpi.store_matrix,
         ),
-        features.with_stores(lines, dims.stores): (store.unknown_store_split,),
+        prepared.placed: (store.unknown_store_split,),
     }
-    if dims.discounts is not None:
-        offers = features.discount_status(features.with_campaigns(goods, dims.discounts))
-        named[offers] = (
+    if prepared.offers is not None:
+        named[prepared.offers] = (
             discount.discount_overview, discount.discount_status_summary, discount.discount_group_summary,
             discount.campaign_summary, discount.category_by_status, discount.top_campaign_categories,
             discount.monthly_status_trend, discount.discount_correlation, discount.high_discount_low_margin,
@@ -150,10 +185,10 @@ def reports(fact: DataFrame, dims: Dimensions, as_of: str) -> dict[str, Callable
 
 
 def write_reports(fact: DataFrame, dims: Dimensions, as_of: str, location: str, only: set[str] | None = None) -> list[str]:
-    """Write each report as a table under ``location``; returns their names."""
+    """Write each report as a table under ``location``; returns their names. The fact table is scanned once for all of them."""
     done = []
     with staging_scope(fact.sparkSession):  # for what several reports read
-        for name, plan in reports(fact, dims, as_of).items():
+        for name, plan in reports(fact, dims, as_of, Lines.stored(fact, dims)).items():
             if only is None or name in only:
                 with staging_scope(fact.sparkSession):
                     save_table(plan(), name, location)
