@@ -24,17 +24,23 @@ SATURATED = 1e26  # largest share of such amounts in a decimal sum
 LONG_MIN, LONG_MAX = -(2**63), 2**63 - 1
 
 
-def _without_digits(text: Column) -> Column:
-    return F.translate(text, "0123456789", "")
+def _starts_as_number(text: Column) -> Column:
+    """Whether a cast may read the text: its blanks other than spaces, which the patterns do not skip, are never first."""
+    return F.substring(text, 1, 1).isin(*"0123456789.+-")
+
+
+def _names_number(text: Column) -> Column:
+    """Hexadecimal, infinite and undefined numbers, which a cast reads and the pattern does not."""
+    return text.contains("x") | text.contains("X") | text.contains("n") | text.contains("N")
 
 
 def to_real(text: Column) -> Column:
     """Longest numeric prefix as double, 0.0 when there is none, NULL for NULL.
 
-    Plain decimals, told by what is left without their digits, skip the pattern.
+    What a cast reads as the pattern does skips the pattern.
     """
     text = F.trim(text)
-    plain = F.when(_without_digits(text).isin("", ".", "-", "-."), text.try_cast("double"))
+    plain = F.when(_starts_as_number(text) & ~_names_number(text), text.try_cast("double"))
     prefix = F.regexp_extract(text, REAL_PREFIX, 0).try_cast("double")
     return F.when(text.isNotNull(), F.coalesce(plain, prefix, F.lit(0.0)))
 
@@ -45,7 +51,7 @@ def to_int(text: Column) -> Column:
     Longer digit runs give the nearest 64-bit value.
     """
     text = F.trim(text)
-    plain = F.when(_without_digits(text).isin("", "-"), text.try_cast("bigint"))
+    plain = F.when(_starts_as_number(text), text.try_cast("bigint"))
     prefix = F.regexp_extract(text, INT_PREFIX, 0)
     nearest = F.when(prefix.startswith("-"), F.lit(LONG_MIN)).when(prefix != "", F.lit(LONG_MAX))
     return F.when(text.isNotNull(), F.coalesce(plain, prefix.try_cast("bigint"), nearest, F.lit(0).cast("bigint")))

@@ -13,9 +13,19 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 
+LARGEST_COMPILED = 8000  # the JVM only ever interprets methods of more bytes of code
+
+
 def configure(spark: SparkSession) -> SparkSession:
-    """Pin the settings results depend on; physical tuning stays with the caller."""
+    """Pin the settings results depend on; physical tuning stays with the caller, but for one.
+
+    A stage over all columns of a line makes one generated method that the JVM does not compile. With the limit it is run
+    operator by operator, whose projections Spark splits into methods that are. A limit of the caller's own is kept.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    if spark.conf.get(limit, "65535") == "65535":
+        spark.conf.set(limit, str(LARGEST_COMPILED))
     return spark
 
 
