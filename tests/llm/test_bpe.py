@@ -65,3 +65,30 @@ def test_words_with_equal_hashes_have_one_order(monkeypatch):
     monkeypatch.setattr(bpe, "hash_spans", lambda data, starts, ends, fold: np.zeros(len(starts), np.uint64))
     one, two = bpe.Vocabulary(["b", "a", "c"], 4), bpe.Vocabulary(["c", "b", "a"], 4)
     assert list(map(str, one.by_bucket())) == list(map(str, two.by_bucket()))
+
+
+def test_texts_are_split_in_one_scan_that_both_sides_read(spark):
+    rows = [(i, f"some words {i} and others") for i in range(40)]
+    encoded = bpe.encode(documents(spark, rows), RANKS, public_tokenizers.PATTERN)
+    assert {r.doc_id: r.ids for r in encoded.collect()} == {i: WHOLE.encode_ordinary(t) for i, t in rows}
+    done = encoded._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert done.count("MapInArrow deal") == 1 and "ReusedExchange" in done
+
+
+def test_words_of_a_bucket_are_merged_once():
+    import numpy as np
+
+    calls = []
+
+    class Counted:
+        def encode_ordinary(self, word):
+            calls.append(word)
+            return WHOLE.encode_ordinary(word)
+
+    known, words = bpe._Merged(Counted()), [b" the", b"xqz", "é".encode(), b" the"]
+    for chosen in (words, words[1:], []):
+        lengths = np.array([len(w) for w in chosen], np.uint32)
+        counts, ids = known.ids_of(lengths, b"".join(chosen))
+        want = [WHOLE.encode_ordinary(w.decode()) for w in chosen]
+        assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert sorted(calls) == [" the", "xqz", "é"]

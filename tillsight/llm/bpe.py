@@ -7,8 +7,10 @@ their blocks and are put in the places of the codes. What is shuffled is, for ea
 the distinct words, compressed; every bucket gets one row from each block, so a frequent word is no
 hot key. Decoding looks ids up in the token-byte table (bounded by the vocabulary and broadcast).
 
-The blocks are made twice, once for the codes and once for the words; both sides carry a checksum
-of the words, and a mismatch (an input that changes between scans) is an error, never a wrong result.
+Codes and words leave the texts together, in rows of one exchange: a block's codes go to the partition of the block, where
+they wait, and its words to those of their buckets. Both the merging and the putting together read that exchange, so texts are
+split once. Should it be made anew for one of them, both sides carry a checksum of the words, and a mismatch (an input that
+changes between scans) is an error, never a wrong result.
 
 Defined results: a NULL or empty text has no ids; repeated rows give repeated results; ids without
 a token raise an error on decoding; an empty table gives an empty result.
@@ -19,6 +21,7 @@ from __future__ import annotations
 import base64
 import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Collection, Iterator
 
@@ -119,6 +122,30 @@ class Vocabulary:
             yield int(self.bucket[a]), self.lengths[chosen], gather(self.bytes, self.starts[chosen], self.lengths[chosen]).tobytes()
 
 
+class _Merged(dict):
+    """Numbers of words, each merged when it is first seen; the ids of all of them lie one after the other."""
+
+    def __init__(self, encoding: tiktoken.Encoding) -> None:
+        super().__init__()
+        self.encoding, self.flat, self.starts, self.counts = encoding, array("I"), array("q"), array("q")
+
+    def __missing__(self, word: bytes) -> int:
+        ids = self.encoding.encode_ordinary(word.decode())
+        self.starts.append(len(self.flat))
+        self.counts.append(len(ids))
+        self.flat.extend(ids)
+        number = self[word] = len(self)
+        return number
+
+    def ids_of(self, lengths: np.ndarray, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids of the words of these lengths that ``raw`` is made of, and all their ids."""
+        ends = np.cumsum(lengths, dtype=np.int64)
+        found = [raw[a:b] for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
+        numbers = np.fromiter(map(self.__getitem__, found), np.int64, len(found))
+        counts = np.frombuffer(self.counts, np.int64)[numbers]
+        return counts, gather(np.frombuffer(self.flat, np.uint32), np.frombuffer(self.starts, np.int64)[numbers], counts)
+
+
 def _checksum(lengths: np.ndarray, raw: bytes) -> int:
     return zlib.crc32(np.ascontiguousarray(lengths, "<u4").tobytes(), zlib.crc32(raw))
 
@@ -155,61 +182,42 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     shared = spark.sparkContext.broadcast((ranks, pattern))
     narrow = docs.select("doc_id", "text")
     kind = narrow.schema["doc_id"].dataType.simpleString()
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    names = ["target", "block", "lengths", "words", "doc_ids", "counts", "codes", "places", "check"]
 
-    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = Splitter(pattern)
         for number, batch in _blocks(batches):
             coded, counts, distinct, word_of_code = _coded(batch.column("text").to_pylist(), split)
             vocabulary = Vocabulary(distinct, buckets)
-            check = 0
-            for _, lengths, raw in vocabulary.by_bucket():
+            check, rows = 0, []
+            for bucket, lengths, raw in vocabulary.by_bucket():
                 check ^= _checksum(lengths, raw)
+                rows.append((-1 - bucket, number, pack(lengths), zlib.compress(raw, 1)))
             place = np.empty(len(distinct), np.int64)
             place[vocabulary.order] = np.arange(len(distinct))
-            ids = batch.column("doc_id")
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
-                    list_array(counts, np.array([len(ids)]), pa.int32()), pa.array([pack(coded)], pa.binary()),
-                    pa.array([pack(place[word_of_code])], pa.binary()), pa.array([check], pa.int64()),
-                ],
-                ["block", "doc_ids", "counts", "codes", "places", "check"],
-            )
-            del coded, distinct, vocabulary  # before the next block is read
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = Splitter(pattern)
-        for number, batch in _blocks(batches):
-            distinct: set[str] = set()
-            for text in batch.column("text").to_pylist():
-                distinct.update(split(text))
-            vocabulary = Vocabulary(distinct, buckets)
-            rows = [(b, number, pack(lengths), zlib.compress(raw, 1)) for b, lengths, raw in vocabulary.by_bucket()]
-            if rows:
-                kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
-                columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, ["bucket", "block", "lengths", "words"])
-            del distinct, vocabulary, rows
+            ids, n = batch.column("doc_id"), len(rows)
+            of_words = [pa.array([row[i] for row in rows], k) for i, k in enumerate(kinds)]
+            of_block = [
+                pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), list_array(counts, np.array([len(ids)]), pa.int32()),
+                pa.array([pack(coded)], pa.binary()), pa.array([pack(place[word_of_code])], pa.binary()), pa.array([check], pa.int64()),
+            ]
+            yield pa.RecordBatch.from_arrays([*of_words, *[pa.nulls(n, c.type) for c in of_block]], names)
+            keys = [pa.array([number], pa.int64())] * 2
+            yield pa.RecordBatch.from_arrays([*keys, *[pa.nulls(1, pa.binary())] * 2, *of_block], names)
+            del coded, distinct, vocabulary, rows, of_words, of_block  # before the next block is read
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, pattern = shared.value
-        encoding = tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        known: dict[bytes, list[int]] = {}
+        known = _Merged(tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}))
         for batch in batches:
-            for row in batch.to_pylist():
+            batch = batch.select(names[:4])
+            for row in batch.filter(batch.column("words").is_valid()).to_pylist():
                 lengths, raw = unpack(row["lengths"]), zlib.decompress(row["words"])
-                ids, at = [], 0
-                for end in np.cumsum(lengths).tolist():
-                    word, at = raw[at:end], end
-                    found = known.get(word)
-                    if found is None:
-                        found = known[word] = encoding.encode_ordinary(word.decode())
-                    ids.append(found)
-                counts = np.array([len(i) for i in ids])
-                flat = np.fromiter((t for i in ids for t in i), np.int64, int(counts.sum()))
+                counts, flat = known.ids_of(lengths, raw)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([row["block"]], pa.int64()), pa.array([row["bucket"]], pa.int32()),
+                        pa.array([row["block"]], pa.int64()), pa.array([-1 - row["target"]], pa.int32()),
                         pa.array([pack(counts)], pa.binary()), pa.array([pack(flat)], pa.binary()),
                         pa.array([_checksum(lengths, raw)], pa.int64()),
                     ],
@@ -217,6 +225,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
                 )
 
     def reassemble(left: pa.Table, right: pa.Table) -> pa.Table:
+        if left.column("codes").null_count:  # words, which were merged
+            return pa.table({"doc_id": left.column("doc_ids").combine_chunks().flatten(), "ids": pa.array([], pa.list_(pa.int32()))})
         (block,) = left.to_pylist()
         parts = sorted(right.to_pylist(), key=lambda r: r["bucket"])
         check = 0
@@ -234,11 +244,11 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
         doc_ids = left.column("doc_ids").combine_chunks().flatten()
         return pa.table({"doc_id": doc_ids, "ids": list_array(text_ids.astype(np.int32), np.diff(done), pa.int32())})
 
-    coded = map_arrow(narrow, codes, f"block long, doc_ids array<{kind}>, counts array<int>, codes binary, places binary, check long")
-    dealt = map_arrow(narrow, words, "bucket int, block long, lengths binary, words binary").repartition(buckets, "bucket")
-    merged = map_arrow(dealt, merge, "block long, bucket int, counts binary, ids binary, check long")
+    schema = f"target long, block long, lengths binary, words binary, doc_ids array<{kind}>, counts array<int>, codes binary, places binary, check long"
+    both = map_arrow(narrow, deal, schema).repartition(buckets, "target")
+    merged = map_arrow(both, merge, "block long, bucket int, counts binary, ids binary, check long")
     importable(spark)
-    return coded.groupBy("block").cogroup(merged.groupBy("block")).applyInArrow(reassemble, f"doc_id {kind}, ids array<int>")
+    return both.groupBy("target").cogroup(merged.groupBy("block")).applyInArrow(reassemble, f"doc_id {kind}, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], column: str = "ids") -> DataFrame:
