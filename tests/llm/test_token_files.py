@@ -99,3 +99,30 @@ def test_query_equals_the_library(spark, tmp_path):
     documents(spark, rng.sample(rows, len(rows))).write.parquet(f"{tmp_path}/documents.parquet")
     got = queries.op12_token_files(spark, str(tmp_path)).collect()
     assert sorted(tuple(r) for r in got) == expected(rows)
+
+
+def test_words_of_low_characters_are_split_and_merged_outside_the_library_steps(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    low = [chr(i) for i in (*range(0x21, 0x7F), *range(0xA1, 0x250))]
+    texts = [" ".join("".join(rng.choices(low, k=rng.randint(1, 12))) for _ in range(200)) for _ in range(40)] + ["".join(low), "naïve Übung's ½²ªº"]
+    made, calls = library(), []
+    encoder = token_files._Encoder(DEFINITION, True)
+    monkeypatch.setattr(token_files, "LOW", lambda text, match=token_files.LOW: calls.append(bool(match(text))) or calls[-1])
+    for column in (["".join(c for c in t if c < "\u0180" and c != "\u0130") for t in texts], texts, ["İ Ǆ e\u0301 中", "Ǉ \u00b5"]):
+        encoder._forget()
+        counts, ids = encoder(pa.array(column), 2)
+        want = [[*made.encode(t, add_special_tokens=False).ids, 2] for t in column]
+        assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert set(calls) == {True, False}
+    assert token_files._byte_level(texts[-2:]) == [made.pre_tokenizer[1].pre_tokenize_str(t)[0][0] for t in texts[-2:]]
+
+
+def test_places_by_hash_with_hashes_that_agree_in_upper_bits():
+    rng = np.random.default_rng(5)
+    for hashes in (rng.integers(0, 1 << 63, 3000, dtype=np.uint64) // 7 * 7, rng.integers(0, 9, 3000, dtype=np.uint64), np.zeros(0, np.uint64), np.ones(1, np.uint64)):
+        hashes = np.repeat(hashes, 2)
+        order, ordered = token_files._by_hash(hashes)
+        assert sorted(order.tolist()) == list(range(len(hashes))) and (hashes[order] == ordered).all()
+        assert int((ordered[1:] != ordered[:-1]).sum()) + bool(len(hashes)) == len(np.unique(hashes))

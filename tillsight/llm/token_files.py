@@ -36,10 +36,12 @@ import re
 import uuid
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain, compress
+from itertools import chain, compress, repeat
+from operator import attrgetter, not_
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -62,6 +64,13 @@ SLICE = 4 << 20
 BREAK = "\n"
 #: Words without white space or control characters; so many of them are normalised and split at a time.
 PLAIN, JOINED = re.compile(r"[^\s\x00-\x20\x7f-\xa0]+").fullmatch, 1024
+#: Text of characters whose classes are the same in all versions of Unicode since 5.0, so that every engine splits it alike.
+LOW = re.compile("[\x20-\u024f]*").fullmatch
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_LEVEL = np.arange(256, dtype="<u4")
+BYTE_LEVEL[[b for b in range(256) if b not in _SHOWN]] = np.arange(256, 512 - len(_SHOWN))
+BYTE_LEVEL[ord(BREAK)] = ord(BREAK)  # stands between pieces
+ID = attrgetter("id")
 READ_IDS = 1 << 20
 MANIFEST = pa.schema([("file", pa.int32()), ("path", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64())])
 
@@ -71,12 +80,12 @@ def pack_blocks(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
     values = np.ascontiguousarray(ids, np.uint32).reshape(-1, BLOCK)
     reference = values.min(axis=1)
     differences = values - reference[:, None]
-    bits = np.frexp(differences.astype(np.float64))[1].astype(np.int64)
+    bits = np.frexp(differences.astype(np.float64))[1].astype(np.uint8)
     ranked = np.sort(bits, axis=1)
     width = np.zeros(len(values), np.int64)
     size = np.full(len(values), np.iinfo(np.int64).max)
     for share in PERCENTILES:
-        chosen = ranked[:, int(np.ceil(share * BLOCK)) - 1]
+        chosen = ranked[:, int(np.ceil(share * BLOCK)) - 1].astype(np.int64)
         cost = 6 + BLOCK // 8 * chosen + 5 * (bits > chosen[:, None]).sum(axis=1)
         width, size = np.where(cost < size, chosen, width), np.minimum(cost, size)
     outside = bits > width[:, None]
@@ -204,8 +213,9 @@ def _tokenizer(definition: str):
     return made
 
 
-def _ascii_steps(definition: str) -> tuple[bool, re.Pattern] | None:
-    """What a tokenizer does to printable ASCII before its merges, as (whether it lower-cases, pattern of pieces); None if that is not known.
+def _ascii_steps(definition: str) -> tuple[bool, re.Pattern, str] | None:
+    """What a tokenizer does to printable ASCII before its merges, as (whether it lower-cases, pattern of pieces, the pattern as written);
+    None if that is not known.
 
     Known are definitions that normalise by NFC, white space and lower case alone, and keep the matches of one pattern.
     """
@@ -222,8 +232,15 @@ def _ascii_steps(definition: str) -> tuple[bool, re.Pattern] | None:
         return None
     if (split[0]["behavior"], split[0]["invert"], split[1]["add_prefix_space"], split[1].get("use_regex")) != ("Removed", True, False, False):
         return None
-    pattern = ascii_pattern(split[0]["pattern"]["Regex"])
-    return None if pattern is None else (any(n["type"] == "Lowercase" for n in normal), pattern)
+    written = split[0]["pattern"]["Regex"]
+    pattern = ascii_pattern(written)
+    return None if pattern is None else (any(n["type"] == "Lowercase" for n in normal), pattern, written)
+
+
+def _byte_level(pieces: list[str]) -> list[str]:
+    """Pieces in the characters that stand for their bytes, as the library's ``ByteLevel`` writes them."""
+    raw = np.frombuffer(BREAK.join(pieces).encode(), np.uint8)
+    return BYTE_LEVEL[raw].tobytes().decode("utf-32-le").split(BREAK) if pieces else []
 
 
 def _ends_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -235,13 +252,28 @@ def _ends_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     return eight[starts] & mask, eight[ends - short.astype(np.int64)] & mask
 
 
+def _by_hash(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in an order that puts equal hashes next to each other, first places first, and the hashes in that order.
+
+    Upper bits of the hash and the place sort as one number, much faster than places by their hashes; that is left to do where
+    different hashes agree in those bits.
+    """
+    below = np.uint64((1 << max(len(hashes) - 1, 1).bit_length()) - 1)
+    keys = np.sort((hashes & ~below) | np.arange(len(hashes), dtype=np.uint64))
+    order = (keys & below).astype(np.int64)
+    ordered = hashes[order]
+    if len(order) and ((ordered[1:] != ordered[:-1]) & ((keys[1:] ^ keys[:-1]) <= below)).any():
+        order = np.argsort(hashes, kind="stable")
+        ordered = hashes[order]
+    return order, ordered
+
+
 def _distinct(found: Words) -> tuple[np.ndarray, np.ndarray]:
     """One place of each distinct word, and for each word which of these it equals.
 
     Words count as equal by hash, length and both ends.
     """
-    order = np.argsort(found.hashes, kind="stable")
-    hashes = found.hashes[order]
+    order, hashes = _by_hash(found.hashes)
     new = np.ones(len(order), bool)
     new[1:] = hashes[1:] != hashes[:-1]
     head, tail = _ends_of(found.data, found.starts, found.ends)
@@ -268,13 +300,15 @@ class _Encoder:
         #: A step that is missing, or that joins pieces again, leaves each word to the library alone.
         self.steps = by_word and None not in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer) and self.tokenizer.post_processor is None
         known = _ascii_steps(definition) if self.steps else None
-        self.lower, self.pattern = (None, None) if known is None else (known[0], re.compile(f"{BREAK}|{known[1].pattern}"))
+        self.lower, self.pattern, self.low = None, None, None
+        if known is not None:
+            self.lower, self.pattern, self.low = known[0], re.compile(f"{BREAK}|{known[1].pattern}"), regex.compile(f" |{known[2]}").findall
         self._forget()
 
     def _forget(self) -> None:
         self.words: dict[bytes, int] = {}
         self.pieces: dict[str, int] = {BREAK: 0}
-        self.piece_ids: list[list[int]] = [[]]
+        self.piece_flat, self.piece_lengths = np.zeros(0, np.uint32), np.zeros(1, np.int64)
         self.flat, self.lengths = np.zeros(1, np.uint32), np.ones(1, np.int64)
 
     def _append(self, words: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
@@ -283,44 +317,62 @@ class _Encoder:
 
     def _enter_pieces(self, pieces: Iterable[str]) -> None:
         """Let the tokenizer's model merge pieces that are not remembered."""
-        for piece in set(pieces).difference(self.pieces):
-            self.pieces[piece] = len(self.piece_ids)
-            self.piece_ids.append([token.id for token in self.tokenizer.model.tokenize(piece)])
-
-    def _append_pieces(self, words: list[bytes], pieces: list[str], owner: np.ndarray) -> None:
-        """Enter words that consist of pieces, whose owners are given in order."""
+        new = list(set(pieces).difference(self.pieces))
+        flat, lengths = [self.piece_flat], [self.piece_lengths]
+        for begin in range(0, len(new), JOINED):
+            found = list(map(self.tokenizer.model.tokenize, new[begin : begin + JOINED]))
+            lengths.append(np.fromiter(map(len, found), np.int64, len(found)))
+            flat.append(np.fromiter(map(ID, chain.from_iterable(found)), np.uint32, int(lengths[-1].sum())))
+        self.pieces.update(zip(new, range(len(self.pieces), len(self.pieces) + len(new)), strict=True))
+        self.piece_flat, self.piece_lengths = np.concatenate(flat), np.concatenate(lengths)
+
+    def _append_pieces(self, words: list[bytes], pieces: list[str], owner: np.ndarray | None = None) -> None:
+        """Enter words that consist of pieces, whose owners are given in order, or told by breaks between words."""
         self._enter_pieces(pieces)
-        used, inverse = np.unique(np.fromiter(map(self.pieces.__getitem__, pieces), np.int64, len(pieces)), return_inverse=True)
-        mine = [self.piece_ids[i] for i in used.tolist()]
-        lengths = np.fromiter(map(len, mine), np.int64, len(mine))
-        flat = np.fromiter(chain.from_iterable(mine), np.uint32, int(lengths.sum()))
-        taken = lengths[inverse]
-        ids = gather(flat, (np.cumsum(lengths) - lengths)[inverse], taken)
+        number = np.fromiter(map(self.pieces.__getitem__, pieces), np.int64, len(pieces))
+        taken = self.piece_lengths[number]
+        ids = gather(self.piece_flat, (np.cumsum(self.piece_lengths) - self.piece_lengths)[number], taken)
+        owner = np.cumsum(number == 0) if owner is None else owner
         self._append(words, ids, np.bincount(owner, taken, len(words)).astype(np.int64))
 
     def _learn(self, words: list[bytes], printable: list[bool]) -> None:
         """Enter new words. Those without odd characters pass the tokenizer's steps many at a time, its merges once for each distinct piece."""
-        plain = list(compress(words, printable)) if self.pattern is not None else []
-        if plain:
-            text = BREAK.join(map(bytes.decode, plain))
-            pieces = self.pattern.findall(text.lower() if self.lower else text)
-            breaks = np.fromiter(map(BREAK.__eq__, pieces), bool, len(pieces))
-            self._append_pieces(plain, pieces, np.cumsum(breaks))
-        rest = [w for w in words if w not in self.words] if plain else words
-        smooth = [w for w in rest if PLAIN(w.decode())] if self.steps else []
-        for begin in range(0, len(smooth), JOINED):
-            chosen = smooth[begin : begin + JOINED]
-            normal = self.tokenizer.normalizer.normalize_str(" ".join(map(bytes.decode, chosen)))
-            parts = normal.split(" ")
-            if len(parts) != len(chosen) or not all(parts):
-                continue  # the steps changed what separates words
-            found = self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)
-            ends = np.cumsum([len(p) + 1 for p in parts])
-            self._append_pieces(chosen, [piece for piece, _ in found], np.searchsorted(ends, [a for _, (a, _) in found], side="right"))
-        for word in rest:
-            if word not in self.words:
-                ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, np.uint32)
-                self._append([word], ids, np.array([len(ids)]))
+        rest = words
+        if self.pattern is not None:
+            plain, rest = list(compress(words, printable)), list(compress(words, map(not_, printable)))
+            if plain:
+                text = BREAK.encode().join(plain).decode()
+                self._append_pieces(plain, self.pattern.findall(text.lower() if self.lower else text))
+        alone = [] if self.steps else rest
+        if self.steps:
+            smooth = [bool(PLAIN(w.decode())) for w in rest]
+            alone = list(compress(rest, map(not_, smooth)))
+            rest = list(compress(rest, smooth))
+            entered, pieces, owners = [], [], [np.zeros(0, np.int64)]
+            for begin in range(0, len(rest), JOINED):
+                chosen = rest[begin : begin + JOINED]
+                normal = self.tokenizer.normalizer.normalize_str(b" ".join(chosen).decode())
+                parts = normal.split(" ")
+                if len(parts) != len(chosen) or not all(parts):
+                    alone += chosen  # the steps changed what separates words
+                    continue
+                if self.low is not None and LOW(normal):
+                    found = self.low(normal)
+                    owner = np.cumsum(np.fromiter(map(" ".__eq__, found), bool, len(found)))
+                    kept = np.fromiter(map(" ".__ne__, found), bool, len(found))
+                    pieces += _byte_level(list(compress(found, kept)))
+                    owner = owner[kept]
+                else:
+                    found = self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)
+                    pieces += [piece for piece, _ in found]
+                    owner = np.searchsorted(np.cumsum([len(p) + 1 for p in parts]), [a for _, (a, _) in found], side="right")
+                owners.append(owner + len(entered))
+                entered += chosen
+            if entered:
+                self._append_pieces(entered, pieces, np.concatenate(owners))
+        for word in alone:
+            ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, np.uint32)
+            self._append([word], ids, np.array([len(ids)]))
 
     def _split(self, column: pa.Array) -> tuple[list[bytes], list[bool], np.ndarray, np.ndarray]:
         """Distinct words, whether they are of printable ASCII, which of them stands at each place, and the first place of each text."""
@@ -340,10 +392,12 @@ class _Encoder:
             self._forget()
         self.flat[0] = end_id
         distinct, printable, inverse, first = self._split(column)
-        new = [w not in self.words for w in distinct]
-        if any(new):
-            self._learn(list(compress(distinct, new)), list(compress(printable, new)))
-        number = np.fromiter(map(self.words.__getitem__, distinct), np.int64, len(distinct))
+        number = np.fromiter(map(self.words.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = number < 0
+        if new.any():
+            words, told = list(compress(distinct, new)), list(compress(printable, new))
+            self._learn(words, told)
+            number[new] = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
         entries = np.insert(number[inverse], first[1:], 0)
         taken = self.lengths[entries]
         ids = gather(self.flat, (np.cumsum(self.lengths) - self.lengths)[entries], taken)
