@@ -151,3 +151,37 @@ def test_blocks_hold_one_component_each(spark):
     labels = spark.createDataFrame([(x, 1) for x in range(1, 1001)], "node long, component long")
     pairs = {tuple(r) for r in jaccard._open_pairs(entries, labels, jaccard.CONTRACT).collect()}
     assert pairs == {(0, x, 5000) for x in range(1, 1001)}
+
+
+@pytest.mark.parametrize("hot", [1, 10**9])
+def test_entries_of_lists_move_once(spark, monkeypatch, hot):
+    """However many lists there are, and with hot ones summed up where their rows lie."""
+    monkeypatch.setattr(texts, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(jaccard, "HOT", hot)
+    reps = spark.range(3000).selectExpr("id AS rep", "array(IF(id % 3 = 0, 7L, id + 100), id div 2 + 100000) AS keys")
+    pairs = jaccard._star_pairs(reps)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(key") == 1 and "SortMergeJoin" not in plan
+    assert {tuple(r) for r in pairs.collect()} == {(0, x) for x in range(3, 3000, 3)} | {(x, x + 1) for x in range(0, 3000, 2)}
+
+
+@pytest.mark.parametrize("hot", [1, 4])
+def test_frequent_elements_give_the_same_components(spark, monkeypatch, hot):
+    monkeypatch.setattr(jaccard, "HOT", hot)
+    rows = family_rows(4)[:200]
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.component_labels(documents(spark, rows)).collect()} == brute(rows)
+
+
+def test_only_members_of_a_pair_are_moved(spark):
+    """Few pairs meet the members by a broadcast, whatever the members' size."""
+    schema = "p long, x long, nx long, d long, diff array<long>"
+    members = spark.createDataFrame([(0, x, 100, 3, [1, 2, x]) for x in range(3, 200)], schema)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        links = jaccard._sides(spark.createDataFrame([(0, 5, 9)], "p long, x long, y long"), members, jaccard.CONTRACT)
+        plan = links._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert plan.count("BroadcastHashJoin") == 2
+    assert [tuple(r) for r in links.collect()] == [(5, 9)]

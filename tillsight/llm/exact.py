@@ -27,10 +27,10 @@ def digest(docs: DataFrame):
     return F.sha2(ascii_lower(F.coalesce(docs["text"], F.lit(""))).cast("binary"), 256)
 
 
-def frequent(digests: DataFrame, column: str) -> DataFrame:
-    """Candidates for frequent values of ``column``, at most ``TOP`` rows."""
+def frequent(digests: DataFrame, column: str, least: int = 1) -> DataFrame:
+    """Candidates for frequent values of ``column``, at most ``TOP`` rows, of about ``least`` rows each or more."""
     found = digests.agg(F.expr(f"approx_top_k(`{column}`, {TOP}, {TRACKED})").alias("found"))
-    return found.select(F.explode("found").alias("found")).select(F.col("found.item").alias(column))
+    return found.select(F.explode("found").alias("found")).where(F.col("found.count") >= least).select(F.col("found.item").alias(column))
 
 
 def _winners(rows: DataFrame, column: str) -> DataFrame:

@@ -43,10 +43,13 @@ from pyspark.sql import functions as F
 from tillsight.functions.skew import join_back
 from tillsight.llm.bpe import gather
 from tillsight.llm.components import components
+from tillsight.llm.exact import frequent
 from tillsight.llm.texts import NOT_SPACE, bounded, broadcast_if_small, list_array, map_arrow, mix, records_per_batch, unused, window_owners, windows, words
 from tillsight.session import release_shuffles, stage, stage_path, staging_scope
 
 BLOCK = 8
+#: Lists of about so many entries or more are no group of rows in one task.
+HOT = 4096
 
 LAST_SCHEME = 2
 RECORDS = 128
@@ -213,27 +216,26 @@ def described(docs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
     return map_arrow(narrow, describe, f"doc_id {kind}, n long, s1 long, s2 long, keys array<long>")
 
 
-def _of_lists(entries: DataFrame, lists: DataFrame, key: str) -> DataFrame:
-    """Entries of the given lists (one stored row for each), which are few as nearly all keys meet nobody.
+def _with_groups(rows: DataFrame, key: str, name: str, value: Column) -> DataFrame:
+    """``rows`` with the aggregate ``value`` of their ``key``'s group in the column ``name``. No row moves more than once.
 
-    While few they are broadcast and the entries stay where they are; beyond that adaptive execution splits hot lists.
+    Groups that may have ``HOT`` rows or more are summed up where their rows lie, and the few sums are broadcast back to these. The
+    other rows meet by key, where no group is large.
     """
-    small = broadcast_if_small(lists)
-    if small is not lists:
-        return entries.join(small, key)
-    return join_back(entries, lists.withColumn("_listed", F.lit(True)), [key]).where("_listed").drop("_listed")
+    group = Window.partitionBy(key)
+    hot = stage(frequent(rows, key, HOT), "hot")
+    if hot.isEmpty():
+        return rows.withColumn(name, value.over(group))
+    sums = stage(rows.join(F.broadcast(hot), key, "left_semi").groupBy(key).agg(value.alias(name)), "hot_groups")
+    heavy = rows.join(F.broadcast(sums), key)
+    light = rows.join(F.broadcast(sums), key, "left_anti")
+    return light.withColumn(name, value.over(group)).unionByName(heavy)
 
 
 def _star_pairs(representatives: DataFrame) -> DataFrame:
-    """Distinct (p, x): the pivot of a list and another member. ``representatives`` are read twice.
-
-    Pivots come from an aggregation merged on the map side, so a list that a large share of all sets is in is no hot key.
-    """
+    """Distinct (p, x): the pivot of a list and another member."""
     postings = representatives.select(F.explode("keys").alias("key"), F.col("rep").alias("x"))
-    lists = postings.groupBy("key").agg(F.min("x").alias("p"), F.max("x").alias("last")).where(F.col("p") < F.col("last"))
-    lists = stage(lists.select("key", "p"), "lists")
-    release_shuffles(representatives.sparkSession)
-    return _of_lists(postings, lists, "key").where(F.col("x") != F.col("p")).select("p", "x").distinct()
+    return _with_groups(postings, "key", "p", F.min("x")).where(F.col("x") != F.col("p")).select("p", "x").distinct()
 
 
 def _differences(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
@@ -307,10 +309,8 @@ def _difference_lists(members: DataFrame, rule: Rule) -> DataFrame:
     A list is known by the hash of pivot and element; a collision only adds pairs to verify.
     """
     elements = members.select("m", "p", F.explode("diff").alias("e")).select(F.xxhash64("p", "e").alias("g"), "m")
-    shared = stage(elements.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1), "shared")
-    release_shuffles(members.sparkSession)
     own = Window.partitionBy("m")
-    ranked = _of_lists(elements, shared, "g").select(
+    ranked = _with_groups(elements, "g", "df", F.count(F.lit(1))).where(F.col("df") > 1).select(
         "g", "m", F.count(F.lit(1)).over(own).alias("known"), (F.row_number().over(own.orderBy("df", "g")) - 1).alias("place")
     )
     both = F.col("nx") + F.expr(f"nx * {rule.den} div {rule.num}")
@@ -331,13 +331,18 @@ def _named(entries: DataFrame, side: str, names: tuple[str, ...]) -> DataFrame:
 
 
 def _sides(pairs: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs (p, x, y) of one pivot that link, by their differences to it."""
+    """Pairs (p, x, y) of one pivot that link, by their differences to it.
+
+    The pairs are stored first: while they are few they meet the members where these lie, and only members of a pair are moved.
+    """
+    pairs = stage(pairs, "candidates")
+    release_shuffles(pairs.sparkSession)
+    listed, partners = broadcast_if_small(pairs), broadcast_if_small(pairs.select("p", "y").distinct())
     one = members.select("p", "x", F.col("nx").alias("n1"), F.col("d").alias("d1"), F.col("diff").alias("f1"))
     two = members.select("p", F.col("x").alias("y"), F.col("nx").alias("n2"), F.col("d").alias("d2"), F.col("diff").alias("f2"))
     apart = F.col("d1") + F.col("d2") - 2 * F.size(F.array_intersect("f1", "f2"))
-    return pairs.join(one, ["p", "x"]).join(two, ["p", "y"]).where(rule.linked(apart, "n1", "n2")).select(
-        F.col("x").alias("u"), F.col("y").alias("v")
-    )
+    met = one.join(listed, ["p", "x"]).join(two.join(partners, ["p", "y"], "left_semi"), ["p", "y"])
+    return met.where(rule.linked(apart, "n1", "n2")).select(F.col("x").alias("u"), F.col("y").alias("v"))
 
 
 ENTRY = ("x", "nx", "d", "at", "linked")
