@@ -1,6 +1,6 @@
 from datetime import date
 
-from tillsight.operators import customer, features, product, sales, store
+from tillsight.operators import customer, discount, features, product, sales, store
 
 FACT = (
     "source_rowid long, invoice_id string, line_no int, customer_id string, product_id string, size string, color string, "
@@ -41,6 +41,43 @@ def test_campaign_of_a_day_is_the_last_listed_one(spark):
     assert [r.discount_status for r in got][:2] == ["Non-Campaign Discount", "Campaign Discount"]
 
 
+OFFERS = "campaign_seq int, start string, end string, discount string, category string, sub_category string, description string"
+
+
+def test_campaigns_of_masters_and_lines_without_attributes(spark):
+    discounts = spark.createDataFrame([
+        (1, "2023-01-01 00:00:00", "2023-01-05 00:00:00", "0.1", "Unknown", "Unknown", "clearance"),
+        (2, "2023-01-05 00:00:00", "2023-01-06 00:00:00", "0.2", "Tops", "Unknown", "tops"),
+        (3, "2024-06-01 00:00:00", "2024-06-30 00:00:00", "0.2", "Tops", "Unknown", "late"),
+    ], OFFERS)
+    masters = products(spark).unionByName(spark.createDataFrame(
+        [("p3", None, None, "x", "red", "M", "1.0"), ("p4", "Tops", None, "y", "red", "M", "1.0")], products(spark).schema
+    ))
+    sold = [(p, date(y, m, d)) for p in ("p1", "p3", "p4", "p9", None) for y, m, d in ((2022, 12, 1), (2023, 1, 5), (2023, 6, 1), (2024, 6, 7), (2050, 1, 1))]
+    lines = features.line_items(fact(spark, *[{"product_id": p, "transaction_date": d} for p, d in sold]))
+    want = {(p, date(2023, 1, 5)): "clearance" for p in ("p3", "p9", None)} | {("p4", date(2023, 1, 5)): "tops", ("p4", date(2024, 6, 7)): "late"}
+    with_goods = features.with_campaigns(features.product_lines(lines, masters), discounts)
+    for found in (features.discount_lines(lines, masters, discounts), with_goods):
+        assert {(r.product_id, r.transaction_date): r.campaign_description for r in found.collect()} == {k: want.get(k, "No Campaign") for k in sold}
+        assert {r.product_id for r in found.filter("is_campaign_period").collect()} == {"p3", "p4", "p9", None}
+
+
+def test_campaigns_move_lines_once_by_product_and_once_by_part(spark):
+    import re
+
+    discounts = spark.createDataFrame([(1, "2023-01-01 00:00:00", "2023-01-05 00:00:00", "0.1", "Tops", "Shirts", "first")], OFFERS)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        goods = features.discount_lines(features.line_items(fact(spark, {})), products(spark), discounts)
+        query = discount.campaign_summary(goods)._jdf.queryExecution()
+        plan = query.explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    moved = [columns for columns in re.findall(r"Exchange\s+Input \[\d+\]: \[([^\]]*)\]", plan) if "transaction_date" in columns]
+    assert len(moved) == 2 and not any("source_rowid" in columns for columns in moved)
+
+
 def test_returns_turn_revenue_and_profit_negative(spark):
     lines = features.line_items(fact(spark, {}, {"transaction_type": " return ", "line_no": 2}, {"unit_price": None}))
     goods = {r.source_rowid: r for r in features.product_lines(lines, products(spark)).collect()}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def join_back(rows: DataFrame, summary: DataFrame, keys: Sequence[str], spread: str | None = None) -> DataFrame:
+def join_back(rows: DataFrame, summary: DataFrame, keys: Sequence[str], spread: str | Sequence[str] | None = None) -> DataFrame:
     """Left join a one-row-per-key summary to rows.
 
     Adaptive execution splits a hot key's rows over many tasks only when both join
@@ -17,8 +17,8 @@ def join_back(rows: DataFrame, summary: DataFrame, keys: Sequence[str], spread:
     columns: the summary (one row per key) is exchanged again and the split applies.
     Small summaries are still turned into broadcasts by their measured size.
 
-    Rows with a NULL key match nothing; ``spread`` names a column whose hash scatters
-    them over all partitions.
+    Rows with a NULL key match nothing; ``spread`` names a column, or several, whose hash
+    scatters them over all partitions.
     """
     key_hash = F.xxhash64(*keys)
     left_hash = key_hash
@@ -26,7 +26,7 @@ def join_back(rows: DataFrame, summary: DataFrame, keys: Sequence[str], spread:
         missing = F.lit(False)
         for key in keys:
             missing = missing | F.col(key).isNull()
-        left_hash = F.when(missing, F.xxhash64(spread)).otherwise(key_hash)
+        left_hash = F.when(missing, F.xxhash64(*([spread] if isinstance(spread, str) else spread))).otherwise(key_hash)
     left = rows.withColumn("_key_hash", left_hash)
     right = summary.withColumn("_key_hash", key_hash)
     return left.join(right, [*keys, "_key_hash"], "left").drop("_key_hash")

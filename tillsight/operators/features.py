@@ -136,8 +136,8 @@ def prepare_sales(fact: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 # ---- products and stores ----------------------------------------------------
 
-def with_products(lines: DataFrame, products: DataFrame) -> DataFrame:
-    """Left join product masters; missing attributes read ``Unknown`` and cost 0."""
+def with_products(lines: DataFrame, products: DataFrame, *more: str) -> DataFrame:
+    """Left join product masters; missing attributes read ``Unknown`` and cost 0. Columns in ``more`` come along as they are."""
     unknown = F.lit(s.UNKNOWN)
     masters = products.select(
         F.col("product_id").cast("string").alias("product_id"),
@@ -147,6 +147,7 @@ def with_products(lines: DataFrame, products: DataFrame) -> DataFrame:
         F.col("color").alias("product_master_color"),
         F.col("size").alias("available_sizes"),
         F.coalesce(to_number_or_null(F.col("production_cost")), F.lit(0.0)).alias("production_cost"),
+        *more,
     )
     return lines.join(masters, "product_id", "left").withColumns({
         "product_name": F.coalesce("product_name", F.lit("Unknown Product")),
@@ -170,8 +171,8 @@ def profit_measures(lines: DataFrame) -> DataFrame:
     )
 
 
-def product_lines(lines: DataFrame, products: DataFrame) -> DataFrame:
-    return profit_measures(with_products(lines, products))
+def product_lines(lines: DataFrame, products: DataFrame, *more: str) -> DataFrame:
+    return profit_measures(with_products(lines, products, *more))
 
 
 def is_unknown_product() -> Column:
@@ -292,20 +293,35 @@ def campaign_parts(segments: DataFrame) -> DataFrame:
     return segments.withColumn("part", F.explode(parts)).groupBy(*CAMPAIGN_KEY, "lo", "width", "part").agg(F.collect_list(stretch).alias("stretches"))
 
 
-def with_campaigns(lines: DataFrame, discounts: DataFrame) -> DataFrame:
+def _listed_parts(discounts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``campaign_parts`` and, one row per key, the ``days`` they divide; bit p % 64 of ``mask`` is set if part p is among them."""
     parts = stage(campaign_parts(campaign_segments(campaigns(discounts))), "campaign_parts")
-    keyed = join_back(lines, parts.select(*CAMPAIGN_KEY, "lo", "width").distinct(), CAMPAIGN_KEY)
+    mask = F.bit_or(F.expr("shiftleft(1L, CAST(part % 64 AS INT))")).alias("mask")
+    days = parts.groupBy(*CAMPAIGN_KEY, "lo", "width").agg(mask)
+    return parts.drop("lo", "width"), days.select(*CAMPAIGN_KEY, F.struct("lo", "width", "mask").alias("days"))
+
+
+def _with_stretches(lines: DataFrame, parts: DataFrame) -> DataFrame:
+    """Campaign in force on the day of each line, whose key's ``days`` are given; a line of no listed part has no part and meets no stretch."""
     day = F.unix_date("transaction_date")
-    keyed = keyed.withColumn("part", F.floor((day - F.col("lo")) / F.col("width"))).drop("lo", "width")
-    joined = join_back(keyed, parts.drop("lo", "width"), [*CAMPAIGN_KEY, "part"], spread="source_rowid" if "source_rowid" in lines.columns else None)
+    lines = lines.withColumn("part", F.floor((day - F.col("days.lo")) / F.col("days.width")))
+    in_mask = F.expr("shiftright(days.mask, CAST(pmod(part, 64) AS INT)) & 1") == 1
+    lines = lines.withColumn("part", F.when(in_mask, F.col("part"))).drop("days")
+    joined = join_back(lines, parts, [*CAMPAIGN_KEY, "part"], spread=("transaction_date", *CAMPAIGN_KEY))
     campaign = F.get(F.filter("stretches", lambda x: (x["first"] <= F.unix_date("transaction_date")) & (x["stop"] > F.unix_date("transaction_date"))), F.lit(0))
-    joined = joined.withColumn("campaign", campaign).drop("part", "stretches")
-    listed = F.col("campaign").isNotNull()
+    joined = joined.withColumn("campaign", campaign).drop("part")
+    # that there are stretches at all lets the planner keep lines without a part out of the exchange where only campaigns are asked for
+    listed = F.col("stretches").isNotNull() & F.col("campaign").isNotNull()
     return joined.withColumns({
         "campaign_description": F.when(listed, F.col("campaign.description")).otherwise(s.NO_CAMPAIGN),
         "campaign_discount": F.when(listed, F.col("campaign.discount")).otherwise(0.0),
         "is_campaign_period": listed,
-    }).drop("campaign")
+    }).drop("campaign", "stretches")
+
+
+def with_campaigns(lines: DataFrame, discounts: DataFrame) -> DataFrame:
+    parts, days = _listed_parts(discounts)
+    return _with_stretches(join_back(lines, days, CAMPAIGN_KEY), parts)
 
 
 def discount_status(lines: DataFrame) -> DataFrame:
@@ -325,7 +341,16 @@ def discount_status(lines: DataFrame) -> DataFrame:
 
 
 def discount_lines(lines: DataFrame, products: DataFrame, discounts: DataFrame) -> DataFrame:
-    return discount_status(with_campaigns(product_lines(lines, products), discounts))
+    """Lines beside their product and campaign. The days of a campaign's key join the masters, so that lines need no exchange for them."""
+    parts, days = _listed_parts(discounts)
+    unknown = F.lit(s.UNKNOWN)
+    named = products.withColumns({c: F.coalesce(c, unknown) for c in CAMPAIGN_KEY})
+    of_unknown = days.filter((F.col("category") == unknown) & (F.col("sub_category") == unknown)).agg(F.max("days")).scalar()
+    goods = product_lines(lines, join_back(named, days, CAMPAIGN_KEY), "days")
+    # a line without masters reads Unknown, which may be a listed key too
+    is_unknown = (F.col("category") == unknown) & (F.col("sub_category") == unknown)
+    goods = goods.withColumn("days", F.when(is_unknown, of_unknown).otherwise(F.col("days")))
+    return discount_status(_with_stretches(goods, parts))
 
 
 # ---- customers --------------------------------------------------------------
