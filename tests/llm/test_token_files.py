@@ -126,3 +126,39 @@ def test_places_by_hash_with_hashes_that_agree_in_upper_bits():
         order, ordered = token_files._by_hash(hashes)
         assert sorted(order.tolist()) == list(range(len(hashes))) and (hashes[order] == ordered).all()
         assert int((ordered[1:] != ordered[:-1]).sum()) + bool(len(hashes)) == len(np.unique(hashes))
+
+
+def test_more_words_than_half_a_million_are_learned_once(monkeypatch):
+    import pyarrow as pa
+
+    encoder, learned = token_files._Encoder(DEFINITION, True), []
+    learn = token_files._Encoder._learn
+    monkeypatch.setattr(token_files._Encoder, "_learn", lambda self, words, printable: learned.append(len(words)) or learn(self, words, printable))
+    slices = [pa.array([" ".join(f"{i:x}" for i in range(begin, begin + 100_000))]) for begin in range(0, 600_000, 100_000)]
+    first = [encoder(column, 2)[1].tolist() for column in slices]
+    assert learned == [100_000] * 6
+    assert [encoder(column, 2)[1].tolist() for column in slices] == first and len(learned) == 6
+    made = library()
+    assert first[5] == [*made.encode(slices[5][0].as_py(), add_special_tokens=False).ids, 2]
+
+
+@pytest.mark.parametrize("hashes", [1, 3, 1 << 62])
+def test_words_whose_hashes_agree_keep_their_ids(monkeypatch, hashes):
+    import pyarrow as pa
+
+    rng, made, find = random.Random(7), library(), token_files.words
+
+    def clashing(*given):
+        found = find(*given)
+        found.hashes %= np.uint64(hashes)
+        return found
+
+    monkeypatch.setattr(token_files, "words", clashing)
+    monkeypatch.setattr(token_files, "REMEMBERED", 90)
+    monkeypatch.setattr(token_files, "REMEMBERED_PIECES", 20)
+    encoder = token_files._Encoder(DEFINITION, True)
+    for _ in range(12):
+        texts = [" ".join("".join(rng.choices("abÉ.", k=rng.randint(1, 4))) for _ in range(rng.randint(0, 30))) for _ in range(5)] + [None]
+        counts, ids = encoder(pa.array(texts, pa.string()), 2)
+        want = [[*made.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+        assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]

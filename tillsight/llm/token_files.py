@@ -36,7 +36,7 @@ import re
 import uuid
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain, compress, repeat
+from itertools import chain, compress
 from operator import attrgetter, not_
 
 import numpy as np
@@ -57,8 +57,8 @@ PERCENTILES = (0.85, 0.9, 0.95, 1.0)
 BLOCKS_AT_ONCE = 2048
 #: Bytes of text for one file, where that gives more files than ``spark.sql.shuffle.partitions``.
 FILE_TEXT_BYTES = 128 << 20
-#: Distinct words whose ids a task remembers; beyond that it starts anew.
-REMEMBERED = 1 << 19
+#: Distinct words, and pieces of words, whose ids a task remembers; beyond that it starts anew.
+REMEMBERED, REMEMBERED_PIECES = 3 << 19, 1 << 19
 #: Bytes of text that are encoded together.
 SLICE = 4 << 20
 BREAK = "\n"
@@ -268,31 +268,66 @@ def _by_hash(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, ordered
 
 
-def _distinct(found: Words) -> tuple[np.ndarray, np.ndarray]:
-    """One place of each distinct word, and for each word which of these it equals.
+def _distinct(found: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One place of each distinct word, for each word which of these it equals, and size and both ends of the distinct words.
 
     Words count as equal by hash, length and both ends.
     """
     order, hashes = _by_hash(found.hashes)
     new = np.ones(len(order), bool)
     new[1:] = hashes[1:] != hashes[:-1]
-    head, tail = _ends_of(found.data, found.starts, found.ends)
-    for part in (found.ends - found.starts, head, tail):
+    marks = np.stack(((found.ends - found.starts).astype(np.uint64), *_ends_of(found.data, found.starts, found.ends)))
+    for part in marks:
         part = part[order]
         if ((part[1:] != part[:-1]) & ~new[1:]).any():  # two words of one hash: compare all by their bytes
             listed = [found.data[a:b].tobytes() for a, b in zip(found.starts.tolist(), found.ends.tolist(), strict=True)]
             number = {w: i for i, w in enumerate(dict.fromkeys(listed))}
             inverse = np.array([number[w] for w in listed])
-            return np.unique(inverse, return_index=True)[1], inverse
+            places = np.unique(inverse, return_index=True)[1]
+            return places, inverse, marks[:, places]
     inverse = np.empty(len(order), np.int64)
     inverse[order] = np.cumsum(new) - 1
-    return order[new], inverse
+    return order[new], inverse, marks[:, order[new]]
+
+
+class _Table:
+    """Numbers of remembered words. A word is known again by its hash, length and both ends, without its bytes.
+
+    Of words of one hash only the first is remembered.
+    """
+
+    def __init__(self) -> None:
+        self.hashes, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.marks = np.zeros((3, 0), np.uint64)
+
+    def _place(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the hashes belong, and whether they stand there."""
+        at = np.searchsorted(self.hashes, hashes)
+        inside = at < len(self.hashes)
+        inside[inside] = self.hashes[at[inside]] == hashes[inside]
+        return at, inside
+
+    def find(self, hashes: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        """Numbers of words, -1 for those not remembered."""
+        at, hit = self._place(hashes)
+        number = np.full(len(hashes), -1, np.int64)
+        at = at[hit]
+        number[hit] = np.where((self.marks[:, at] == marks[:, hit]).all(axis=0), self.numbers[at], -1)
+        return number
+
+    def add(self, hashes: np.ndarray, marks: np.ndarray, numbers: np.ndarray) -> None:
+        hashes, first = np.unique(hashes, return_index=True)
+        at, taken = self._place(hashes)
+        at, first = at[~taken], first[~taken]
+        self.hashes, self.numbers = np.insert(self.hashes, at, hashes[~taken]), np.insert(self.numbers, at, numbers[first])
+        self.marks = np.insert(self.marks, at, marks[:, first], axis=1)
 
 
 class _Encoder:
     """Ids of texts. Each distinct word of a slice is looked up once, and what is not remembered is encoded.
 
     The ids of remembered words lie one after the other in ``flat``; a word's number tells where. Number 0 is the end of a text.
+    ``fresh`` has the words of the slice at hand that were not remembered before.
     """
 
     def __init__(self, definition: str, by_word: bool) -> None:
@@ -306,13 +341,16 @@ class _Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.words: dict[bytes, int] = {}
+        self.known, self.fresh = _Table(), {}
+        self._forget_pieces()
+        self.flat, self.lengths = np.zeros(1, np.uint32), np.ones(1, np.int64)
+
+    def _forget_pieces(self) -> None:
         self.pieces: dict[str, int] = {BREAK: 0}
         self.piece_flat, self.piece_lengths = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        self.flat, self.lengths = np.zeros(1, np.uint32), np.ones(1, np.int64)
 
     def _append(self, words: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
-        self.words.update(zip(words, range(len(self.lengths), len(self.lengths) + len(words)), strict=True))
+        self.fresh.update(zip(words, range(len(self.lengths), len(self.lengths) + len(words)), strict=True))
         self.flat, self.lengths = np.concatenate((self.flat, ids)), np.concatenate((self.lengths, lengths))
 
     def _enter_pieces(self, pieces: Iterable[str]) -> None:
@@ -374,31 +412,37 @@ class _Encoder:
             ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, np.uint32)
             self._append([word], ids, np.array([len(ids)]))
 
-    def _split(self, column: pa.Array) -> tuple[list[bytes], list[bool], np.ndarray, np.ndarray]:
-        """Distinct words, whether they are of printable ASCII, which of them stands at each place, and the first place of each text."""
+    def _numbers(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Number of the word at each place, and the first place of each text. Whole texts are not remembered."""
+        self.fresh = {}
         if not self.by_word:
             listed = [(t or "").encode() for t in column.to_pylist()]
-            number = {w: i for i, w in enumerate(dict.fromkeys(listed))}
-            return list(number), [False] * len(number), np.array([number[w] for w in listed], np.int64), np.arange(len(listed) + 1)
+            distinct = list(dict.fromkeys(listed))
+            self._learn(distinct, [False] * len(distinct))
+            return np.array([self.fresh[w] for w in listed], np.int64), np.arange(len(listed) + 1)
         found = words(column, NOT_SPACE, AS_IS)
-        places, inverse = _distinct(found)
-        raw, starts, ends = found.data.tobytes(), found.starts[places], found.ends[places]
-        odd = np.concatenate(([0], np.cumsum((found.data < 0x21) | (found.data > 0x7E), dtype=np.int32)))
-        return [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], (odd[ends] == odd[starts]).tolist(), inverse, found.first
+        places, inverse, marks = _distinct(found)
+        hashes = found.hashes[places]
+        number = self.known.find(hashes, marks)
+        new = number < 0
+        if new.any():
+            raw, starts, ends = found.data.tobytes(), found.starts[places[new]], found.ends[places[new]]
+            odd = np.concatenate(([0], np.cumsum((found.data < 0x21) | (found.data > 0x7E), dtype=np.int32)))
+            learned = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            self._learn(learned, (odd[ends] == odd[starts]).tolist())
+            number[new] = np.fromiter(map(self.fresh.__getitem__, learned), np.int64, len(learned))
+            self.known.add(hashes[new], marks[:, new], number[new])
+        return number[inverse], found.first
 
     def __call__(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of ids of the texts, and all their ids, each text's followed by the end id."""
-        if len(self.words) > REMEMBERED:
+        if not self.by_word or len(self.lengths) > REMEMBERED:
             self._forget()
+        if len(self.pieces) > REMEMBERED_PIECES:
+            self._forget_pieces()
         self.flat[0] = end_id
-        distinct, printable, inverse, first = self._split(column)
-        number = np.fromiter(map(self.words.get, distinct, repeat(-1)), np.int64, len(distinct))
-        new = number < 0
-        if new.any():
-            words, told = list(compress(distinct, new)), list(compress(printable, new))
-            self._learn(words, told)
-            number[new] = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
-        entries = np.insert(number[inverse], first[1:], 0)
+        number, first = self._numbers(column)
+        entries = np.insert(number, first[1:], 0)
         taken = self.lengths[entries]
         ids = gather(self.flat, (np.cumsum(self.lengths) - self.lengths)[entries], taken)
         ends = np.cumsum(taken)[first[1:] + np.arange(len(first) - 1)]
