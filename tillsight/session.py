@@ -58,7 +58,7 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+def stage(df: DataFrame, name: str, path: str | None = None, codec: str | None = None) -> DataFrame:
     """Write ``df`` as a columnar staging table and return a fresh scan of it.
 
     Used where several column-pruned passes follow. Tables staged inside a
@@ -67,10 +67,17 @@ def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = path or stage_path(spark, name)
-    df.write.parquet(path)
+    (df.write if codec is None else df.write.option("compression", codec)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_lines(df: DataFrame, name: str) -> DataFrame:
+    """``stage`` for tables with as many rows as there are lines: written smaller, and the shuffle files that led to them go at once."""
+    stored = stage(df, name, codec="zstd")
+    release_shuffles(df.sparkSession)
+    return stored
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps now.
 

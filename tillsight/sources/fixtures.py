@@ -14,7 +14,7 @@ from tillsight.functions.skew import join_back
 from tillsight.schema import (
     DEFAULT_CURRENCY, DEFAULT_SYMBOL, FINAL_COLUMNS, UNKNOWN_CUSTOMER, UNKNOWN_PRODUCT, UNKNOWN_STORE,
 )
-from tillsight.session import configure, stage
+from tillsight.session import configure, stage_lines as stage
 from tillsight.sources.tables import Dimensions
 
 AS_OF = "2002-01-01"
