@@ -197,7 +197,11 @@ def is_unknown_store() -> Column:
 
 
 def store_lines(lines: DataFrame, products: DataFrame, stores: DataFrame) -> DataFrame:
-    return with_stores(product_lines(lines, products), stores)
+    """Lines beside their product and their store.
+
+    Products are joined last: what reads none of their columns, such as a distinct count, then drops their join.
+    """
+    return product_lines(with_stores(lines, stores), products)
 
 
 def exclusions(lines: DataFrame, unknown: Column) -> DataFrame:
