@@ -39,8 +39,7 @@ def clean_tables(raw: DataFrame, dims: Dimensions, location: str | None = None,
         for name in DIMENSIONS:
             save_table(getattr(conformed, name), f"{name}_final", location)
         written = load_table(spark, "transactions_final", location).drop("year", "month")
-        after = clean.Figures(seen, written.select(clean.row_digest(written).alias(clean.DIGEST)))
-        result = clean.Cleaned(written, before, after)
+        result = clean.Cleaned(written, before, clean.Figures(seen, written))
         save_table(clean.cleaning_summary(result, dims), "cleaning_summary", location)
         save_table(clean.before_after(result), "before_after", location)
     return load_table(spark, "cleaning_summary", location)
