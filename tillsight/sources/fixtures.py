@@ -27,6 +27,11 @@ DISCOUNT_PERCENT = "CAST(floor(l_discount * 100D + 0.5D) AS INT) * 6"
 PRICE_CENTS = "(floor(p_retailprice * 100D + 0.5D) + 5000 * (l_linenumber % 3))"
 LINE_CENTS = f"({PRICE_CENTS} * quantity * (100 - discount_percent) + 50) div 100"
 SIGNED_CENTS = f"if(is_return, -1L, 1L) * ({LINE_CENTS})"
+# All that the cents of a line depend on but for its price, in one number: quantity times percent kept, line number modulo 3, kind.
+PACKED = "(CAST(quantity AS BIGINT) * (100 - discount_percent) * 8 + l_linenumber % 3 + 2) * 2 + if(is_return, 1, 0)"
+PACKED_CENTS = (
+    "((floor(p_retailprice * 100D + 0.5D) + 5000 * ((shiftright(packed, 1) & 7L) - 2)) * shiftright(packed, 4) + 50) div 100"
+)
 LINE_IDENTITY = (
     "concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS INT), "
     "floor(l_extendedprice * 100D + 0.5D), CAST(l_shipdate AS DATE))"
@@ -63,25 +68,31 @@ class Fixture:
     # ---- transactions -------------------------------------------------------
 
     @cached_property
-    def _priced(self) -> DataFrame:
-        """Lines beside the fields of their part, in the few fixed-width columns that later columns are made of."""
-        lines = self.table("lineitem").selectExpr(
+    def _narrow(self) -> DataFrame:
+        """Lines in the few fixed-width columns that later columns are made of."""
+        return self.table("lineitem").selectExpr(
             "l_orderkey", "l_partkey", "l_linenumber",
             "l_returnflag <=> 'R' AS is_return",
             "CAST(l_quantity AS INT) % 12 + 1 AS quantity",
             f"{DISCOUNT_PERCENT} AS discount_percent",
             f"CAST(conv(substr(md5({LINE_IDENTITY}), 1, 15), 16, 10) AS BIGINT) AS source_rowid",
         )
+
+    @cached_property
+    def _priced(self) -> DataFrame:
+        """Lines beside the fields of their part."""
         parts = self.table("part").selectExpr("p_partkey", "p_size", "substring_index(p_name, ' ', 1) AS color", "p_retailprice")
-        return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).drop("p_partkey")
+        return self._narrow.join(parts, F.col("l_partkey") == F.col("p_partkey")).drop("p_partkey")
 
     @cached_property
     def _orders(self) -> DataFrame:
         """Orders beside the cents of their sold and of their returned lines; repeated orders count their lines each time."""
         orders = self.table("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderstatus", F.col("o_orderdate").cast("date").alias("day"))
-        cents, returned = F.expr(SIGNED_CENTS), F.col("is_return")
-        sums = self._priced.groupBy("l_orderkey").agg(
-            F.sum(F.when(~returned, cents)).alias("sold_cents"), F.sum(F.when(returned, cents)).alias("returned_cents")
+        prices = self.table("part").select("p_partkey", "p_retailprice")
+        packed = self._narrow.selectExpr("l_orderkey", "l_partkey", f"{PACKED} AS packed")
+        cents, returned = F.expr(PACKED_CENTS), F.expr("packed & 1L = 1")
+        sums = packed.join(prices, F.col("l_partkey") == F.col("p_partkey")).groupBy("l_orderkey").agg(
+            F.sum(F.when(~returned, cents)).alias("sold_cents"), F.sum(F.when(returned, -cents)).alias("returned_cents")
         )
         copies = orders.groupBy("l_orderkey").agg(F.count("*").alias("copies"))
         return orders.join(copies, "l_orderkey").join(sums, "l_orderkey").select(
